@@ -8,6 +8,7 @@ statistic and exact quantiles instead use a two-level scheme:
 2. ``repartitionByRange`` on (group, key); the partition id is then a
    bucket whose key ranges are ordered, with balanced sizes from Spark's
    sampling of the range bounds;
+   The bucketed frame is checkpointed once so both uses see the same buckets.
 3. bucket totals (``#groups x #buckets`` rows, a bounded table) give
    each bucket's offset by a window over that small table;
 4. a window partitioned by (group, bucket) adds the running sum within the
@@ -23,27 +24,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.session import shuffle_partitions
+from riskweave.session import ensure_checkpoint_dir, shuffle_partitions
 
 _BKT = "_rw_bucket"
 
 
 def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequence[str] = (),
-                descending: bool = False, buckets: int | None = None) -> DataFrame:
+                descending: bool = False, buckets: int | None = None,
+                unique_keys: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Per (by, key): the summed columns, inclusive running sums and group totals.
 
     Output columns: ``*by, key, <name>, cum_<name>, total_<name>`` for each
     entry of ``sums`` (name -> column expression over the input rows).
     Running sums follow ``key`` ascending, or descending if asked.
+    With ``unique_keys`` the input already has one row per (by, key): the
+    grouping shuffle is skipped and ``carry`` columns pass through.
     """
     by = list(by)
     spark = df.sparkSession
     n = buckets or shuffle_partitions(spark)
     exprs = [F.sum(c if isinstance(c, Column) else F.col(c)).alias(name) for name, c in sums.items()]
-    grouped = df.groupBy(*by, key).agg(*exprs)
+    if unique_keys:
+        grouped = df.select(*by, key, *carry, *[(c if isinstance(c, Column) else F.col(c)).alias(name)
+                                                for name, c in sums.items()])
+    else:
+        grouped = df.groupBy(*by, key).agg(*exprs)
+        carry = ()
     order = F.col(key).desc() if descending else F.col(key).asc()
+    # The bucketed frame feeds two branches (bucket totals and running sums).
+    # Evaluated twice, each branch would sample its own range bounds and the
+    # bucket ids would disagree; a reliable checkpoint freezes them once and
+    # cuts the lineage (it is written under spark.checkpoint.dir).
+    ensure_checkpoint_dir(spark)
     ranged = grouped.repartitionByRange(n, *[F.col(b) for b in by], order) \
-        .withColumn(_BKT, F.spark_partition_id())
+        .withColumn(_BKT, F.spark_partition_id()).checkpoint(eager=True)
 
     names = list(sums)
     bucket_tot = ranged.groupBy(*by, _BKT).agg(*[F.sum(c).alias(f"_bt_{c}") for c in names])
@@ -58,7 +72,7 @@ def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequ
     within = Window.partitionBy(*by, _BKT).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.join(F.broadcast(offsets), on=[*by, _BKT], how="inner")
     return out.select(
-        *by, key, *names,
+        *by, key, *carry, *names,
         *[(F.col(f"_off_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in names],
         *[F.col(f"total_{c}") for c in names],
     )
