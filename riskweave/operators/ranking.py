@@ -100,13 +100,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
                      F.ceil("_pos").cast("long").alias("_hi_rank"))
     # value at 0-based rank r: the distinct value whose cumulative range
     # [cum_cnt - cnt, cum_cnt) contains r
-    ranks = pos.select(*by, F.col("_lo_rank").alias("_r")).union(
-        pos.select(*by, F.col("_hi_rank").alias("_r"))).distinct()
-    cond = [cum[b] == ranks[b] for b in by] + [
-        (cum["cum_cnt"] - cum["cnt"] <= ranks["_r"]), (ranks["_r"] < cum["cum_cnt"])]
-    # ranks is tiny (<= 2*|probs| per group); Catalyst broadcasts it for the range condition.
-    at = cum.join(F.broadcast(ranks), on=cond, how="inner").select(
-        *[cum[b] for b in by], ranks["_r"], cum[value].alias("_v"))
+    ranks = pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_lo_rank").alias("_r")).union(
+        pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_hi_rank").alias("_r"))).distinct()
+    cond = [F.col(b) == F.col(f"_k_{b}") for b in by] + [
+        (F.col("cum_cnt") - F.col("cnt") <= F.col("_r")), (F.col("_r") < F.col("cum_cnt"))]
+    # ranks is tiny (<= 2*|probs| per group): broadcast it for the range condition.
+    at = cum.join(F.broadcast(ranks), on=cond, how="inner").select(*by, "_r", F.col(value).alias("_v"))
     lo = at.select(*by, F.col("_r").alias("_lo_rank"), F.col("_v").alias("_lo"))
     hi = at.select(*by, F.col("_r").alias("_hi_rank"), F.col("_v").alias("_hi"))
     res = pos.join(lo, on=[*by, "_lo_rank"]).join(hi, on=[*by, "_hi_rank"])

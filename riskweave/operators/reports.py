@@ -125,3 +125,24 @@ def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> Dat
            .when(cur["cumulative_count"] == prev_cnt, cur["le"])
            .otherwise(inside))
     return g.select(*by, F.lit(q).alias("quantile"), val.alias("value"))
+
+
+def model_quality(df: DataFrame, label: str, pred: str, by: Sequence[str]) -> DataFrame:
+    """Accuracy, precision, recall, f1 per group (zero division -> 0)."""
+    c = confusion_counts(df, label, pred, by)
+    tn, fp, fn, tp = (F.col(x).cast("double") for x in ("tn", "fp", "fn", "tp"))
+    prec, rec = _safe_div(tp, tp + fp), _safe_div(tp, tp + fn)
+    return c.select(*by, _safe_div(tp + tn, tn + fp + fn + tp).alias("accuracy"), prec.alias("precision"),
+                    rec.alias("recall"), _safe_div(2 * prec * rec, prec + rec).alias("f1"))
+
+
+def retrain_trigger(drift_report: DataFrame, logs: DataFrame, min_accuracy: float = 0.8,
+                    version: str = "model_version") -> DataFrame:
+    """Retrain when any feature drifted or the newest version's accuracy < min."""
+    changed = drift_report.agg(F.coalesce(F.bool_or("drift_detected"), F.lit(False)).alias("data_changed"))
+    acc = logs.groupBy(version).agg(
+        F.avg(F.when(F.col("fraud_label") == F.col("is_fraud"), 1.0).otherwise(0.0)).alias("accuracy"))
+    newest = acc.agg(F.max_by("accuracy", version).alias("accuracy"))
+    return changed.crossJoin(newest).select(
+        "data_changed", (F.col("accuracy") < F.lit(min_accuracy)).alias("metric_degraded"),
+        (F.col("data_changed") | (F.col("accuracy") < F.lit(min_accuracy))).alias("trigger_retraining"))

@@ -4,3 +4,5 @@ from riskweave.plans import feature_plans  # noqa: F401
 from riskweave.plans import report_plans  # noqa: F401
 from riskweave.plans import split_plans  # noqa: F401
 from riskweave.plans import routing_plans  # noqa: F401
+from riskweave.plans import curve_plans  # noqa: F401
+from riskweave.plans import drift_plans  # noqa: F401
