@@ -9,34 +9,36 @@ Spark computes with partial aggregation (no single-task sort).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.ranking import prefix_sums
 
 
-def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
+def score_table(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: pos, n, cum_pos (tp), cum_n (predicted positive), totals."""
     base = df.where(F.col(score).isNotNull())
     t = prefix_sums(base, score, {"pos": F.col(label).cast("long"), "n": F.lit(1).cast("long")},
-                    descending=True)
+                    by=by, descending=True)
     return t.withColumnRenamed(score, "threshold")
 
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact rank-sum AUC with half credit for ties."""
-    t = score_table(df, score, label)
+    t = score_table(df, score, label, by)
     neg_total = F.col("total_n") - F.col("total_pos")
     neg_below = neg_total - (F.col("cum_n") - F.col("cum_pos"))
     term = F.col("pos") * (neg_below + 0.5 * (F.col("n") - F.col("pos")))
-    return t.agg((F.sum(term) / (F.max("total_pos") * F.max(neg_total))).alias("roc_auc"))
+    return t.groupBy(*by).agg((F.sum(term) / (F.max("total_pos") * F.max(neg_total))).alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Step-wise average precision, sum over thresholds of dRecall * precision."""
-    t = score_table(df, score, label)
+    t = score_table(df, score, label, by)
     term = F.col("pos") / F.col("total_pos") * (F.col("cum_pos") / F.col("cum_n"))
-    return t.agg(F.sum(term).alias("average_precision"))
+    return t.groupBy(*by).agg(F.sum(term).alias("average_precision"))
 
 
 def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -6,3 +6,4 @@ from riskweave.plans import split_plans  # noqa: F401
 from riskweave.plans import routing_plans  # noqa: F401
 from riskweave.plans import curve_plans  # noqa: F401
 from riskweave.plans import drift_plans  # noqa: F401
+from riskweave.plans import window_plans  # noqa: F401
