@@ -71,20 +71,20 @@ def classification_report(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rows = rows.withColumns({"f0": f1(F.col("p0"), F.col("r0")), "f1": f1(F.col("p1"), F.col("r1"))})
     entries = F.array(
         F.struct(F.lit("0").alias("label"), F.col("p0").alias("precision"), F.col("r0").alias("recall"),
-                 F.col("f0").alias("f1_score"), F.col("s0").alias("support")),
+                 F.col("f0").alias("f1_score"), F.col("s0").cast("long").alias("support")),
         F.struct(F.lit("1").alias("label"), F.col("p1").alias("precision"), F.col("r1").alias("recall"),
-                 F.col("f1").alias("f1_score"), F.col("s1").alias("support")),
+                 F.col("f1").alias("f1_score"), F.col("s1").cast("long").alias("support")),
         F.struct(F.lit("accuracy").alias("label"), _safe_div(F.col("correct"), F.col("n")).alias("precision"),
                  _safe_div(F.col("correct"), F.col("n")).alias("recall"),
-                 _safe_div(F.col("correct"), F.col("n")).alias("f1_score"), F.col("n").alias("support")),
+                 _safe_div(F.col("correct"), F.col("n")).alias("f1_score"), F.col("n").cast("long").alias("support")),
         F.struct(F.lit("macro avg").alias("label"), ((F.col("p0") + F.col("p1")) / 2).alias("precision"),
                  ((F.col("r0") + F.col("r1")) / 2).alias("recall"),
-                 ((F.col("f0") + F.col("f1")) / 2).alias("f1_score"), F.col("n").alias("support")),
+                 ((F.col("f0") + F.col("f1")) / 2).alias("f1_score"), F.col("n").cast("long").alias("support")),
         F.struct(F.lit("weighted avg").alias("label"),
                  _safe_div(F.col("p0") * F.col("s0") + F.col("p1") * F.col("s1"), F.col("n")).alias("precision"),
                  _safe_div(F.col("r0") * F.col("s0") + F.col("r1") * F.col("s1"), F.col("n")).alias("recall"),
                  _safe_div(F.col("f0") * F.col("s0") + F.col("f1") * F.col("s1"), F.col("n")).alias("f1_score"),
-                 F.col("n").alias("support")),
+                 F.col("n").cast("long").alias("support")),
     )
     return rows.select(*by, F.inline(entries))
 
@@ -146,3 +146,48 @@ def retrain_trigger(drift_report: DataFrame, logs: DataFrame, min_accuracy: floa
     return changed.crossJoin(newest).select(
         "data_changed", (F.col("accuracy") < F.lit(min_accuracy)).alias("metric_degraded"),
         (F.col("data_changed") | (F.col("accuracy") < F.lit(min_accuracy))).alias("trigger_retraining"))
+
+
+def class_weights(df: DataFrame, label: str) -> DataFrame:
+    """Balanced weights n/(2*n_c) and the boosting ratio neg/max(pos, 1)."""
+    n = F.count(F.lit(1))
+    pos = F.count_if(F.col(label) == 1)
+    neg = F.count_if(F.col(label) == 0)
+    return df.agg((n / (2 * neg)).alias("weight_0"), (n / (2 * pos)).alias("weight_1"),
+                  (neg / F.greatest(pos, F.lit(1))).alias("scale_pos_weight"))
+
+
+def request_counters(logs: DataFrame) -> DataFrame:
+    """Request, prediction and positive counters as one long table."""
+    req = logs.groupBy(F.col("endpoint").alias("label1"), F.lit("POST").alias("label2"),
+                       F.col("status_code").cast("string").alias("label3")).agg(F.count(F.lit(1)).alias("value"))
+    pred = logs.groupBy(F.col("model_type").alias("label1"), F.col("fraud_label").cast("string").alias("label2"),
+                        F.lit("").alias("label3")).agg(F.count(F.lit(1)).alias("value"))
+    pos = logs.where(F.col("fraud_label") == 1).groupBy(
+        F.col("model_type").alias("label1"), F.lit("").alias("label2"), F.lit("").alias("label3")
+    ).agg(F.count(F.lit(1)).alias("value"))
+    tag = lambda d, m: d.select(F.lit(m).alias("metric"), "label1", "label2", "label3", "value")
+    return tag(req, "requests_total").unionByName(tag(pred, "predictions_total")).unionByName(
+        tag(pos, "fraud_positives_total"))
+
+
+def reuse_rate(df: DataFrame, key: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Repeated keys are hits, first sightings misses; hits / max(1, hits + misses)."""
+    n = F.count(F.lit(1))
+    misses = F.count_distinct(key)
+    return df.groupBy(*by).agg((n - misses).alias("hits"), misses.alias("misses"),
+                               ((n - misses) / F.greatest(n, F.lit(1))).alias("hit_rate"))
+
+
+def daily_cost(logs: DataFrame, ts: str, service: str, cost: Column) -> DataFrame:
+    """Requests and cost per day and service; cost per 1000 predictions."""
+    g = logs.groupBy(F.to_date(F.col(ts)).alias("day"), F.col(service).alias("service")).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum(cost).alias("total_cost"))
+    return g.withColumn("cost_per_1000", F.col("total_cost") / F.col("requests") * 1000)
+
+
+def confidence_histogram(df: DataFrame, prob: str, buckets: int = 10) -> DataFrame:
+    """Equal-width buckets over [0, 1); 0 below, buckets+1 at or above 1."""
+    p = F.col(prob)
+    b = F.when(p < 0, 0).when(p >= 1, buckets + 1).otherwise(F.floor(p * buckets).cast("int") + 1)
+    return df.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
