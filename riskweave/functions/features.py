@@ -142,8 +142,9 @@ def store_features(df: DataFrame) -> DataFrame:
     low = low_device(dev)
     hrc = high_risk_country(cr)
     night = is_night(hour_flag)
+    keep = [c for c in ("transaction_id", "user_id", "created_at") if c in df.columns]
     return df.select(
-        "transaction_id", "user_id",
+        *keep,
         amount.alias("amount"),
         F.log1p(amount).alias("amount_log"),
         hour_value.alias("hour"),

@@ -216,7 +216,7 @@ def q_f15(spark, sf_dir):
     FROM tx""", "tx"))
 def q_f16(spark, sf_dir):
     """Feature-store variant of the features (9 columns, defaults, own risk score)."""
-    out = fe.store_features(transactions(spark, sf_dir))
+    out = fe.store_features(transactions(spark, sf_dir)).drop("created_at")
     return out.withColumn("amount_log", r9("amount_log")).withColumn("risk_score", r9("risk_score"))
 
 
