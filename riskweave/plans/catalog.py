@@ -8,3 +8,4 @@ from riskweave.plans import curve_plans  # noqa: F401
 from riskweave.plans import drift_plans  # noqa: F401
 from riskweave.plans import window_plans  # noqa: F401
 from riskweave.plans import store_plans  # noqa: F401
+from riskweave.plans import io_plans  # noqa: F401
