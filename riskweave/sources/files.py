@@ -51,7 +51,7 @@ def pair_by_position(spark: SparkSession, x_path: str, y_path: str, x_schema: St
     def numbered(path, schema):
         files = _sorted_part_files(spark, path)
         lines = spark.sparkContext.textFile(",".join(files))
-        header = ",".join(f.name for f in schema.fields)
+        header = lines.first()  # every part file starts with the same header line
         body = lines.filter(lambda s: s != header)
         idx = body.zipWithIndex().map(lambda t: (t[1], t[0]))
         raw = spark.createDataFrame(idx, "row_id long, line string")
