@@ -213,10 +213,15 @@ def best_by(runs: DataFrame, name: str, metric: str, order: str | None = None) -
                   F.max(metric).alias(f"best_{metric}"))
 
 
-def top_k_by_abs(arr: Column, k: int, field: str) -> Column:
-    """Sort an array of structs by |field| descending and keep k."""
-    cmp = lambda a, b: F.when(F.abs(a[field]) > F.abs(b[field]), -1).when(
-        F.abs(a[field]) < F.abs(b[field]), 1).otherwise(0)
+def top_k_by_abs(arr: Column, k: int, field: str, tie: str | None = None) -> Column:
+    """Sort an array of structs by |field| descending (then ``tie`` ascending) and keep k.
+
+    The array has one entry per model feature: its size is fixed by the schema."""
+    def cmp(a, b):
+        c = F.when(F.abs(a[field]) > F.abs(b[field]), -1).when(F.abs(a[field]) < F.abs(b[field]), 1)
+        if tie:
+            c = c.when(a[tie] < b[tie], -1).when(a[tie] > b[tie], 1)
+        return c.otherwise(0)
     return F.slice(F.array_sort(arr, cmp), 1, k)
 
 

@@ -10,3 +10,4 @@ from riskweave.plans import window_plans  # noqa: F401
 from riskweave.plans import store_plans  # noqa: F401
 from riskweave.plans import io_plans  # noqa: F401
 from riskweave.plans import stream_plans  # noqa: F401
+from riskweave.plans import model_plans  # noqa: F401
