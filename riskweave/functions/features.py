@@ -84,7 +84,7 @@ def engineer(df: DataFrame, stats: DataFrame | None = None, keep: bool = True) -
     night = is_night(hour)
     out = joined.withColumns({
         "amount_log": F.log1p(amount),
-        "amount_zscore": (amount - F.col("amount_mean")) / F.col("amount_std"),
+        "amount_zscore": F.try_divide(amount - F.col("amount_mean"), F.col("amount_std")),  # std 0 -> NULL
         "is_night": night,
         "is_evening": is_evening(hour),
         "is_weekend": F.lit(0),

@@ -31,13 +31,14 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     neg_total = F.col("total_n") - F.col("total_pos")
     neg_below = neg_total - (F.col("cum_n") - F.col("cum_pos"))
     term = F.col("pos") * (neg_below + 0.5 * (F.col("n") - F.col("pos")))
-    return t.groupBy(*by).agg((F.sum(term) / (F.max("total_pos") * F.max(neg_total))).alias("roc_auc"))
+    # a single class has no AUC: NULL instead of a division error
+    return t.groupBy(*by).agg(F.try_divide(F.sum(term), F.max("total_pos") * F.max(neg_total)).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Step-wise average precision, sum over thresholds of dRecall * precision."""
     t = score_table(df, score, label, by)
-    term = F.col("pos") / F.col("total_pos") * (F.col("cum_pos") / F.col("cum_n"))
+    term = F.try_divide(F.col("pos"), F.col("total_pos")) * (F.col("cum_pos") / F.col("cum_n"))
     return t.groupBy(*by).agg(F.sum(term).alias("average_precision"))
 
 
@@ -57,8 +58,8 @@ def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     t = score_table(df, score, label)
     neg_total = F.col("total_n") - F.col("total_pos")
     pts = t.select(F.col("threshold").cast("double"),
-                   ((F.col("cum_n") - F.col("cum_pos")) / neg_total).alias("fpr"),
-                   (F.col("cum_pos") / F.col("total_pos")).alias("tpr"))
+                   F.try_divide(F.col("cum_n") - F.col("cum_pos"), neg_total).alias("fpr"),
+                   F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("tpr"))
     start = pts.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                              F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)

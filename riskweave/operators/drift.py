@@ -39,7 +39,7 @@ def ks_statistics(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
         cur_long.select("feature", "value", F.lit(0).alias("_r"), F.lit(1).alias("_c")))
     cum = prefix_sums(both, "value", {"r": F.col("_r").cast("long"), "c": F.col("_c").cast("long")},
                       by=["feature"])
-    gap = F.abs(F.col("cum_r") / F.col("total_r") - F.col("cum_c") / F.col("total_c"))
+    gap = F.abs(F.try_divide(F.col("cum_r"), F.col("total_r")) - F.try_divide(F.col("cum_c"), F.col("total_c")))
     return cum.groupBy("feature").agg(F.max(gap).alias("ks_statistic"))
 
 

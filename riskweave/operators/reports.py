@@ -153,7 +153,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     n = F.count(F.lit(1))
     pos = F.count_if(F.col(label) == 1)
     neg = F.count_if(F.col(label) == 0)
-    return df.agg((n / (2 * neg)).alias("weight_0"), (n / (2 * pos)).alias("weight_1"),
+    return df.agg(F.try_divide(n, 2 * neg).alias("weight_0"), F.try_divide(n, 2 * pos).alias("weight_1"),
                   (neg / F.greatest(pos, F.lit(1))).alias("scale_pos_weight"))
 
 
