@@ -179,15 +179,14 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, cols: list[str]) -> DataFrame
 def rule_reasons(df: DataFrame, label: str = "fraud_label") -> DataFrame:
     """ordered rule texts for flagged rows, joined by '; '."""
     # Rule texts in display order, and the fallback text.
-    reasons = F.array(
+    reasons = [
         F.when(F.col("amount") > 2000, F.lit("Large Transaction Amount")),
         F.when(F.col("device_score") < 0.3, F.lit("Low Device Trust Score")),
         F.when(F.col("country_risk") >= 4, F.lit("High Risk Country")),
         F.when((F.col("hour") < 6) | (F.col("hour") > 22), F.lit("Unusual Transaction Hour")),
-    )
-    kept = F.filter(reasons, lambda x: x.isNotNull())
-    text = F.when(F.size(kept) == 0, F.lit("Complex pattern detected by model logic.")) \
-        .otherwise(F.array_join(kept, "; "))
+    ]
+    kept = F.concat_ws("; ", *reasons)  # NULL entries are skipped
+    text = F.when(kept == "", F.lit("Complex pattern detected by model logic.")).otherwise(kept)
     return df.withColumn("reasons", F.when(F.col(label) == 1, text))
 
 

@@ -33,61 +33,85 @@ def to_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Dat
     return long.where(F.col("value").isNotNull())
 
 
-def ks_statistics(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
-    """Two-sample KS statistic per feature."""
+def two_sample_prefix(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
+    """Per (feature, value): counts and running counts of both samples."""
     both = ref_long.select("feature", "value", F.lit(1).alias("_r"), F.lit(0).alias("_c")).unionByName(
         cur_long.select("feature", "value", F.lit(0).alias("_r"), F.lit(1).alias("_c")))
-    cum = prefix_sums(both, "value", {"r": F.col("_r").cast("long"), "c": F.col("_c").cast("long")},
-                      by=["feature"])
+    return prefix_sums(both, "value", {"r": F.col("_r").cast("long"), "c": F.col("_c").cast("long")},
+                       by=["feature"])
+
+
+def ks_from_prefix(cum: DataFrame) -> DataFrame:
     gap = F.abs(F.try_divide(F.col("cum_r"), F.col("total_r")) - F.try_divide(F.col("cum_c"), F.col("total_c")))
     return cum.groupBy("feature").agg(F.max(gap).alias("ks_statistic"))
 
 
-def psi_edges(ref_long: DataFrame, probs: Sequence[float] = PSI_PROBS) -> DataFrame:
-    """Distinct reference quantile edges per feature (sorted array) and bin count m."""
-    q = exact_quantiles(ref_long, "value", probs, by=["feature"])
+def ks_statistics(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
+    """Two-sample KS statistic per feature."""
+    return ks_from_prefix(two_sample_prefix(ref_long, cur_long))
+
+
+def _edges(q: DataFrame) -> DataFrame:
     edges = q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("edges"))
     return edges.withColumn("m", F.size("edges") - 1)
 
 
-def _bin_of(value_col: str = "value"):
-    k = F.size(F.filter("edges", lambda e: e <= F.col(value_col)))
+def psi_edges(ref_long: DataFrame, probs: Sequence[float] = PSI_PROBS) -> DataFrame:
+    """Distinct reference quantile edges per feature (sorted array) and bin count m."""
+    return _edges(exact_quantiles(ref_long, "value", probs, by=["feature"]))
+
+
+MAX_BINS = len(PSI_PROBS) - 1
+
+
+def _edge_count(value_col: str = "value"):
+    """Number of edges <= value, as a fixed sum over the <= len(PSI_PROBS) edge slots."""
+    v = F.col(value_col)
+    return sum(F.when(F.try_element_at("edges", F.lit(i)) <= v, 1).otherwise(0) for i in range(1, len(PSI_PROBS) + 1))
+
+
+def _bin_of(value_col: str = "value", k: str = "_k"):
+    """0-based bin (last bin closed); NULL outside the reference range or without bins."""
     return (F.when(F.col("m") <= 0, F.lit(None))
             .when(F.col(value_col) == F.element_at("edges", -1), F.col("m") - 1)
-            .when((k >= 1) & (k <= F.col("m")), k - 1))
+            .when((F.col(k) >= 1) & (F.col(k) <= F.col("m")), F.col(k) - 1))
+
+
+def _bin_counts(long: DataFrame, edges: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """One pass: per (keys, feature) the total and the count of each bin."""
+    b = long.join(F.broadcast(edges), "feature").withColumn("_k", _edge_count()).withColumn("_bin", _bin_of())
+    return b.groupBy(*keys, "feature").agg(
+        F.count(F.lit(1)).alias(f"{prefix}_tot"),
+        *[F.count_if(F.col("_bin") == i).alias(f"{prefix}_{i}") for i in range(MAX_BINS)])
 
 
 def psi_numeric(ref_long: DataFrame, cur_long: DataFrame, group: Sequence[str] = (),
                 edges: DataFrame | None = None) -> DataFrame:
     """PSI per feature (and per ``group`` columns of the current side,
-    e.g. a time window) against fixed reference edges."""
+    e.g. a time window) against fixed reference edges.
+
+    Each side is one grouped pass producing a row per (group, feature) with its
+    total and up to 10 bin counts; values outside the reference range count in
+    the total only. PSI is then a fixed sum over the bin columns.
+    """
     group = list(group)
     edges = edges if edges is not None else psi_edges(ref_long)
-    # edges: one row per feature with <= len(PSI_PROBS) values: bounded by the schema width.
-    e = F.broadcast(edges)
-
-    ref_b = ref_long.join(e, "feature").withColumn("bin", _bin_of())
-    ref_tot = ref_long.groupBy("feature").agg(F.count(F.lit(1)).alias("_rt"))
-    ref_cnt = ref_b.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("_rc"))
-
-    cur_b = cur_long.join(e, "feature").withColumn("bin", _bin_of())
-    cur_tot = cur_long.groupBy(*group, "feature").agg(F.count(F.lit(1)).alias("_ct"))
-    cur_cnt = cur_b.where(F.col("bin").isNotNull()).groupBy(*group, "feature", "bin") \
-        .agg(F.count(F.lit(1)).alias("_cc"))
-
-    bins = edges.where(F.col("m") > 0).select("feature", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("bin"))
-    grid = cur_tot.join(bins, "feature")  # (group, feature, bin): groups x bins, no data rows
-    j = grid.join(ref_tot, "feature").join(ref_cnt, ["feature", "bin"], "left") \
-        .join(cur_cnt, [*group, "feature", "bin"], "left")
-    r = F.coalesce(F.col("_rc"), F.lit(0)) / F.col("_rt")
-    c = F.coalesce(F.col("_cc"), F.lit(0)) / F.col("_ct")
-    r = F.when(r == 0, F.lit(EPS)).otherwise(r)
-    c = F.when(c == 0, F.lit(EPS)).otherwise(c)
-    per = j.groupBy(*group, "feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
-    # features whose reference has a single edge have no bins: psi 0
-    keys = cur_tot.select(*group, "feature")
-    return keys.join(per, [*group, "feature"], "left").select(
-        *group, "feature", F.coalesce(F.col("psi"), F.lit(0.0)).alias("psi"))
+    # edges: one row per feature with <= len(PSI_PROBS) values, bounded by the schema
+    # width; materialised once and broadcast.
+    spark = ref_long.sparkSession
+    edges = spark.createDataFrame(edges.collect(), edges.schema)
+    ref = _bin_counts(ref_long, edges, [], "r")       # one row per feature
+    cur = _bin_counts(cur_long, edges, group, "c")    # one row per (group, feature)
+    j = cur.join(F.broadcast(ref), "feature").join(F.broadcast(edges.select("feature", "m")), "feature")
+    terms = []
+    for i in range(MAX_BINS):
+        r = F.col(f"r_{i}") / F.col("r_tot")
+        c = F.col(f"c_{i}") / F.col("c_tot")
+        r = F.when(r == 0, F.lit(EPS)).otherwise(r)
+        c = F.when(c == 0, F.lit(EPS)).otherwise(c)
+        terms.append(F.when(F.lit(i) < F.col("m"), (c - r) * F.log(c / r)).otherwise(F.lit(0.0)))
+    # a reference with a single edge has no bins: psi 0
+    return j.select(*group, "feature", sum(terms[1:], terms[0]).alias("psi"))
 
 
 def category_distributions(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:

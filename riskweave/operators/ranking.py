@@ -29,25 +29,16 @@ from riskweave.session import ensure_checkpoint_dir, shuffle_partitions
 _BKT = "_rw_bucket"
 
 
-def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequence[str] = (),
-                descending: bool = False, buckets: int | None = None,
-                unique_keys: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """Per (by, key): the summed columns, inclusive running sums and group totals.
-
-    Output columns: ``*by, key, <name>, cum_<name>, total_<name>`` for each
-    entry of ``sums`` (name -> column expression over the input rows).
-    Running sums follow ``key`` ascending, or descending if asked.
-    With ``unique_keys`` the input already has one row per (by, key): the
-    grouping shuffle is skipped and ``carry`` columns pass through.
-    """
-    by = list(by)
+def _bucketed(df: DataFrame, key: str, sums: dict[str, Column | str], by: list[str], descending: bool,
+              buckets: int | None, unique_keys: bool, carry: Sequence[str]):
+    """Steps 1-2: one row per (by, key) with summed columns and an ordered bucket id."""
     spark = df.sparkSession
     n = buckets or shuffle_partitions(spark)
-    exprs = [F.sum(c if isinstance(c, Column) else F.col(c)).alias(name) for name, c in sums.items()]
     if unique_keys:
         grouped = df.select(*by, key, *carry, *[(c if isinstance(c, Column) else F.col(c)).alias(name)
                                                 for name, c in sums.items()])
     else:
+        exprs = [F.sum(c if isinstance(c, Column) else F.col(c)).alias(name) for name, c in sums.items()]
         grouped = df.groupBy(*by, key).agg(*exprs)
         carry = ()
     order = F.col(key).desc() if descending else F.col(key).asc()
@@ -58,54 +49,71 @@ def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequ
     ensure_checkpoint_dir(spark)
     ranged = grouped.repartitionByRange(n, *[F.col(b) for b in by], order) \
         .withColumn(_BKT, F.spark_partition_id()).checkpoint(eager=True)
+    return ranged, order, list(carry)
 
-    names = list(sums)
+
+def _bucket_offsets(ranged: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Step 3: per (by, bucket): sums before the bucket, bucket sums, group totals.
+    At most (#groups x #buckets) rows."""
     bucket_tot = ranged.groupBy(*by, _BKT).agg(*[F.sum(c).alias(f"_bt_{c}") for c in names])
     before = Window.partitionBy(*by).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    offsets = bucket_tot.select(
-        *by, _BKT,
+    return bucket_tot.select(
+        *by, _BKT, *[F.col(f"_bt_{c}") for c in names],
         *[F.coalesce(F.sum(f"_bt_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in names],
         *[F.sum(f"_bt_{c}").over(whole).alias(f"total_{c}") for c in names],
     )
-    # offsets has at most (#groups x n) rows: a bounded table, safe to broadcast.
+
+
+def _small(df: DataFrame, by: list[str]) -> DataFrame:
+    """Broadcast hint for per-bucket tables only when ungrouped (then they have
+    at most #buckets rows). Grouped tables grow with the number of groups (e.g.
+    users), so AQE decides from their runtime size instead."""
+    return F.broadcast(df) if not by else df
+
+
+def _running(ranged: DataFrame, offsets: DataFrame, by: list[str], key: str, order, names: list[str],
+             carry: Sequence[str]) -> DataFrame:
+    """Step 4: offset + running sum within the bucket."""
     within = Window.partitionBy(*by, _BKT).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), on=[*by, _BKT], how="inner")
+    out = ranged.join(_small(offsets, by), on=[*by, _BKT], how="inner")
     return out.select(
-        *by, key, *carry, *names,
+        *by, key, *carry, *names, _BKT,
         *[(F.col(f"_off_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in names],
         *[F.col(f"total_{c}") for c in names],
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (numpy/``quantile_cont`` semantics).
+def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequence[str] = (),
+                descending: bool = False, buckets: int | None = None,
+                unique_keys: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """Per (by, key): the summed columns, inclusive running sums and group totals.
 
-    Returns one row per (by, prob): ``*by, prob, quantile``. Nulls are ignored.
-    Uses ``prefix_sums`` over distinct values, so no task holds more than a
-    bucket of distinct values, whatever the data size.
+    Output columns: ``*by, key, <name>, cum_<name>, total_<name>`` for each
+    entry of ``sums`` (name -> column expression over the input rows).
+    Running sums follow ``key`` ascending, or descending if asked.
+    With ``unique_keys`` the input already has one row per (by, key): the
+    grouping shuffle is skipped and ``carry`` columns pass through.
     """
     by = list(by)
-    spark = df.sparkSession
-    base = df.where(F.col(value).isNotNull())
-    cum = prefix_sums(base, value, {"cnt": F.lit(1)}, by=by, buckets=buckets)
+    names = list(sums)
+    ranged, order, carry = _bucketed(df, key, sums, by, descending, buckets, unique_keys, carry)
+    offsets = _bucket_offsets(ranged, by, names)
+    return _running(ranged, offsets, by, key, order, names, carry).drop(_BKT)
+
+
+def _rank_positions(totals: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """(by, prob, pos, lo_rank, hi_rank) for p*(n-1), 0-based ranks."""
+    spark = totals.sparkSession
     probs_df = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    # rank positions needed per group: floor and ceil of p*(n-1) (0-based)
-    totals = cum.select(*by, F.col("total_cnt").alias("_n")).distinct()
     pos = totals.crossJoin(F.broadcast(probs_df)).select(
-        *by, "prob", "_n", (F.col("prob") * (F.col("_n") - 1)).alias("_pos"))
-    pos = pos.select(*by, "prob", "_pos",
-                     F.floor("_pos").cast("long").alias("_lo_rank"),
-                     F.ceil("_pos").cast("long").alias("_hi_rank"))
-    # value at 0-based rank r: the distinct value whose cumulative range
-    # [cum_cnt - cnt, cum_cnt) contains r
-    ranks = pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_lo_rank").alias("_r")).union(
-        pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_hi_rank").alias("_r"))).distinct()
-    cond = [F.col(b) == F.col(f"_k_{b}") for b in by] + [
-        (F.col("cum_cnt") - F.col("cnt") <= F.col("_r")), (F.col("_r") < F.col("cum_cnt"))]
-    # ranks is tiny (<= 2*|probs| per group): broadcast it for the range condition.
-    at = cum.join(F.broadcast(ranks), on=cond, how="inner").select(*by, "_r", F.col(value).alias("_v"))
+        *by, "prob", (F.col("prob") * (F.col("_n") - 1)).alias("_pos"))
+    return pos.select(*by, "prob", "_pos", F.floor("_pos").cast("long").alias("_lo_rank"),
+                      F.ceil("_pos").cast("long").alias("_hi_rank"))
+
+
+def _interpolate(pos: DataFrame, at: DataFrame, by: list[str]) -> DataFrame:
+    """Join the values found at the lower/upper ranks and interpolate linearly."""
     lo = at.select(*by, F.col("_r").alias("_lo_rank"), F.col("_v").alias("_lo"))
     hi = at.select(*by, F.col("_r").alias("_hi_rank"), F.col("_v").alias("_hi"))
     res = pos.join(lo, on=[*by, "_lo_rank"]).join(hi, on=[*by, "_hi_rank"])
@@ -115,6 +123,73 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     return res.select(*by, "prob", q.alias("quantile"))
 
 
+def _needed_ranks(pos: DataFrame, by: list[str]) -> DataFrame:
+    return pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_lo_rank").alias("_r")).union(
+        pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_hi_rank").alias("_r"))).distinct()
+
+
+# Largest per-group count of distinct values for which Spark's exact
+# ``percentile`` aggregate (one value->count map per group) is used.
+IN_MEMORY_DISTINCT_MAX = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                    buckets: int | None = None, method: str = "auto") -> DataFrame:
+    """Exact linear-interpolation quantiles (numpy/``quantile_cont`` semantics).
+
+    Returns one row per (by, prob): ``*by, prob, quantile``. Nulls are ignored.
+
+    ``method``: "aggregate" uses Spark's exact ``percentile`` aggregate, whose
+    buffer holds every distinct value of a group; "distributed" range-buckets
+    the distinct values as in ``prefix_sums``, uses the bucket offsets (a small
+    table) to find the bucket of each needed rank, and counts only inside
+    those buckets, so no task ever holds more than one bucket. "auto" checks
+    the largest group's distinct count (HyperLogLog, one cheap pass) against
+    ``IN_MEMORY_DISTINCT_MAX`` and picks accordingly.
+    """
+    by = list(by)
+    base = df.where(F.col(value).isNotNull())
+    if method == "auto":
+        est = base.groupBy(*by).agg(F.approx_count_distinct(value).alias("_d")).agg(F.max("_d")).first()[0]
+        method = "aggregate" if (est or 0) <= IN_MEMORY_DISTINCT_MAX else "distributed"
+    if method == "aggregate":
+        agg = base.groupBy(*by).agg(F.percentile(value, [float(p) for p in probs]).alias("_q"))
+        return agg.select(*by, F.posexplode("_q").alias("_i", "quantile")).select(
+            *by, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1).alias("prob"),
+            "quantile")
+    ranged, order, _ = _bucketed(base, value, {"cnt": F.lit(1)}, by, False, buckets, False, ())
+    offsets = _bucket_offsets(ranged, by, ["cnt"])
+    totals = offsets.select(*by, F.col("total_cnt").alias("_n")).distinct()
+    pos = _rank_positions(totals, probs, by)
+    ranks = _needed_ranks(pos, by)
+    # bucket of each needed rank: small x small
+    cond = [F.col(b) == F.col(f"_k_{b}") for b in by] + [
+        F.col("_off_cnt") <= F.col("_r"), F.col("_r") < F.col("_off_cnt") + F.col("_bt_cnt")]
+    # ranks / rb / needed hold <= 2*|probs| rows per group
+    rb = offsets.join(_small(ranks, by), on=cond).select(*by, _BKT, "_r")
+    needed = rb.select(*by, _BKT).distinct()
+    sub = ranged.join(_small(needed, by), on=[*by, _BKT], how="left_semi")
+    cum = _running(sub, offsets, by, value, order, ["cnt"], ())
+    hit = cum.join(_small(rb, by), on=[*by, _BKT]).where(
+        (F.col("cum_cnt") - F.col("cnt") <= F.col("_r")) & (F.col("_r") < F.col("cum_cnt")))
+    at = hit.select(*by, "_r", F.col(value).alias("_v"))
+    return _interpolate(pos, at, by)
+
+
+def quantiles_from_prefix(cum: DataFrame, value: str, probs: Sequence[float], by: Sequence[str],
+                          cnt: str, cum_col: str, total_col: str) -> DataFrame:
+    """Exact quantiles of one side of an existing ``prefix_sums`` table (e.g. the
+    reference side of a two-sample table), without another ordering pass."""
+    by = list(by)
+    totals = cum.select(*by, F.col(total_col).alias("_n")).distinct()
+    pos = _rank_positions(totals, probs, by)
+    ranks = _needed_ranks(pos, by)
+    cond = [F.col(b) == F.col(f"_k_{b}") for b in by] + [
+        (F.col(cum_col) - F.col(cnt) <= F.col("_r")), (F.col("_r") < F.col(cum_col))]
+    at = cum.join(_small(ranks, by), on=cond, how="inner").select(*by, "_r", F.col(value).alias("_v"))
+    return _interpolate(pos, at, by)
+
+
 def quantile_row(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One-row frame with a column per requested quantile (exact)."""
     q = exact_quantiles(df, value, probs)

@@ -75,12 +75,13 @@ def test_prefix_sums_equal_plain_window(spark):
     assert j.where(F.col("cum_c") != F.col("ref")).count() == 0
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("method", ["aggregate", "distributed"])
+def test_exact_quantiles_match_numpy(spark, method):
     import numpy as np
     vals = [float(x) for x in np.random.default_rng(3).exponential(100, 501).round(2)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     probs = [0, .1, .25, .5, .75, .95, 1]
-    got = {r.prob: r.quantile for r in exact_quantiles(df, "v", probs).collect()}
+    got = {r.prob: r.quantile for r in exact_quantiles(df, "v", probs, method=method, buckets=5).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12)
 
@@ -113,6 +114,16 @@ def test_ks_and_psi_brute_force(spark):
     assert dr.psi_numeric(rl, rl).first().psi == pytest.approx(0.0, abs=1e-12)
 
 
+def test_grouped_quantiles_both_methods_agree(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1013 / 10).alias("v"))
+    a = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "v", [.1, .5, .9], ["g"], method="aggregate").collect()}
+    b = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "v", [.1, .5, .9], ["g"], method="distributed",
+                                                            buckets=6).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], rel=1e-12)
+
+
 def test_psi_constant_reference_is_zero(spark):
     ref = spark.createDataFrame([(5.0,)] * 10, "x double")
     cur = spark.createDataFrame([(1.0,), (9.0,)], "x double")
