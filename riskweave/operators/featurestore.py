@@ -73,6 +73,19 @@ def get_with_default(store: DataFrame, keys: DataFrame, at: Column, default: str
         "entity_id", "feature_name", "version", F.coalesce("value_json", F.lit(default)).alias("value_json"))
 
 
+def get_many(store: DataFrame, requests: DataFrame, at: Column, as_map: bool = False) -> DataFrame:
+    """Requested (entity_id, feature_name, version) keys joined with live
+    values; keys without a live value are omitted. ``as_map`` folds each
+    entity's values into one ``map<feature, value>`` (bounded by the number
+    of requested feature names)."""
+    live = get_live(store, at)
+    found = requests.join(live, ["entity_id", "feature_name", "version"], "inner")
+    if not as_map:
+        return found
+    return found.groupBy("entity_id", "version").agg(
+        F.map_from_entries(F.collect_list(F.struct("feature_name", "value_json"))).alias("features"))
+
+
 def get_wide(store: DataFrame, at: Column, features: Sequence[str], version: str = DEFAULT_VERSION) -> DataFrame:
     """One row per entity, one column per feature (missing -> null)."""
     live = get_live(store, at).where(F.col("version") == version)

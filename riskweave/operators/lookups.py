@@ -54,3 +54,14 @@ def user_history_features(cur: DataFrame, hist: DataFrame, key: str = "user_id")
         "user_fraud_rate": F.coalesce(F.col("fraud_rate"), F.lit(DEFAULT_FRAUD_RATE)),
     })
     return out.drop("avg_amount", "fraud_rate", "_known", "_frame_mean")
+
+
+def new_keys(batch: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Batch rows whose key is not in ``existing`` (left anti join), one row per key."""
+    return batch.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+
+
+def predictions_with_transactions(logs: DataFrame, tx: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Both sides grow with traffic, so this is a shuffle (sort-merge) join on
+    the key; tables written bucketed by the key join without the shuffle."""
+    return logs.join(tx, key, "inner")

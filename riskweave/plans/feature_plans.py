@@ -331,3 +331,26 @@ def q_f22(spark, sf_dir):
     """Canonical feature key: md5 over the fields in sorted-name order."""
     tx = transactions(spark, sf_dir)
     return tx.select("transaction_id", fe.feature_key(*_KEY_COLS).alias("feature_key"))
+
+
+# ---------------------------------------------------------------- J04, J05
+
+@register("J04", with_ctes("""SELECT prediction_id FROM logs b WHERE created_at >= TIMESTAMP '2024-01-15'
+    AND NOT EXISTS (SELECT 1 FROM logs e WHERE e.created_at < TIMESTAMP '2024-01-21' AND e.prediction_id = b.prediction_id)""",
+                           "logs"))
+def q_j04(spark, sf_dir):
+    """Anti-join for uniqueness: rows of a new batch whose id is not stored yet."""
+    logs = prediction_logs(spark, sf_dir)
+    existing = logs.where(F.col("created_at") < F.lit("2024-01-21").cast("timestamp_ntz")).select("prediction_id")
+    batch = logs.where(F.col("created_at") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+    return lookups.new_keys(batch, existing, "prediction_id").select("prediction_id")
+
+
+@register("J05", with_ctes("""SELECT l.prediction_id, t.transaction_id, t.amount, t.is_fraud,
+    l.fraud_probability FROM logs l JOIN tx t ON l.transaction_id = t.transaction_id""", "logs"))
+def q_j05(spark, sf_dir):
+    """Prediction log joined to its transaction (equi-join on transaction_id)."""
+    logs = prediction_logs(spark, sf_dir).select("prediction_id", "transaction_id", "fraud_probability")
+    tx = transactions(spark, sf_dir).select("transaction_id", "amount", "is_fraud")
+    return lookups.predictions_with_transactions(logs, tx).select(
+        "prediction_id", "transaction_id", "amount", "is_fraud", "fraud_probability")

@@ -183,3 +183,19 @@ def q_k09(spark, sf_dir):
     st = fs.put_wide(logs, ent, ["amount"], F.col("created_at"), ttl_seconds=3600)
     live = fs.get_live(st, _at(AT))
     return live.select("entity_id", r9(F.col("value_json").cast("double"), "value"))
+
+
+_REQ_SQL = """rq AS (SELECT DISTINCT 'user' || CAST(user_id AS VARCHAR) AS entity_id, f.feature_name, 'v2' AS version
+    FROM logs, (VALUES ('amount'), ('hour'), ('risk'), ('device_score')) f(feature_name) WHERE country_risk >= 4)"""
+
+
+@register("J03", with_ctes("""SELECT rq.entity_id, rq.feature_name, round(CAST(live.value_json AS DOUBLE), 9) AS value
+    FROM rq JOIN live USING (entity_id, feature_name, version)""", "logs",
+                           extra=[_STORE_SQL, _latest_sql(AT), _REQ_SQL]))
+def q_j03(spark, sf_dir):
+    """Multi-key feature lookup: named features per entity, missing ones omitted."""
+    logs = prediction_logs(spark, sf_dir).where(F.col("country_risk") >= 4)
+    names = F.explode(F.array(*[F.lit(c) for c in ["amount", "hour", "risk", "device_score"]]))
+    req = logs.select(_entity().alias("entity_id"), names.alias("feature_name"), F.lit("v2").alias("version")).distinct()
+    out = fs.get_many(raw_store(spark, sf_dir), req, _at(AT))
+    return out.select("entity_id", "feature_name", r9(F.col("value_json").cast("double"), "value"))
