@@ -77,7 +77,11 @@ def score(model: PipelineModel, df: DataFrame, threshold: float | Column | None
 
 
 def evaluate(scored: DataFrame, target_precision: float = 0.95) -> DataFrame:
-    """L07/L04 metrics: ROC-AUC, average precision, tuned threshold (one row)."""
+    """L07/L04 metrics: ROC-AUC, average precision, tuned threshold (one row).
+
+    The scored frame feeds three metric plans; it is persisted so the model is
+    applied once (validation/test sized)."""
+    scored = scored.select(PROB, LABEL).persist()
     auc = cv.roc_auc(scored, PROB, LABEL)
     ap = cv.average_precision(scored, PROB, LABEL)
     thr = cv.tune_threshold(scored, PROB, LABEL, target_precision)

@@ -28,6 +28,11 @@ from riskweave.session import ensure_checkpoint_dir, shuffle_partitions
 
 _BKT = "_rw_bucket"
 
+# Largest per-group number of distinct keys handled inside one task: by Spark's
+# exact ``percentile`` aggregate (a value->count map per group) or by a plain
+# window partitioned by the group. Larger groups take the bucketed path.
+IN_MEMORY_DISTINCT_MAX = 1_000_000
+
 
 def _bucketed(df: DataFrame, key: str, sums: dict[str, Column | str], by: list[str], descending: bool,
               buckets: int | None, unique_keys: bool, carry: Sequence[str]):
@@ -84,9 +89,15 @@ def _running(ranged: DataFrame, offsets: DataFrame, by: list[str], key: str, ord
     )
 
 
+def _largest_group(df: DataFrame, key: str, by: list[str], unique_keys: bool) -> int:
+    """Rows (unique keys) or estimated distinct keys (HyperLogLog) of the largest group."""
+    per = df.groupBy(*by).agg((F.count(F.lit(1)) if unique_keys else F.approx_count_distinct(key)).alias("_d"))
+    return int(per.agg(F.max("_d")).first()[0] or 0)
+
+
 def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequence[str] = (),
                 descending: bool = False, buckets: int | None = None,
-                unique_keys: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+                unique_keys: bool = False, carry: Sequence[str] = (), method: str = "auto") -> DataFrame:
     """Per (by, key): the summed columns, inclusive running sums and group totals.
 
     Output columns: ``*by, key, <name>, cum_<name>, total_<name>`` for each
@@ -94,9 +105,29 @@ def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequ
     Running sums follow ``key`` ascending, or descending if asked.
     With ``unique_keys`` the input already has one row per (by, key): the
     grouping shuffle is skipped and ``carry`` columns pass through.
+
+    ``method``: "distributed" is the bucketed scheme above; "window" is a plain
+    window partitioned by ``by`` (one task per group, so only for groups of
+    bounded size); "auto" checks the largest group's key count against
+    ``IN_MEMORY_DISTINCT_MAX`` first.
     """
     by = list(by)
     names = list(sums)
+    if method == "auto":
+        method = "window" if _largest_group(df, key, by, unique_keys) <= IN_MEMORY_DISTINCT_MAX else "distributed"
+    if method == "window":
+        if unique_keys:
+            grouped = df.select(*by, key, *carry, *[(c if isinstance(c, Column) else F.col(c)).alias(n)
+                                                    for n, c in sums.items()])
+        else:
+            grouped = df.groupBy(*by, key).agg(
+                *[F.sum(c if isinstance(c, Column) else F.col(c)).alias(n) for n, c in sums.items()])
+            carry = ()
+        order = F.col(key).desc() if descending else F.col(key).asc()
+        run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*by)
+        return grouped.select(*by, key, *carry, *names, *[F.sum(c).over(run).alias(f"cum_{c}") for c in names],
+                              *[F.sum(c).over(whole).alias(f"total_{c}") for c in names])
     ranged, order, carry = _bucketed(df, key, sums, by, descending, buckets, unique_keys, carry)
     offsets = _bucket_offsets(ranged, by, names)
     return _running(ranged, offsets, by, key, order, names, carry).drop(_BKT)
@@ -128,11 +159,6 @@ def _needed_ranks(pos: DataFrame, by: list[str]) -> DataFrame:
         pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_hi_rank").alias("_r"))).distinct()
 
 
-# Largest per-group count of distinct values for which Spark's exact
-# ``percentile`` aggregate (one value->count map per group) is used.
-IN_MEMORY_DISTINCT_MAX = 1_000_000
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                     buckets: int | None = None, method: str = "auto") -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/``quantile_cont`` semantics).

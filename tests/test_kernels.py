@@ -42,6 +42,15 @@ def scored(spark):
     return rows, spark.createDataFrame(rows, "id long, s double, y int")
 
 
+def test_distributed_curves_match_brute_force(scored, monkeypatch):
+    from riskweave.operators import ranking
+    monkeypatch.setattr(ranking, "IN_MEMORY_DISTINCT_MAX", 0)  # force the bucketed path
+    rows, df = scored
+    s, y = [r[1] for r in rows], [r[2] for r in rows]
+    assert cv.roc_auc(df, "s", "y").first()[0] == pytest.approx(_auc_brute(s, y), abs=1e-12)
+    assert cv.average_precision(df, "s", "y").first()[0] == pytest.approx(_ap_brute(s, y), abs=1e-12)
+
+
 def test_auc_and_ap_match_brute_force(scored):
     rows, df = scored
     s, y = [r[1] for r in rows], [r[2] for r in rows]
@@ -65,9 +74,10 @@ def test_threshold_example(spark):
     assert none.threshold_at_target is None
 
 
-def test_prefix_sums_equal_plain_window(spark):
+@pytest.mark.parametrize("method", ["distributed", "window", "auto"])
+def test_prefix_sums_equal_plain_window(spark, method):
     df = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("g"), ((F.col("id") * 37) % 101).alias("k"))
-    got = prefix_sums(df, "k", {"c": F.lit(1)}, by=["g"], buckets=5)
+    got = prefix_sums(df, "k", {"c": F.lit(1)}, by=["g"], buckets=5, method=method)
     plain = df.groupBy("g", "k").agg(F.count("*").alias("c")).withColumn(
         "ref", F.sum("c").over(Window.partitionBy("g").orderBy("k")))
     j = got.join(plain, ["g", "k"])
@@ -139,6 +149,14 @@ def test_drift_report_edge_rows(spark):
     assert dr.overall_drift(dr.drift_report(ref, cur, ["a", "b"])).first().max_drift_score == 1.0
 
 
+def test_split_distributed_path(spark, monkeypatch):
+    from riskweave.operators import ranking
+    monkeypatch.setattr(ranking, "IN_MEMORY_DISTINCT_MAX", 0)
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 10 < 3).cast("int").alias("y"))
+    sizes = {r.split: r["count"] for r in sp.stratified_split(df, "y", "id").groupBy("split").count().collect()}
+    assert sizes == {"train": 600, "val": 200, "test": 200}
+
+
 def test_split_sizes_and_no_leakage(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 10 < 3).cast("int").alias("y"))
     s = sp.stratified_split(df, "y", "id", seed=42)
