@@ -20,13 +20,16 @@ US_PER_SEC = 1_000_000
 
 
 def micros(ts: str) -> Column:
-    """Microseconds since the epoch of a TIMESTAMP_NTZ column (time-zone free)."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    """Microseconds since the epoch of a TIMESTAMP_NTZ column, from its wall-clock
+    fields, so the session time zone (and DST) never enters window lengths."""
+    c = F.col(ts)
+    day_us = F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000)
+    sec_us = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")  # seconds with fraction
+    return day_us + F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000 + sec_us
 
 
 def trailing_window(df: DataFrame, key: Sequence[str], ts: str, lookback_us: int,
-                    aggs: dict[str, Column], chunk_us: int = 86_400 * US_PER_SEC,
-                    tiebreak: str | None = None) -> DataFrame:
+                    aggs: dict[str, Column], chunk_us: int = 86_400 * US_PER_SEC) -> DataFrame:
     """Per row: aggregates over rows of the same key with t in [t_row - lookback_us, t_row].
 
     ``aggs`` maps output name -> aggregate expression over the window. The
@@ -34,18 +37,16 @@ def trailing_window(df: DataFrame, key: Sequence[str], ts: str, lookback_us: int
     key is split into chunk-sized tasks.
     """
     key = list(key)
-    t = micros(ts)
-    base = df.withColumn("_t", t).withColumn("_chunk", F.floor(F.col("_t") / F.lit(chunk_us)))
-    own = base.withColumn("_ctx", F.lit(False))
-    # rows within ``lookback_us`` of the next chunk's start are copied there as context
-    nxt = base.where(F.col("_t") >= (F.col("_chunk") + 1) * F.lit(chunk_us) - F.lit(lookback_us)) \
-        .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_ctx", F.lit(True))
+    base = df.withColumn("_t", micros(ts)).withColumn("_c0", F.floor(F.col("_t") / F.lit(chunk_us)))
     spans = (lookback_us + chunk_us - 1) // chunk_us
-    parts = own.unionByName(nxt)
-    for k in range(2, spans + 1):  # look-back longer than one chunk
-        parts = parts.unionByName(
-            base.where(F.col("_t") >= (F.col("_chunk") + k) * F.lit(chunk_us) - F.lit(lookback_us))
-            .withColumn("_chunk", F.col("_chunk") + k).withColumn("_ctx", F.lit(True)))
+    # one scan: every row yields its own (chunk, ctx=false) entry plus a context
+    # copy for each later chunk whose look-back reaches it
+    copies = [F.struct(F.col("_c0").alias("c"), F.lit(False).alias("x"))]
+    for k in range(1, spans + 1):
+        reach = F.col("_t") >= (F.col("_c0") + k) * F.lit(chunk_us) - F.lit(lookback_us)
+        copies.append(F.when(reach, F.struct((F.col("_c0") + k).alias("c"), F.lit(True).alias("x"))))
+    parts = base.withColumn("_e", F.explode(F.array_compact(F.array(*copies)))) \
+        .select("*", F.col("_e.c").alias("_chunk"), F.col("_e.x").alias("_ctx")).drop("_e", "_c0")
     w = Window.partitionBy(*key, "_chunk").orderBy("_t").rangeBetween(-lookback_us, 0)
     out = parts.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     return out.where(~F.col("_ctx")).drop("_t", "_chunk", "_ctx")
