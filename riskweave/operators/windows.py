@@ -143,22 +143,25 @@ def persistent_alerts(series: DataFrame, ts: str, cond: str, step_minutes: int,
 
 def canary_decision(logs: DataFrame, variant: str, new: str, ts: str, row_id: str, start: Column,
                     min_requests: int = 100, max_error_rate: float = 0.05, max_latency_ms: float = 200.0,
-                    monitoring_hours: int = 1, auto_promote: bool = True) -> DataFrame:
+                    monitoring_hours: int = 1, auto_promote: bool = True,
+                    base: tuple[int, int, float] = (0, 0, 0.0)) -> DataFrame:
     """Replay every request in time order; at each, evaluate the canary's
     running metrics; the first non-null decision is final.
 
     Running counts come from ``prefix_sums`` over (time, id), so the single
     experiment is not one task. Output: one row (status, decided_at, ...).
     """
+    # ``base``: canary (requests, errors, latency sum) before these rows, for
+    # incremental (micro-batch) evaluation
     is_new = (F.col(variant) == F.lit(new)).cast("long")
     keyed = logs.withColumn("_key", F.struct(F.col(ts).alias("t"), F.col(row_id).alias("i"))) \
         .withColumn("_expired", F.col(ts) > start + F.expr(f"INTERVAL {monitoring_hours} HOURS"))
     cum = prefix_sums(keyed, "_key", {
         "n": is_new, "err": is_new * (F.col("status_code") >= 500).cast("long"),
         "lat": is_new.cast("double") * F.col("processing_time_ms")}, unique_keys=True, carry=[ts, "_expired"])
-    n = F.col("cum_n")
-    err_rate = F.col("cum_err") / F.greatest(n, F.lit(1))
-    avg_lat = F.col("cum_lat") / F.greatest(n, F.lit(1))
+    n = F.col("cum_n") + F.lit(int(base[0]))
+    err_rate = (F.col("cum_err") + F.lit(int(base[1]))) / F.greatest(n, F.lit(1))
+    avg_lat = (F.col("cum_lat") + F.lit(float(base[2]))) / F.greatest(n, F.lit(1))
     expired = F.col("_expired")
     if auto_promote:
         decision = (F.when(n < min_requests, F.lit(None))

@@ -146,24 +146,26 @@ def q_s12(spark, sf_dir):
     return parsed.select("prediction_id", r9("fraud_probability"), "created_at", "status_code")
 
 
-_ITEM = "l_linenumber int, amount double, hour int, device_score double, country_risk int"
+_ITEM = "amount double, _d double, _t double, hour int, device_score double, country_risk int"
 
 
-@register("S13", """SELECT l_orderkey AS order_id,
-    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_discount, l_tax)
+@register("S13", """SELECT l_orderkey AS order_id, l_linenumber AS batch_no,
+    CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_discount, l_tax)
          - 1 AS INTEGER) AS pos,
-    l_linenumber, l_extendedprice AS amount, CAST(l_linenumber * 3 AS INTEGER) AS hour,
+    l_extendedprice AS amount, CAST(l_linenumber * 3 AS INTEGER) AS hour,
     l_discount * 10 AS device_score, CAST(round(l_tax * 50) AS INTEGER) + 1 AS country_risk FROM lineitem""")
 def q_s13(spark, sf_dir):
-    """Batch-request unnest: one JSON body per order with its line items as transactions."""
+    """Batch-request unnest: JSON bodies of line items (one body per order and line
+    number, so no body grows with a hot order) parsed back to rows with positions."""
     li = read_table(spark, sf_dir, "lineitem")
-    item = F.struct(F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_extendedprice").alias("amount"),
-                    (F.col("l_linenumber") * 3).cast("int").alias("hour"),
+    item = F.struct(F.col("l_extendedprice").alias("amount"), F.col("l_discount").alias("_d"),
+                    F.col("l_tax").alias("_t"), (F.col("l_linenumber") * 3).cast("int").alias("hour"),
                     (F.col("l_discount") * 10).alias("device_score"),
                     (F.round(F.col("l_tax") * 50).cast("int") + 1).alias("country_risk"))
-    bodies = li.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+    bodies = li.groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("batch_no")).agg(
         F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("transactions"))).alias("body"))
-    return fl.unnest_batch(bodies, "body", _ITEM, ["order_id"])
+    out = fl.unnest_batch(bodies, "body", _ITEM, ["order_id", "batch_no"])
+    return out.select("order_id", "batch_no", "pos", "amount", "hour", "device_score", "country_risk")
 
 
 @register("C01", with_ctes("""SELECT count(*) FILTER (WHERE created_at < TIMESTAMP '2024-01-10') AS archived,

@@ -16,6 +16,7 @@ from riskweave.plans._sqlhelp import r9
 from riskweave.plans.feature_plans import FEAT_CTE
 from riskweave.plans.registry import register
 from riskweave.plans.routing_plans import VARIANTS
+from riskweave.plans.window_plans import _W10_CTE
 from riskweave.session import scratch_path
 from riskweave.sources.tables import prediction_logs, transactions, with_ctes
 from riskweave.streaming import jobs
@@ -133,22 +134,37 @@ def q_t06(spark, sf_dir):
 _USER = "'user' || CAST(user_id AS VARCHAR)"
 
 
-@register("T07", with_ctes(f"""SELECT variant, count(*) AS total_requests,
+_CANARY_CTE_T07 = f"""cv AS (SELECT *, CASE WHEN {md5_unit_bucket_sql("'canary:user' || CAST(user_id AS VARCHAR)")} < 0.1
+    THEN 'v2' ELSE 'v1' END AS variant FROM logs)"""
+
+
+@register("T07", with_ctes("""SELECT variant, count(*) AS total_requests,
     round(sum(fraud_label) / greatest(count(*), 1), 9) AS fraud_rate,
     round(count(*) FILTER (WHERE status_code >= 500) / greatest(count(*), 1), 9) AS error_rate,
-    round(avg(processing_time_ms), 9) AS avg_latency_ms, round(avg(fraud_probability), 9) AS avg_fraud_probability
-    FROM (SELECT *, {weighted_variant_sql(md5_unit_bucket_sql(_USER), VARIANTS)} AS variant FROM logs)
-    GROUP BY variant""", "logs"))
+    round(avg(processing_time_ms), 9) AS avg_latency_ms, round(avg(fraud_probability), 9) AS avg_fraud_probability,
+    (SELECT COALESCE(max(decision), 'active') FROM (SELECT * FROM dec WHERE decision IS NOT NULL
+       ORDER BY created_at, transaction_id LIMIT 1)) AS canary_status,
+    (SELECT max(created_at) FROM (SELECT * FROM dec WHERE decision IS NOT NULL
+       ORDER BY created_at, transaction_id LIMIT 1)) AS canary_decided_at
+    FROM cv GROUP BY variant""", "logs", extra=[_CANARY_CTE_T07, _W10_CTE]))
 def q_t07(spark, sf_dir):
-    """Live per-variant metrics of the A/B test (running sums in update mode)."""
+    """Live canary experiment: per-variant running metrics (update mode) and the
+    canary health state machine (foreachBatch with a carried state row)."""
     logs = prediction_logs(spark, sf_dir)
+    start = logs.agg(F.min("created_at")).first()[0]  # experiment start: configuration, one value
     stream, sink, ck = _staged_stream(spark, logs, "t07")
-    routed = ro.route_weighted(stream, F.concat(F.lit("user"), F.col("user_id").cast("string")), VARIANTS)
+    routed = ro.route_canary(stream, F.concat(F.lit("user"), F.col("user_id").cast("string")), 0.1, "v2", "v1")
     fin = _update_run(spark, jobs.live_variant_metrics(routed), sink, ck, ["variant"])
+    state_path = sink + "-canary"
+    rt.run_available_now(routed.writeStream.foreachBatch(
+        jobs.canary_health_sink(state_path, F.lit(start).cast("timestamp_ntz"))), ck + "-canary")
+    health = jobs.final_canary_state(spark, state_path)
     n = F.greatest(F.col("total_requests"), F.lit(1))
-    return fin.select("variant", "total_requests", r9(F.col("fraud_predictions") / n, "fraud_rate"),
-                      r9(F.col("errors") / n, "error_rate"), r9(F.col("latency_sum") / n, "avg_latency_ms"),
-                      r9(F.col("probability_sum") / n, "avg_fraud_probability"))
+    metrics = fin.select("variant", "total_requests", r9(F.col("fraud_predictions") / n, "fraud_rate"),
+                         r9(F.col("errors") / n, "error_rate"), r9(F.col("latency_sum") / n, "avg_latency_ms"),
+                         r9(F.col("probability_sum") / n, "avg_fraud_probability"))
+    return metrics.crossJoin(F.broadcast(health.select(F.col("status").alias("canary_status"),
+                                                        F.col("decided_at").alias("canary_decided_at"))))
 
 
 @register("T08", with_ctes("""SELECT model_type, count(*) AS count,

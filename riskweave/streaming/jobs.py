@@ -158,3 +158,51 @@ def live_bandit(stream: DataFrame) -> DataFrame:
 def dedupe_ingest(stream: DataFrame, key: str, watermark: str) -> DataFrame:
     """Drop repeated ids seen within the watermark delay."""
     return stream.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([key])
+
+
+CANARY_STATE = ("batch_id long, n long, err long, lat double, status string, decided_at timestamp_ntz, "
+                "canary_requests long, error_rate double, avg_latency_ms double")
+
+
+def canary_health_sink(state_path: str, start, new: str = "v2", **criteria):
+    """T07 (health): foreachBatch step of the canary state machine.
+
+    The state is a small table with one row per micro-batch (running canary
+    totals and the status). Each batch continues from the latest row of an
+    earlier batch, evaluates every request in time order on top of it, and
+    appends its row; a replayed batch id replaces nothing and is read back by
+    batch id, so the sink is idempotent. Once promoted or rolled back the
+    status is final.
+    """
+    from riskweave.operators.windows import canary_decision
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            prev_rows = spark.read.schema(CANARY_STATE).parquet(state_path).where(F.col("batch_id") < batch_id) \
+                .orderBy(F.col("batch_id").desc()).limit(1).collect()
+        except Exception:  # first batch: no state yet
+            prev_rows = []
+        prev = prev_rows[0].asDict() if prev_rows else {"n": 0, "err": 0, "lat": 0.0, "status": "active",
+                                                        "decided_at": None, "canary_requests": None,
+                                                        "error_rate": None, "avg_latency_ms": None}
+        new_rows = batch.where(F.col("variant") == new)
+        tot = new_rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") >= 500).alias("err"),
+                           F.coalesce(F.sum("processing_time_ms"), F.lit(0.0)).alias("lat")).first()
+        row = dict(prev)
+        row.update(batch_id=batch_id, n=prev["n"] + tot["n"], err=prev["err"] + tot["err"],
+                   lat=prev["lat"] + tot["lat"])
+        if prev["status"] == "active":
+            d = canary_decision(batch, "variant", new, "created_at", "transaction_id", start,
+                                base=(prev["n"], prev["err"], prev["lat"]), **criteria).first()
+            if d["status"] != "active":
+                row.update(status=d["status"], decided_at=d["decided_at"], canary_requests=d["canary_requests"],
+                           error_rate=d["error_rate"], avg_latency_ms=d["avg_latency_ms"])
+        spark.createDataFrame([row], CANARY_STATE).write.mode("append").parquet(state_path)
+    return step
+
+
+def final_canary_state(spark, state_path: str) -> DataFrame:
+    rows = spark.read.schema(CANARY_STATE).parquet(state_path)
+    last = rows.agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch_id"]), "batch_id").alias("s"))
+    return last.select("s.status", "s.decided_at", "s.canary_requests", "s.error_rate", "s.avg_latency_ms")
