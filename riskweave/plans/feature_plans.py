@@ -163,7 +163,8 @@ def _feature_query(cols: list[str], rounded: bool):
 
 
 for _qid, (_cols, _rounded) in _FEATURE_IDS.items():
-    _sel = ", ".join(f"round({c}, 9) AS {c}" if _rounded else c for c in _cols)
+    # "+ 0.0" folds DuckDB's -0.0 (round of a tiny negative) into 0.0, as Spark's decimal round does
+    _sel = ", ".join(f"round({c}, 9) + 0.0 AS {c}" if _rounded else c for c in _cols)
     _fn = _feature_query(_cols, _rounded)
     _fn.__doc__ = f"Feature column(s) {', '.join(_cols)} over all transactions (stats fitted on the frame)."
     register(_qid, with_ctes(f"SELECT transaction_id, {_sel} FROM feat", "tx",
@@ -174,7 +175,7 @@ _V05_FLOATS = {"amount", "device_score", "amount_log", "amount_zscore", "risk_sc
 
 
 @register("V05", with_ctes("SELECT transaction_id, " + ", ".join(
-    f"round({c}, 9) AS {c}" if c in _V05_FLOATS else c for c in fe.FEATURE_COLUMNS) + " FROM feat",
+    f"round({c}, 9) + 0.0 AS {c}" if c in _V05_FLOATS else c for c in fe.FEATURE_COLUMNS) + " FROM feat",
     "tx", extra=[STATS_CTE, FEAT_CTE]))
 def q_v05(spark, sf_dir):
     """Projection to the fixed 19-column model order."""

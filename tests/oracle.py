@@ -109,6 +109,15 @@ def compare(spark_df, con, sql: str) -> dict:
                 mism = (a, b)
                 break
     res["ok"] = len(ks) == len(ko) and mism is None
+    res["exact"] = res["ok"] and all(
+        all((a == b) or (a is None and b is None) or (isinstance(a, float) and isinstance(b, float)
+                                                       and math.isnan(a) and math.isnan(b))
+            or (isinstance(a, _dt.datetime) and isinstance(b, _dt.datetime)
+                and a.replace(tzinfo=None) == b.replace(tzinfo=None))
+            or (hasattr(a, "__float__") and hasattr(b, "__float__") and not isinstance(a, (str, bytes))
+                and float(a) == float(b))
+            for a, b in zip(x, y))
+        for x, y in zip(ks, ko))
     if mism:
         res["detail"] = f"first mismatch spark={mism[0]} oracle={mism[1]}"
     elif len(ks) != len(ko):
