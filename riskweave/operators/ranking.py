@@ -202,20 +202,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     return _interpolate(pos, at, by)
 
 
-def quantiles_from_prefix(cum: DataFrame, value: str, probs: Sequence[float], by: Sequence[str],
-                          cnt: str, cum_col: str, total_col: str) -> DataFrame:
-    """Exact quantiles of one side of an existing ``prefix_sums`` table (e.g. the
-    reference side of a two-sample table), without another ordering pass."""
-    by = list(by)
-    totals = cum.select(*by, F.col(total_col).alias("_n")).distinct()
-    pos = _rank_positions(totals, probs, by)
-    ranks = _needed_ranks(pos, by)
-    cond = [F.col(b) == F.col(f"_k_{b}") for b in by] + [
-        (F.col(cum_col) - F.col(cnt) <= F.col("_r")), (F.col("_r") < F.col(cum_col))]
-    at = cum.join(_small(ranks, by), on=cond, how="inner").select(*by, "_r", F.col(value).alias("_v"))
-    return _interpolate(pos, at, by)
-
-
 def quantile_row(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One-row frame with a column per requested quantile (exact)."""
     q = exact_quantiles(df, value, probs)

@@ -32,5 +32,6 @@ def current_stages(runs: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def best_in_stage(runs: DataFrame, events: DataFrame, stage: str, metric: str) -> DataFrame:
+    """Best run by ``metric`` among versions currently in ``stage`` (e.g. Production)."""
     cur = current_stages(runs, events).where(F.col("current_stage") == stage)
     return cur.agg(F.max_by(F.struct("name", "version"), F.col(metric)).alias("best"))

@@ -55,8 +55,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     local = tempfile.mkdtemp(prefix="riskweave-ckpt-")
     sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    try:  # mirror it in the conf when the session allows setting core configs
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:
+        pass
+    return sc.getCheckpointDir() or local
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
