@@ -1,4 +1,4 @@
-"""Small helpers shared by plan modules (rounding on both engines)."""
+"""Rounding shared by plan modules so both engines hash the same values."""
 
 from __future__ import annotations
 
@@ -9,12 +9,9 @@ DIGITS = 9
 
 
 def r9(c: Column | str, name: str | None = None) -> Column:
-    """Round a float result to 9 places so last-bit noise of different
-    summation orders does not change the value hash."""
+    """Round a float result to 9 places (last-bit noise of different summation
+    orders must not change the value hash). A string names its own output."""
     col = F.col(c) if isinstance(c, str) else c
+    alias = name or (c if isinstance(c, str) else None)
     out = F.round(col, DIGITS)
-    return out.alias(name or (c if isinstance(c, str) else None)) if (name or isinstance(c, str)) else out
-
-
-def s9(expr: str, name: str) -> str:
-    return f"round({expr}, {DIGITS}) AS {name}"
+    return out.alias(alias) if alias else out
