@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -58,12 +58,18 @@ def weight_scheme(kind: str) -> str:
 
 
 def fit(train: DataFrame, kind: str, feature_cols: Sequence[str] = fe.FEATURE_COLUMNS, seed: int = 42) -> PipelineModel:
+    """Fit one model family. The weighted training frame is persisted for the
+    duration of the (eager) fit: MLlib makes several passes over its input
+    before and during optimisation, and each would otherwise recompute the
+    split and feature lineage."""
+    assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
     weighted = with_balanced_weights(train, scheme=weight_scheme(kind))
-    n = train.count() if kind == "logistic_regression" else None
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(feature_cols), outputCol="features",
-                                            handleInvalid="keep"),
-                            estimator(kind, n, seed)])
-    return pipe.fit(weighted)
+    data = assembler.transform(weighted).select("features", LABEL, WEIGHT).persist()
+    try:
+        n = data.count() if kind == "logistic_regression" else None
+        return PipelineModel(stages=[assembler, estimator(kind, n, seed).fit(data)])
+    finally:
+        data.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float | Column | None = None) -> DataFrame:
