@@ -182,3 +182,17 @@ def test_chunked_trailing_window_equals_plain(spark):
     j = got.join(ref.select("transaction_id", "ref"), "transaction_id")
     assert j.count() == tx.count()
     assert j.where(F.col("n") != F.col("ref")).count() == 0
+
+
+def test_prior_user_stats_distributed_path(spark, monkeypatch):
+    from riskweave.operators import ranking
+    tx = transactions(spark, SF_SMALL)
+    plain = wn.prior_user_stats(tx).select("transaction_id", "prior_count", "prior_avg_amount")
+    monkeypatch.setattr(ranking, "IN_MEMORY_DISTINCT_MAX", 0)  # bucketed path, grouped by user
+    dist = wn.prior_user_stats(tx).select("transaction_id", F.col("prior_count").alias("c2"),
+                                          F.col("prior_avg_amount").alias("a2"))
+    j = plain.join(dist, "transaction_id")
+    assert j.count() == tx.count()
+    assert j.where((F.col("prior_count") != F.col("c2"))
+                   | (F.abs(F.coalesce(F.col("prior_avg_amount"), F.lit(0.0))
+                            - F.coalesce(F.col("a2"), F.lit(0.0))) > 1e-9)).count() == 0
