@@ -196,3 +196,19 @@ def test_prior_user_stats_distributed_path(spark, monkeypatch):
     assert j.where((F.col("prior_count") != F.col("c2"))
                    | (F.abs(F.coalesce(F.col("prior_avg_amount"), F.lit(0.0))
                             - F.coalesce(F.col("a2"), F.lit(0.0))) > 1e-9)).count() == 0
+
+
+def test_trailing_window_with_a_hot_user(spark):
+    """A user holding a third of all rows: exact counts, spread over many chunks."""
+    from conftest import SF_ORACLE
+    tx = transactions(spark, SF_ORACLE).withColumn(
+        "user_id", F.when(F.col("transaction_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id")))
+    got = wn.velocity(tx)
+    w = Window.partitionBy("user_id").orderBy(wn.micros("created_at")).rangeBetween(-3_600_000_000, 0)
+    ref = tx.withColumn("ref", F.count(F.lit(1)).over(w))
+    j = got.join(ref.select("transaction_id", "ref"), "transaction_id")
+    assert j.count() == tx.count()
+    assert j.where(F.col("tx_count_last_hour") != F.col("ref")).count() == 0
+    chunks = tx.where(F.col("user_id") == 1).select(
+        F.floor(wn.micros("created_at") / F.lit(86_400_000_000)).alias("c")).distinct().count()
+    assert chunks >= 25  # the hot user's window work is split per day
