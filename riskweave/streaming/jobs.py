@@ -206,3 +206,50 @@ def final_canary_state(spark, state_path: str) -> DataFrame:
     rows = spark.read.schema(CANARY_STATE).parquet(state_path)
     last = rows.agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch_id"]), "batch_id").alias("s"))
     return last.select("s.status", "s.decided_at", "s.canary_requests", "s.error_rate", "s.avg_latency_ms")
+
+
+def rate_limit_sink(out_path: str, state_path: str, seconds: int = 60, limit: int = 100,
+                    key: str = "user_id", ts: str = "created_at", row_id: str = "transaction_id"):
+    """T05 without per-key Python: a foreachBatch step over DataFrame windows.
+
+    The state is a table of each key's rows from its last ``seconds`` (what a
+    future request can still see). Each batch unions it as context with the new
+    rows, counts with the skew-safe chunked trailing window (a hot key is split
+    by time chunk, not funnelled into one task), writes its output and the
+    pruned state under its batch id (a replayed batch overwrites its own
+    folders: idempotent), and the next batch reads the latest earlier state.
+    """
+    from riskweave.operators.windows import micros, trailing_window
+    window_us = seconds * 1_000_000
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        cols = [key, row_id, ts]
+        rows = batch.select(*cols).withColumn("_prev", F.lit(False))
+        earlier = [i for i in _batch_dirs(spark, state_path) if i < batch_id]
+        if earlier:
+            prev = spark.read.parquet(f"{state_path}/batch_id={max(earlier)}").select(*cols) \
+                .withColumn("_prev", F.lit(True))
+            rows = rows.unionByName(prev)
+        rows = rows.persist()  # feeds both the counts and the next state
+        counted = trailing_window(rows, [key], ts, window_us - 1, {"requests_last_minute": F.count(F.lit(1))})
+        out = counted.where(~F.col("_prev")).select(
+            row_id, "requests_last_minute", (F.col("requests_last_minute") > F.lit(limit)).alias("rate_limited"))
+        out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        t = micros(ts)
+        latest = rows.groupBy(key).agg(F.max(t).alias("_last"))
+        keep = rows.join(latest, key).where(t > F.col("_last") - F.lit(window_us)).select(*cols)
+        keep.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        rows.unpersist()
+    return step
+
+
+def _batch_dirs(spark, path: str) -> list[int]:
+    """Batch ids of ``path/batch_id=N`` folders (a listing, no data read)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return [int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
+            if st.isDirectory() and st.getPath().getName().startswith("batch_id=")]
