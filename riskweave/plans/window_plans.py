@@ -1,4 +1,4 @@
-"""Registered queries: windows, sort/limit, top-k and alert series."""
+"""Registered queries: windows, sort/limit, top-k and alert series."""
 
 from __future__ import annotations
 
