@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, mixing
+from riskweave.llm import chat, mixing, pieces, urls
 
 QUERIES = {
+    "op5_url_filters": urls.op5_url_filters,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
+    "op9_pieces": pieces.op9_pieces,
 }
 
 ORACLES = {
+    "op5_url_filters": urls.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
