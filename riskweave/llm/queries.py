@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, mixing, pieces, urls
+from riskweave.llm import chat, fingerprints, mixing, pieces, urls
 
 QUERIES = {
+    "op3_fingerprints": fingerprints.op3_fingerprints,
     "op5_url_filters": urls.op5_url_filters,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
