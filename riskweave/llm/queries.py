@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, fingerprints, mixing, pieces, urls
+from riskweave.llm import chat, fingerprints, mixing, pieces, urls, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op5_url_filters": urls.op5_url_filters,
     "op6_chat_formatting": chat.op6_chat_formatting,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op5_url_filters": urls.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
