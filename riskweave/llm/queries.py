@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, fingerprints, mixing, pieces, urls, warc
+from riskweave.llm import chat, fingerprints, mixing, pieces, urls, vectors, warc
 
 QUERIES = {
+    "op4_vectors": vectors.op4_vectors,
     "op1_warc": warc.op1_warc,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op5_url_filters": urls.op5_url_filters,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_vectors": vectors.OP4_SQL,
     "op1_warc": warc.OP1_SQL,
     "op5_url_filters": urls.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
