@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, fingerprints, mixing, pieces, urls, vectors, warc
+from riskweave.llm import chat, fingerprints, mixing, pieces, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op4_vectors": vectors.op4_vectors,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
     "op9_pieces": pieces.op9_pieces,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {

@@ -72,9 +72,10 @@ def text_groups(offsets: np.ndarray, most: int = _BLOCK_BYTES) -> Iterator[tuple
         lo = min(hi, n)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text index) of every word; words never cross texts."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text index) of every maximal run of bytes not in ``gaps``; runs never cross texts."""
+    solid = ~gaps[data]
     first, last = solid.copy(), solid.copy()
     if len(data):
         first[1:] &= ~solid[:-1]
