@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, fingerprints, mixing, pieces, toxicity, urls, vectors, warc
+from riskweave.llm import chat, fingerprints, jaccard, mixing, pieces, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op4_vectors": vectors.op4_vectors,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op5_url_filters": urls.op5_url_filters,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_mixing": mixing.op8_mixing,
     "op9_pieces": pieces.op9_pieces,
     "op10_toxicity": toxicity.op10_toxicity,
