@@ -127,6 +127,11 @@ def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
         "_mx_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*columns)
 
 
+def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mixed corpus, each row as often as the mix takes it."""
+    return emit(mix(docs, keep=docs.columns), docs.columns)
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """Systematic mix of all documents: doc_id, size, source_size, target, taken (words), and source, copies."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -149,6 +149,11 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def encode_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every row of ``docs`` encoded and decoded again."""
+    return round_trip(docs)
+
+
 def op9_pieces(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded again."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

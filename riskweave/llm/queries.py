@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, fingerprints, jaccard, mixing, pieces, toxicity, urls, vectors, warc
+from riskweave.llm import chat, fingerprints, jaccard, mixing, pieces, quality, toxicity, urls, vectors, warc
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op4_vectors": vectors.op4_vectors,
     "op1_warc": warc.op1_warc,
     "op3_fingerprints": fingerprints.op3_fingerprints,
