@@ -44,6 +44,7 @@ CLEAN_PER_TOXIC = 3
 TABLE = 1 << 20
 STEPS = 60
 SPAN_LEVEL = 0.3
+TRAIN_BLOCK_BYTES = 2 << 20
 HELD_OUT = 2  # crc32(doc_id) mod 4 of rows never learnt from
 PREFIXES = (4, 5, 6)
 
@@ -141,82 +142,117 @@ def _firsts(doc: np.ndarray) -> np.ndarray:
 
 # --- training -------------------------------------------------------------
 
-def mark_tokens(doc: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Label of every token from the labels of the texts."""
-    pairs = np.unique((slots.astype(np.int64) << 20 | doc[None, :]).ravel())
-    slot, whose = pairs >> 20, pairs & (1 << 20) - 1
-    bad = toxic[whose]
-    in_toxic = np.bincount(slot[bad], minlength=TABLE).astype(float)
-    in_clean = np.bincount(slot[~bad], minlength=TABLE).astype(float)
+def mark_features(slot: np.ndarray, whose: np.ndarray, in_clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which table slots mark a token of a toxic text.
+
+    ``slot``, ``whose``: the distinct (slot, text) pairs of toxic texts; ``in_clean``: clean texts by slot.
+    """
+    in_toxic = np.bincount(slot, minlength=TABLE)
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     sharp = in_clean / n_clean <= 0.02 * in_toxic / n_toxic
     sharp[0] = False
     chosen = sharp & (in_toxic >= max(4.0, 0.03 * n_toxic))
+    useful = sharp[slot]
+    slot, whose = slot[useful], whose[useful]
     covered = np.zeros(len(toxic), bool)
     covered[whose[chosen[slot]]] = True
     while True:  # greedy cover of the toxic texts left
-        left = bad & ~covered[whose] & sharp[slot]
-        gain = np.bincount(slot[left], minlength=TABLE)
+        gain = np.bincount(slot[~covered[whose]], minlength=TABLE)
         best = int(gain.argmax())
         if gain[best] < max(3, 0.002 * n_toxic):
-            break
+            return chosen
         chosen[best] = True
         covered[whose[slot == best]] = True
-    return chosen[slots].any(axis=0) & toxic[doc]
+
+
+@dataclass
+class _Block:
+    """Tokens of some training texts: number of the distinct token, label, start of a text."""
+
+    kind: np.ndarray
+    label: np.ndarray
+    first: np.ndarray
+
+
+def _training_blocks(texts: list[str], toxic: np.ndarray) -> tuple[list[_Block], np.ndarray]:
+    """(blocks, slots by distinct token): texts are read in blocks and only token numbers are kept."""
+    data, offsets = text_buffers(pa.array(texts, pa.large_string()))
+    keys, columns, parts, pairs, in_clean = [], [], [], [], np.zeros(TABLE, np.int64)
+    for lo, hi in text_groups(offsets, TRAIN_BLOCK_BYTES):
+        own = offsets[lo:hi + 1]
+        _, _, doc, slots = token_features(data[own[0]:own[-1]], own - own[0])
+        key = slots[0].astype(np.uint64)
+        for row in slots[1:]:
+            key = key * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64)
+        key, at, kind = np.unique(key, return_index=True, return_inverse=True)
+        keys.append(key)
+        columns.append(slots[:, at].astype(np.int32))
+        parts.append((kind.astype(np.int32), (doc + lo).astype(np.int32)))
+        pair = np.unique((slots << 32 | (doc + lo)[None, :]).ravel())
+        bad = toxic[pair & (1 << 32) - 1]
+        in_clean += np.bincount(pair[~bad] >> 32, minlength=TABLE)
+        pairs.append(pair[bad])
+    if not keys:
+        return [], np.zeros((0, 0), np.int32)
+    _, at, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    by_kind = np.concatenate(columns, axis=1)[:, at]
+    pair = np.concatenate(pairs)
+    marks = mark_features(pair >> 32, pair & (1 << 32) - 1, in_clean, toxic)[by_kind].any(axis=0)
+    blocks, base = [], 0
+    for (kind, doc), key in zip(parts, keys):
+        kind = number[base:base + len(key)].astype(np.int32)[kind]
+        base += len(key)
+        blocks.append(_Block(kind, marks[kind] & toxic[doc], _firsts(doc)))
+    return blocks, by_kind
 
 
 def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, rate: float = 0.3, ridge: float = 1e-4) -> Field:
     """Fit the field to documents' labels. Nothing but texts and labels goes in."""
-    data, offsets = text_buffers(pa.array(texts, pa.large_string()))
-    _, _, doc, slots = token_features(data, offsets)
-    field = Field(np.zeros(TABLE), np.zeros((2, 2)), -3.0)
-    if not len(doc) or toxic.all() or not toxic.any():
+    blocks, by_kind = _training_blocks(texts, toxic)
+    if not blocks or not by_kind.size or toxic.all() or not toxic.any():
         return Field(np.zeros(TABLE), np.zeros((2, 2)), -60.0)
-    label = mark_tokens(doc, slots, toxic)
-    first = _firsts(doc)
-    # weights are summed once per distinct token, and gradients gathered by it
-    _, rep, kind = np.unique(slots[0] * 31 + slots[1] * 37 + slots[2] * 41 + slots[3] * 43 + slots[4] * 47,
-                             return_index=True, return_inverse=True)
-    used, compact = np.unique(slots[:, rep], return_inverse=True)
-    compact = compact.reshape(len(slots), -1)
-    inner = ~first
-    now, before = label[inner], label[np.flatnonzero(inner) - 1]
-    seen = np.array([[(~before & ~now).sum(), (~before & now).sum()], [(before & ~now).sum(), (before & now).sum()]], float)
-    params = np.concatenate([np.zeros(len(used)), np.log(np.maximum(seen, 0.5) / np.maximum(seen, 0.5).sum(1, keepdims=True)).ravel(),
-                             [-3.0]])
+    used, compact = np.unique(by_kind, return_inverse=True)
+    compact = compact.reshape(by_kind.shape)
+    w_end = len(used)
+    seen, labelled = np.zeros((2, 2)), 0
+    for b in blocks:
+        t = np.flatnonzero(~b.first)
+        seen += np.bincount(2 * b.label[t - 1] + b.label[t], minlength=4).reshape(2, 2)
+        labelled += int(b.label.sum())
+    floor = np.maximum(seen, 0.5)
+    params = np.concatenate([np.zeros(w_end), np.log(floor / floor.sum(1, keepdims=True)).ravel(), [-3.0]])
     m1, m2 = np.zeros_like(params), np.zeros_like(params)
-    scale = 1.0 / max(1, label.sum())
-    none = np.flatnonzero(used == 0)
     for step in range(1, steps + 1):
-        w, trans, start = params[:len(used)], params[len(used):-1].reshape(2, 2), params[-1]
-        field = Field(w, trans, start)
-        odds = field.odds(compact)[kind]
-        fwd, back = field.forward_backward(odds, first)
-        both = fwd * back
-        p = both / (1 + both)
-        t = np.flatnonzero(inner)
-        m = np.exp(trans)
-        # pairwise marginals from the odds on either side
-        f, ahead = fwd[t - 1], odds[t] * back[t]
-        joint = np.stack([m[0, 0] * np.ones_like(f), m[0, 1] * ahead, m[1, 0] * f, m[1, 1] * f * ahead])
-        expected = (joint / joint.sum(0)).sum(1).reshape(2, 2)
-        diff = label - p
-        grad = np.zeros_like(params)
-        by_kind = np.bincount(kind, diff, len(rep))
+        field = Field(params[:w_end], params[w_end:-1].reshape(2, 2), params[-1])
+        by_token = field.odds(compact)
+        m = np.exp(field.trans)
+        grad, gap = np.zeros_like(params), np.zeros(compact.shape[1])
+        expected = np.zeros((2, 2))
+        for b in blocks:
+            odds = by_token[b.kind]
+            fwd, back = field.forward_backward(odds, b.first)
+            both = fwd * back
+            diff = b.label - both / (1 + both)
+            gap += np.bincount(b.kind, diff, len(gap))
+            grad[-1] += diff[b.first].sum()
+            t = np.flatnonzero(~b.first)  # pairwise marginals from the odds on either side
+            f, ahead = fwd[t - 1], odds[t] * back[t]
+            total = m[0, 0] + m[0, 1] * ahead + m[1, 0] * f + m[1, 1] * f * ahead
+            expected += [[(m[0, 0] / total).sum(), (m[0, 1] * ahead / total).sum()],
+                         [(m[1, 0] * f / total).sum(), (m[1, 1] * f * ahead / total).sum()]]
         for row in compact:
-            grad[:len(used)] += np.bincount(row, by_kind, len(used))
-        grad[none] = 0.0
-        grad[len(used):-1] = (seen - expected).ravel()
-        grad[-1] = diff[first].sum()
-        grad = grad * scale
-        grad[:len(used)] -= ridge * w
+            grad[:w_end] += np.bincount(row, gap, w_end)
+        grad[:w_end][used == 0] = 0.0
+        grad[w_end:-1] = (seen - expected).ravel()
+        grad /= max(1, labelled)
+        grad[:w_end] -= ridge * params[:w_end]
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         params = params + rate * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.99 ** step)) + 1e-8)
     weights = np.zeros(TABLE)
-    weights[used] = params[:len(used)]
+    weights[used] = params[:w_end]
     weights[0] = 0.0
-    return Field(weights, params[len(used):-1].reshape(2, 2), float(params[-1]))
+    return Field(weights, params[w_end:-1].reshape(2, 2), float(params[-1]))
 
 
 def held_out(doc_id) -> "F.Column":
