@@ -80,7 +80,7 @@ def random_offset(source: Column, seed: int) -> Column:
 
 def systematic_copies(df: DataFrame, source: str, size: str, rate: str, doc_id: str, seed: int = 0,
                       salts: int = SALTS) -> DataFrame:
-    """Adds ``copies``: how often systematic sampling emits the row.
+    """Adds ``mx_copies``: how often systematic sampling emits the row.
 
     ``rate`` is the row's expected number of copies (null or negative: 0); a row
     gets the integer below or above it.
@@ -101,19 +101,19 @@ def systematic_copies(df: DataFrame, source: str, size: str, rate: str, doc_id:
            + random_offset(F.when(~F.col("_mx_none"), F.col("_mx_src")), seed))
     out = keyed.join(starts, cell).withColumn("_mx_end", end)
     return out.select(*df.columns, (F.shiftright("_mx_end", UNIT) - F.shiftright(F.col("_mx_end") - F.col("_mx_step"), UNIT)
-                                    ).alias("copies"))
+                                    ).alias("mx_copies"))
 
 
-def sized_documents(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, source, size and the columns of ``keep``), written once: later steps read it again."""
-    names = [c for c in keep if c not in ("doc_id", "source")]
-    return materialize(docs.select("doc_id", "source", *names, word_count(F.col("text")).alias("mx_size")), "sized")
+def sized_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, source, mx_size), written once: later steps read it again. ``whole`` adds ``mx_row``, all columns."""
+    row = [F.struct("*").alias("mx_row")] if whole else []
+    return materialize(docs.select("doc_id", "source", *row, word_count(F.col("text")).alias("mx_size")), "sized")
 
 
-def mix(docs: DataFrame, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, whole: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): ``mx_size``, ``mx_source_size``, ``mx_target``
-    (words its source should give) and ``copies`` (how often the mix takes it)."""
-    sized = sized_documents(docs, keep)
+    (words its source should give) and ``mx_copies`` (how often the mix takes it)."""
+    sized = sized_documents(docs, whole)
     sources = materialize(source_targets(sized.groupBy("source").agg(F.sum("mx_size").alias("source_size"))), "targets")
     rated = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.*", F.col("s.source_size").alias("mx_source_size"), F.col("s.target").alias("mx_target"),
@@ -121,15 +121,15 @@ def mix(docs: DataFrame, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
     return systematic_copies(rated, "source", "mx_size", "mx_rate", "doc_id", seed).drop("mx_rate")
 
 
-def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mixed corpus: every row ``copies`` times."""
-    return mixed.where(F.col("copies") > 0).withColumn(
-        "_mx_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*columns)
+def emit(mixed: DataFrame) -> DataFrame:
+    """The mixed corpus: every row ``mx_copies`` times, with the columns it came with (``mix(..., whole=True)``)."""
+    return mixed.where(F.col("mx_copies") > 0).select(
+        "mx_row", F.explode(F.array_repeat(F.lit(0), F.col("mx_copies").cast("int")))).select("mx_row.*")
 
 
 def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mixed corpus, each row as often as the mix takes it."""
-    return emit(mix(docs, keep=docs.columns), docs.columns)
+    return emit(mix(docs, whole=True))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -137,7 +137,8 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select(
         "doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"),
-        F.col("mx_target").alias("target"), (F.col("copies") * F.col("mx_size")).alias("taken"), "source", "copies")
+        F.col("mx_target").alias("target"), (F.col("mx_copies") * F.col("mx_size")).alias("taken"), "source",
+        F.col("mx_copies").alias("copies"))
 
 
 OP8_SQL = r"""
