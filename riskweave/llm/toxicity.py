@@ -210,7 +210,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, rate: float =
     """Fit the field to documents' labels. Nothing but texts and labels goes in."""
     blocks, by_kind = _training_blocks(texts, toxic)
     if not blocks or not by_kind.size or toxic.all() or not toxic.any():
-        return Field(np.zeros(TABLE), np.zeros((2, 2)), -60.0)
+        return Field(np.zeros(TABLE), np.array([[0.0, -60.0], [0.0, -60.0]]), -60.0)
     used, compact = np.unique(by_kind, return_inverse=True)
     compact = compact.reshape(by_kind.shape)
     w_end = len(used)
