@@ -1,20 +1,20 @@
-"""Distributed ordered prefix sums and exact quantiles.
+"""Distributed ordered prefix sums and exact quantiles, one lazy plan at every size.
 
 A plain ``Window.orderBy(x)`` without ``partitionBy`` moves every row into a
-single task. The running sums behind ROC/PR curves, the two-sample KS
-statistic and exact quantiles instead use a two-level scheme:
-
-1. collapse to one row per distinct ordering key (map-side partial agg);
-2. ``repartitionByRange`` on (group, key); the partition id is then a
-   bucket whose key ranges are ordered, with balanced sizes from Spark's
-   sampling of the range bounds;
-   The bucketed frame is checkpointed once so both uses see the same buckets.
-3. bucket totals (``#groups x #buckets`` rows, a bounded table) give
-   each bucket's offset by a window over that small table;
-4. a window partitioned by (group, bucket) adds the running sum within the
-   bucket to that offset.
-
-Skew cannot concentrate in one task: after step 1 a hot key is a single row.
+single task, and one partitioned by a hot group moves that group into one. The
+running sums behind ROC/PR curves, the two-sample KS statistic and exact
+quantiles instead use two levels:
+
+1. rows collapse to one per distinct ordering key (map-side partial
+   aggregation), so a hot key is a single row;
+2. an expression of the key deals the rows to ordered buckets
+   (``value_bucket`` for numbers, leading digits for hashes, a stretch of time
+   for events);
+3. bucket sums, a table of (group, bucket) rows, give each bucket's offset;
+4. a window partitioned by (group, bucket) adds the running sum within it.
+
+The bucket is a deterministic expression, so nothing has to be sampled,
+probed or frozen: no job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -24,182 +24,88 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.session import ensure_checkpoint_dir, shuffle_partitions
-
 _BKT = "_rw_bucket"
 
-# Largest per-group number of distinct keys handled inside one task: by Spark's
-# exact ``percentile`` aggregate (a value->count map per group) or by a plain
-# window partitioned by the group. Larger groups take the bucketed path.
-IN_MEMORY_DISTINCT_MAX = 1_000_000
 
+def value_bucket(value: Column) -> Column:
+    """Bucket of a number: its sign, decimal exponent and three leading digits.
 
-def _bucketed(df: DataFrame, key: str, sums: dict[str, Column | str], by: list[str], descending: bool,
-              buckets: int | None, unique_keys: bool, carry: Sequence[str]):
-    """Steps 1-2: one row per (by, key) with summed columns and an ordered bucket id."""
-    spark = df.sparkSession
-    n = buckets or shuffle_partitions(spark)
-    if unique_keys:
-        grouped = df.select(*by, key, *carry, *[(c if isinstance(c, Column) else F.col(c)).alias(name)
-                                                for name, c in sums.items()])
-    else:
-        exprs = [F.sum(c if isinstance(c, Column) else F.col(c)).alias(name) for name, c in sums.items()]
-        grouped = df.groupBy(*by, key).agg(*exprs)
-        carry = ()
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    # The bucketed frame feeds two branches (bucket totals and running sums).
-    # Evaluated twice, each branch would sample its own range bounds and the
-    # bucket ids would disagree; a reliable checkpoint freezes them once and
-    # cuts the lineage (it is written under spark.checkpoint.dir).
-    ensure_checkpoint_dir(spark)
-    ranged = grouped.repartitionByRange(n, *[F.col(b) for b in by], order) \
-        .withColumn(_BKT, F.spark_partition_id()).checkpoint(eager=True)
-    return ranged, order, list(carry)
-
-
-def _bucket_offsets(ranged: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    """Step 3: per (by, bucket): sums before the bucket, bucket sums, group totals.
-    At most (#groups x #buckets) rows."""
-    bucket_tot = ranged.groupBy(*by, _BKT).agg(*[F.sum(c).alias(f"_bt_{c}") for c in names])
-    before = Window.partitionBy(*by).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    return bucket_tot.select(
-        *by, _BKT, *[F.col(f"_bt_{c}") for c in names],
-        *[F.coalesce(F.sum(f"_bt_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in names],
-        *[F.sum(f"_bt_{c}").over(whole).alias(f"total_{c}") for c in names],
-    )
-
-
-def _small(df: DataFrame, by: list[str]) -> DataFrame:
-    """Broadcast hint for per-bucket tables only when ungrouped (then they have
-    at most #buckets rows). Grouped tables grow with the number of groups (e.g.
-    users), so AQE decides from their runtime size instead."""
-    return F.broadcast(df) if not by else df
-
-
-def _running(ranged: DataFrame, offsets: DataFrame, by: list[str], key: str, order, names: list[str],
-             carry: Sequence[str]) -> DataFrame:
-    """Step 4: offset + running sum within the bucket."""
-    within = Window.partitionBy(*by, _BKT).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(_small(offsets, by), on=[*by, _BKT], how="inner")
-    return out.select(
-        *by, key, *carry, *names, _BKT,
-        *[(F.col(f"_off_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in names],
-        *[F.col(f"total_{c}") for c in names],
-    )
-
-
-def _largest_group(df: DataFrame, key: str, by: list[str], unique_keys: bool) -> int:
-    """Rows (unique keys) or estimated distinct keys (HyperLogLog) of the largest group."""
-    per = df.groupBy(*by).agg((F.count(F.lit(1)) if unique_keys else F.approx_count_distinct(key)).alias("_d"))
-    return int(per.agg(F.max("_d")).first()[0] or 0)
-
-
-def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequence[str] = (),
-                descending: bool = False, buckets: int | None = None,
-                unique_keys: bool = False, carry: Sequence[str] = (), method: str = "auto") -> DataFrame:
+    Monotone in the value, and independent of the data: about 900 buckets per
+    decade. NaN sorts after all numbers, as it does in Spark.
+    """
+    x = value.cast("double")
+    size = F.abs(x)
+    exponent = F.greatest(F.floor(F.log10(size)), F.lit(-300))  # the power below must not vanish
+    digits = F.floor(size / F.pow(F.lit(10.0), exponent - 2))
+    magnitude = (exponent + 400) * 1000 + digits
+    return (F.when(F.isnan(x), F.lit(2_000_000)).when(size == 0, F.lit(0)).when(size == float("inf"), F.signum(x) * 1_000_000)
+            .otherwise(F.signum(x) * magnitude)).cast("int")
+
+
+def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column | str], by: Sequence[str] = (), descending: bool = False,
+                bucket: Column | None = None, unique_keys: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Per (by, key): the summed columns, inclusive running sums and group totals.
 
     Output columns: ``*by, key, <name>, cum_<name>, total_<name>`` for each
     entry of ``sums`` (name -> column expression over the input rows).
     Running sums follow ``key`` ascending, or descending if asked.
+    ``bucket`` is a non-decreasing expression of the key (default: of a number).
     With ``unique_keys`` the input already has one row per (by, key): the
     grouping shuffle is skipped and ``carry`` columns pass through.
-
-    ``method``: "distributed" is the bucketed scheme above; "window" is a plain
-    window partitioned by ``by`` (one task per group, so only for groups of
-    bounded size); "auto" checks the largest group's key count against
-    ``IN_MEMORY_DISTINCT_MAX`` first.
     """
-    by = list(by)
-    names = list(sums)
-    if method == "auto":
-        method = "window" if _largest_group(df, key, by, unique_keys) <= IN_MEMORY_DISTINCT_MAX else "distributed"
-    if method == "window":
-        if unique_keys:
-            grouped = df.select(*by, key, *carry, *[(c if isinstance(c, Column) else F.col(c)).alias(n)
-                                                    for n, c in sums.items()])
-        else:
-            grouped = df.groupBy(*by, key).agg(
-                *[F.sum(c if isinstance(c, Column) else F.col(c)).alias(n) for n, c in sums.items()])
-            carry = ()
-        order = F.col(key).desc() if descending else F.col(key).asc()
-        run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*by)
-        return grouped.select(*by, key, *carry, *names, *[F.sum(c).over(run).alias(f"cum_{c}") for c in names],
-                              *[F.sum(c).over(whole).alias(f"total_{c}") for c in names])
-    ranged, order, carry = _bucketed(df, key, sums, by, descending, buckets, unique_keys, carry)
-    offsets = _bucket_offsets(ranged, by, names)
-    return _running(ranged, offsets, by, key, order, names, carry).drop(_BKT)
-
-
-def _rank_positions(totals: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
-    """(by, prob, pos, lo_rank, hi_rank) for p*(n-1), 0-based ranks."""
-    spark = totals.sparkSession
-    probs_df = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    pos = totals.crossJoin(F.broadcast(probs_df)).select(
-        *by, "prob", (F.col("prob") * (F.col("_n") - 1)).alias("_pos"))
-    return pos.select(*by, "prob", "_pos", F.floor("_pos").cast("long").alias("_lo_rank"),
-                      F.ceil("_pos").cast("long").alias("_hi_rank"))
-
-
-def _interpolate(pos: DataFrame, at: DataFrame, by: list[str]) -> DataFrame:
-    """Join the values found at the lower/upper ranks and interpolate linearly."""
-    lo = at.select(*by, F.col("_r").alias("_lo_rank"), F.col("_v").alias("_lo"))
-    hi = at.select(*by, F.col("_r").alias("_hi_rank"), F.col("_v").alias("_hi"))
-    res = pos.join(lo, on=[*by, "_lo_rank"]).join(hi, on=[*by, "_hi_rank"])
-    frac = F.col("_pos") - F.col("_lo_rank")
-    q = F.when(F.col("_hi_rank") == F.col("_lo_rank"), F.col("_lo")).otherwise(
-        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
-    return res.select(*by, "prob", q.alias("quantile"))
-
-
-def _needed_ranks(pos: DataFrame, by: list[str]) -> DataFrame:
-    return pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_lo_rank").alias("_r")).union(
-        pos.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_hi_rank").alias("_r"))).distinct()
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int | None = None, method: str = "auto") -> DataFrame:
+    by, names = list(by), list(sums)
+    bucket = value_bucket(F.col(key)) if bucket is None else bucket
+    exprs = {n: c if isinstance(c, Column) else F.col(c) for n, c in sums.items()}
+    if unique_keys:
+        rows = df.select(*by, key, *carry, *[c.alias(n) for n, c in exprs.items()], bucket.alias(_BKT))
+    else:
+        rows, carry = df.groupBy(*by, key).agg(*[F.sum(c).alias(n) for n, c in exprs.items()]).withColumn(_BKT, bucket), ()
+    # keys that are never null, so that join and window share one exchange and null groups stay
+    cell = {f"_k{i}{kind}": e for i, c in enumerate([*by, _BKT]) for kind, e in (
+        ("n", F.col(c).isNull()), ("v", F.coalesce(F.col(c).cast("string"), F.lit(""))))}
+    rows, group = rows.withColumns(cell), list(cell)[:-2]
+    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    # (group, bucket) rows: sums of the earlier buckets and of the whole group
+    before = Window.partitionBy(*group).orderBy(order(_BKT)).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    starts = rows.groupBy(*cell, _BKT).agg(*[F.sum(n).alias(f"_bt_{n}") for n in names]).select(
+        *cell, *[F.coalesce(F.sum(f"_bt_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in names],
+        *[F.sum(f"_bt_{n}").over(whole).alias(f"total_{n}") for n in names])
+    within = Window.partitionBy(*cell).orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(starts, list(cell)).select(
+        *by, key, *carry, *names, *[(F.col(f"_off_{n}") + F.sum(n).over(within)).alias(f"cum_{n}") for n in names],
+        *[F.col(f"total_{n}") for n in names])
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/``quantile_cont`` semantics).
 
     Returns one row per (by, prob): ``*by, prob, quantile``. Nulls are ignored.
-
-    ``method``: "aggregate" uses Spark's exact ``percentile`` aggregate, whose
-    buffer holds every distinct value of a group; "distributed" range-buckets
-    the distinct values as in ``prefix_sums``, uses the bucket offsets (a small
-    table) to find the bucket of each needed rank, and counts only inside
-    those buckets, so no task ever holds more than one bucket. "auto" checks
-    the largest group's distinct count (HyperLogLog, one cheap pass) against
-    ``IN_MEMORY_DISTINCT_MAX`` and picks accordingly.
+    Every distinct value knows the ranks it covers from ``prefix_sums``; one
+    aggregate picks the values at the two ranks around each quantile.
     """
-    by = list(by)
-    base = df.where(F.col(value).isNotNull())
-    if method == "auto":
-        est = base.groupBy(*by).agg(F.approx_count_distinct(value).alias("_d")).agg(F.max("_d")).first()[0]
-        method = "aggregate" if (est or 0) <= IN_MEMORY_DISTINCT_MAX else "distributed"
-    if method == "aggregate":
-        agg = base.groupBy(*by).agg(F.percentile(value, [float(p) for p in probs]).alias("_q"))
-        return agg.select(*by, F.posexplode("_q").alias("_i", "quantile")).select(
-            *by, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1).alias("prob"),
-            "quantile")
-    ranged, order, _ = _bucketed(base, value, {"cnt": F.lit(1)}, by, False, buckets, False, ())
-    offsets = _bucket_offsets(ranged, by, ["cnt"])
-    totals = offsets.select(*by, F.col("total_cnt").alias("_n")).distinct()
-    pos = _rank_positions(totals, probs, by)
-    ranks = _needed_ranks(pos, by)
-    # bucket of each needed rank: small x small
-    cond = [F.col(b) == F.col(f"_k_{b}") for b in by] + [
-        F.col("_off_cnt") <= F.col("_r"), F.col("_r") < F.col("_off_cnt") + F.col("_bt_cnt")]
-    # ranks / rb / needed hold <= 2*|probs| rows per group
-    rb = offsets.join(_small(ranks, by), on=cond).select(*by, _BKT, "_r")
-    needed = rb.select(*by, _BKT).distinct()
-    sub = ranged.join(_small(needed, by), on=[*by, _BKT], how="left_semi")
-    cum = _running(sub, offsets, by, value, order, ["cnt"], ())
-    hit = cum.join(_small(rb, by), on=[*by, _BKT]).where(
-        (F.col("cum_cnt") - F.col("cnt") <= F.col("_r")) & (F.col("_r") < F.col("cum_cnt")))
-    at = hit.select(*by, "_r", F.col(value).alias("_v"))
-    return _interpolate(pos, at, by)
+    return _interpolated(_covering(prefix_sums(df.where(F.col(value).isNotNull()), value, {"cnt": F.lit(1)}, by=by)), value, probs, list(by))
+
+
+def _covering(cum: DataFrame, count: str = "cnt") -> DataFrame:
+    """Adds ``_from`` and ``_to``: the 0-based ranks that a distinct value covers, and ``_last`` of the group."""
+    return cum.withColumns({"_to": F.col(f"cum_{count}") - 1, "_from": F.col(f"cum_{count}") - F.col(count),
+                            "_last": F.col(f"total_{count}") - 1})
+
+
+def _interpolated(ranked: DataFrame, value: str, probs: Sequence[float], by: list[str]) -> DataFrame:
+    picks, last = [], F.col("_last")
+    for i, p in enumerate(probs):
+        for name, rank in (("lo", F.floor(F.lit(float(p)) * last)), ("hi", F.ceil(F.lit(float(p)) * last))):
+            picks.append(F.max(F.when(rank.between(F.col("_from"), F.col("_to")), F.col(value))).alias(f"_{name}{i}"))
+    wide = ranked.groupBy(*by).agg(F.max("_last").alias("_last"), *picks)
+    rows = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * last
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        rows.append(F.struct(F.lit(float(p)).alias("prob"), F.when(F.floor(at) == F.ceil(at), lo).otherwise(
+            lo + (hi - lo) * (at - F.floor(at))).cast("double").alias("quantile")))
+    return wide.where(last.isNotNull()).select(*by, F.explode(F.array(*rows)).alias("_q")).select(*by, "_q.prob", "_q.quantile")
 
 
 def quantile_row(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each class is ordered by a seeded hash of the row id and cut at exact
 per-class sizes. The per-class rank comes from ``prefix_sums`` with the
-class as the group: a class is range-partitioned into many buckets, so a
-class holding most rows never lands in a single task (a plain
+class as the group and the hash's leading digits as bucket, so a class
+holding most rows never lands in a single task (a plain
 ``row_number().over(partitionBy(label))`` would).
 """
 
@@ -24,7 +24,8 @@ def class_ranks(df: DataFrame, label: str, row_id: str, seed: int) -> DataFrame:
     """Add ``_rank`` (0-based, within class, by seeded hash) and ``_class_n``."""
     keyed = df.withColumn("_key", F.struct(split_order_key(row_id, seed).alias("h"), F.col(row_id).alias("i")))
     carry = [c for c in df.columns if c != label]
-    ranked = prefix_sums(keyed, "_key", {"cnt": F.lit(1)}, by=[label], unique_keys=True, carry=carry)
+    ranked = prefix_sums(keyed, "_key", {"cnt": F.lit(1)}, by=[label], unique_keys=True, carry=carry,
+                         bucket=F.substring("_key.h", 1, 3))
     return ranked.select(*df.columns, (F.col("cum_cnt") - 1).alias("_rank"),
                          F.col("total_cnt").alias("_class_n"))
 

@@ -72,7 +72,8 @@ def prior_user_stats(df: DataFrame, user: str = "user_id", ts: str = "created_at
     keyed = df.withColumn("_key", F.struct(F.col(ts).alias("t"), F.col(row_id).alias("i")))
     carry = [c for c in df.columns if c != user]
     cum = prefix_sums(keyed, "_key", {"_a": F.col("amount"), "_f": F.col("is_fraud").cast("long"),
-                                      "_n": F.lit(1).cast("long")}, by=[user], unique_keys=True, carry=carry)
+                                      "_n": F.lit(1).cast("long")}, by=[user], unique_keys=True, carry=carry,
+                      bucket=F.to_date(F.col("_key.t")))
     prev_n = F.col("cum__n") - 1
     return cum.select(
         user, *carry, prev_n.alias("prior_count"),
@@ -158,7 +159,8 @@ def canary_decision(logs: DataFrame, variant: str, new: str, ts: str, row_id: st
         .withColumn("_expired", F.col(ts) > start + F.expr(f"INTERVAL {monitoring_hours} HOURS"))
     cum = prefix_sums(keyed, "_key", {
         "n": is_new, "err": is_new * (F.col("status_code") >= 500).cast("long"),
-        "lat": is_new.cast("double") * F.col("processing_time_ms")}, unique_keys=True, carry=[ts, "_expired"])
+        "lat": is_new.cast("double") * F.col("processing_time_ms")}, unique_keys=True, carry=[ts, "_expired"],
+        bucket=F.date_trunc("minute", F.col("_key.t")))
     n = F.col("cum_n") + F.lit(int(base[0]))
     err_rate = (F.col("cum_err") + F.lit(int(base[1]))) / F.greatest(n, F.lit(1))
     avg_lat = (F.col("cum_lat") + F.lit(float(base[2]))) / F.greatest(n, F.lit(1))

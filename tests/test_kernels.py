@@ -10,7 +10,7 @@ from riskweave.operators import curves as cv
 from riskweave.operators import drift as dr
 from riskweave.operators import split as sp
 from riskweave.operators import windows as wn
-from riskweave.operators.ranking import exact_quantiles, prefix_sums
+from riskweave.operators.ranking import exact_quantiles, prefix_sums, value_bucket
 from conftest import SF_SMALL
 from riskweave.sources.tables import transactions
 
@@ -42,15 +42,6 @@ def scored(spark):
     return rows, spark.createDataFrame(rows, "id long, s double, y int")
 
 
-def test_distributed_curves_match_brute_force(scored, monkeypatch):
-    from riskweave.operators import ranking
-    monkeypatch.setattr(ranking, "IN_MEMORY_DISTINCT_MAX", 0)  # force the bucketed path
-    rows, df = scored
-    s, y = [r[1] for r in rows], [r[2] for r in rows]
-    assert cv.roc_auc(df, "s", "y").first()[0] == pytest.approx(_auc_brute(s, y), abs=1e-12)
-    assert cv.average_precision(df, "s", "y").first()[0] == pytest.approx(_ap_brute(s, y), abs=1e-12)
-
-
 def test_auc_and_ap_match_brute_force(scored):
     rows, df = scored
     s, y = [r[1] for r in rows], [r[2] for r in rows]
@@ -74,10 +65,34 @@ def test_threshold_example(spark):
     assert none.threshold_at_target is None
 
 
-@pytest.mark.parametrize("method", ["distributed", "window", "auto"])
-def test_prefix_sums_equal_plain_window(spark, method):
+def test_value_bucket_is_monotone(spark):
+    import random
+    rng = random.Random(2)
+    vals = [s * m * 10.0 ** e for e in range(-9, 12) for m in (1, 1.0000001, 9.9999999, 9.99, 5, rng.random()) for s in (1, -1)]
+    vals += [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 999.9999999999999, 1000.0, 1e300, 5e-324, None]
+    rows = spark.createDataFrame([(v,) for v in vals], "v double").select("v", value_bucket(F.col("v")).alias("b")).orderBy("v").collect()
+    got = [r.b for r in rows if r.v is not None]
+    assert got == sorted(got) and len(set(got)) > 100
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_prefix_sums_keep_null_groups(spark, descending):
+    rows = [(g, float(v) if v % 11 else None, 1) for v in range(200) for g in ("a", None, "")]
+    df = spark.createDataFrame(rows, "g string, k double, x int")
+    got = {(r.g, r.k): r.cum_c for r in prefix_sums(df, "k", {"c": F.lit(1)}, by=["g"], descending=descending).collect()}
+    want = {}
+    for g in ("a", None, ""):
+        keys = sorted({k for h, k, _ in rows if h == g}, key=lambda k: (k is not None, k or 0), reverse=descending)
+        total = 0
+        for k in keys:
+            total += sum(1 for h, j, _ in rows if h == g and j == k)
+            want[g, k] = total
+    assert got == want
+
+
+def test_prefix_sums_equal_plain_window(spark):
     df = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("g"), ((F.col("id") * 37) % 101).alias("k"))
-    got = prefix_sums(df, "k", {"c": F.lit(1)}, by=["g"], buckets=5, method=method)
+    got = prefix_sums(df, "k", {"c": F.lit(1)}, by=["g"])
     plain = df.groupBy("g", "k").agg(F.count("*").alias("c")).withColumn(
         "ref", F.sum("c").over(Window.partitionBy("g").orderBy("k")))
     j = got.join(plain, ["g", "k"])
@@ -85,13 +100,12 @@ def test_prefix_sums_equal_plain_window(spark, method):
     assert j.where(F.col("cum_c") != F.col("ref")).count() == 0
 
 
-@pytest.mark.parametrize("method", ["aggregate", "distributed"])
-def test_exact_quantiles_match_numpy(spark, method):
+def test_exact_quantiles_match_numpy(spark):
     import numpy as np
     vals = [float(x) for x in np.random.default_rng(3).exponential(100, 501).round(2)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     probs = [0, .1, .25, .5, .75, .95, 1]
-    got = {r.prob: r.quantile for r in exact_quantiles(df, "v", probs, method=method, buckets=5).collect()}
+    got = {r.prob: r.quantile for r in exact_quantiles(df, "v", probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12)
 
@@ -124,16 +138,24 @@ def test_ks_and_psi_brute_force(spark):
     assert dr.psi_numeric(rl, rl).first().psi == pytest.approx(0.0, abs=1e-12)
 
 
-def test_grouped_quantiles_both_methods_agree(spark):
+def test_grouped_quantiles_match_the_percentile_aggregate(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1013 / 10).alias("v"))
-    a = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "v", [.1, .5, .9], ["g"], method="aggregate").collect()}
-    b = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "v", [.1, .5, .9], ["g"], method="distributed",
-                                                            buckets=6).collect()}
+    a = {(r.g, p): q for r in df.groupBy("g").agg(F.percentile("v", [.1, .5, .9]).alias("q")).collect() for p, q in zip([.1, .5, .9], r.q)}
+    b = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "v", [.1, .5, .9], ["g"]).collect()}
     assert a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k], rel=1e-12)
 
 
+def test_no_job_runs_while_a_plan_is_built(spark):
+    group = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    exact_quantiles(spark.range(100).select(F.col("id").cast("double").alias("v")), "v", [.5])
+    prefix_sums(spark.range(100).withColumn("s", F.lit(1)), "id", {"n": F.lit(1)})
+    assert len(group.getJobIdsForGroup("building")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_psi_constant_reference_is_zero(spark):
     ref = spark.createDataFrame([(5.0,)] * 10, "x double")
     cur = spark.createDataFrame([(1.0,), (9.0,)], "x double")
@@ -149,9 +171,7 @@ def test_drift_report_edge_rows(spark):
     assert dr.overall_drift(dr.drift_report(ref, cur, ["a", "b"])).first().max_drift_score == 1.0
 
 
-def test_split_distributed_path(spark, monkeypatch):
-    from riskweave.operators import ranking
-    monkeypatch.setattr(ranking, "IN_MEMORY_DISTINCT_MAX", 0)
+def test_split_distributed_path(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 10 < 3).cast("int").alias("y"))
     sizes = {r.split: r["count"] for r in sp.stratified_split(df, "y", "id").groupBy("split").count().collect()}
     assert sizes == {"train": 600, "val": 200, "test": 200}
@@ -184,11 +204,9 @@ def test_chunked_trailing_window_equals_plain(spark):
     assert j.where(F.col("n") != F.col("ref")).count() == 0
 
 
-def test_prior_user_stats_distributed_path(spark, monkeypatch):
-    from riskweave.operators import ranking
+def test_prior_user_stats_distributed_path(spark):
     tx = transactions(spark, SF_SMALL)
     plain = wn.prior_user_stats(tx).select("transaction_id", "prior_count", "prior_avg_amount")
-    monkeypatch.setattr(ranking, "IN_MEMORY_DISTINCT_MAX", 0)  # bucketed path, grouped by user
     dist = wn.prior_user_stats(tx).select("transaction_id", F.col("prior_count").alias("c2"),
                                           F.col("prior_avg_amount").alias("a2"))
     j = plain.join(dist, "transaction_id")
