@@ -73,36 +73,42 @@ def risk_score(high_amount: Column, low_dev: Column, high_risk: Column, night: C
     return high_amount * 0.3 + low_dev * 0.3 + high_risk * 0.2 + night * 0.2
 
 
-def engineer(df: DataFrame, stats: DataFrame | None = None, keep: bool = True) -> DataFrame:
-    """Add F01-F14. ``stats`` is a one-row ``fit_feature_stats`` table."""
-    if stats is None:
-        stats = fit_feature_stats(df)
-    joined = df.crossJoin(F.broadcast(stats.select(*STAT_COLUMNS)))
+def stateless_features(df: DataFrame) -> DataFrame:
+    """The features of F01-F14 that need nothing but the row."""
     amount, hour = F.col("amount"), F.col("hour")
     dev, cr = F.col("device_score"), F.col("country_risk")
-    high = _flag(amount > F.col("amount_p75"))
-    night = is_night(hour)
-    out = joined.withColumns({
+    return df.withColumns({
         "amount_log": F.log1p(amount),
-        "amount_zscore": F.try_divide(amount - F.col("amount_mean"), F.col("amount_std")),  # std 0 -> NULL
-        "is_night": night,
+        "is_night": is_night(hour),
         "is_evening": is_evening(hour),
         "is_weekend": F.lit(0),
-        "high_amount": high,
-        "very_high_amount": _flag(amount > F.col("amount_p95")),
         "low_device": low_device(dev),
         "medium_device": medium_device(dev),
         "high_risk_country": high_risk_country(cr),
-    })
-    out = out.withColumns({
-        "risk_score": risk_score(F.col("high_amount"), F.col("low_device"),
-                                 F.col("high_risk_country"), F.col("is_night")),
         "hour_sin": F.sin(F.lit(2 * math.pi) * hour / 24),
         "hour_cos": F.cos(F.lit(2 * math.pi) * hour / 24),
         "amount_device_interaction": amount * (1 - dev),
         "amount_country_interaction": amount * cr / 5,
-    }).drop(*STAT_COLUMNS)
-    return out
+    })
+
+
+# features that compare a row with the frame's statistics
+STAT_FEATURES = ("amount_zscore", "high_amount", "very_high_amount", "risk_score")
+
+
+def engineer(df: DataFrame, stats: DataFrame | None = None, keep: bool = True) -> DataFrame:
+    """Add F01-F14. ``stats`` is a one-row ``fit_feature_stats`` table."""
+    if stats is None:
+        stats = fit_feature_stats(df)
+    joined = stateless_features(df).crossJoin(F.broadcast(stats.select(*STAT_COLUMNS)))
+    amount = F.col("amount")
+    out = joined.withColumns({
+        "amount_zscore": F.try_divide(amount - F.col("amount_mean"), F.col("amount_std")),  # std 0 -> NULL
+        "high_amount": _flag(amount > F.col("amount_p75")),
+        "very_high_amount": _flag(amount > F.col("amount_p95")),
+    })
+    return out.withColumn("risk_score", risk_score(F.col("high_amount"), F.col("low_device"),
+                                                   F.col("high_risk_country"), F.col("is_night"))).drop(*STAT_COLUMNS)
 
 
 def engineer_fixed(df: DataFrame) -> DataFrame:

@@ -139,7 +139,8 @@ def psi_categorical(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     d = category_distributions(ref, cur, col)
     r = F.when(F.col("ref_freq") == 0, F.lit(EPS)).otherwise(F.col("ref_freq"))
     c = F.when(F.col("cur_freq") == 0, F.lit(EPS)).otherwise(F.col("cur_freq"))
-    return d.agg(F.sum((c - r) * F.log(c / r)).alias("psi")).select(F.lit(col).alias("feature"), "psi")
+    # no category on either side: nothing has shifted
+    return d.agg(F.coalesce(F.sum((c - r) * F.log(c / r)), F.lit(0.0)).alias("psi")).select(F.lit(col).alias("feature"), "psi")
 
 
 def moments(long: DataFrame, prefix: str) -> DataFrame:
@@ -188,8 +189,8 @@ def drift_report(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
     if missing:
         parts.append(spark.createDataFrame(
             [(m, "missing", None, None, 1.0, True, None, None, None, None) for m in missing], schema))
-    out = parts[0]
-    for p in parts[1:]:
+    out = spark.createDataFrame([], schema)
+    for p in parts:
         out = out.unionByName(p)
     return out
 
@@ -199,7 +200,8 @@ def summary_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str],
     """Drift against reference *means* only.
 
     The reference sample is its mean repeated, so KS = max(F_cur(mu-),
-    1 - F_cur(mu)) and PSI has one edge, hence no bins and 0.
+    1 - F_cur(mu)) and PSI has one edge, hence no bins and 0. A reference
+    column that ``cur`` lacks is detected with score 1.0 and zeros.
     """
     present = [c for c in numeric if c in cur.columns]
     rl, cl = to_long(ref, present), to_long(cur, present)
@@ -214,29 +216,48 @@ def summary_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str],
     out = rs.join(agg, "feature", "left")
     n = F.coalesce(F.col("_n"), F.lit(0))
     ks = F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.col("_lt") / n, 1 - F.col("_le") / n))
-    return out.select(
+    checked = out.select(
         "feature", (ks > F.lit(threshold)).alias("drift_detected"), ks.alias("drift_score"),
         "reference_mean", F.coalesce("current_mean", F.lit(0.0)).alias("current_mean"),
         "reference_std", F.when(n == 0, F.lit(0.0)).otherwise(F.col("current_std")).alias("current_std"))
+    missing = [(c, True, 1.0, 0.0, 0.0, 0.0, 0.0) for c in numeric if c not in cur.columns]
+    return checked.unionByName(ref.sparkSession.createDataFrame(missing, checked.schema)) if missing else checked
+
+
+# Alert titles and the length of the alert history.
+WARNING_TITLE = ("Data drift detected in ", " features")
+CRITICAL_TITLE = "High drift detected - model rollback recommended"
+HISTORY_LENGTH = 100
 
 
 def drift_alerts(report: DataFrame, rollback_threshold: float = ROLLBACK_THRESHOLD) -> DataFrame:
-    """A warning row when any feature drifted, plus a critical row when
-    any score exceeds the rollback threshold."""
+    """A warning row when any feature drifted, plus a critical row when any
+    score exceeds the rollback threshold; both with their features' scores.
+
+    One pass over the report: the two lists hold at most one entry per feature
+    of the schema, and the alert rows are made from them."""
+    entry = F.struct("feature", F.format_string("%s:%.9f", "feature", "drift_score").alias("score"))
     agg = report.agg(
-        F.array_sort(F.collect_list(F.when(F.col("drift_detected"), F.col("feature")))).alias("drifted"),
-        F.array_sort(F.collect_list(F.when(F.col("drift_score") > F.lit(rollback_threshold),
-                                           F.col("feature")))).alias("high"))
-    # both lists hold at most one entry per feature of the schema
-    warn = agg.where(F.size("drifted") > 0).select(
-        F.lit("warning").alias("severity"),
-        F.concat(F.lit("Data drift detected in "), F.size("drifted").cast("string"), F.lit(" features")).alias("title"),
-        F.array_join("drifted", ",").alias("features"))
-    crit = agg.where((F.size("drifted") > 0) & (F.size("high") > 0)).select(
-        F.lit("critical").alias("severity"),
-        F.lit("High drift detected - model rollback recommended").alias("title"),
-        F.array_join("high", ",").alias("features"))
-    return warn.unionByName(crit)
+        F.array_sort(F.collect_list(F.when(F.col("drift_detected"), entry))).alias("drifted"),
+        F.array_sort(F.collect_list(F.when(F.col("drift_score") > F.lit(rollback_threshold), entry))).alias("high"))
+
+    def alert(severity: str, title, entries: str):
+        return F.struct(F.lit(severity).alias("severity"), title.alias("title"),
+                        F.array_join(F.transform(entries, lambda e: e["feature"]), ",").alias("features"),
+                        F.array_join(F.transform(entries, lambda e: e["score"]), ",").alias("scores"))
+
+    first, last = WARNING_TITLE
+    warn = alert("warning", F.concat(F.lit(first), F.size("drifted").cast("string"), F.lit(last)), "drifted")
+    crit = alert("critical", F.lit(CRITICAL_TITLE), "high")
+    rows = F.when(F.size("drifted") == 0, F.array().cast(
+        "array<struct<severity:string,title:string,features:string,scores:string>>")).when(
+        F.size("high") == 0, F.array(warn)).otherwise(F.array(warn, crit))
+    return agg.select(F.inline(rows))
+
+
+def alert_history(alerts: DataFrame, ts: str, keep: int = HISTORY_LENGTH) -> DataFrame:
+    """The newest ``keep`` alert rows (per-task top n, then merged)."""
+    return alerts.orderBy(F.col(ts).desc(), F.col("severity")).limit(keep)
 
 
 def overall_drift(report: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

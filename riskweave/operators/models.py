@@ -83,30 +83,38 @@ def score(model: PipelineModel, df: DataFrame, threshold: float | Column | None
 
 
 def evaluate(scored: DataFrame, target_precision: float = 0.95) -> DataFrame:
-    """L07/L04 metrics: ROC-AUC, average precision, tuned threshold (one row).
+    """L04 metrics on validation rows: ROC-AUC, average precision, tuned threshold (one row)."""
+    return _metrics(scored, lambda s: cv.tune_threshold(s, PROB, LABEL, target_precision))
 
-    The scored frame feeds three metric plans; it is persisted so the model is
-    applied once (validation/test sized)."""
+
+def evaluate_test(scored: DataFrame, target_precision: float = 0.95) -> DataFrame:
+    """L07 metrics on test rows: ROC-AUC, average precision, and threshold and recall at the
+    target precision, null where no threshold reaches it (nothing is tuned on test rows)."""
+    return _metrics(scored, lambda s: cv.recall_at_precision(s, PROB, LABEL, target_precision))
+
+
+def _metrics(scored: DataFrame, at_threshold) -> DataFrame:
+    """One row of metrics. The scored frame feeds three plans, so it is cached while they run and released after."""
     scored = scored.select(PROB, LABEL).persist()
-    auc = cv.roc_auc(scored, PROB, LABEL)
-    ap = cv.average_precision(scored, PROB, LABEL)
-    thr = cv.tune_threshold(scored, PROB, LABEL, target_precision)
-    return auc.crossJoin(ap).crossJoin(thr)
+    try:
+        out = cv.roc_auc(scored, PROB, LABEL).crossJoin(cv.average_precision(scored, PROB, LABEL)).crossJoin(at_threshold(scored))
+        return scored.sparkSession.createDataFrame(out.collect(), out.schema)  # one row
+    finally:
+        scored.unpersist()
 
 
 def cross_validate(df: DataFrame, kind: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Fit on k-1 folds, AUC on the held-out fold; mean and population std."""
     from riskweave.operators.split import stratified_folds
     folds = stratified_folds(df, LABEL, "transaction_id", k=k, seed=seed).persist()
-    parts = []
-    for f in range(k):
-        model = fit(folds.where(F.col("fold") != f), kind, seed=seed)
-        parts.append(cv.roc_auc(score(model, folds.where(F.col("fold") == f)), PROB, LABEL)
-                     .withColumn("fold", F.lit(f)))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    aucs = []
+    try:
+        for f in range(k):
+            model = fit(folds.where(F.col("fold") != f), kind, seed=seed)
+            aucs.append((cv.roc_auc(score(model, folds.where(F.col("fold") == f)), PROB, LABEL).first()[0], f))
+    finally:
+        folds.unpersist()
+    return df.sparkSession.createDataFrame(aucs, "roc_auc double, fold int")  # k rows
 
 
 def summarize_cv(fold_scores: DataFrame) -> DataFrame:

@@ -102,8 +102,8 @@ def latency_histogram(df: DataFrame, seconds: str, by: Sequence[str] = (),
     return wide.select(*by, F.inline(buckets), "count", "sum")
 
 
-def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:
-    """Prometheus-style quantile from cumulative buckets.
+def histogram_quantiles(hist: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles from cumulative buckets, all from one pass over the histogram.
 
     Rank = q * total; find the first bucket whose cumulative count >= rank;
     interpolate linearly inside it (lower bound 0 for the first bucket).
@@ -112,19 +112,23 @@ def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> Dat
     g = hist.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("le", "cumulative_count"))).alias("b"))
     # ``b`` holds len(LATENCY_BUCKETS)+1 entries per group: fixed size, not data-sized.
     total = F.element_at(F.col("b"), -1)["cumulative_count"]
-    rank = F.lit(q) * total
-    idx = F.array_position(F.transform("b", lambda e: e["cumulative_count"] >= rank), True)
-    cur = F.element_at("b", idx.cast("int"))
-    prev = F.when(idx > 1, F.element_at("b", (idx - 1).cast("int")))
-    lower = F.coalesce(prev["le"], F.lit(0.0))
-    prev_cnt = F.coalesce(prev["cumulative_count"], F.lit(0))
     last_finite = F.element_at("b", -2)["le"]
-    inside = lower + (cur["le"] - lower) * (rank - prev_cnt) / (cur["cumulative_count"] - prev_cnt)
-    val = (F.when(total == 0, F.lit(None).cast("double"))
-           .when(cur["le"] == float("inf"), last_finite)
-           .when(cur["cumulative_count"] == prev_cnt, cur["le"])
-           .otherwise(inside))
-    return g.select(*by, F.lit(q).alias("quantile"), val.alias("value"))
+
+    def value(q: float):
+        rank = F.lit(float(q)) * total
+        idx = F.array_position(F.transform("b", lambda e: e["cumulative_count"] >= rank), True)
+        cur = F.element_at("b", idx.cast("int"))
+        prev = F.when(idx > 1, F.element_at("b", (idx - 1).cast("int")))
+        lower = F.coalesce(prev["le"], F.lit(0.0))
+        prev_cnt = F.coalesce(prev["cumulative_count"], F.lit(0))
+        inside = lower + (cur["le"] - lower) * (rank - prev_cnt) / (cur["cumulative_count"] - prev_cnt)
+        return (F.when(total == 0, F.lit(None).cast("double"))
+                .when(cur["le"] == float("inf"), last_finite)
+                .when(cur["cumulative_count"] == prev_cnt, cur["le"])
+                .otherwise(inside))
+
+    rows = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), value(q).alias("value")) for q in probs])
+    return g.select(*by, F.inline(rows))
 
 
 def model_quality(df: DataFrame, label: str, pred: str, by: Sequence[str]) -> DataFrame:

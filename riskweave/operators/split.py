@@ -55,6 +55,5 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = 5, seed: i
 
 def split_overlap(split_df: DataFrame, row_id: str) -> DataFrame:
     """Rows of one split whose id appears in another split (expect none)."""
-    a = split_df.select(row_id, F.col("split").alias("_s1"))
-    b = split_df.select(row_id, F.col("split").alias("_s2"))
-    return a.join(b, on=row_id).where(F.col("_s1") < F.col("_s2"))
+    return split_df.groupBy(row_id).agg(F.min("split").alias("_s1"), F.max("split").alias("_s2")).where(
+        F.col("_s1") < F.col("_s2"))

@@ -105,9 +105,10 @@ def hourly_deviation(df: DataFrame, ts: str, label: str, hours: int = 168, limit
 
 
 def daily_spike(df: DataFrame, ts: str, days: int = 7, factor: float = 1.2) -> DataFrame:
-    """Daily request total vs the average of the trailing ``days`` days."""
+    """Daily request total vs the average over the days that have requests
+    among the trailing ``days`` calendar days (one row per day of the span)."""
     daily = df.groupBy(F.to_date(F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("requests"))
-    w = Window.orderBy("day").rowsBetween(-(days - 1), 0)
+    w = Window.orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
     daily = daily.withColumn("avg_7d", F.avg("requests").over(w))
     return daily.withColumn("spike", F.col("requests") > F.lit(factor) * F.col("avg_7d"))
 

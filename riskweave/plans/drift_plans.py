@@ -183,9 +183,11 @@ def q_d05(spark, sf_dir):
 
 
 @register("D06", with_ctes("""SELECT 'warning' AS severity, 'Data drift detected in ' || count(*) || ' features' AS title,
-      string_agg(feature, ',' ORDER BY feature) AS features FROM rep WHERE drift_detected HAVING count(*) > 0
+      string_agg(feature, ',' ORDER BY feature) AS features, string_agg(feature || ':' || format('{:.9f}', drift_score), ',' ORDER BY feature) AS scores
+      FROM rep WHERE drift_detected HAVING count(*) > 0
     UNION ALL
-    SELECT 'critical', 'High drift detected - model rollback recommended', string_agg(feature, ',' ORDER BY feature)
+    SELECT 'critical', 'High drift detected - model rollback recommended', string_agg(feature, ',' ORDER BY feature),
+      string_agg(feature || ':' || format('{:.9f}', drift_score), ',' ORDER BY feature)
       FROM rep WHERE drift_score > 0.2 AND (SELECT count(*) FROM rep WHERE drift_detected) > 0 HAVING count(*) > 0""",
                            extra=_LI_REPORT))
 def q_d06(spark, sf_dir):

@@ -156,7 +156,8 @@ _FEATURE_IDS = {
 
 def _feature_query(cols: list[str], rounded: bool):
     def build(spark, sf_dir):
-        eng = fe.engineer(transactions(spark, sf_dir))
+        tx = transactions(spark, sf_dir)
+        eng = fe.engineer(tx) if set(cols) & set(fe.STAT_FEATURES) else fe.stateless_features(tx)
         out = [r9(c) if rounded else F.col(c) for c in cols]
         return eng.select("transaction_id", *out)
     return build

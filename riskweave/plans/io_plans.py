@@ -92,8 +92,8 @@ def _append_twice(spark, sf_dir, key: str, df_builder):
     df = df_builder(spark, sf_dir)
     first = df.where(F.col("created_at") < F.lit("2024-01-21").cast("timestamp_ntz"))
     second = df.where(F.col("created_at") >= F.lit("2024-01-15").cast("timestamp_ntz"))
-    fl.append_unique(spark, path, first, key)
-    fl.append_unique(spark, path, second.unionByName(second), key)  # overlap and in-batch duplicates
+    fl.append_unique(spark, path, first, key, "created_at")
+    fl.append_unique(spark, path, second.unionByName(second), key, "created_at")  # overlap and in-batch duplicates
     return spark.read.parquet(path)
 
 

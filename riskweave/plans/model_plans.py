@@ -67,8 +67,16 @@ def train_job(spark, sf_dir, kind: str = "logistic_regression"):
     path = scratch_path(spark, f"model-{kind}-{uuid.uuid4().hex[:12]}")
     model.write().overwrite().save(path)
     meta = metrics.select(F.lit(kind).alias("model_type"), F.lit(path).alias("model_path"),
-                          "roc_auc", "average_precision", "threshold", "precision", "recall", "target_reached")
-    return meta
+                          "roc_auc", "average_precision", "threshold", "precision", "recall", "target_reached",
+                          F.lit(SEED).alias("seed"), F.lit(train.count()).alias("train_rows"),
+                          F.lit(0.95).alias("target_precision"), F.array(*[F.lit(c) for c in fe.FEATURE_COLUMNS]).alias("features"))
+    meta.write.parquet(_meta_path(path))
+    return spark.read.schema(meta.schema).parquet(_meta_path(path))
+
+
+def _meta_path(model_path: str) -> str:
+    """The one-row metadata table saved beside a model."""
+    return f"{model_path}.meta"
 
 
 @register("L04")
@@ -85,23 +93,26 @@ def q_l05(spark, sf_dir):
         try:
             m = train_job(spark, sf_dir, kind).withColumn("error", F.lit(None).cast("string"))
         except Exception as e:  # recorded as a failed run
-            m = spark.createDataFrame([(kind, str(e)[:200])], "model_type string, error string")
+            m = spark.createDataFrame([(kind, str(e))], "model_type string, error string")
         rows = m if rows is None else rows.unionByName(m, allowMissingColumns=True)
     return rows
 
 
-# Saved artifacts of this application, like a registry's "latest model": jobs
-# that score or evaluate load the artifact instead of retraining.
-_ARTIFACTS: dict[tuple[str, str], tuple[str, float]] = {}
+# Where this application last saved a model for a dataset; threshold and all else
+# are read from the metadata table saved beside it.
+_ARTIFACTS: dict[tuple[str, str], str] = {}
 
 
 def _saved_model(spark, sf_dir):
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _ARTIFACTS:
-        meta = train_job(spark, sf_dir).first()
-        _ARTIFACTS[k] = (meta["model_path"], meta["threshold"])
-    path, thr = _ARTIFACTS[k]
-    return PipelineModel.load(path), thr
+        _ARTIFACTS[k] = train_job(spark, sf_dir).first()["model_path"]
+    return load_saved(spark, _ARTIFACTS[k])
+
+
+def load_saved(spark, path: str):
+    """(model, threshold) of a saved model, from its folder and the metadata beside it."""
+    return PipelineModel.load(path), spark.read.parquet(_meta_path(path)).first()["threshold"]
 
 
 @register("L06")
@@ -119,7 +130,7 @@ def q_l07(spark, sf_dir):
     model, thr = _saved_model(spark, sf_dir)
     scored = ml.score(model, test, thr)
     conf = rp.confusion_counts(scored, "is_fraud", "fraud_label")
-    return ml.evaluate(scored).crossJoin(conf)
+    return ml.evaluate_test(scored).crossJoin(conf)
 
 
 # Illustrative linear model for the contribution report.

@@ -141,10 +141,7 @@ def q_a15(spark, sf_dir):
     """Latency quantiles (.5/.95/.99) interpolated from the histogram buckets."""
     logs = prediction_logs(spark, sf_dir).withColumn("latency_s", F.col("processing_time_ms") / 1000)
     h = rp.latency_histogram(logs, "latency_s", by=["model_type"])
-    out = None
-    for q in (0.5, 0.95, 0.99):
-        part = rp.histogram_quantile(h, q, by=["model_type"])
-        out = part if out is None else out.unionByName(part)
+    out = rp.histogram_quantiles(h, (0.5, 0.95, 0.99), by=["model_type"])
     return out.select("model_type", "quantile", r9("value"))
 
 

@@ -16,9 +16,10 @@ from riskweave.sources.tables import MODEL_TYPES, prediction_logs, transactions,
 ALERT_RULES = [
     ("latency_p95_seconds", ">", 0.5, "warning"),
     ("latency_p99_seconds", ">", 1.0, "critical"),
-    ("accuracy", "<", 0.8, "warning"),
+    ("reuse_rate", "<", 0.5, "warning"),
+    ("accuracy", "<", 0.8, "critical"),
     ("fraud_predictions", ">", 100.0, "warning"),
-    ("invocations", ">", 10000.0, "warning"),
+    ("invocations_per_hour", ">", 10000.0, "info"),
 ]
 
 
@@ -77,7 +78,7 @@ def q_w05(spark, sf_dir):
 @register("W06", with_ctes("""SELECT day, requests, round(avg(requests) OVER w, 9) AS avg_7d,
     requests > 1.2 * avg(requests) OVER w AS spike
     FROM (SELECT CAST(created_at AS DATE) AS day, count(*) AS requests FROM logs GROUP BY 1)
-    WINDOW w AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""", "logs"))
+    WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)""", "logs"))
 def q_w06(spark, sf_dir):
     """Daily request total vs the trailing 7-day average (spike flag)."""
     return wn.daily_spike(prediction_logs(spark, sf_dir), "created_at").select("day", "requests", r9("avg_7d"), "spike")
@@ -120,7 +121,10 @@ _W09_METRICS = """m AS (
   UNION ALL SELECT 'accuracy', CAST(created_at AS DATE), avg(CASE WHEN fraud_label = is_fraud THEN 1.0 ELSE 0.0 END)
          FROM logs GROUP BY 2
   UNION ALL SELECT 'fraud_predictions', CAST(created_at AS DATE), CAST(sum(fraud_label) AS DOUBLE) FROM logs GROUP BY 2
-  UNION ALL SELECT 'invocations', CAST(created_at AS DATE), CAST(count(*) AS DOUBLE) FROM logs GROUP BY 2)"""
+  UNION ALL SELECT 'reuse_rate', CAST(created_at AS DATE),
+         (count(*) - count(DISTINCT (user_id, amount, hour, device_score, country_risk))) / greatest(count(*), 1) FROM logs GROUP BY 2
+  UNION ALL SELECT 'invocations_per_hour', CAST(h AS DATE), CAST(max(n) AS DOUBLE)
+         FROM (SELECT date_trunc('hour', created_at) AS h, count(*) AS n FROM logs GROUP BY 1) GROUP BY 2)"""
 
 
 def _rules_sql() -> str:

@@ -61,21 +61,23 @@ def pair_by_position(spark: SparkSession, x_path: str, y_path: str, x_schema: St
     return numbered(x_path, x_schema).join(numbered(y_path, y_schema), "row_id")
 
 
-def append_unique(spark: SparkSession, table_path: str, batch: DataFrame, key: str) -> dict:
-    """Append rows whose ``key`` is new; in-batch duplicates keep one row.
+def append_unique(spark: SparkSession, table_path: str, batch: DataFrame, key: str, order: str) -> dict:
+    """Append rows whose ``key`` is new; of in-batch duplicates the first by ``order`` stays.
 
-    Returns counts of appended and rejected rows (the reference raises instead).
+    Ties go to the least row. Returns the counts of appended and rejected rows.
     """
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(table_path)
     exists = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    dedup = batch.dropDuplicates([key])
+    rest = [c for c in batch.columns if c != key]
+    row = F.struct(order, *[c for c in rest if c != order])  # the order column leads, so the least struct is the first row
+    dedup = batch.groupBy(key).agg(F.min(row).alias("_r")).select(key, "_r.*").select(*batch.columns)
     new = dedup.join(spark.read.parquet(table_path).select(key), key, "left_anti") if exists else dedup
     # materialise the new rows before appending: the anti-join reads the target table
     staged = new.checkpoint(eager=True)
     appended = staged.count()
     staged.write.mode("append").parquet(table_path)
-    return {"appended": appended}
+    return {"appended": appended, "rejected": batch.count() - appended}
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -3,8 +3,7 @@
 Stateless work (validation, features with frozen statistics, scoring,
 projection) is a plain streaming projection. Counters and rates are
 watermarked window aggregations in ``update`` mode. Per-key sequential
-logic that has no aggregate form (rate limiting over a sliding minute, score
-reuse with a tiered expiry) is ``applyInPandasWithState``: one small state
+logic that has no aggregate form (score reuse with a tiered expiry) is ``applyInPandasWithState``: one small state
 per key, pruned as time passes, with an event-time timeout that drops idle
 keys once the watermark passes them.
 """
@@ -64,40 +63,6 @@ def live_rolling_rate(stream: DataFrame, watermark: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("fraud_label").alias("frauds"))
 
 
-RATE_OUT = "transaction_id long, requests_last_minute long, rate_limited boolean"
-RATE_STATE = "times array<long>"
-
-
-def _rate_limit_fn(window_us: int, limit: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs)).sort_values(["t", "transaction_id"])
-        out_cnt = []
-        for t in rows["t"].tolist():
-            times = [x for x in times if t - x < window_us]  # keep now - t < window
-            times.append(t)
-            out_cnt.append(len(times))
-        state.update((times,))
-        last = int(rows["t"].max())
-        state.setTimeoutTimestamp(last // 1000 + window_us // 1000)
-        yield pd.DataFrame({"transaction_id": rows["transaction_id"].astype("int64").values,
-                            "requests_last_minute": out_cnt,
-                            "rate_limited": [c > limit for c in out_cnt]})
-    return fn
-
-
-def live_rate_limit(stream: DataFrame, watermark: str, seconds: int = 60, limit: int = 100) -> DataFrame:
-    """Per-user sliding-minute request count with pruned keyed state."""
-    from riskweave.operators.windows import micros
-    s = stream.withWatermark("event_time", watermark).withColumn("t", micros("created_at"))
-    return s.select("user_id", "transaction_id", "t", "event_time").groupBy("user_id").applyInPandasWithState(
-        _rate_limit_fn(seconds * 1_000_000, limit), RATE_OUT, RATE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
 REUSE_OUT = "prediction_id string, cache_hit boolean, ttl_seconds int"
 REUSE_STATE = "expires_us long"
 
@@ -178,11 +143,9 @@ def canary_health_sink(state_path: str, start, new: str = "v2", **criteria):
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            prev_rows = spark.read.schema(CANARY_STATE).parquet(state_path).where(F.col("batch_id") < batch_id) \
-                .orderBy(F.col("batch_id").desc()).limit(1).collect()
-        except Exception:  # first batch: no state yet
-            prev_rows = []
+        # no folder yet: first batch. A state that exists but can't be read is an error.
+        prev_rows = spark.read.schema(CANARY_STATE).parquet(state_path).where(F.col("batch_id") < batch_id) \
+            .orderBy(F.col("batch_id").desc()).limit(1).collect() if path_exists(spark, state_path) else []
         prev = prev_rows[0].asDict() if prev_rows else {"n": 0, "err": 0, "lat": 0.0, "status": "active",
                                                         "decided_at": None, "canary_requests": None,
                                                         "error_rate": None, "avg_latency_ms": None}
@@ -208,12 +171,13 @@ def final_canary_state(spark, state_path: str) -> DataFrame:
     return last.select("s.status", "s.decided_at", "s.canary_requests", "s.error_rate", "s.avg_latency_ms")
 
 
-def rate_limit_sink(out_path: str, state_path: str, seconds: int = 60, limit: int = 100,
+def rate_limit_sink(out_path: str, state_path: str, seconds: int = 60, limit: int = 100, late_seconds: int = 10 * 86_400,
                     key: str = "user_id", ts: str = "created_at", row_id: str = "transaction_id"):
     """T05 without per-key Python: a foreachBatch step over DataFrame windows.
 
     The state is a table of each key's rows from its last ``seconds`` (what a
-    future request can still see). Each batch unions it as context with the new
+    future request can still see), without keys that were idle for longer than
+    ``late_seconds`` plus the window, counted from the newest row. Each batch unions it as context with the new
     rows, counts with the skew-safe chunked trailing window (a hot key is split
     by time chunk, not funnelled into one task), writes its output and the
     pruned state under its batch id (a replayed batch overwrites its own
@@ -238,12 +202,19 @@ def rate_limit_sink(out_path: str, state_path: str, seconds: int = 60, limit: in
         out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         t = micros(ts)
         latest = rows.groupBy(key).agg(F.max(t).alias("_last"))
-        keep = rows.join(latest, key).where(t > F.col("_last") - F.lit(window_us)).select(*cols)
+        newest = rows.agg(F.max(t)).first()[0]
+        horizon = (newest or 0) - late_seconds * 1_000_000 - window_us
+        keep = rows.join(latest, key).where(t > F.greatest(F.col("_last") - F.lit(window_us), F.lit(horizon))).select(*cols)
         keep.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
         rows.unpersist()
     return step
 
 
+def path_exists(spark, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _batch_dirs(spark, path: str) -> list[int]:
     """Batch ids of ``path/batch_id=N`` folders (a listing, no data read)."""
     jvm = spark.sparkContext._jvm

@@ -62,9 +62,11 @@ def run_available_now(writer: DataStreamWriter, checkpoint: str, timeout_s: int
 
 
 def append_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: append the batch rows with their batch id."""
+    """foreachBatch sink: the batch rows in a folder of their batch id (read back as column ``batch_id``).
+
+    A batch that runs again after a failure replaces its own folder."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return sink
 
 

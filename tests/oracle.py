@@ -108,7 +108,7 @@ def compare(spark_df, con, sql: str) -> dict:
             if not all(_close(x, y) for x, y in zip(a, b)):
                 mism = (a, b)
                 break
-    res["ok"] = len(ks) == len(ko) and mism is None
+    res["ok"] = len(ks) == len(ko) and mism is None and not tdiff
     res["exact"] = res["ok"] and all(
         all((a == b) or (a is None and b is None) or (isinstance(a, float) and isinstance(b, float)
                                                        and math.isnan(a) and math.isnan(b))

@@ -31,11 +31,7 @@ def test_ttl_tiers():
     assert ttl_for(0.3) == 3600 and ttl_for(0.7) == 3600 and ttl_for(0.2) == 3600
 
 
-import pytest
-
-
-@pytest.mark.parametrize("impl", ["keyed_state", "foreach_batch"])
-def test_rate_limit_resumes_from_checkpoint(spark, impl):
+def test_rate_limit_resumes_from_checkpoint(spark):
     """Stop after part of the input, restart on the same checkpoint with more
     files: the combined output equals the batch twin over all rows."""
     import tempfile
@@ -56,11 +52,7 @@ def test_rate_limit_resumes_from_checkpoint(spark, impl):
 
     def run():
         stream = rt.event_time(rt.read_stream(spark, src, tx.schema), "created_at")
-        if impl == "keyed_state":
-            rt.run_available_now(jobs.live_rate_limit(stream, "10 days").writeStream.format("parquet")
-                                 .option("path", sink).outputMode("append"), ck)
-        else:
-            rt.run_available_now(stream.writeStream.foreachBatch(jobs.rate_limit_sink(sink, sink + "-state")), ck)
+        rt.run_available_now(stream.writeStream.foreachBatch(jobs.rate_limit_sink(sink, sink + "-state")), ck)
 
     rt.stage_files(first, src, "created_at", chunks=2)
     run()
@@ -72,3 +64,39 @@ def test_rate_limit_resumes_from_checkpoint(spark, impl):
     want = {r.transaction_id: r.requests_last_minute for r in rate_limit(tx).collect()}
     assert 0 < n_first < len(want)
     assert got == want
+
+
+def test_replayed_batch_writes_the_same_rows(spark, tmp_path):
+    from riskweave.streaming import runtime as rt
+    sink = rt.append_batches(f"{tmp_path}/sink")
+    batch = spark.range(1000)
+    sink(batch, 0)
+    sink(batch, 0)
+    sink(spark.range(10), 1)
+    rows = spark.read.parquet(f"{tmp_path}/sink")
+    assert {r["batch_id"]: r["count"] for r in rows.groupBy("batch_id").count().collect()} == {0: 1000, 1: 10}
+
+
+def test_idle_keys_leave_the_rate_limit_state(spark, tmp_path):
+    from riskweave.streaming import jobs
+    step = jobs.rate_limit_sink(f"{tmp_path}/out", f"{tmp_path}/state", late_seconds=3600)
+    schema = "user_id long, transaction_id long, created_at string"
+    for k, day in enumerate(("2023-01-01", "2024-01-01", "2025-01-01")):
+        rows = spark.createDataFrame([(k, k, f"{day} 00:00:00")], schema)
+        step(rows.withColumn("created_at", rows["created_at"].cast("timestamp_ntz")), k)
+    assert [r["user_id"] for r in spark.read.parquet(f"{tmp_path}/state/batch_id=2").collect()] == [2]
+
+
+def test_unreadable_canary_state_is_an_error(spark, tmp_path):
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+    from riskweave.streaming import jobs
+    os.makedirs(f"{tmp_path}/state")
+    with open(f"{tmp_path}/state/part-0.parquet", "w") as f:
+        f.write("broken")
+    step = jobs.canary_health_sink(f"{tmp_path}/state", F.lit("2024-01-01").cast("timestamp_ntz"))
+    with pytest.raises(Exception):
+        step(spark.range(1).selectExpr("'v2' AS variant", "200 AS status_code", "1.0D AS processing_time_ms",
+                                       "timestamp_ntz'2024-01-01' AS created_at", "id AS transaction_id"), 0)
