@@ -3,8 +3,8 @@
 All numeric features are unpivoted to ``(feature, value)`` so one grouped
 job covers every feature, instead of a driver loop of per-column jobs.
 
-* KS (D01): both samples tagged, grouped by (feature, value), running sums
-  by ``prefix_sums`` partitioned by feature -> max |ECDF_ref - ECDF_cur|.
+* One table of counts by (feature, value) of both samples serves them all.
+* KS (D01): running sums by ``prefix_sums`` partitioned by feature -> max |ECDF_ref - ECDF_cur|.
 * PSI (D02): reference decile edges from exact distributed quantiles;
   each value's bin = number of edges <= value (last bin closed); values
   outside the reference range stay in the denominator only.
@@ -33,12 +33,20 @@ def to_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Dat
     return long.where(F.col("value").isNotNull())
 
 
-def two_sample_prefix(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
-    """Per (feature, value): counts and running counts of both samples."""
+def two_sample_counts(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
+    """Per (feature, value): rows of both samples (r, c). Everything about a feature derives from this table."""
     both = ref_long.select("feature", "value", F.lit(1).alias("_r"), F.lit(0).alias("_c")).unionByName(
         cur_long.select("feature", "value", F.lit(0).alias("_r"), F.lit(1).alias("_c")))
-    return prefix_sums(both, "value", {"r": F.col("_r").cast("long"), "c": F.col("_c").cast("long")},
-                       by=["feature"])
+    return both.groupBy("feature", "value").agg(F.sum("_r").cast("long").alias("r"), F.sum("_c").cast("long").alias("c"))
+
+
+def two_sample_prefix(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
+    """Per (feature, value): counts and running counts of both samples."""
+    return _prefix(two_sample_counts(ref_long, cur_long))
+
+
+def _prefix(counts: DataFrame) -> DataFrame:
+    return prefix_sums(counts, "value", {"r": "r", "c": "c"}, by=["feature"], unique_keys=True)
 
 
 def ks_from_prefix(cum: DataFrame) -> DataFrame:
@@ -85,33 +93,76 @@ def _bin_counts(long: DataFrame, edges: DataFrame, keys: list[str], prefix: str)
         *[F.count_if(F.col("_bin") == i).alias(f"{prefix}_{i}") for i in range(MAX_BINS)])
 
 
-def psi_numeric(ref_long: DataFrame, cur_long: DataFrame, group: Sequence[str] = (),
-                edges: DataFrame | None = None) -> DataFrame:
+def psi_numeric(ref_long: DataFrame, cur_long: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """PSI per feature (and per ``group`` columns of the current side,
     e.g. a time window) against fixed reference edges.
 
+    Without groups it comes from the two-sample counts (``numeric_profile``).
+
     Each side is one grouped pass producing a row per (group, feature) with its
     total and up to 10 bin counts; values outside the reference range count in
     the total only. PSI is then a fixed sum over the bin columns.
     """
     group = list(group)
-    edges = edges if edges is not None else psi_edges(ref_long)
-    # edges: one row per feature with <= len(PSI_PROBS) values, bounded by the schema
-    # width; materialised once and broadcast.
-    spark = ref_long.sparkSession
-    edges = spark.createDataFrame(edges.collect(), edges.schema)
+    if not group:
+        return numeric_profile(ref_long, cur_long).select("feature", "psi")
+    # one row per feature with at most len(PSI_PROBS) values: bounded by the schema's width
+    edges = psi_edges(ref_long)
     ref = _bin_counts(ref_long, edges, [], "r")       # one row per feature
     cur = _bin_counts(cur_long, edges, group, "c")    # one row per (group, feature)
     j = cur.join(F.broadcast(ref), "feature").join(F.broadcast(edges.select("feature", "m")), "feature")
+    # a reference with a single edge has no bins: psi 0
+    return j.select(*group, "feature", _psi_of_bins().alias("psi"))
+
+
+def _psi_of_bins():
+    """PSI from the columns r_i, c_i, r_tot, c_tot and the number of bins m."""
     terms = []
     for i in range(MAX_BINS):
-        r = F.col(f"r_{i}") / F.col("r_tot")
-        c = F.col(f"c_{i}") / F.col("c_tot")
+        r, c = F.try_divide(F.col(f"r_{i}"), F.col("r_tot")), F.try_divide(F.col(f"c_{i}"), F.col("c_tot"))
         r = F.when(r == 0, F.lit(EPS)).otherwise(r)
         c = F.when(c == 0, F.lit(EPS)).otherwise(c)
         terms.append(F.when(F.lit(i) < F.col("m"), (c - r) * F.log(c / r)).otherwise(F.lit(0.0)))
-    # a reference with a single edge has no bins: psi 0
-    return j.select(*group, "feature", sum(terms[1:], terms[0]).alias("psi"))
+    return sum(terms[1:], terms[0])
+
+
+def numeric_profile(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
+    """Per feature of the reference: ref_n, curr_n, KS statistic, PSI, means and standard deviations.
+
+    Each side is read once. The counts by (feature, value) feed two passes over
+    the same exchange: running counts give KS, the reference's decile edges and
+    the means; with those rows (one per feature) at hand, the counts give the
+    bins and the squared deviations.
+    """
+    counts = two_sample_counts(ref_long, cur_long)
+    cum = _prefix(counts)
+    gap = F.abs(F.try_divide(F.col("cum_r"), F.col("total_r")) - F.try_divide(F.col("cum_c"), F.col("total_c")))
+    last, upto = F.col("total_r") - 1, F.col("cum_r") - 1
+    ends = []
+    for i, p in enumerate(PSI_PROBS):  # the values at the two ranks around each decile of the reference
+        for name, rank in (("lo", F.floor(F.lit(p) * last)), ("hi", F.ceil(F.lit(p) * last))):
+            ends.append(F.max(F.when(rank.between(F.col("cum_r") - F.col("r"), upto), F.col("value"))).alias(f"_{name}{i}"))
+    first = cum.groupBy("feature").agg(
+        F.max(gap).alias("ks_statistic"), F.max("total_r").alias("ref_n"), F.max("total_c").alias("curr_n"),
+        F.try_divide(F.sum(F.col("value") * F.col("r")), F.max("total_r")).alias("ref_mean"),
+        F.try_divide(F.sum(F.col("value") * F.col("c")), F.max("total_c")).alias("curr_mean"), *ends)
+    n1 = F.col("ref_n") - 1
+    edge = [F.when(F.floor(F.lit(p) * n1) == F.ceil(F.lit(p) * n1), F.col(f"_lo{i}")).otherwise(
+        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (F.lit(p) * n1 - F.floor(F.lit(p) * n1)))
+        for i, p in enumerate(PSI_PROBS)]
+    kept = ["ks_statistic", "ref_n", "curr_n", "ref_mean", "curr_mean"]
+    stats = first.select("feature", *kept, F.array_compact(F.array_distinct(F.array(*edge))).alias("edges")).withColumn(
+        "m", F.greatest(F.size("edges") - 1, F.lit(0)))
+    # stats: one row per feature, bounded by the schema's width
+    binned = counts.join(F.broadcast(stats), "feature").withColumn("_k", _edge_count()).withColumn("_bin", _bin_of())
+    squares = [F.sum(F.col(n) * F.pow(F.col("value") - F.col(m), F.lit(2.0))).alias(f"_{n}2") for n, m in (("r", "ref_mean"), ("c", "curr_mean"))]
+    wide = binned.groupBy("feature").agg(
+        *[F.first(c).alias(c) for c in (*kept, "m")], F.sum("r").alias("r_tot"), F.sum("c").alias("c_tot"), *squares,
+        *[F.sum(F.when(F.col("_bin") == i, F.col(n)).otherwise(0)).alias(f"{n}_{i}") for n in ("r", "c") for i in range(MAX_BINS)])
+    return wide.where(F.col("ref_n") > 0).select(
+        "feature", "ref_n", "curr_n", "ks_statistic", _psi_of_bins().alias("psi"), "ref_mean", "curr_mean",
+        *[F.when(F.col(n) > 1, F.sqrt(F.col(s) / (F.col(n) - 1))).alias(o)
+          for n, s, o in (("ref_n", "_r2", "ref_std"), ("curr_n", "_c2", "curr_std"))])
 
 
 def category_distributions(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
@@ -134,19 +185,32 @@ def category_frequencies(df: DataFrame, col: str) -> DataFrame:
     return cnt.crossJoin(F.broadcast(total)).select(F.col(col).alias("value"), (F.col("_n") / F.col("_t")).alias("freq"))
 
 
-def psi_categorical(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
-    """PSI over the union of categories, empty frequency -> 0.0001."""
-    d = category_distributions(ref, cur, col)
-    r = F.when(F.col("ref_freq") == 0, F.lit(EPS)).otherwise(F.col("ref_freq"))
-    c = F.when(F.col("cur_freq") == 0, F.lit(EPS)).otherwise(F.col("cur_freq"))
-    # no category on either side: nothing has shifted
-    return d.agg(F.coalesce(F.sum((c - r) * F.log(c / r)), F.lit(0.0)).alias("psi")).select(F.lit(col).alias("feature"), "psi")
+def category_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """PSI per column over the union of its categories, empty frequency -> 0.0001.
 
+    One grouped pass over both sides for all columns. A column without values
+    on either side has not shifted: 0.
+    """
+    def long(df: DataFrame, r: int, c: int) -> DataFrame:
+        text = df.select(*[F.col(x).cast("string").alias(x) for x in cols])
+        return text.unpivot([], list(cols), "feature", "value").where(F.col("value").isNotNull()).select(
+            "feature", "value", F.lit(r).alias("_r"), F.lit(c).alias("_c"))
+
+    counts = long(ref, 1, 0).unionByName(long(cur, 0, 1)).groupBy("feature", "value").agg(
+        F.sum("_r").alias("r"), F.sum("_c").alias("c"))
+    # one row per column: bounded by the schema's width
+    totals = counts.groupBy("feature").agg(F.sum("r").alias("_tr"), F.sum("c").alias("_tc"))
+    r, c = F.try_divide(F.col("r"), F.col("_tr")), F.try_divide(F.col("c"), F.col("_tc"))
+    r = F.when(F.coalesce(r, F.lit(0.0)) == 0, F.lit(EPS)).otherwise(r)
+    c = F.when(F.coalesce(c, F.lit(0.0)) == 0, F.lit(EPS)).otherwise(c)
+    psi = counts.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
+    names = ref.sparkSession.createDataFrame([(x,) for x in cols], "feature string")
+    return names.join(psi, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
-def moments(long: DataFrame, prefix: str) -> DataFrame:
-    return long.groupBy("feature").agg(F.avg("value").alias(f"{prefix}_mean"),
-                                       F.stddev_samp("value").alias(f"{prefix}_std"),
-                                       F.count(F.lit(1)).alias(f"{prefix}_n"))
+
+def psi_categorical(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
+    """D03 of one column."""
+    return category_psi(ref, cur, [col])
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
@@ -167,8 +231,7 @@ def drift_report(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
     if present:
         rl, cl = to_long(ref, present), to_long(cur, present)
         feats = spark.createDataFrame([(c,) for c in present], "feature string")
-        st = feats.join(moments(rl, "ref"), "feature", "left").join(moments(cl, "curr"), "feature", "left")
-        st = st.join(ks_statistics(rl, cl), "feature", "left").join(psi_numeric(rl, cl), "feature", "left")
+        st = feats.join(numeric_profile(rl, cl), "feature", "left")
         empty = F.coalesce(F.col("ref_n"), F.lit(0)).eqNullSafe(0) | F.coalesce(F.col("curr_n"), F.lit(0)).eqNullSafe(0)
         score = F.greatest(F.col("ks_statistic"), F.col("psi") / 10)
         parts.append(st.select(
@@ -179,13 +242,12 @@ def drift_report(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
             F.when(empty, F.lit(False)).otherwise(score > F.lit(threshold)).alias("drift_detected"),
             F.when(~empty, F.col("ref_mean")).alias("ref_mean"), F.when(~empty, F.col("curr_mean")).alias("curr_mean"),
             F.when(~empty, F.col("ref_std")).alias("ref_std"), F.when(~empty, F.col("curr_std")).alias("curr_std")))
-    for c in categorical:
-        if c in cur.columns:
-            p = psi_categorical(ref, cur, c)
-            parts.append(p.select(
-                "feature", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("ks_statistic"),
-                "psi", F.col("psi").alias("drift_score"), (F.col("psi") > F.lit(threshold)).alias("drift_detected"),
-                *[F.lit(None).cast("double").alias(n) for n in ("ref_mean", "curr_mean", "ref_std", "curr_std")]))
+    there = [c for c in categorical if c in cur.columns]
+    if there:
+        parts.append(category_psi(ref, cur, there).select(
+            "feature", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("ks_statistic"),
+            "psi", F.col("psi").alias("drift_score"), (F.col("psi") > F.lit(threshold)).alias("drift_detected"),
+            *[F.lit(None).cast("double").alias(n) for n in ("ref_mean", "curr_mean", "ref_std", "curr_std")]))
     if missing:
         parts.append(spark.createDataFrame(
             [(m, "missing", None, None, 1.0, True, None, None, None, None) for m in missing], schema))
