@@ -3,9 +3,11 @@ importance ranking (M09) and top-k contributions (W17)."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import features as fe
@@ -62,14 +64,20 @@ def q_l03(spark, sf_dir):
 def train_job(spark, sf_dir, kind: str = "logistic_regression"):
     """Split -> fit stats -> features -> fit -> val metrics -> tuned threshold -> save + metadata."""
     train, val, _ = frames(spark, sf_dir)
+    began = time.perf_counter()
     model = ml.fit(train, kind, seed=SEED)
+    seconds = time.perf_counter() - began
     metrics = ml.evaluate(ml.score(model, val))
+    # one entry per model feature: schema-sized
+    weights = [F.struct(F.lit(n).alias("feature"), F.lit(float(v)).alias("importance"))
+               for n, v in ml.feature_importances(model, fe.FEATURE_COLUMNS)]
     path = scratch_path(spark, f"model-{kind}-{uuid.uuid4().hex[:12]}")
     model.write().overwrite().save(path)
     meta = metrics.select(F.lit(kind).alias("model_type"), F.lit(path).alias("model_path"),
                           "roc_auc", "average_precision", "threshold", "precision", "recall", "target_reached",
                           F.lit(SEED).alias("seed"), F.lit(train.count()).alias("train_rows"),
-                          F.lit(0.95).alias("target_precision"), F.array(*[F.lit(c) for c in fe.FEATURE_COLUMNS]).alias("features"))
+                          F.lit(0.95).alias("target_precision"), F.array(*[F.lit(c) for c in fe.FEATURE_COLUMNS]).alias("features"),
+                          F.array(*weights).alias("importances"), F.lit(seconds).alias("training_seconds"))
     meta.write.parquet(_meta_path(path))
     return spark.read.schema(meta.schema).parquet(_meta_path(path))
 
@@ -87,7 +95,7 @@ def q_l04(spark, sf_dir):
 
 @register("L05")
 def q_l05(spark, sf_dir):
-    """Train every model family and compare; a failing fit is recorded, not fatal."""
+    """Train every model family and compare, the best by each metric marked; a failing fit is recorded, not fatal."""
     rows = None
     for kind in MODEL_TYPES:
         try:
@@ -95,7 +103,9 @@ def q_l05(spark, sf_dir):
         except Exception as e:  # recorded as a failed run
             m = spark.createDataFrame([(kind, str(e))], "model_type string, error string")
         rows = m if rows is None else rows.unionByName(m, allowMissingColumns=True)
-    return rows
+    best = lambda metric: F.row_number().over(  # noqa: E731  a row per model family
+        Window.orderBy(F.col(metric).desc_nulls_last(), "model_type")) == 1
+    return rows.withColumns({"best_by_roc_auc": best("roc_auc"), "best_by_average_precision": best("average_precision")})
 
 
 # Where this application last saved a model for a dataset; threshold and all else

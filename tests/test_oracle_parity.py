@@ -30,7 +30,8 @@ def _rates(rows, *names):
 
 # what each query without SQL must hold on sf0.001
 CHECKS = {
-    "L05": lambda rows: len(rows) >= 3 and all(r["error"] is None for r in rows) and _rates(rows, "roc_auc", "average_precision"),
+    "L05": lambda rows: len(rows) >= 3 and all(r["error"] is None for r in rows) and _rates(rows, "roc_auc", "average_precision")
+    and sum(r["best_by_roc_auc"] for r in rows) == 1 and all(len(r["importances"]) == 19 for r in rows),
     "M08": lambda rows: len(rows) == 5 and sorted(r["fold"] for r in rows) == list(range(5)) and _rates(rows, "roc_auc"),
     "M09": lambda rows: len(rows) == 19 and [r["importance"] for r in rows] == sorted((r["importance"] for r in rows), reverse=True),
     "L04": lambda rows: len(rows) == 1 and _rates(rows, "roc_auc", "average_precision", "recall") and rows[0]["train_rows"] > 0,
