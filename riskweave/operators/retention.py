@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.sources.files import write_archive
+from riskweave.sources.files import content_sum, read_archive, write_archive
 
 
 def archive_old(spark: SparkSession, df: DataFrame, ts: str, cutoff: str, archive_path: str, keep_path: str,
                 dry_run: bool = False) -> DataFrame:
     """Rows with ts < cutoff go to a gzip JSON archive, the rest to a new
-    keep table; the archive is written and counted before anything is dropped.
+    keep table; the archive is written, read back and compared (rows and
+    content) before anything is dropped.
 
     The source is never overwritten while it is read: the keep-set goes to a
     new path that replaces the source only after verification.
     """
     cut = F.lit(cutoff).cast("timestamp_ntz")
     old = df.where(F.col(ts) < cut)
-    n_old = old.count()
+    wanted = content_sum(old, df.columns)
+    n_old = wanted[0]
     if dry_run:
         return spark.createDataFrame([(n_old, None, False)], "archived long, kept long, verified boolean")
     write_archive(old, archive_path, ts)
-    n_written = spark.read.json(archive_path).count()
-    verified = n_written == n_old
+    written = content_sum(read_archive(spark, archive_path, df.schema), df.columns)
+    n_written, verified = written[0], written == wanted
     kept = None
     if verified:
         df.where(F.col(ts) >= cut).write.mode("overwrite").parquet(keep_path)

@@ -125,14 +125,19 @@ def q_s09(spark, sf_dir):
     return spark.read.schema(rep.schema).json(path)
 
 
-@register("S10", with_ctes("SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM logs GROUP BY 1",
-                           "logs"))
+@register("S10", with_ctes("""SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, round(sum(amount), 6) AS amount,
+    round(sum(fraud_probability), 6) AS fraud_probability, min(prediction_id) AS first_id, max(created_at) AS last_at
+    FROM logs GROUP BY 1""", "logs"))
 def q_s10(spark, sf_dir):
-    """Compressed archive sink: gzip JSON partitioned by ISO day, counted per day."""
+    """Compressed archive sink: gzip JSON partitioned by ISO day, read back and summed per day."""
     path = _scratch(spark, "s10")
-    fl.write_archive(prediction_logs(spark, sf_dir), path, "created_at")
-    back = spark.read.json(path)
-    return back.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    logs = prediction_logs(spark, sf_dir)
+    fl.write_archive(logs, path, "created_at")
+    back = fl.read_archive(spark, path, logs.schema)
+    return back.groupBy("day").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 6).alias("amount"),
+        F.round(F.sum("fraud_probability"), 6).alias("fraud_probability"), F.min("prediction_id").alias("first_id"),
+        F.max("created_at").alias("last_at"))
 
 
 @register("S12", with_ctes("SELECT prediction_id, round(fraud_probability, 9) AS fraud_probability, created_at, "
@@ -185,4 +190,5 @@ def q_c02(spark, sf_dir):
     fl.write_archive(logs, path, "created_at")
     newest = logs.agg(F.date_format(F.date_sub(F.max(F.to_date("created_at")), 14), "yyyy-MM-dd")).first()[0]
     rt.drop_partitions_before(spark, path, "day", newest)
-    return spark.read.json(path).select(F.date_format("day", "yyyy-MM-dd").alias("day")).distinct()
+    # only the partition column is read
+    return fl.read_archive(spark, path, logs.schema).select("day").distinct()

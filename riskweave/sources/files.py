@@ -7,6 +7,8 @@ table instead of relying on a database constraint.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -91,6 +93,16 @@ def write_archive(df: DataFrame, path: str, ts: str, mode: str = "overwrite") ->
         .partitionBy("day").option("compression", "gzip").options(**TS_OPTS).json(path)
 
 
+def read_archive(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of an archive with their own schema (nothing is inferred) and the partition ``day`` as text."""
+    return spark.read.schema(StructType([*schema.fields, StructField("day", StringType())])).options(**TS_OPTS).json(path)
+
+
+def content_sum(df: DataFrame, columns: Sequence[str]) -> tuple:
+    """(rows, sum of row hashes): equal for the same rows in any order."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
+
+
 def export_json_lines(df: DataFrame, path: str) -> None:
     """Every row as one JSON text line."""
     df.select(F.to_json(F.struct(*df.columns), TS_OPTS).alias("value")).write.mode("overwrite").text(path)
