@@ -140,15 +140,17 @@ def q_s10(spark, sf_dir):
         F.max("created_at").alias("last_at"))
 
 
-@register("S12", with_ctes("SELECT prediction_id, round(fraud_probability, 9) AS fraud_probability, created_at, "
-                           "status_code FROM logs", "logs"))
+_LOG_DOUBLES = ("amount", "device_score", "fraud_probability", "threshold", "processing_time_ms")
+
+
+@register("S12", with_ctes("SELECT * REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in _LOG_DOUBLES) + ") FROM logs", "logs"))
 def q_s12(spark, sf_dir):
-    """Audit export: each log row as a JSON text line, parsed back."""
+    """Audit export: each log row, all columns, as a JSON text line, parsed back."""
     path = _scratch(spark, "s12")
-    logs = prediction_logs(spark, sf_dir).select("prediction_id", "fraud_probability", "created_at", "status_code")
+    logs = prediction_logs(spark, sf_dir)
     fl.export_json_lines(logs, path)
     parsed = spark.read.text(path).select(F.from_json("value", logs.schema, fl.TS_OPTS).alias("r")).select("r.*")
-    return parsed.select("prediction_id", r9("fraud_probability"), "created_at", "status_code")
+    return parsed.select(*[r9(c) if c in _LOG_DOUBLES else c for c in logs.columns])
 
 
 _ITEM = "amount double, _d double, _t double, hour int, device_score double, country_risk int"
