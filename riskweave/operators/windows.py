@@ -83,9 +83,15 @@ def prior_user_stats(df: DataFrame, user: str = "user_id", ts: str = "created_at
 
 def sliding_rate(df: DataFrame, by: Sequence[str], ts: str, label: str, length: str = "1 hour",
                  slide: str = "5 minutes") -> DataFrame:
-    """Count and positive rate per sliding event-time window (a grouped agg)."""
-    w = F.window(ts, length, slide)
-    g = df.groupBy(*by, w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("fraud_rate"))
+    """Count and positive rate per sliding event-time window.
+
+    Rows are summed per slide first, so only those sums, not the rows, are
+    repeated for the windows that hold them.
+    """
+    step = df.groupBy(*by, F.window(ts, slide)["start"].alias("_at")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(label).alias("_known"), F.sum(label).alias("_sum"))
+    g = step.groupBy(*by, F.window("_at", length, slide).alias("w")).agg(
+        F.sum("_n").alias("n"), F.try_divide(F.sum("_sum"), F.sum("_known")).alias("fraud_rate"))
     return g.select(*by, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n", "fraud_rate")
 
