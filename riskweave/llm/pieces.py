@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from riskweave.llm.shingles import text_buffers, text_groups
 
-TABLE_ENTRIES = 1_000_000
-_GROUP_BYTES = 4 << 20
+TABLE_ENTRIES = 300_000
+_GROUP_BYTES = 1 << 20
 _MARK = "▁"
 
 
@@ -103,47 +103,60 @@ class ChunkTable:
         return ids, np.concatenate([[0], np.cumsum(per_text)])
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], text: int, model: str, ids: str) -> Iterator[pa.RecordBatch]:
+    """The batches with a column of ids; ``text`` is the text column's place."""
+    table = ChunkTable(model)
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(text))
+        for lo, hi in text_groups(offsets, _GROUP_BYTES):
+            own, part = offsets[lo:hi + 1], batch.slice(lo, hi - lo)
+            group, bound = data[own[0]:own[-1]], own - own[0]
+            if _MARK.encode() in group.tobytes():  # the library takes it for a blank
+                group, bound = text_buffers(pa.array([t and t.replace(_MARK, " ") for t in part.column(text).to_pylist()], pa.large_string()))
+            flat, ends = table.encode(group, bound)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, ids])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ids: str, model: str, text: str) -> Iterator[pa.RecordBatch]:
+    """The batches with a column of decoded texts."""
+    sp = _processor(model)
+    for batch in batches:
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            texts = [None if x is None else sp.decode(x) for x in part.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+
+
+def _with(frame: DataFrame, *fields: T.StructField) -> T.StructType:
+    return T.StructType([*frame.schema.fields, *fields])
+
+
 def encode(docs: DataFrame, text: str = "text", model: str | None = None, ids: str = "ids") -> DataFrame:
     """Adds ``ids`` (array of int, empty for a null or empty text)."""
-    model = model or default_model()
+    model, at = model or default_model(), docs.columns.index(text)
     check_model(model)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model)
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(names.index(text)))
-            if _MARK.encode() in data.tobytes():  # the library takes it for a blank
-                texts = pa.array([t and t.replace(_MARK, " ") for t in batch.column(names.index(text)).to_pylist()], pa.large_string())
-                data, offsets = text_buffers(texts)
-            for lo, hi in text_groups(offsets, _GROUP_BYTES):
-                own = offsets[lo:hi + 1]
-                flat, bound = table.encode(data[own[0]:own[-1]], own - own[0])
-                lists = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, lists], [*names, ids])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lambda batches: _encoded(batches, at, model, ids),
+                           _with(docs, T.StructField(ids, T.ArrayType(T.IntegerType()))))
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str | None = None, text: str = "decoded") -> DataFrame:
     """Adds ``text``: the library's decode of each id list (null for a null list)."""
     model = model or default_model()
-    names = rows.columns
+    return rows.mapInArrow(lambda batches: _decoded(batches, ids, model, text), _with(rows, T.StructField(text, T.StringType())))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(model)
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                texts = [None if x is None else sp.decode(x) for x in part.column(names.index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, text])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
+def encode_and_decode(docs: DataFrame, text: str = "text", model: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` one after the other in one pass, so a task needs one Python worker."""
+    model, at = model or default_model(), docs.columns.index(text)
+    check_model(model)
+    return docs.mapInArrow(lambda batches: _decoded(_encoded(batches, at, model, ids), ids, model, decoded), _with(
+        docs, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())))
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, through ``encode`` and ``decode``."""
-    both = decode(encode(docs.select("doc_id", F.col("text").alias("_pc_text")), "_pc_text", model).drop("_pc_text"), "ids", model)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, through its ids and their decoded text."""
+    both = encode_and_decode(docs.select("doc_id", "text"), "text", model)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
