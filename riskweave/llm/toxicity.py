@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,12 +269,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fie
         some = usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs if kind else CLEAN_PER_TOXIC * train_docs)
         picked = some if picked is None else picked.union(some)
     # at most (1 + CLEAN_PER_TOXIC) * train_docs rows of an id and a flag, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    toxic = rows["toxic"].to_numpy(bool)
-    field = train([t or "" for t in rows["text"]], toxic)
-    share = dict(usable.groupBy("toxic").count().collect())  # of all labels
-    if len(share) == 2 and toxic.any() and not toxic.all():
-        field.prior = share[True] / share[False] * float((~toxic).sum()) / float(toxic.sum())
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *frames]).sort_values("doc_id")
+        toxic = sample["toxic"].to_numpy(bool)
+        field = train([t or "" for t in sample["text"]], toxic)
+        slots = np.flatnonzero(field.weights)
+        yield pd.DataFrame({"slots": [slots.astype(np.int32).tobytes()], "weights": [field.weights[slots].tobytes()],
+                            "trans": [field.trans.tobytes()], "start": [field.start], "n_toxic": [int(toxic.sum())],
+                            "n_clean": [int((~toxic).sum())]})
+
+    # the bounded sample is learnt from in one task, away from the driver's memory
+    got = rows.coalesce(1).mapInPandas(
+        learn, "slots binary, weights binary, trans binary, start double, n_toxic long, n_clean long").collect()
+    field = Field(np.zeros(TABLE), np.array([[0.0, -60.0], [0.0, -60.0]]), -60.0)
+    if got:
+        (r,) = got
+        field.weights[np.frombuffer(r["slots"], np.int32)] = np.frombuffer(r["weights"])
+        field = Field(field.weights, np.frombuffer(r["trans"]).reshape(2, 2), r["start"])
+        share = dict(usable.groupBy("toxic").count().collect())  # of all labels
+        if len(share) == 2 and r["n_toxic"] and r["n_clean"]:
+            field.prior = share[True] / share[False] * r["n_clean"] / r["n_toxic"]
     return field
 
 
