@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, fingerprints, jaccard, mixing, pieces, quality, toxicity, urls, vectors, warc
+from riskweave.llm import chat, fingerprints, jaccard, mixing, pieces, quality, spelling, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_pieces": pieces.op9_pieces,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_url_filters": urls.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }
