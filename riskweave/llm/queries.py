@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, fingerprints, jaccard, mixing, pieces, quality, spelling, toxicity, urls, vectors, warc
+from riskweave.llm import chat, fingerprints, jaccard, mixing, negatives, pieces, quality, spelling, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pieces": pieces.op9_pieces,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_spelling": spelling.op11_spelling,
+    "op12_negatives": negatives.op12_negatives,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_chat_formatting": chat.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op11_spelling": spelling.OP11_SQL,
+    "op12_negatives": negatives.OP12_SQL,
 }
