@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat, fingerprints, jaccard, mixing, negatives, pieces, quality, spelling, toxicity, urls, vectors, warc
+from riskweave.llm import chat, fingerprints, jaccard, mixing, negatives, pieces, quality, secrets, spelling, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_spelling": spelling.op11_spelling,
     "op12_negatives": negatives.op12_negatives,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op8_mixing": mixing.OP8_SQL,
     "op11_spelling": spelling.OP11_SQL,
     "op12_negatives": negatives.OP12_SQL,
+    "op13_secrets": secrets.OP13_SQL,
 }
