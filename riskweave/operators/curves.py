@@ -27,12 +27,18 @@ def score_table(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -
 
 def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact rank-sum AUC with half credit for ties."""
-    t = score_table(df, score, label, by)
+    return auc_of_table(score_table(df, score, label, by), by)
+
+
+def auc_of_table(t: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """AUC from a ``score_table``."""
     neg_total = F.col("total_n") - F.col("total_pos")
     neg_below = neg_total - (F.col("cum_n") - F.col("cum_pos"))
-    term = F.col("pos") * (neg_below + 0.5 * (F.col("n") - F.col("pos")))
+    # products of two counts pass a long on large tables: as doubles
+    term = F.col("pos").cast("double") * (neg_below + 0.5 * (F.col("n") - F.col("pos")))
+    pairs = F.max("total_pos").cast("double") * F.max(neg_total)
     # a single class has no AUC: NULL instead of a division error
-    return t.groupBy(*by).agg(F.try_divide(F.sum(term), F.max("total_pos") * F.max(neg_total)).alias("roc_auc"))
+    return t.groupBy(*by).agg(F.try_divide(F.sum(term), pairs).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:

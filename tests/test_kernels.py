@@ -230,3 +230,58 @@ def test_trailing_window_with_a_hot_user(spark):
     chunks = tx.where(F.col("user_id") == 1).select(
         F.floor(wn.micros("created_at") / F.lit(86_400_000_000)).alias("c")).distinct().count()
     assert chunks >= 25  # the hot user's window work is split per day
+
+
+def test_sampled_edges_spread_a_narrow_range(spark):
+    """10^6 epoch seconds beside scores within a thousandth of one: no bucket holds 5 % of a group, no job at build."""
+    from riskweave.operators.ranking import edge_bucket, sampled_edges
+    base = spark.range(1_000_000).select(F.when(F.col("id") % 2 == 0, F.col("id") + 1_700_000_000.0).otherwise(1 - 1e-9 * F.col("id")).alias("v"),
+                                         (F.col("id") % 2).alias("g"))
+    edges = sampled_edges(base, "v", ["g"])
+    dealt = base.join(F.broadcast(edges), "g").groupBy("g", edge_bucket(F.col("v"), F.col("_edges"), 64).alias("b")).agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("g", "b").collect()
+    assert len(dealt) == 128 and max(r.n for r in dealt) < 0.05 * 500_000
+    assert all(a.hi < b.lo for a, b in zip(dealt, dealt[1:]) if a.g == b.g)
+    assert [r.asDict() for r in edges.orderBy("g").collect()] == [r.asDict() for r in sampled_edges(base.repartition(7), "v", ["g"]).orderBy("g").collect()]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_prefix_sums_with_edges_equal_plain_window(spark, descending):
+    nan, inf = float("nan"), float("inf")
+    df = spark.range(20_000).select((F.col("id") % 3).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(5000)) / 7 + 1e9).alias("k"))
+    df = df.union(spark.createDataFrame([(0, v) for v in (nan, inf, -inf, 0.0, None)] + [(None, 1.5)], "g long, k double"))
+    w = Window.partitionBy("g").orderBy(F.col("k").desc() if descending else F.col("k").asc())
+    want = df.groupBy("g", "k").agg(F.count("*").alias("c")).withColumn("cum", F.sum("c").over(w))
+    for by in (["g"], []):
+        if not by:
+            want = df.groupBy("k").agg(F.count("*").alias("c")).withColumn("cum", F.sum("c").over(
+                Window.orderBy(F.col("k").desc() if descending else F.col("k").asc())))
+        got = prefix_sums(df, "k", {"c": F.lit(1)}, by=by, descending=descending)
+        rows = lambda d, c: sorted(str((*[r[b] for b in by], r.k, r[c])) for r in d.collect())
+        assert rows(got, "cum_c") == rows(want, "cum")
+
+
+def test_prefix_sums_groups_beyond_the_edge_bound(spark, monkeypatch):
+    from riskweave.operators import ranking
+    monkeypatch.setattr(ranking, "MOST_GROUPS", 1)
+    df = spark.range(30_000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("k"))
+    got = prefix_sums(df, "k", {"c": F.lit(1)}, by=["g"])
+    assert got.where(F.col("cum_c") != F.floor(F.col("k") / 3) + 1).isEmpty() and got.count() == 30_000
+
+
+def test_approximate_quantiles_keep_their_rank_error(spark):
+    from riskweave.operators.ranking import approx_quantiles
+    df = spark.range(400_000).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 2).cast("double").alias("v")).union(
+        spark.createDataFrame([(0, None), (2, None)], "g long, v double"))
+    got = approx_quantiles(df, "v", [0.1, 0.5, 0.75, 0.99], ["g"]).collect()
+    assert len(got) == 8 and all(abs(r.quantile / 200_000 - r.prob) < 0.003 for r in got)
+
+
+def test_auc_of_counts_whose_product_passes_a_long(spark):
+    from riskweave.operators.curves import auc_of_table
+    pos, neg = 5_000_000_000, 6_000_000_000
+    rows = [(0.9, pos - 10, pos, pos - 10, pos, pos, pos + neg), (0.1, 10, neg + 10 - 10, pos, pos + neg, pos, pos + neg)]
+    t = spark.createDataFrame(rows, "threshold double, pos long, n long, cum_pos long, cum_n long, total_pos long, total_n long")
+    high, low = (pos - 10) / pos, 10 / neg  # shares of positives above, negatives above
+    want = high * (1 - low) + 0.5 * (high * low + (1 - high) * (1 - low))
+    assert abs(auc_of_table(t).first().roc_auc - want) < 1e-12
