@@ -29,14 +29,15 @@ def micros(ts: str) -> Column:
 
 
 def trailing_window(df: DataFrame, key: Sequence[str], ts: str, lookback_us: int,
-                    aggs: dict[str, Column], chunk_us: int = 86_400 * US_PER_SEC) -> DataFrame:
+                    aggs: dict[str, Column], chunk_us: int | None = None) -> DataFrame:
     """Per row: aggregates over rows of the same key with t in [t_row - lookback_us, t_row].
 
     ``aggs`` maps output name -> aggregate expression over the window. The
     window runs over (key, chunk) partitions with look-back copies, so a hot
-    key is split into chunk-sized tasks.
+    key is split into chunk-sized tasks. A chunk is 16 look-backs long unless
+    given, so about one row in 16 is copied.
     """
-    key = list(key)
+    key, chunk_us = list(key), chunk_us or 16 * (lookback_us + 1)
     base = df.withColumn("_t", micros(ts)).withColumn("_c0", F.floor(F.col("_t") / F.lit(chunk_us)))
     spans = (lookback_us + chunk_us - 1) // chunk_us
     # one scan: every row yields its own (chunk, ctx=false) entry plus a context

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskweave.functions import features as fe
 from riskweave.operators import reports as rp
 from riskweave.plans._sqlhelp import r9
 from riskweave.plans.registry import register
@@ -145,7 +146,8 @@ def q_a15(spark, sf_dir):
     return out.select("model_type", "quantile", r9("value"))
 
 
-_KEY_SQL = "md5(merchant_id || '|' || CAST(hour AS VARCHAR) || '|' || CAST(country_risk AS VARCHAR))"
+_KEY_SQL = "md5(concat_ws('|', " + ", ".join(
+    f"'{c}', CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)" for c in ("amount", "country_risk", "device_score", "hour")) + "))"
 
 
 @register("A16", with_ctes(f"""SELECT model_type, count(*) - count(DISTINCT {_KEY_SQL}) AS hits,
@@ -153,8 +155,8 @@ _KEY_SQL = "md5(merchant_id || '|' || CAST(hour AS VARCHAR) || '|' || CAST(count
     round((count(*) - count(DISTINCT {_KEY_SQL})) / greatest(count(*), 1), 9) AS hit_rate
     FROM logs GROUP BY model_type""", "logs"))
 def q_a16(spark, sf_dir):
-    """Score-reuse hit rate per model: repeated feature keys are hits."""
-    key = F.md5(F.concat_ws("|", "merchant_id", F.col("hour").cast("string"), F.col("country_risk").cast("string")))
+    """Score-reuse hit rate per model: repeated canonical feature keys are hits."""
+    key = fe.feature_key("amount", "country_risk", "device_score", "hour")
     out = rp.reuse_rate(prediction_logs(spark, sf_dir), key, by=["model_type"])
     return out.select("model_type", "hits", "misses", r9("hit_rate"))
 

@@ -108,8 +108,9 @@ def q_t04(spark, sf_dir):
     """Live rolling one-hour fraud rate per model (sliding windows, watermark)."""
     stream, sink, ck = _staged_stream(spark, prediction_logs(spark, sf_dir), "t04")
     out = jobs.live_rolling_rate(stream, WATERMARK).withColumn(
-        "window_start", F.col("w.start").cast("timestamp_ntz")).drop("w")
-    fin = _update_run(spark, out, sink, ck, ["window_start", "model_type"])
+        "slide_start", F.col("w.start").cast("timestamp_ntz")).drop("w")
+    slides = _update_run(spark, out, sink, ck, ["slide_start", "model_type"])
+    fin = jobs.rolling_windows(slides, "slide_start", "model_type")
     return fin.select("model_type", "window_start", "n", r9(F.col("frauds") / F.col("n"), "fraud_rate"))
 
 
@@ -118,23 +119,77 @@ def q_t04(spark, sf_dir):
     WINDOW w AS (PARTITION BY user_id ORDER BY created_at
                  RANGE BETWEEN to_microseconds(59999999) PRECEDING AND CURRENT ROW)""", "tx"))
 def q_t05(spark, sf_dir):
-    """Live rate limiting: each micro-batch counts over its rows plus the carried
-    last-minute rows of each user, with the skew-safe chunked window."""
-    stream, sink, ck = _staged_stream(spark, transactions(spark, sf_dir), "t05")
-    rt.run_available_now(stream.writeStream.foreachBatch(jobs.rate_limit_sink(sink, sink + "-state")), ck)
-    return spark.read.parquet(sink).drop("batch_id")
-
-
-def _cache_key():
-    return F.md5(F.concat_ws("|", "merchant_id", F.col("hour").cast("string"), F.col("country_risk").cast("string")))
-
-
-@register("T06")
+    """Live rate limiting over files out of time order: each micro-batch meets the
+    state of its time, and rows that a late row comes to count for are told again."""
+    tx = transactions(spark, sf_dir)
+    src, sink, ck = _dirs(spark, "t05")
+    # every fifth row arrives with the last file, up to the whole log late
+    late = F.pmod(F.xxhash64("transaction_id"), F.lit(5)) == 0
+    rt.stage_files(tx.where(~late), src, "created_at", chunks=3)
+    tx.where(late).coalesce(1).write.mode("append").parquet(src)
+    stream = rt.read_stream(spark, src, tx.schema)
+    span = 400 * 86_400  # lateness that the log's shuffled files need
+    rt.run_available_now(stream.writeStream.foreachBatch(jobs.rate_limit_sink(sink, sink + "-state", late_seconds=span)), ck)
+    return rt.final_updates(spark, sink, ["transaction_id"])
+
+
+def _reuse_requests(spark, sf_dir):
+    """Requests, each third sent again after 200 s and each fifth after 2,000 s, and what an
+    administrator's calls would add: a key is dropped 100 s after a failed request, all are cleared daily."""
+    logs = prediction_logs(spark, sf_dir).select(
+        "prediction_id", "transaction_id", "fraud_probability", "status_code", "created_at",
+        fe.feature_key("amount", "country_risk", "device_score", "hour").alias("cache_key"))
+    later = F.expr("""filter(array(struct('' AS tag, 0 AS s), if(transaction_id % 3 = 0, struct('-b' AS tag, 200 AS s), NULL),
+                              if(transaction_id % 5 = 0, struct('-c' AS tag, 2000 AS s), NULL)), x -> x IS NOT NULL)""")
+    at = F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("x.s"))
+    asked = logs.withColumn("x", F.explode(later)).select(
+        F.lit("score").alias("kind"), "cache_key", F.concat("prediction_id", "x.tag").alias("prediction_id"), "fraud_probability",
+        at.alias("created_at"))
+    drops = logs.where(F.col("status_code") >= 500).select(
+        F.lit("invalidate").alias("kind"), "cache_key", F.lit(None).cast("string").alias("prediction_id"),
+        F.lit(None).cast("double").alias("fraud_probability"), (F.col("created_at") + F.expr("INTERVAL 100 SECONDS")).alias("created_at"))
+    clears = logs.select(F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("created_at")).distinct().select(
+        F.lit("invalidate_all").alias("kind"), F.lit(None).cast("string").alias("cache_key"), F.lit(None).cast("string").alias("prediction_id"),
+        F.lit(None).cast("double").alias("fraud_probability"), "created_at")
+    return asked.unionByName(drops).unionByName(clears)
+
+
+_KEY_SQL = "md5(concat_ws('|', " + ", ".join(
+    f"'{c}', CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)" for c in ("amount", "country_risk", "device_score", "hour")) + "))"
+
+_REUSE_CTE = f"""lk AS (SELECT *, {_KEY_SQL} AS cache_key FROM logs),
+clears AS (SELECT DISTINCT date_trunc('day', created_at)::TIMESTAMP AS c FROM lk),
+ev AS (
+  SELECT cache_key, created_at + to_seconds(s) AS t, 2 AS kind, prediction_id || tag AS prediction_id, fraud_probability AS p
+  FROM lk, (VALUES ('', 0, 1), ('-b', 200, 3), ('-c', 2000, 5)) v(tag, s, every) WHERE transaction_id % every = 0
+  UNION ALL SELECT cache_key, created_at + INTERVAL 100 SECONDS, 1, NULL, NULL FROM lk WHERE status_code >= 500),
+seq AS (
+  SELECT *, (SELECT count(*) FROM clears WHERE c <= t) AS epoch,
+    row_number() OVER (PARTITION BY cache_key ORDER BY t, kind, prediction_id) AS rn,
+    CASE WHEN p > 0.7 OR p < 0.1 THEN 300 WHEN p > 0.3 AND p < 0.7 THEN 1800 ELSE 3600 END AS ttl FROM ev),
+replay AS (
+  SELECT cache_key, rn, prediction_id, kind, false AS hit, ttl, CASE WHEN kind = 2 THEN t + to_seconds(ttl) END AS expires, epoch AS held FROM seq WHERE rn = 1
+  UNION ALL
+  SELECT s.cache_key, s.rn, s.prediction_id, s.kind, s.kind = 2 AND coalesce(s.t < r.expires AND s.epoch = r.held, false), s.ttl,
+    CASE WHEN s.kind = 1 THEN NULL WHEN s.t < r.expires AND s.epoch = r.held THEN r.expires ELSE s.t + to_seconds(s.ttl) END,
+    CASE WHEN s.t < r.expires AND s.epoch = r.held THEN r.held ELSE s.epoch END
+  FROM replay r JOIN seq s ON s.cache_key = r.cache_key AND s.rn = r.rn + 1)"""
+
+
+@register("T06", with_ctes("""SELECT prediction_id, hit AS cache_hit, CASE WHEN NOT hit THEN ttl END AS ttl_seconds
+    FROM replay WHERE kind = 2""", "logs", extra=[_REUSE_CTE]).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_t06(spark, sf_dir):
-    """Live score reuse: a repeated feature key within its tiered TTL is a hit."""
-    logs = prediction_logs(spark, sf_dir).withColumn("cache_key", _cache_key())
-    stream, sink, ck = _staged_stream(spark, logs, "t06")
-    return _append_run(spark, jobs.live_score_reuse(stream, WATERMARK), sink, ck)
+    """Live score reuse on the full canonical key: a request within the tiered time to live of a
+    stored score is a hit, unless its key was dropped or all were cleared in between; files out of time order."""
+    events = _reuse_requests(spark, sf_dir)
+    src, sink, ck = _dirs(spark, "t06")
+    late = (F.col("kind") == "score") & (F.pmod(F.xxhash64("prediction_id"), F.lit(5)) == 0)
+    rt.stage_files(events.where(~late), src, "created_at", chunks=3)
+    events.where(late).coalesce(1).write.mode("append").parquet(src)
+    step = jobs.score_reuse_sink(sink, sink + "-state", late_seconds=400 * 86_400)
+    rt.run_available_now(rt.read_stream(spark, src, events.schema).writeStream.foreachBatch(step), ck)
+    step(None, 1 << 40, spark)  # the log has ended: decide what still waits
+    return spark.read.parquet(sink).select("prediction_id", "cache_hit", "ttl_seconds")
 
 
 _USER = "'user' || CAST(user_id AS VARCHAR)"

@@ -2,24 +2,25 @@
 
 Stateless work (validation, features with frozen statistics, scoring,
 projection) is a plain streaming projection. Counters and rates are
-watermarked window aggregations in ``update`` mode. Per-key sequential
-logic that has no aggregate form (score reuse with a tiered expiry) is ``applyInPandasWithState``: one small state
-per key, pruned as time passes, with an event-time timeout that drops idle
-keys once the watermark passes them.
+watermarked window aggregations in ``update`` mode. Jobs that need the rows
+around a row (rate limit, score reuse) are ``foreachBatch`` steps over
+``TimedState``: late rows are met by the state of their time, and state that no
+row can reach any more is removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave.functions import features as fe
 from riskweave.functions import validate as va
 from riskweave.operators import reports as rp
+from riskweave.streaming.state import TimedState, drop_before, partitions, path_exists
 
 # Score-reuse expiry tiers in seconds.
 TTL_SHORT, TTL_MEDIUM, TTL_LONG = 300, 1800, 3600
@@ -56,15 +57,18 @@ def live_counters(stream: DataFrame, watermark: str, window: str = "1 hour") ->
     return s.groupBy(F.window("event_time", window).alias("w"), "model_type").agg(*aggs)
 
 
-def live_rolling_rate(stream: DataFrame, watermark: str) -> DataFrame:
-    """One-hour fraud-prediction rate per model, sliding every 5 minutes."""
+def live_rolling_rate(stream: DataFrame, watermark: str, slide: str = "5 minutes") -> DataFrame:
+    """Requests and fraud predictions per slide and model, one state row each (``rolling_windows`` adds them up)."""
     s = stream.withWatermark("event_time", watermark)
-    return s.groupBy(F.window("event_time", "1 hour", "5 minutes").alias("w"), "model_type").agg(
+    return s.groupBy(F.window("event_time", slide).alias("w"), "model_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("fraud_label").alias("frauds"))
 
 
-REUSE_OUT = "prediction_id string, cache_hit boolean, ttl_seconds int"
-REUSE_STATE = "expires_us long"
+def rolling_windows(slides: DataFrame, at: str, by: str, length: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
+    """Sums of the slides (column ``at``: their start) in every window that holds them."""
+    w = F.window(F.col(at).cast("timestamp"), length, slide)
+    return slides.groupBy(by, w.alias("w")).agg(F.sum("n").alias("n"), F.sum("frauds").alias("frauds")).select(
+        by, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "frauds")
 
 
 def ttl_for(p: float) -> int:
@@ -75,35 +79,148 @@ def ttl_for(p: float) -> int:
     return TTL_LONG
 
 
-def _reuse_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    expires = state.get[0] if state.exists else None
-    rows = pd.concat(list(pdfs)).sort_values(["t", "prediction_id"])
-    hits, ttls = [], []
-    for t, p in zip(rows["t"].tolist(), rows["fraud_probability"].tolist()):
-        if expires is not None and t < expires:
-            hits.append(True)          # served from the stored score; a hit does not extend it
-            ttls.append(None)
-        else:
-            ttl = ttl_for(p)
-            expires = t + ttl * 1_000_000
-            hits.append(False)
-            ttls.append(ttl)
-    state.update((int(expires),))
-    state.setTimeoutTimestamp(int(expires) // 1000)
-    yield pd.DataFrame({"prediction_id": rows["prediction_id"].values, "cache_hit": hits,
-                        "ttl_seconds": pd.array(ttls, dtype="Int32")})
-
-
-def live_score_reuse(stream: DataFrame, watermark: str) -> DataFrame:
-    """The same feature key within its TTL reuses the stored score."""
+def _ttl_us(p: np.ndarray) -> np.ndarray:
+    short, medium = (p > 0.7) | (p < 0.1), (p > 0.3) & (p < 0.7)
+    return np.where(short, TTL_SHORT, np.where(medium, TTL_MEDIUM, TTL_LONG)).astype(np.int64) * 1_000_000
+
+
+REUSE_EVENT = "cache_key string, t long, kind int, prediction_id string, fraud_probability double, epoch long, expires long"
+REUSE_OUT = "cache_key string, kind int, prediction_id string, cache_hit boolean, ttl_seconds int, t long, expires long, epoch long"
+_STORED, _DROP, _ASK = 0, 1, 2  # a carried entry, an invalidation of the key, a request; in this order at equal times
+
+
+def _reuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replay rows that arrive in order of key, time and kind; a key's entry is all that is held between batches.
+
+    An entry answers from when it is stored until it expires, its key is
+    dropped or everything is cleared (the epoch changes). Between two stores
+    all requests of a key are hits, so the loop runs per store, not per row.
+    """
+    names = [c.split()[0] for c in REUSE_OUT.split(", ")]
+    key, expires, epoch = None, None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column("cache_key").to_pylist()
+        t, kind, own = (batch.column(c).to_numpy() for c in ("t", "kind", "epoch"))
+        p, ends = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fraud_probability", "expires"))
+        ttl = _ttl_us(np.nan_to_num(p, nan=0.5))
+        hit, stored = np.zeros(len(t), bool), np.zeros(len(t), np.int64)
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if keys[a] != key:
+                key, expires, epoch = keys[a], None, None
+            stops = a + np.flatnonzero(kind[a:b] != _ASK)
+            i = a
+            while i < b:
+                if kind[i] == _STORED:
+                    expires, epoch = int(ends[i]), int(own[i])
+                    i += 1
+                elif kind[i] == _DROP:
+                    expires = None
+                    i += 1
+                elif expires is not None and t[i] < expires and own[i] == epoch:
+                    # hits up to the entry's end, a clearing or the key's next event
+                    stop = stops[np.searchsorted(stops, i)] if len(stops) and stops[-1] > i else b
+                    stop = min(stop, i + np.searchsorted(t[i:stop], expires), i + np.searchsorted(own[i:stop], epoch, "right"))
+                    hit[i:stop] = True
+                    i = int(stop)
+                else:
+                    expires, epoch = int(t[i] + ttl[i]), int(own[i])
+                    stored[i] = expires
+                    i += 1
+        ask = kind == _ASK
+        miss = ask & ~hit
+        yield pa.RecordBatch.from_arrays([
+            batch.column("cache_key"), batch.column("kind"), batch.column("prediction_id"), pa.array(hit, mask=~ask),
+            pa.array((ttl // 1_000_000).astype(np.int32), mask=~miss), batch.column("t"), pa.array(stored, mask=~miss), batch.column("epoch")], names)
+
+
+def score_reuse_sink(out_path: str, state_path: str, late_seconds: int = 10 * 86_400, ts: str = "created_at"):
+    """A request whose canonical feature key holds a live stored score reuses it.
+
+    Rows have ``kind`` (``score``, ``invalidate`` one key, ``invalidate_all``),
+    ``cache_key``, ``prediction_id``, ``fraud_probability`` and ``ts``. Requests are
+    decided in event-time order: rows wait until the newest event time is
+    ``late_seconds`` past them, so a late row is decided as if it had come in
+    time, and a score never answers a request from before it was stored. Rows
+    later than that are dropped, as a watermark drops them. A batch writes its
+    decisions, the waiting rows and the entries that are still live under its
+    id; ``step(None, last + 1)`` decides what still waits when a stream has ended.
+
+    Clearings are few (an administrator's act): their times are one sorted
+    array. Rows of one key are decided by one task, which holds one entry.
+    """
     from riskweave.operators.windows import micros
-    s = stream.withWatermark("event_time", watermark).withColumn("t", micros("created_at"))
-    return s.select("cache_key", "prediction_id", "fraud_probability", "t", "event_time") \
-        .groupBy("cache_key").applyInPandasWithState(_reuse_fn, REUSE_OUT, REUSE_STATE, "append",
-                                                     GroupStateTimeout.EventTimeTimeout)
+    columns = "kind string, cache_key string, prediction_id string, fraud_probability double, _t long"
+
+    def step(batch: DataFrame | None, batch_id: int, spark=None) -> None:
+        spark = batch.sparkSession if batch is not None else spark
+        state = TimedState(state_path, late_seconds * 1_000_000, 0)
+        before = state.horizon(spark, batch_id)
+        last = max((i for i in partitions(spark, f"{state_path}/waiting", "_batch") if i < batch_id), default=None)
+        rows, newest = None, None
+        if batch is not None:
+            fresh = batch.select("kind", "cache_key", "prediction_id", "fraud_probability", micros(ts).alias("_t")).where(F.col("_t").isNotNull())
+            rows = fresh if before is None else fresh.where(F.col("_t") >= before)
+        if last is not None:
+            waiting = spark.read.schema(columns).parquet(f"{state_path}/waiting/_batch={last}")
+            rows = waiting if rows is None else rows.unionByName(waiting)
+        if rows is None:
+            return
+        rows = rows.persist()  # read by the decisions, the waiting rows and the clearings
+        if batch is not None:
+            newest = rows.agg(F.max("_t")).first()[0]
+        known = [x for x in (newest, state.newest(spark, batch_id)) if x is not None]
+        horizon = max(known) - state.late_us if known and batch is not None else None  # none: decide everything
+        due = F.lit(True) if horizon is None else F.col("_t") < horizon
+        rows.where(~due).write.mode("overwrite").parquet(f"{state_path}/waiting/_batch={batch_id}")
+        ready = rows.where(due)
+        clears = ready.where(F.col("kind") == "invalidate_all").agg(F.sort_array(F.collect_set("_t")).alias("_clears"))
+        entry = f"{state_path}/entries/_batch={last}"
+        base, entries = 0, None
+        if last is not None and path_exists(spark, entry):
+            entries = spark.read.schema(REUSE_EVENT).parquet(entry)
+            base = spark.read.schema("epoch long").parquet(f"{state_path}/epoch/_batch={last}").first()[0]
+        epoch = F.size(F.filter("_clears", lambda c: c <= F.col("t"))) + F.lit(base)
+        kind = F.when(F.col("kind") == "invalidate", _DROP).otherwise(_ASK)
+        events = ready.where(F.col("kind") != "invalidate_all").select(
+            "cache_key", F.col("_t").alias("t"), kind.alias("kind"), "prediction_id", "fraud_probability").join(
+            F.broadcast(clears)).withColumn("epoch", epoch.cast("long")).withColumn(
+            "expires", F.lit(None).cast("long")).drop("_clears")  # clears: one row
+        if entries is not None:
+            events = events.unionByName(entries)
+        order = ["cache_key", F.col("kind") != _STORED, "t", "kind", "prediction_id"]
+        decided = events.repartition("cache_key").sortWithinPartitions(*order).select(
+            *[c.split()[0] for c in REUSE_EVENT.split(", ")]).mapInArrow(_reuse, REUSE_OUT)
+        log = f"{state_path}/decided/_batch={batch_id}"
+        decided.write.mode("overwrite").parquet(log)
+        decided = spark.read.schema(REUSE_OUT).parquet(log)
+        decided.where(F.col("kind") == _ASK).select("prediction_id", "cache_hit", "ttl_seconds").write.mode("overwrite").parquet(
+            f"{out_path}/batch_id={batch_id}")
+        _write_entries(spark, decided, entries, f"{state_path}", batch_id, horizon)
+        cleared = base + ready.where(F.col("kind") == "invalidate_all").select("_t").distinct().count()
+        spark.createDataFrame([(cleared,)], "epoch long").coalesce(1).write.mode("overwrite").parquet(f"{state_path}/epoch/_batch={batch_id}")
+        state.commit(spark, batch_id, newest)
+        rows.unpersist()
+        # the batch before may still run again: what came before that is not read any more
+        drop_before(spark, state_path, ("waiting", "entries", "epoch", "decided", "progress"), batch_id - 1)
+    return step
+
+
+def _write_entries(spark, decided: DataFrame, entries: DataFrame | None, path: str, batch_id: int, horizon: int | None) -> None:
+    """The newest entry of every key that is not dropped and can still answer a request after the horizon."""
+    held = decided.where(F.col("expires").isNotNull() | (F.col("kind") == _DROP)).select(
+        "cache_key", "t", (F.col("kind") == _DROP).alias("gone"), "expires", "epoch")
+    if entries is not None:
+        held = held.unionByName(entries.select("cache_key", "t", F.lit(False).alias("gone"), "expires", "epoch"))
+    newest = held.groupBy("cache_key").agg(F.max_by(F.struct("t", "gone", "expires", "epoch"), F.struct("t", ~F.col("gone"))).alias("e"))
+    live = newest.where(~F.col("e.gone"))
+    if horizon is not None:
+        live = live.where(F.col("e.expires") > horizon)
+    live.select("cache_key", F.col("e.t").alias("t"), F.lit(_STORED).alias("kind"), F.lit(None).cast("string").alias("prediction_id"),
+                F.lit(None).cast("double").alias("fraud_probability"), F.col("e.epoch").alias("epoch"), F.col("e.expires").alias("expires")).write.mode("overwrite").parquet(
+        f"{path}/entries/_batch={batch_id}")
 
 
 def live_variant_metrics(stream: DataFrame) -> DataFrame:
@@ -173,54 +290,37 @@ def final_canary_state(spark, state_path: str) -> DataFrame:
 
 def rate_limit_sink(out_path: str, state_path: str, seconds: int = 60, limit: int = 100, late_seconds: int = 10 * 86_400,
                     key: str = "user_id", ts: str = "created_at", row_id: str = "transaction_id"):
-    """T05 without per-key Python: a foreachBatch step over DataFrame windows.
-
-    The state is a table of each key's rows from its last ``seconds`` (what a
-    future request can still see), without keys that were idle for longer than
-    ``late_seconds`` plus the window, counted from the newest row. Each batch unions it as context with the new
-    rows, counts with the skew-safe chunked trailing window (a hot key is split
-    by time chunk, not funnelled into one task), writes its output and the
-    pruned state under its batch id (a replayed batch overwrites its own
-    folders: idempotent), and the next batch reads the latest earlier state.
+    """T05 without per-key Python: a foreachBatch step over DataFrame windows, right for late rows.
+
+    A batch meets the state rows of the stretches of time that its rows can
+    see or be seen from, and counts with the skew-safe chunked trailing window.
+    It writes its own rows and every earlier row that one of them comes to
+    count for: the row of the highest batch id is the last word on a row
+    (``runtime.final_updates``). Rows more than ``late_seconds`` behind the newest
+    of the batches before are dropped, and state behind that is deleted.
     """
     from riskweave.operators.windows import micros, trailing_window
     window_us = seconds * 1_000_000
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cols = [key, row_id, ts]
-        rows = batch.select(*cols).withColumn("_prev", F.lit(False))
-        earlier = [i for i in _batch_dirs(spark, state_path) if i < batch_id]
-        if earlier:
-            prev = spark.read.parquet(f"{state_path}/batch_id={max(earlier)}").select(*cols) \
-                .withColumn("_prev", F.lit(True))
-            rows = rows.unionByName(prev)
-        rows = rows.persist()  # feeds both the counts and the next state
-        counted = trailing_window(rows, [key], ts, window_us - 1, {"requests_last_minute": F.count(F.lit(1))})
-        out = counted.where(~F.col("_prev")).select(
-            row_id, "requests_last_minute", (F.col("requests_last_minute") > F.lit(limit)).alias("rate_limited"))
-        out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        t = micros(ts)
-        latest = rows.groupBy(key).agg(F.max(t).alias("_last"))
-        newest = rows.agg(F.max(t)).first()[0]
-        horizon = (newest or 0) - late_seconds * 1_000_000 - window_us
-        keep = rows.join(latest, key).where(t > F.greatest(F.col("_last") - F.lit(window_us), F.lit(horizon))).select(*cols)
-        keep.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
-        rows.unpersist()
+        state = TimedState(state_path, late_seconds * 1_000_000, window_us)
+        state.forget(spark, batch_id)
+        horizon = state.horizon(spark, batch_id)
+        rows = batch.select(key, row_id, ts).withColumn("_t", micros(ts)).where(F.col("_t").isNotNull())
+        if horizon is not None:
+            rows = rows.where(F.col("_t") >= horizon)
+        state.write(rows, batch_id)
+        # the written rows, not the source again
+        rows = spark.read.schema(rows.schema).parquet(f"{state_path}/rows/_batch={batch_id}").select(*rows.columns)
+        earlier = state.read(spark, batch_id, rows.schema, state.touched(rows)) if horizon is not None else None
+        both = rows.withColumn("_new", F.lit(True))
+        if earlier is not None:
+            both = both.unionByName(earlier.withColumn("_new", F.lit(False)))
+        counted = trailing_window(both, [key], ts, window_us - 1, {
+            "requests_last_minute": F.count(F.lit(1)), "_fresh": F.count_if(F.col("_new"))})
+        counted.where(F.col("_fresh") > 0).select(
+            row_id, "requests_last_minute", (F.col("requests_last_minute") > F.lit(limit)).alias("rate_limited")
+        ).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        state.commit(spark, batch_id, rows.agg(F.max("_t")).first()[0])
     return step
-
-
-def path_exists(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _batch_dirs(spark, path: str) -> list[int]:
-    """Batch ids of ``path/batch_id=N`` folders (a listing, no data read)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return [int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
-            if st.isDirectory() and st.getPath().getName().startswith("batch_id=")]

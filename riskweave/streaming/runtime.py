@@ -22,21 +22,25 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from riskweave.operators.windows import micros
 
-STREAM_TIMEOUT_S = 600
-
 
 def stage_files(df: DataFrame, path: str, ts: str, chunks: int = 3) -> None:
-    """Write ``df`` as ``chunks`` appends ordered by ``ts`` (each append = newer files)."""
-    t = micros(ts)
-    span = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
-    if span["lo"] is None:
-        df.limit(0).write.mode("append").parquet(path)
-        return
-    lo, hi = span["lo"], span["hi"] + 1
-    step = max(1, -(-(hi - lo) // chunks))
-    for k in range(chunks):
-        part = df.where((t >= lo + k * step) & (t < lo + (k + 1) * step))
-        part.write.mode("append").parquet(path)
+    """Write ``df`` as files in order of ``ts``: one write, one file per chunk of time.
+
+    The file source takes files by age, so the files get ascending times.
+    """
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def files() -> dict:
+        found = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return {p.getName(): p for p in found if p.getName().startswith("part-")}
+    before = files()
+    df.repartitionByRange(chunks, micros(ts)).write.mode("append").parquet(path)
+    made = [p for name, p in sorted(files().items()) if name not in before]
+    newest = max((fs.getFileStatus(p).getModificationTime() for p in made), default=0)
+    for age, p in enumerate(reversed(made)):
+        fs.setTimes(p, newest - 1000 * age, -1)
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -48,11 +52,12 @@ def event_time(df: DataFrame, ts: str, out: str = "event_time") -> DataFrame:
     return df.withColumn(out, F.col(ts).cast("timestamp"))
 
 
-def run_available_now(writer: DataStreamWriter, checkpoint: str, timeout_s: int = STREAM_TIMEOUT_S) -> None:
+def run_available_now(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None = None) -> None:
+    """Drain what is there and stop; ``timeout_s`` bounds the wait only where it is given."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        done = q.awaitTermination(timeout_s)
-        if not done:
+        done = q.awaitTermination(timeout_s) if timeout_s is not None else q.awaitTermination()
+        if timeout_s is not None and not done:
             raise TimeoutError(f"stream did not finish within {timeout_s}s")
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))

@@ -1,28 +1,85 @@
 """Stateful streaming operators against brute-force replays of the same rows."""
 
-from riskweave.plans.registry import load_all
-from riskweave.sources.tables import prediction_logs
 from riskweave.streaming.jobs import ttl_for
 from conftest import SF_SMALL
 
 
-def test_score_reuse_matches_replay(spark):
-    got = {r.prediction_id: (r.cache_hit, r.ttl_seconds) for r in load_all()["T06"].build(spark, SF_SMALL).collect()}
-    logs = prediction_logs(spark, SF_SMALL).toPandas()
-    logs["key"] = logs["merchant_id"] + "|" + logs["hour"].astype(str) + "|" + logs["country_risk"].astype(str)
-    logs = logs.sort_values(["created_at", "prediction_id"])
-    expires = {}
-    want = {}
-    for r in logs.itertuples():
-        t = r.created_at.value // 1000  # micros
-        e = expires.get(r.key)
-        if e is not None and t < e:
-            want[r.prediction_id] = (True, None)
+def _reuse_replay(events):
+    """Plain replay in order of time; at equal times clearings, then drops, then requests by id."""
+    rank = {"invalidate_all": 0, "invalidate": 1, "score": 2}
+    expires, out = {}, {}
+    for kind, key, pid, p, t in sorted(events, key=lambda e: (e[4], rank[e[0]], e[2] or "")):
+        if kind == "invalidate_all":
+            expires.clear()
+        elif kind == "invalidate":
+            expires.pop(key, None)
+        elif t < expires.get(key, t):
+            out[pid] = (True, None)
         else:
-            ttl = ttl_for(r.fraud_probability)
-            expires[r.key] = t + ttl * 1_000_000
-            want[r.prediction_id] = (False, ttl)
-    assert got == want
+            ttl = ttl_for(p)
+            expires[key] = t + ttl * 1_000_000
+            out[pid] = (False, ttl)
+    return out
+
+
+EVENT = "kind string, cache_key string, prediction_id string, fraud_probability double, created_at timestamp_ntz"
+
+
+def _reuse_events(seed, n, span, late):
+    """Events in order of arrival: each comes up to ``late`` seconds after its time."""
+    import random
+    rng = random.Random(seed)
+    events = []
+    for i in range(n):
+        kind = rng.choices(["score", "invalidate", "invalidate_all"], [60, 6, 1])[0]
+        t = rng.randrange(span) * 1_000_000 if rng.random() < 0.9 else rng.randrange(20) * 300_000_000
+        events.append((kind, rng.choice("aaaabcde") if kind != "invalidate_all" else None, f"p{i}" if kind == "score" else None,
+                       rng.choice([0.05, 0.2, 0.3, 0.5, 0.7, 0.9]) if kind == "score" else None, t))
+    return sorted(events, key=lambda e: e[4] + rng.randrange(late) * 1_000_000)
+
+
+def _event_frame(spark, events):
+    from datetime import datetime, timedelta
+    return spark.createDataFrame([(*e[:4], datetime(2024, 1, 1) + timedelta(microseconds=e[4])) for e in events], EVENT)
+
+
+def test_score_reuse_with_late_rows_drops_and_clearings_equals_a_replay(spark, tmp_path):
+    from riskweave.streaming import jobs
+    events = _reuse_events(0, 700, 40_000, 3000)
+    step = jobs.score_reuse_sink(f"{tmp_path}/out", f"{tmp_path}/state", late_seconds=3600)
+    for k in range(5):
+        batch = _event_frame(spark, events[k * 140:(k + 1) * 140])
+        step(batch, k)
+        if k in (0, 3):
+            step(batch, k)  # the batch runs again after a failure
+    decided = spark.read.parquet(f"{tmp_path}/out").count()
+    step(None, 5, spark)
+    got = {r.prediction_id: (r.cache_hit, r.ttl_seconds) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = _reuse_replay(events)
+    assert got == want and sum(h for h, _ in want.values()) > 100
+    assert 0 < decided < len(want)  # most are decided as the newest event time passes them
+    import os
+    assert len([d for d in os.listdir(f"{tmp_path}/state/entries") if d.startswith("_batch")]) <= 3
+
+
+def test_score_reuse_does_not_answer_from_the_future(spark, tmp_path):
+    from riskweave.streaming import jobs
+    step = jobs.score_reuse_sink(f"{tmp_path}/out", f"{tmp_path}/state", late_seconds=3600)
+    step(_event_frame(spark, [("score", "k", "first", 0.5, 1000_000_000)]), 0)
+    step(_event_frame(spark, [("score", "k", "late", 0.5, 100_000_000)]), 1)
+    step(None, 2, spark)
+    got = {r.prediction_id: r.cache_hit for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {"late": False, "first": True}
+
+
+def test_score_reuse_without_events(spark, tmp_path):
+    from riskweave.streaming import jobs
+    step = jobs.score_reuse_sink(f"{tmp_path}/out", f"{tmp_path}/state")
+    step(None, 0, spark)
+    step(_event_frame(spark, []), 1)
+    step(_event_frame(spark, [("invalidate_all", None, None, None, 5)]), 2)
+    step(None, 3, spark)
+    assert spark.read.schema("prediction_id string").parquet(f"{tmp_path}/out").count() == 0
 
 
 def test_ttl_tiers():
@@ -59,8 +116,7 @@ def test_rate_limit_resumes_from_checkpoint(spark):
     n_first = spark.read.parquet(sink).count()  # (a foreachBatch sink adds a batch_id column)
     rt.stage_files(rest, src, "created_at", chunks=1)
     run()  # resumes: only the new file is read, keyed state carries over
-    got = {r.transaction_id: r.requests_last_minute
-           for r in spark.read.parquet(sink).select("transaction_id", "requests_last_minute").collect()}
+    got = _final_counts(spark, sink)
     want = {r.transaction_id: r.requests_last_minute for r in rate_limit(tx).collect()}
     assert 0 < n_first < len(want)
     assert got == want
@@ -77,14 +133,53 @@ def test_replayed_batch_writes_the_same_rows(spark, tmp_path):
     assert {r["batch_id"]: r["count"] for r in rows.groupBy("batch_id").count().collect()} == {0: 1000, 1: 10}
 
 
-def test_idle_keys_leave_the_rate_limit_state(spark, tmp_path):
+def _rate_rows(spark, rows):
+    from datetime import datetime, timedelta
+    return spark.createDataFrame([(u, i, datetime(2024, 1, 1) + timedelta(seconds=t)) for u, i, t in rows],
+                                 "user_id long, transaction_id long, created_at timestamp_ntz")
+
+
+def _final_counts(spark, path):
+    from riskweave.streaming import runtime as rt
+    return {r.transaction_id: r.requests_last_minute for r in rt.final_updates(spark, path, ["transaction_id"]).collect()}
+
+
+def test_rate_limit_counts_late_rows_and_corrects_earlier_ones(spark, tmp_path):
+    from riskweave.streaming import jobs
+    step = jobs.rate_limit_sink(f"{tmp_path}/out", f"{tmp_path}/state")
+    step(_rate_rows(spark, [(1, 0, 0), (1, 1, 10), (1, 2, 20), (1, 3, 600), (1, 5, 70)]), 0)
+    step(_rate_rows(spark, [(1, 4, 25)]), 1)
+    assert _final_counts(spark, f"{tmp_path}/out") == {0: 1, 1: 2, 2: 3, 3: 1, 4: 4, 5: 3}
+
+
+def test_rate_limit_over_shuffled_batches_equals_the_batch_window(spark, tmp_path):
+    import random
+
+    from riskweave.operators.windows import rate_limit
+    from riskweave.streaming import jobs
+    rng = random.Random(4)
+    rows = sorted(((rng.choice([1, 1, 1, 2, 3]), i, rng.randrange(6000)) for i in range(800)), key=lambda r: r[2] + rng.randrange(1500))
+    step = jobs.rate_limit_sink(f"{tmp_path}/out", f"{tmp_path}/state", late_seconds=1800)
+    for k in range(5):
+        batch = _rate_rows(spark, rows[k * 160:(k + 1) * 160])
+        step(batch, k)
+        if k == 2:
+            step(batch, k)
+    want = {r.transaction_id: r.requests_last_minute for r in rate_limit(_rate_rows(spark, rows)).collect()}
+    assert _final_counts(spark, f"{tmp_path}/out") == want and max(want.values()) > 5
+
+
+def test_old_rate_limit_state_is_removed(spark, tmp_path):
+    import os
+
     from riskweave.streaming import jobs
     step = jobs.rate_limit_sink(f"{tmp_path}/out", f"{tmp_path}/state", late_seconds=3600)
-    schema = "user_id long, transaction_id long, created_at string"
-    for k, day in enumerate(("2023-01-01", "2024-01-01", "2025-01-01")):
-        rows = spark.createDataFrame([(k, k, f"{day} 00:00:00")], schema)
-        step(rows.withColumn("created_at", rows["created_at"].cast("timestamp_ntz")), k)
-    assert [r["user_id"] for r in spark.read.parquet(f"{tmp_path}/state/batch_id=2").collect()] == [2]
+    for k in range(4):
+        step(_rate_rows(spark, [(k, k, k * 86_400)]), k)
+    assert sorted(d for d in os.listdir(f"{tmp_path}/state/rows") if "=" in d) == ["_batch=2", "_batch=3"]
+    assert len([d for d in os.listdir(f"{tmp_path}/state/progress") if "=" in d]) <= 3
+    step(_rate_rows(spark, [(0, 9, 0)]), 4)  # far too late: dropped, as a watermark drops it
+    assert 9 not in _final_counts(spark, f"{tmp_path}/out")
 
 
 def test_unreadable_canary_state_is_an_error(spark, tmp_path):
