@@ -9,8 +9,11 @@ sums are exact, independent of summation order, and a rerun repeats them.
 The order within a source is by size class, then by salt, then by size: equal
 sizes lie together, so what a source takes stays near its target, and no task
 needs a whole source. Running sums are taken inside (source, size class, salt)
-and shifted by the sums of the earlier ones, a table of at most
-``250 * SALTS`` rows per source.
+and shifted by the sums of the earlier ones, a table of at most ``250 * salts``
+rows per source. Only the place within a unit matters, so all sums are kept
+modulo 2**32 and none grows with the corpus; salts hash the ids, whatever
+pattern those have, and their number is a parameter (a cell should stay below
+2**31 rows). Sources are ranked in one task: tens or thousands of them, a row each.
 
 Nulls: a null source is a source of its own (last in order), a null text has
 size 0, a null id sorts first. Repeated rows are sampled one by one. An empty
@@ -78,6 +81,12 @@ def random_offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, UNIT // 4), 16, 10).cast("long")
 
 
+def id_salt(doc_id: Column, salts: int) -> Column:
+    """A salt in [0, salts) from the id's digest; 0 for null."""
+    drawn = F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.pmod(drawn, F.lit(salts)), F.lit(0)).cast("int")
+
+
 def systematic_copies(df: DataFrame, source: str, size: str, rate: str, doc_id: str, seed: int = 0,
                       salts: int = SALTS) -> DataFrame:
     """Adds ``mx_copies``: how often systematic sampling emits the row.
@@ -89,19 +98,18 @@ def systematic_copies(df: DataFrame, source: str, size: str, rate: str, doc_id:
     step = F.round(F.greatest(F.coalesce(F.col(rate), F.lit(0.0)), F.lit(0.0)) * F.lit(float(1 << UNIT))).cast("long")
     keyed = df.withColumns({
         "_mx_none": F.col(source).isNull(), "_mx_src": F.coalesce(F.col(source), F.lit("")),
-        "_mx_class": size_class(F.col(size)), "_mx_salt": F.coalesce(F.pmod(F.col(doc_id), F.lit(salts)), F.lit(0)),
-        "_mx_step": step})
+        "_mx_class": size_class(F.col(size)), "_mx_salt": id_salt(F.col(doc_id), salts), "_mx_step": step,
+        "_mx_part": step.bitwiseAND(F.lit((1 << UNIT) - 1))})
     group = ["_mx_none", "_mx_src"]
     cell = [*group, "_mx_class", "_mx_salt"]
     earlier = Window.partitionBy(*group).orderBy("_mx_class", "_mx_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy(*cell).agg(F.sum("_mx_step").alias("_mx_sum")).select(
+    starts = keyed.groupBy(*cell).agg(F.pmod(F.sum("_mx_part"), F.lit(1 << UNIT)).alias("_mx_sum")).select(
         *cell, F.coalesce(F.sum("_mx_sum").over(earlier), F.lit(0)).alias("_mx_start"))
     inside = Window.partitionBy(*cell).orderBy(size, doc_id).rowsBetween(Window.unboundedPreceding, 0)
-    end = (F.col("_mx_start") + F.sum("_mx_step").over(inside)
-           + random_offset(F.when(~F.col("_mx_none"), F.col("_mx_src")), seed))
-    out = keyed.join(starts, cell).withColumn("_mx_end", end)
-    return out.select(*df.columns, (F.shiftright("_mx_end", UNIT) - F.shiftright(F.col("_mx_end") - F.col("_mx_step"), UNIT)
-                                    ).alias("mx_copies"))
+    before = F.pmod(F.col("_mx_start") + F.sum("_mx_part").over(inside) - F.col("_mx_part")
+                    + random_offset(F.when(~F.col("_mx_none"), F.col("_mx_src")), seed), F.lit(1 << UNIT))
+    out = keyed.join(starts, cell).withColumn("_mx_before", before)
+    return out.select(*df.columns, F.shiftright(F.col("_mx_before") + F.col("_mx_step"), UNIT).alias("mx_copies"))
 
 
 def sized_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -110,7 +118,7 @@ def sized_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
     return materialize(docs.select("doc_id", "source", *row, word_count(F.col("text")).alias("mx_size")), "sized")
 
 
-def mix(docs: DataFrame, seed: int = 0, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, whole: bool = False, salts: int = SALTS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): ``mx_size``, ``mx_source_size``, ``mx_target``
     (words its source should give) and ``mx_copies`` (how often the mix takes it)."""
     sized = sized_documents(docs, whole)
@@ -118,7 +126,7 @@ def mix(docs: DataFrame, seed: int = 0, whole: bool = False) -> DataFrame:
     rated = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.*", F.col("s.source_size").alias("mx_source_size"), F.col("s.target").alias("mx_target"),
         F.when(F.col("s.source_size") > 0, F.col("s.target") / F.col("s.source_size")).otherwise(0.0).alias("mx_rate"))
-    return systematic_copies(rated, "source", "mx_size", "mx_rate", "doc_id", seed).drop("mx_rate")
+    return systematic_copies(rated, "source", "mx_size", "mx_rate", "doc_id", seed, salts).drop("mx_rate")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -161,7 +169,7 @@ rated AS (
   SELECT d.doc_id, d.source, d.size, f.source_size, f.target,
          round(CASE WHEN f.source_size > 0 THEN f.target / f.source_size ELSE 0 END * 4294967296.0)::BIGINT AS step,
          length(bin(d.size)) * 8 + (d.size >> greatest(length(bin(d.size)) - 3, 0)) AS cls,
-         coalesce(((d.doc_id % 64) + 64) % 64, 0) AS salt
+         coalesce(('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::BIGINT % 64, 0) AS salt
   FROM sized d JOIN final f ON d.source IS NOT DISTINCT FROM f.source),
 laid AS (
   SELECT *, sum(step) OVER (PARTITION BY source ORDER BY cls, salt, size, doc_id ASC NULLS FIRST ROWS UNBOUNDED PRECEDING)

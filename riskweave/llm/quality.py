@@ -97,7 +97,7 @@ def votes(c: dict[str, np.ndarray]) -> np.ndarray:
     some = c["words"] >= 20
     cast = [
         (upper > 0.25) & (c["words"] >= 4), shouts > 0.15, marks > 0.3, tails > 0.15, bars > 0.05, empty > 0.08,
-        (repeats > 0.15) & some, some & (fresh < 0.25) & (c["words"] < 2000),
+        (repeats > 0.15) & some, some & (fresh < 0.25 * np.minimum(1.0, np.sqrt(2000 / words))),
         (stops > 0.02) & (stops < 0.4) & (upper < 0.1) & (marks < 0.05) & (repeats < 0.05),
         (fresh > 0.35) & (repeats < 0.05) & (empty < 0.03) & (tails < 0.05) & (upper < 0.2),
         (upper < 0.1) & (tails < 0.02) & (bars == 0) & (repeats < 0.05)]
@@ -233,8 +233,13 @@ def _patterns(votes_: list[str]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[LabelModel, Scorer]:
-    """Label model from the votes of all documents, scorer from at most ``train_docs`` of them."""
-    sided = materialize(cast_votes(docs.select("doc_id", "text")).select("doc_id", "votes"), "votes")
+    """Label model from the votes of all documents, scorer from at most ``train_docs`` different ones.
+
+    A document is its id and text (``mark``, their hash), so each text is learnt with its own
+    posterior, whatever ids repeat or are null.
+    """
+    marked = docs.select(F.xxhash64("doc_id", "text").alias("mark"), "text")
+    sided = materialize(cast_votes(marked).select("mark", "votes"), "votes")
     cast = sided.groupBy("votes").count().collect()  # at most 2 ** heuristics rows
     patterns, counts = _patterns([r["votes"] for r in cast]), np.array([r["count"] for r in cast], float)
     if not len(counts):
@@ -242,14 +247,13 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[LabelModel, Scor
     model = fit_labels(patterns, counts)
     # half of the sample from each side of the label model, so that a rare class is seen
     good = [r["votes"] for r, p in zip(cast, model.posterior(patterns)) if p >= 0.5]
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    sided = sided.where(F.col("doc_id").isNotNull()).withColumn("_good", F.col("votes").isin(good))
+    sided = sided.dropDuplicates(["mark"]).withColumn("_good", F.col("votes").isin(good))
     picked = None
     for side in (True, False):
-        some = sided.where(F.col("_good") == side).drop("_good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2)
+        some = sided.where(F.col("_good") == side).drop("_good").orderBy("mark").limit(train_docs // 2)
         picked = some if picked is None else picked.union(some)
-    sample = picked.toPandas()  # at most train_docs ids and patterns
-    wanted = docs.sparkSession.createDataFrame(sample[["doc_id"]].drop_duplicates(), "doc_id long")
+    sample = picked.toPandas()  # at most train_docs marks and patterns
+    wanted = docs.sparkSession.createDataFrame(sample[["mark"]], "mark long")
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,14 +262,14 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[LabelModel, Scor
                 own = offsets[lo:hi + 1]
                 part = shape_shares(data[own[0]:own[-1]], own - own[0]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in part], pa.binary())],
-                                                 ["doc_id", "shares"])
+                                                 ["mark", "shares"])
 
-    # the broadcast side has at most train_docs ids; a row of shares has 2 * SLOTS bytes
-    rows = ids.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(shares, "doc_id long, shares binary").toPandas()
-    target = dict(zip(sample["doc_id"], model.posterior(_patterns(sample["votes"].tolist()))))
-    rows = rows.sort_values("doc_id")
+    # the broadcast side has at most train_docs marks; a row of shares has 2 * SLOTS bytes
+    rows = marked.join(F.broadcast(wanted), "mark").dropDuplicates(["mark"]).mapInArrow(shares, "mark long, shares binary").toPandas()
+    target = dict(zip(sample["mark"], model.posterior(_patterns(sample["votes"].tolist()))))
+    rows = rows.sort_values("mark")
     x = np.frombuffer(b"".join(rows["shares"]), np.float16).reshape(-1, SLOTS).astype(np.float32)
-    return model, train_scorer(x, np.array([target[i] for i in rows["doc_id"]]))
+    return model, train_scorer(x, np.array([target[i] for i in rows["mark"]]))
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "quality") -> DataFrame:

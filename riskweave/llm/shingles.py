@@ -1,10 +1,9 @@
 """Vectorised words and word shingles of Arrow text columns.
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``. Words get a
-64-bit hash from a polynomial over their bytes, computed for a whole block of
-texts by one cumulative sum (uint64 arithmetic wraps, and an odd multiplier
-has an inverse, so a word's hash is a difference of two prefix sums times a
-power of that inverse). Shingle hashes combine the word hashes.
+64-bit hash, a sum of random numbers drawn by byte and place in the word, so
+that no regular structure of words makes them collide; the sums of a whole
+block of texts are one ``reduceat``. Shingle hashes combine the word hashes.
 """
 
 from __future__ import annotations
@@ -14,8 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_MULT = 0x9E3779B97F4A7C15
-_INV = pow(_MULT, -1, 1 << 64)
 _JOIN = 0xD6E8FEB86659FD93
 _BLOCK_BYTES = 1 << 21
 
@@ -24,21 +21,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        size = max(n, _BLOCK_BYTES + 4096)
-        table = np.full(size, base, np.uint64)
-        table[0] = 1
-        np.cumprod(table, out=table)
-        _powers[base] = table
-    return table[:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer with full avalanche (the public splitmix64 constants)."""
     x = x ^ (x >> np.uint64(30))
@@ -48,6 +30,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_PLACES = 64
+_DRAWN = mix64(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # by place and byte
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,15 +81,18 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     for a, b in zip(cuts, [*cuts[1:], len(start)]):
         if a == b:
             continue
-        base, stop = int(start[a]), int(end[b - 1])
-        block = data[base:stop]
-        block = (_LOWER[block] if lower else block).astype(np.uint64)
-        block += np.uint64(1)
-        block *= _power_table(_MULT, len(block))
-        total = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(block, out=total[1:])
-        s, e = start[a:b] - base, end[a:b] - base
-        out[a:b] = (total[e] - total[s]) * _power_table(_INV, len(block))[s]
+        size = end[a:b] - start[a:b]
+        first = np.cumsum(size) - size
+        place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+        byte = data[place + np.repeat(start[a:b], size)]
+        code = (place << 8) + (_LOWER[byte] if lower else byte)
+        far = place >= _PLACES
+        if far.any():  # places beyond the table are drawn one by one
+            drawn = _DRAWN[np.where(far, 0, code)]
+            drawn[far] = mix64((code[far] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        else:
+            drawn = _DRAWN[code]
+        out[a:b] = np.add.reduceat(drawn, first)
     return mix64(out + (end - start).astype(np.uint64) * np.uint64(_JOIN))
 
 

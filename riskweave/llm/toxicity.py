@@ -28,7 +28,7 @@ without spans. Rows are scored one by one, so repeated rows agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,26 +175,32 @@ class _Block:
     first: np.ndarray
 
 
-def _training_blocks(texts: list[str], toxic: np.ndarray) -> tuple[list[_Block], np.ndarray]:
-    """(blocks, slots by distinct token): texts are read in blocks and only token numbers are kept."""
-    data, offsets = text_buffers(pa.array(texts, pa.large_string()))
+def _training_blocks(batches: Iterable[tuple[Sequence[str], np.ndarray]]) -> tuple[list[_Block], np.ndarray, np.ndarray]:
+    """(blocks, slots by distinct token, toxic): texts pass in blocks and only token numbers are kept."""
     keys, columns, parts, pairs, in_clean = [], [], [], [], np.zeros(TABLE, np.int64)
-    for lo, hi in text_groups(offsets, TRAIN_BLOCK_BYTES):
-        own = offsets[lo:hi + 1]
-        _, _, doc, slots = token_features(data[own[0]:own[-1]], own - own[0])
-        key = slots[0].astype(np.uint64)
-        for row in slots[1:]:
-            key = key * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64)
-        key, at, kind = np.unique(key, return_index=True, return_inverse=True)
-        keys.append(key)
-        columns.append(slots[:, at].astype(np.int32))
-        parts.append((kind.astype(np.int32), (doc + lo).astype(np.int32)))
-        pair = np.unique((slots << 32 | (doc + lo)[None, :]).ravel())
-        bad = toxic[pair & (1 << 32) - 1]
-        in_clean += np.bincount(pair[~bad] >> 32, minlength=TABLE)
-        pairs.append(pair[bad])
+    flags, done = [np.zeros(0, bool)], 0
+    for texts, own_flags in batches:
+        data, offsets = text_buffers(pa.array(texts, pa.large_string()))
+        flags.append(np.asarray(own_flags, bool))
+        for lo, hi in text_groups(offsets, TRAIN_BLOCK_BYTES):
+            own = offsets[lo:hi + 1]
+            _, _, doc, slots = token_features(data[own[0]:own[-1]], own - own[0])
+            doc = doc + lo
+            key = slots[0].astype(np.uint64)
+            for row in slots[1:]:
+                key = key * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64)
+            key, at, kind = np.unique(key, return_index=True, return_inverse=True)
+            keys.append(key)
+            columns.append(slots[:, at].astype(np.int32))
+            parts.append((kind.astype(np.int32), (doc + done).astype(np.int32)))
+            pair = np.unique((slots << 32 | doc[None, :]).ravel())
+            bad = flags[-1][pair & (1 << 32) - 1]
+            in_clean += np.bincount(pair[~bad] >> 32, minlength=TABLE)
+            pairs.append(pair[bad] + done)
+        done += len(flags[-1])
+    toxic = np.concatenate(flags)
     if not keys:
-        return [], np.zeros((0, 0), np.int32)
+        return [], np.zeros((0, 0), np.int32), toxic
     _, at, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     by_kind = np.concatenate(columns, axis=1)[:, at]
     pair = np.concatenate(pairs)
@@ -204,12 +210,12 @@ def _training_blocks(texts: list[str], toxic: np.ndarray) -> tuple[list[_Block],
         kind = number[base:base + len(key)].astype(np.int32)[kind]
         base += len(key)
         blocks.append(_Block(kind, marks[kind] & toxic[doc], _firsts(doc)))
-    return blocks, by_kind
+    return blocks, by_kind, toxic
 
 
-def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, rate: float = 0.3, ridge: float = 1e-4) -> Field:
-    """Fit the field to documents' labels. Nothing but texts and labels goes in."""
-    blocks, by_kind = _training_blocks(texts, toxic)
+def train(batches: Iterable[tuple[Sequence[str], np.ndarray]], steps: int = STEPS, rate: float = 0.3, ridge: float = 1e-4) -> Field:
+    """Fit the field to documents' labels, from batches of (texts, whether toxic). Nothing else goes in."""
+    blocks, by_kind, toxic = _training_blocks(batches)
     if not blocks or not by_kind.size or toxic.all() or not toxic.any():
         return Field(np.zeros(TABLE), np.array([[0.0, -60.0], [0.0, -60.0]]), -60.0)
     used, compact = np.unique(by_kind, return_inverse=True)
@@ -269,19 +275,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fie
         some = usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs if kind else CLEAN_PER_TOXIC * train_docs)
         picked = some if picked is None else picked.union(some)
     # at most (1 + CLEAN_PER_TOXIC) * train_docs rows of an id and a flag, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # of texts that share an id the least stands
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *frames]).sort_values("doc_id")
-        toxic = sample["toxic"].to_numpy(bool)
-        field = train([t or "" for t in sample["text"]], toxic)
+        flags = [np.zeros(0, bool)]
+
+        def batches() -> Iterator[tuple[list[str], np.ndarray]]:
+            for frame in frames:
+                flags.append(frame["toxic"].to_numpy(bool))
+                yield [t or "" for t in frame["text"]], flags[-1]
+
+        field = train(batches())
+        toxic = np.concatenate(flags)
         slots = np.flatnonzero(field.weights)
         yield pd.DataFrame({"slots": [slots.astype(np.int32).tobytes()], "weights": [field.weights[slots].tobytes()],
                             "trans": [field.trans.tobytes()], "start": [field.start], "n_toxic": [int(toxic.sum())],
                             "n_clean": [int((~toxic).sum())]})
 
-    # the bounded sample is learnt from in one task, away from the driver's memory
-    got = rows.coalesce(1).mapInPandas(
+    # the bounded sample is learnt from in one task, away from the driver's memory; its texts pass in order of
+    # their ids, an Arrow batch at a time, and only token numbers are kept
+    got = rows.coalesce(1).sortWithinPartitions("doc_id").mapInPandas(
         learn, "slots binary, weights binary, trans binary, start double, n_toxic long, n_clean long").collect()
     field = Field(np.zeros(TABLE), np.array([[0.0, -60.0], [0.0, -60.0]]), -60.0)
     if got:

@@ -30,8 +30,9 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-_CANONICAL = r"(?is)<link\s[^>]*rel\s*=\s*[\"']?canonical[\"'\s>][^>]*>?"
-_REFRESH = r"(?is)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[\"'\s][^>]*>"
+_TAG = r"(?i)<(?:link|meta)\s[^<>]*>?"  # up to the next < or >, so that a page is passed over once
+_CANONICAL = r"(?i)^<link\s.*rel\s*=\s*[\"']?canonical[\"'\s>]"
+_REFRESH = r"(?i)^<meta\s.*http-equiv\s*=\s*[\"']?refresh[\"'\s]"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -82,10 +83,14 @@ def redirect_edges(pages: DataFrame) -> DataFrame:
 
     ``pages`` has url and html; any page without such an element yields none.
     """
-    href = F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), r"(?is)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
-    goal = F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), r"(?is)url\s*=\s*([^\"'>]+)", 1)
+    def first(tags: Column, pattern: str) -> Column:
+        return F.coalesce(F.get(F.filter(tags, lambda t: t.rlike("(?s)" + pattern)), F.lit(0)), F.lit(""))
+
+    tags = F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))
+    href = F.regexp_extract(first(F.col("tags"), _CANONICAL), r"(?is)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
+    goal = F.regexp_extract(first(F.col("tags"), _REFRESH), r"(?is)url\s*=\s*([^\"'>]+)", 1)
     bare = F.regexp_replace(F.regexp_replace(href, r"(?is)^href\s*=\s*", ""), "^[\"']|[\"']$", "")
-    found = pages.where(F.contains("url", F.lit("://")) & F.col("html").isNotNull()).select(
+    found = pages.where(F.contains("url", F.lit("://")) & F.col("html").isNotNull()).withColumn("tags", tags).select(
         "url", F.explode(F.filter(F.array(F.when(href != "", F.trim(bare)), F.when(goal != "", F.trim(goal))),
                                   lambda t: t.isNotNull())).alias("target"))
     decoded = F.replace(F.col("target"), F.lit("&amp;"), F.lit("&"))

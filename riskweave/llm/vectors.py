@@ -17,7 +17,7 @@ lower bound is within it is reranked on its original components. A task keeps
 Queries run in blocks of about ``QUERY_BLOCK``, so what a task is sent is
 bounded; every block scans the whole index.
 
-Vectors that are null, zero, of another length than most sampled ones, or hold
+Vectors that are null, zero, of another length than most rows have, or hold
 null or non-finite components take no part, nor do rows with a null id. Of
 rows that share an id the least vector in array order stands. Ties in distance
 go to the smaller id. No queries or no other vectors: no rows.
@@ -25,7 +25,6 @@ go to the smaller id. No queries or no other vectors: no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +71,8 @@ class Index:
             F.min("vector").alias("vector"))
         rows = materialize(one, "vectors")
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["vector"]
-        self.dim = max(Counter(map(len, sample)).items(), key=lambda x: (x[1], x[0]))[0] if len(sample) else 0
+        usual = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.col("count").desc(), F.col("dim").desc()).first()
+        self.dim = usual["dim"] if usual else 0  # the length of most of all rows
         fitted = [v for v in sample if len(v) == self.dim]
         self.center = np.mean(np.array(fitted), axis=0) if fitted else np.zeros(0)
         self.rotation = _rotation(self.dim, seed)

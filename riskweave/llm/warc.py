@@ -13,7 +13,8 @@ Reading. Every file is parsed in the task that reads it, by the stated lengths
 and never by searching for separators. Whole records are decoded there; only
 segments are shuffled, grouped by origin, ordered by number, checked (numbers
 1..n without a gap, stated total length) and joined. A record that fails a
-check comes back with a null payload and the reason in ``problem``.
+check comes back with a null payload and the reason in ``problem``; segments
+whose first one is missing come back as one such row under their origin's id.
 
 Nulls: a null payload is empty, a null url an empty target, null ids are kept
 (a null id never is the largest). Rows tied on the largest id of a payload are
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from riskweave.llm.scratch import new_folder
 
 FILE_BYTES = 16 << 20
-SEGMENT_BYTES = 64 << 10
+SEGMENT_BYTES = 4 << 10  # of the query's archives: larger blocks are segmented
 CHUNK_BYTES = 16 << 10
 _EOL = b"\r\n"
 _BETWEEN = b"\r\n\r\n"
@@ -270,44 +271,47 @@ def decoded(fields: dict[str, str], block: bytes, problem: str | None = None) ->
     return row | {"payload": payload, "payload_digest": digest, "payload_bytes": len(payload)}
 
 
-def reassembled(parts: list[tuple]) -> list[dict]:
-    """Rows of one origin from its (number, total, header, block): one per copy that was archived."""
-    by_number: dict[int, list] = {}
-    for number, total, header, block in parts:
-        by_number.setdefault(number, []).append((total, header, block))
-    if 1 not in by_number:
-        return []  # nothing tells what the rest belongs to
-    header = next(x[1] for x in by_number[1])
+def reassembled(origin: str, parts: list[tuple]) -> dict:
+    """The row of one origin from its (number, total, header, block), one per number, in order."""
+    numbers, header, total = [p[0] for p in parts], parts[0][2], parts[-1][1]
+    if numbers[0] != 1 or header is None:  # nothing tells what the rest belongs to
+        return dict.fromkeys(RECORD.names) | {"record_id": origin, "record_type": "continuation", "problem": "first segment missing"}
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in bytes(header).decode().split("\r\n")[1:])}
-    block = b"".join(by_number[k][0][2] for k in sorted(by_number))
-    total = by_number[max(by_number)][0][0]
+    block = b"".join(p[3] for p in parts)
     problem = None
-    if sorted(by_number) != list(range(1, len(by_number) + 1)):
+    if numbers != list(range(1, len(numbers) + 1)):
         problem = "segments missing"
     elif total != len(block):
         problem = f"segments hold {len(block)} bytes of {total}"
-    return [decoded(fields, block, problem)] * len(by_number[1])
+    return decoded(fields, block, problem)
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
     """Segments (origin, number, total, header, block) as whole, checked and decoded records.
 
-    A group is one record, so what a task holds is bounded by the largest
-    payload; segments without their first one are dropped by definition, since
-    nothing says what they belong to.
+    Segments of rows that repeat are the same: each number is kept once, with
+    the count of its copies, before a record's segments meet, so what a task
+    holds is bounded by the largest payload. A record comes back once per copy
+    of its first segment.
     """
-    grouped = parts.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "header", "block"))).alias("parts"))
+    # equal origins and numbers have equal blocks: any of them will do, and the least is the same on a rerun
+    one = parts.groupBy("origin", "number").agg(F.max("total").alias("total"), F.min("header").alias("header"), F.min("block").alias("block"),
+                                                F.count("*").alias("copies"))
+    grouped = one.groupBy("origin").agg(
+        F.sort_array(F.collect_list(F.struct("number", "total", "header", "block"))).alias("parts"),
+        F.coalesce(F.max(F.when(F.col("number") == 1, F.col("copies"))), F.lit(1)).alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema([pa.field(f.name, pa.int64() if f.dataType == T.LongType() else
-                                    pa.binary() if f.dataType == T.BinaryType() else pa.string()) for f in RECORD])
+                                    pa.binary() if f.dataType == T.BinaryType() else pa.string()) for f in counted])
         for batch in batches:
-            for group in batch.column(0):
-                rows = reassembled([(p["number"], p["total"], p["header"], p["block"]) for p in group.as_py()])
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
+            for origin, group, copies in zip(*batch.columns):
+                row = reassembled(origin.as_py(), [(p["number"], p["total"], p["header"], p["block"]) for p in group.as_py()])
+                yield pa.RecordBatch.from_pylist([row | {"copies": copies.as_py()}], arrow)
 
-    return grouped.select("parts").mapInArrow(run, RECORD)
+    counted = T.StructType([*RECORD.fields, T.StructField("copies", T.LongType())])
+    whole = grouped.select("origin", "parts", "copies").mapInArrow(run, counted)
+    return whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*RECORD.names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

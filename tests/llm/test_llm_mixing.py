@@ -75,3 +75,23 @@ def test_emit_repeats_rows(spark):
 def test_plan_stays_in_expressions(spark):
     plan = mixing.op8_mixing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ids_with_a_pattern_still_spread(spark):
+    from pyspark.sql import functions as F
+    salts = spark.range(4096).select(mixing.id_salt(F.col("id") * 64, 64).alias("s")).groupBy("s").count().collect()
+    assert len(salts) == 64 and max(r["count"] for r in salts) < 3 * 64
+
+
+def test_sums_do_not_grow_with_the_corpus(spark):
+    """Expectations that add up past a long: the copies are those of exact integers."""
+    from pyspark.sql import functions as F
+    n, rate = 2000, 2.0 ** 30 - 0.3  # as many copies in all as billions of documents would have
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(7).cast("long").alias("size"), F.lit(rate).alias("rate"))
+    got = [r["mx_copies"] for r in mixing.systematic_copies(df, "source", "size", "rate", "doc_id").collect()]
+    assert abs(sum(got) - n * rate) <= 1 and set(got) <= {2 ** 30 - 1, 2 ** 30}
+
+
+def test_very_long_text(spark):
+    got = run(spark, [(1, "w " * 1_000_000, "a"), (2, "w", "a")]).collect()
+    assert {r["doc_id"]: r["mx_size"] for r in got} == {1: 1_000_000, 2: 1}

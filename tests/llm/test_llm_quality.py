@@ -70,3 +70,57 @@ def test_agreement_with_labels(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     right = [kept[r["doc_id"]] == (r["quality"] == 1) for r in labels if r["quality"] is not None and r["doc_id"] in kept]
     assert np.mean(right) > 0.95
+
+
+def test_long_repetitive_text_is_voted_bad():
+    import pyarrow as pa
+    from riskweave.llm.shingles import text_buffers
+    rng = np.random.default_rng(0)
+    stale = " ".join(rng.choice([f"word{i}" for i in range(60)], 30_000))
+    varied = " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 30_000) % 100_000)
+    cast = quality.votes(quality.text_counts(*text_buffers(pa.array([stale, varied]))))
+    assert cast[:, quality.HEURISTICS.index("stale")].tolist() == [1, 0]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_repeated_ids_keep_their_own_texts(spark, parts):
+    """Junk under the ids of good documents, or under null ids, scores as junk under ids of its own."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(300)]
+    good = [". ".join(" ".join(rng.choice(words, 9)).capitalize() for _ in range(4)) + "." for _ in range(330)]
+    junk = [" ".join(x.upper() + "!!" for x in rng.choice(words, 60)) for _ in range(110)]
+    rows = [(i, t) for i, t in enumerate(good[:300])] + [(i if i % 2 else None, t) for i, t in enumerate(junk[:100])]
+    _, scorer = quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+    fresh = spark.createDataFrame([(i, t) for i, t in enumerate(good[300:] + junk[100:])], "doc_id long, text string")
+    score = [r["quality"] for r in quality.score_documents(fresh, scorer).orderBy("doc_id").collect()]
+    assert min(score[:30]) > 0.9 and max(score[30:]) < 0.1
+
+
+def test_em_against_a_plain_version():
+    """The label model of a few votes, step by step in plain Python."""
+    import math
+    patterns = np.zeros((6, 11), np.int8)
+    patterns[1, [0, 3]], patterns[2, [8, 9]], patterns[3, [8, 10]], patterns[4, [1]], patterns[5, [0, 9]] = 1, 1, 1, 1, 1
+    counts = np.array([3.0, 10, 40, 20, 5, 2])
+    prior, acc = 0.5, [0.8] * 11
+
+    def post():
+        out = []
+        for row in patterns:
+            z = math.log(prior / (1 - prior)) + sum(int(p) * math.log(a / (1 - a)) for v, p, a in zip(row, quality.POLARITY, acc) if v)
+            out.append(1 / (1 + math.exp(-z)))
+        return out
+    for _ in range(7):
+        p = post()
+        acc = [min(max((sum(c * (q if pol > 0 else 1 - q) for c, q, row in zip(counts, p, patterns) if row[k]) + 4)
+                       / (sum(c for c, row in zip(counts, patterns) if row[k]) + 5), 0.6), 0.99) for k, pol in enumerate(quality.POLARITY)]
+        prior = min(max((sum(c * q for c, q in zip(counts, p)) + 1) / (sum(counts) + 2), 0.01), 0.99)
+    model = quality.fit_labels(patterns, counts, steps=7)
+    assert abs(model.prior - prior) < 1e-12 and np.allclose(model.accuracy, acc) and np.allclose(model.posterior(patterns), post())
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "Some words make a sentence here. " * 20_000, "x", 2.0), (2, "One more line of words.", "x", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, shares double")
+    kept = quality.keep_good(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() <= 2

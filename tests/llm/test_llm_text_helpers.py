@@ -69,3 +69,15 @@ def test_components_of_stars_chains_and_noise(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: top(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_regular_words_do_not_collide():
+    """Thue-Morse words and their complements, the classic collision of polynomial hashes modulo a power of two."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    words = [word[:k] for k in (64, 256, 1024, 2048)]
+    words += [w.translate(str.maketrans("ab", "ba")) for w in words] + ["ab" * 600, "ba" * 600, "a" * 65, "a" * 64 + "b"]
+    data, offsets = S.text_buffers(pa.array([" ".join(words)]))
+    start, end, _ = S.word_spans(data, offsets)
+    assert len(set(S.span_hashes(data, start, end).tolist())) == len(words)

@@ -56,7 +56,7 @@ def corpus(n=400, seed=1):
 
 def test_learns_spans_from_document_labels():
     texts, toxic = corpus()
-    field = tox.train(texts, toxic)
+    field = tox.train([(texts, toxic)])
     fresh, truth = corpus(200, 2)
     score, spans = tox.score_block(field, *text_buffers(pa.array(fresh)))
     assert np.mean((score >= 0.3) == truth) > 0.97
@@ -70,7 +70,7 @@ def test_learns_spans_from_document_labels():
 def test_span_offsets_are_code_points():
     texts, toxic = corpus()
     text = "éé 漢 zzvile x"
-    _, spans = tox.score_block(tox.train(texts, toxic), *text_buffers(pa.array([text])))
+    _, spans = tox.score_block(tox.train([(texts, toxic)]), *text_buffers(pa.array([text])))
     assert [text[s["start"]:s["end"]] for s in spans[0]] == ["zzvile"]
 
 
@@ -110,3 +110,19 @@ def test_nothing_to_learn(spark):
         assert len(scored) == docs.count() and max(r["score"] for r in scored) < 1e-6
     empty = docs.where("doc_id = -1")
     assert tox.score_documents(empty.select("doc_id", "text"), tox.fit(empty, labels)).count() == 0
+
+
+def test_training_in_batches_is_training_on_the_whole():
+    texts, toxic = corpus()
+    whole = tox.train([(texts, toxic)])
+    parts = tox.train([(texts[:7], toxic[:7]), ([], toxic[:0]), (texts[7:], toxic[7:])])
+    assert np.allclose(whole.weights, parts.weights) and np.allclose(whole.trans, parts.trans)
+
+
+def test_ids_that_repeat_with_other_texts_and_long_texts(spark):
+    docs, labels, _ = frames(spark)
+    more = docs.union(docs.selectExpr("doc_id", "concat('zz ', text, ' other')", "spans", "score")).union(
+        spark.createDataFrame([(1, "long words here " * 40_000, "c", 1.0)], docs.schema))
+    a, b = tox.fit(more.repartition(7), labels), tox.fit(more.repartition(2), labels)
+    assert np.array_equal(a.weights, b.weights) and a.start == b.start
+    assert tox.score_documents(more.select("doc_id", "text"), a).count() == more.count()

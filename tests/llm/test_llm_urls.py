@@ -48,3 +48,47 @@ def test_long_redirect_chain_and_star(spark):
 
 def test_no_pages(spark):
     assert judge(spark, []) == {}
+
+
+def test_random_graphs_against_union_find(spark):
+    import random
+    for seed in range(3):
+        rng = random.Random(seed)
+        hosts = ["a.org", "b.net", "www.example.com", "example.com", "c.com"]
+        paths = ["/", "/es/", "/fr/", "/en/"]
+        nodes = [rng.choice(hosts) + rng.choice(paths) + str(i) for i in range(120)]
+        edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(80)] + [(nodes[0], None)]
+        parent = {n: n for n in nodes}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if b is not None:
+                parent[top(a)] = top(b)
+
+        def own(n):
+            host, path = n.split("/", 1)
+            fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+            return max(fits)[1] if fits else None
+
+        linked = {n for e in edges if e[1] is not None and e[0] != e[1] for n in e}
+        blocked = {top(n) for n in linked if own(n) == "block"}
+        want = {n: own(n) or ("block" if n in linked and top(n) in blocked else "allow") for n in nodes}
+        pages = spark.createDataFrame([(i, "http://" + n) for i, n in enumerate(nodes)], "page_id long, url string")
+        got = urls.judge(pages, spark.createDataFrame(edges, "a string, b string")).collect()
+        assert {nodes[r["page_id"]]: r["verdict"] for r in got} == want
+        assert {r["via"] for r in got} == {"rule", "alias", "default"}
+
+
+def test_megabyte_pages_are_read_in_linear_time(spark):
+    import time
+    pages = ["<link rel=x " * 90_000, "<meta " + "http-equiv = " * 90_000, "<" * 1_000_000, "<link " + " " * 1_000_000,
+             "<p>" * 300_000 + '<link rel="canonical" href="/b">', "<link rel='canonical' href=" + "x" * 1_000_000 + ">"]
+    df = spark.createDataFrame([(i, f"http://h.org/{i}" + "y" * (i == 0) * 500_000, h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    began = time.time()
+    edges = urls.redirect_edges(df).collect()
+    assert {(e["a"], len(e["b"])) for e in edges} == {("h.org/4", len("h.org/b")), ("h.org/5", len("h.org/") + 1_000_000)}
+    assert time.time() - began < 30

@@ -70,14 +70,14 @@ def test_segments_are_checked():
             s = warc._segment(fields, raw, block)
             rows.append((s["number"], s["total"], s["header"], s["block"]))
     assert len(rows) > 2
-    (whole,) = warc.reassembled(rows[::-1])
+    whole = warc.reassembled("o", rows)
     assert whole["payload"] == b"q" * 1000 and whole["problem"] is None
-    assert [len(warc.reassembled(rows + rows))] == [2]
-    (gap,) = warc.reassembled(rows[:1] + rows[2:])
+    gap = warc.reassembled("o", rows[:1] + rows[2:])
     assert gap["payload"] is None and gap["problem"] == "segments missing"
-    (short,) = warc.reassembled(rows[:-1])
+    short = warc.reassembled("o", rows[:-1])
     assert short["payload"] is None and short["problem"].startswith("segments hold")
-    assert warc.reassembled(rows[1:]) == []
+    orphan = warc.reassembled("o", rows[1:])
+    assert (orphan["record_id"], orphan["payload"], orphan["problem"]) == ("o", None, "first segment missing")
 
 
 def test_files_of_record_members_or_one_stream():
@@ -86,3 +86,24 @@ def test_files_of_record_members_or_one_stream():
         assert [x[2] for x in warc.parse_records(warc.inflate(data))] == [b"x", b""]
     with pytest.raises(ValueError):
         list(warc.parse_records(b"junk"))
+
+
+def test_orphans_and_copies_in_the_job(spark):
+    parts = list(warc.records(1, "u", b"q" * 1000, digest("q" * 1000), 1000, "response", None, "2024-01-01T00:00:00Z", 300))
+    rows = [warc._segment(f, raw, block) for p in parts for f, raw, block in warc.parse_records(p + b"\r\n\r\n")]
+    lost = [r | {"origin": "lost"} for r in rows[1:]]
+    frame = spark.createDataFrame([tuple(r[f] for f in warc._PART.names) for r in rows * 40 + lost], warc._PART)
+    got = warc.reassemble(frame).collect()
+    assert len(got) == 41 and sum(r["payload"] == b"q" * 1000 for r in got) == 40
+    assert [(r["record_id"], r["payload"]) for r in got if r["problem"]] == [("lost", None)]
+
+
+def test_the_given_pages_are_segmented(spark):
+    sf = "/root/testdata/sf0.01"
+    path = new_folder(spark, "test-pages")
+    warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"), path, "page_id", "url", "html")
+    pieces = warc._parsed(spark, path, True).groupBy("origin").count().where("count > 1").count()
+    pages = spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert pieces > 0.1 * pages
+    back = warc.read_archives(spark, path)
+    assert back.count() == pages and back.where("problem is not null").isEmpty()
