@@ -15,6 +15,7 @@ import pyarrow as pa
 
 _JOIN = 0xD6E8FEB86659FD93
 _BLOCK_BYTES = 1 << 21
+_HASH_BYTES = 1 << 17  # hashed at once: what fits a core's cache
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -77,21 +78,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray,
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of the byte spans, which are in order and don't overlap."""
     out = np.empty(len(start), np.uint64)
-    cuts = np.unique(np.searchsorted(start, np.arange(0, len(data) + 1, _BLOCK_BYTES)))
+    cuts = np.unique(np.searchsorted(start, np.arange(0, len(data) + 1, _HASH_BYTES)))
     for a, b in zip(cuts, [*cuts[1:], len(start)]):
         if a == b:
             continue
         size = end[a:b] - start[a:b]
         first = np.cumsum(size) - size
-        place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
-        byte = data[place + np.repeat(start[a:b], size)]
-        code = (place << 8) + (_LOWER[byte] if lower else byte)
-        far = place >= _PLACES
-        if far.any():  # places beyond the table are drawn one by one
-            drawn = _DRAWN[np.where(far, 0, code)]
-            drawn[far] = mix64((code[far] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        else:
+        place = np.arange(first[-1] + size[-1], dtype=np.int32)
+        byte = data[start[a]:end[b - 1]][place + np.repeat((start[a:b] - start[a] - first).astype(np.int32), size)]
+        place -= np.repeat(first.astype(np.int32), size)
+        code = (place << 8) | (_LOWER[byte] if lower else byte)
+        if size.max() <= _PLACES:
             drawn = _DRAWN[code]
+        else:  # places beyond the table are drawn one by one
+            far = place >= _PLACES
+            drawn = _DRAWN[np.where(far, 0, code)]
+            drawn[far] = mix64((code[far].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         out[a:b] = np.add.reduceat(drawn, first)
     return mix64(out + (end - start).astype(np.uint64) * np.uint64(_JOIN))
 

@@ -31,7 +31,7 @@ def test_hash_depends_on_the_bytes_alone(monkeypatch):
     data, offsets = S.text_buffers(pa.array([text]))
     start, end, _ = S.word_spans(data, offsets)
     whole = S.span_hashes(data, start, end)
-    monkeypatch.setattr(S, "_BLOCK_BYTES", 64)
+    monkeypatch.setattr(S, "_HASH_BYTES", 64)
     assert np.array_equal(whole, S.span_hashes(data, start, end))
     by_word = {}
     for a, b, h in zip(start, end, whole):
