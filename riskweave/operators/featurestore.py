@@ -118,3 +118,30 @@ def value_kind(value_json: Column) -> Column:
 def live_key_stats(store: DataFrame, at: Column) -> DataFrame:
     """Number of live keys per version."""
     return get_live(store, at).groupBy("version").agg(F.count(F.lit(1)).alias("live_keys"))
+
+
+def write_snapshot(store: DataFrame, at: Column, name: str, path: str, buckets: int) -> DataFrame:
+    """K05 compacted: the values that are live at ``at``, as a table by version, bucketed by entity and feature.
+
+    Expired and deleted keys, and all writes but the last, are left behind.
+    With the log after ``at`` (the tail) it answers every read from then on.
+    """
+    live = latest(store, at).where((F.col("expires_at") > at) & ~F.col("deleted")).drop("deleted")
+    keys = ["entity_id", "feature_name"]
+    live.repartition(buckets, *keys).write.partitionBy("version").bucketBy(buckets, *keys).sortBy(*keys).option(
+        "path", path).mode("overwrite").saveAsTable(name)
+    return store.sparkSession.table(name)
+
+
+def get_live_compacted(snapshot: DataFrame, tail: DataFrame, at: Column, version: str) -> DataFrame:
+    """K02 from a snapshot and the rows written after it, for one version, at any time after the snapshot.
+
+    The tail's last writes are shuffled to the snapshot's buckets; the snapshot is read where it lies.
+    """
+    keys = ["entity_id", "feature_name"]
+    old = snapshot.where(F.col("version") == version).select(*keys, F.col("value_json").alias("_old"), F.col("expires_at").alias("_old_until"))
+    new = latest(tail.where(F.col("version") == version), at).select(*keys, "value_json", "expires_at", "deleted", F.lit(True).alias("_new"))
+    both = old.hint("merge").join(new, keys, "full_outer")
+    until = F.when(F.col("_new"), F.col("expires_at")).otherwise(F.col("_old_until"))
+    return both.where((until > at) & ~F.coalesce("deleted", F.lit(False))).select(
+        *keys, F.lit(version).alias("version"), F.when(F.col("_new"), F.col("value_json")).otherwise(F.col("_old")).alias("value_json"))

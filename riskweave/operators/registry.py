@@ -7,9 +7,16 @@ are new event rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.session import scratch_path
+from riskweave.streaming.state import path_exists
+
+SAVED = "dataset string, model_type string, stage string, model_path string, saved_at double"
+
 
 def promote_newest(runs: DataFrame, stage: str, at: str) -> DataFrame:
     """Stage the newest version of every model name."""
@@ -35,3 +42,20 @@ def best_in_stage(runs: DataFrame, events: DataFrame, stage: str, metric: str) -
     """Best run by ``metric`` among versions currently in ``stage`` (e.g. Production)."""
     cur = current_stages(runs, events).where(F.col("current_stage") == stage)
     return cur.agg(F.max_by(F.struct("name", "version"), F.col(metric)).alias("best"))
+
+
+def save_model_run(spark: SparkSession, dataset: str, model_type: str, model_path: str, stage: str = "Staging") -> None:
+    """One more row of the saved models' table; any later session finds the model there."""
+    spark.createDataFrame([(dataset, model_type, stage, model_path, time.time())], SAVED).coalesce(1).write.mode("append").parquet(
+        scratch_path(spark, "model-runs"))
+
+
+def newest_model(spark: SparkSession, dataset: str, model_type: str, stage: str = "Staging") -> str | None:
+    """Path of the newest saved model of a dataset and family in a stage, if its folder is still there."""
+    table = scratch_path(spark, "model-runs")
+    if not path_exists(spark, table):
+        return None
+    rows = spark.read.schema(SAVED).parquet(table).where(
+        (F.col("dataset") == dataset) & (F.col("model_type") == model_type) & (F.col("stage") == stage))
+    path = rows.agg(F.max_by("model_path", "saved_at")).first()[0]
+    return path if path is not None and path_exists(spark, path) else None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from riskweave.functions import validate as va
 from riskweave.operators import lookups
 from riskweave.plans._sqlhelp import r9
 from riskweave.plans.registry import register
+from riskweave.session import scratch_path, shuffle_partitions
 from riskweave.sources.tables import prediction_logs, read_table, transactions, with_ctes
 
 # ---------------------------------------------------------------- request view
@@ -351,8 +354,12 @@ def q_j04(spark, sf_dir):
 @register("J05", with_ctes("""SELECT l.prediction_id, t.transaction_id, t.amount, t.is_fraud,
     l.fraud_probability FROM logs l JOIN tx t ON l.transaction_id = t.transaction_id""", "logs"))
 def q_j05(spark, sf_dir):
-    """Prediction log joined to its transaction (equi-join on transaction_id)."""
-    logs = prediction_logs(spark, sf_dir).select("prediction_id", "transaction_id", "fraud_probability")
-    tx = transactions(spark, sf_dir).select("transaction_id", "amount", "is_fraud")
+    """Prediction log joined to its transaction: both stored bucketed by transaction_id, joined without a shuffle."""
+    tag = uuid.uuid4().hex[:12]
+
+    def stored(df, name):
+        return lookups.write_bucketed(df, f"rw_{name}_{tag}", scratch_path(spark, f"j05-{name}-{tag}"), "transaction_id", shuffle_partitions(spark))
+    logs = stored(prediction_logs(spark, sf_dir).select("prediction_id", "transaction_id", "fraud_probability"), "logs")
+    tx = stored(transactions(spark, sf_dir).select("transaction_id", "amount", "is_fraud"), "tx")
     return lookups.predictions_with_transactions(logs, tx).select(
         "prediction_id", "transaction_id", "amount", "is_fraud", "fraud_probability")

@@ -18,6 +18,7 @@ from riskweave.plans.registry import register
 from riskweave.plans.split_plans import _RANK_CTE, split_tx
 from riskweave.session import scratch_path
 from riskweave.sources import files as fl
+from riskweave.sources import unique as un
 from riskweave.sources import generator as gen
 from riskweave.sources.tables import prediction_logs, read_table, transactions, with_ctes
 
@@ -54,9 +55,9 @@ def q_s02(spark, sf_dir):
 @register("S03", with_ctes("""SELECT row_number() OVER (ORDER BY transaction_id) - 1 AS row_id, transaction_id, amount,
     hour, transaction_id AS label_transaction_id, is_fraud FROM tx""", "tx"))
 def q_s03(spark, sf_dir):
-    """Pair separately written feature and label files by row position (fixture ingest)."""
+    """Pair separately written feature and label files by row position."""
     x_path, y_path = _scratch(spark, "s03x"), _scratch(spark, "s03y")
-    tx = transactions(spark, sf_dir).repartitionByRange(4, "transaction_id").sortWithinPartitions("transaction_id")
+    tx = transactions(spark, sf_dir).repartitionByRange("transaction_id").sortWithinPartitions("transaction_id")
     fl.write_csv(tx.select("transaction_id", "amount", "hour"), x_path)
     fl.write_csv(tx.select("transaction_id", "is_fraud"), y_path)
     xs = StructType([StructField("transaction_id", LongType()), StructField("amount", DoubleType()),
@@ -92,20 +93,20 @@ def _append_twice(spark, sf_dir, key: str, df_builder):
     df = df_builder(spark, sf_dir)
     first = df.where(F.col("created_at") < F.lit("2024-01-21").cast("timestamp_ntz"))
     second = df.where(F.col("created_at") >= F.lit("2024-01-15").cast("timestamp_ntz"))
-    fl.append_unique(spark, path, first, key, "created_at")
-    fl.append_unique(spark, path, second.unionByName(second), key, "created_at")  # overlap and in-batch duplicates
-    return spark.read.parquet(path)
+    un.append_unique(spark, path, first, key, "created_at")
+    un.append_unique(spark, path, second.unionByName(second), key, "created_at")  # overlap and in-batch duplicates
+    return un.read_unique(spark, path, df.schema)
 
 
 @register("S06", with_ctes("SELECT transaction_id, amount FROM tx", "tx"))
 def q_s06(spark, sf_dir):
-    """Transaction append with unique ids (overlapping, duplicated batches)."""
+    """Transaction append with unique ids (overlapping, duplicated batches), told by key filters."""
     return _append_twice(spark, sf_dir, "transaction_id", transactions).select("transaction_id", "amount")
 
 
 @register("S07", with_ctes("SELECT prediction_id, fraud_probability FROM logs", "logs"))
 def q_s07(spark, sf_dir):
-    """Prediction-log append with unique prediction ids."""
+    """Prediction-log append with unique prediction ids, told by key filters."""
     return _append_twice(spark, sf_dir, "prediction_id", prediction_logs).select("prediction_id", "fraud_probability")
 
 
@@ -175,12 +176,20 @@ def q_s13(spark, sf_dir):
     return out.select("order_id", "batch_no", "pos", "amount", "hour", "device_score", "country_risk")
 
 
-@register("C01", with_ctes("""SELECT count(*) FILTER (WHERE created_at < TIMESTAMP '2024-01-10') AS archived,
-    count(*) FILTER (WHERE created_at >= TIMESTAMP '2024-01-10') AS kept, true AS verified FROM logs""", "logs"))
+@register("C01", with_ctes("""SELECT step, archived, kept, verified FROM (
+      SELECT count(*) FILTER (WHERE created_at < TIMESTAMP '2024-01-10 12:00:00') AS archived,
+        count(*) FILTER (WHERE created_at >= TIMESTAMP '2024-01-10 12:00:00') AS k FROM logs),
+      (VALUES ('dry run', false), ('run', true), ('run again', true)) v(step, verified), LATERAL (SELECT CASE WHEN verified THEN k END AS kept)""", "logs"))
 def q_c01(spark, sf_dir):
-    """Archive rows older than a cutoff (verified gzip JSON), keep the rest in a new table."""
+    """Archive rows older than a cutoff out of a day-partitioned table: dry run, the run, and the run again."""
     logs = prediction_logs(spark, sf_dir)
-    return rt.archive_old(spark, logs, "created_at", "2024-01-10", _scratch(spark, "c01a"), _scratch(spark, "c01k"))
+    table, archive, out = _scratch(spark, "c01t"), _scratch(spark, "c01a"), None
+    rt.write_by_day(logs, table, "created_at")
+    for step in ("dry run", "run", "run again"):
+        told = rt.archive_in_place(spark, table, logs.schema, "created_at", "2024-01-10 12:00:00", archive, "first", step == "dry run")
+        rows = spark.createDataFrame(told.collect(), told.schema).select(F.lit(step).alias("step"), "*")  # one row
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register("C02", with_ctes("""SELECT DISTINCT strftime(created_at, '%Y-%m-%d') AS day FROM logs

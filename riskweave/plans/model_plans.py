@@ -14,26 +14,40 @@ from riskweave.functions import features as fe
 from riskweave.operators import curves as cv
 from riskweave.operators import models as ml
 from riskweave.operators import reports as rp
+from riskweave.operators.registry import newest_model, save_model_run
 from riskweave.plans._sqlhelp import r9
 from riskweave.plans.registry import register
 from riskweave.plans.split_plans import split_tx
 from riskweave.plans.window_plans import runs_table
 from riskweave.session import scratch_path
 from riskweave.sources.tables import MODEL_TYPES, prediction_logs, with_ctes
+from riskweave.streaming import jobs
+from riskweave.streaming import runtime as rt
 
 SEED = 42
 
 
-def frames(spark, sf_dir):
-    """Train/val/test of all transactions; features use statistics fitted on train only."""
-    sp = split_tx(spark, sf_dir)
-    train = sp.where(F.col("split") == "train")
-    stats = fe.fit_feature_stats(train)
+def _kept(df, name: str):
+    """``df`` written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fitted_frames(spark, sf_dir):
+    """(stats, train, val, test): the split and the statistics, fitted on train only, are worked out once and written."""
+    sp = _kept(split_tx(spark, sf_dir), "split")
+    stats = _kept(fe.fit_feature_stats(sp.where(F.col("split") == "train")), "stats")
     eng = fe.engineer(sp, stats)
-    return (eng.where(F.col("split") == "train"), eng.where(F.col("split") == "val"),
+    return (stats, eng.where(F.col("split") == "train"), eng.where(F.col("split") == "val"),
             eng.where(F.col("split") == "test"))
 
 
+def frames(spark, sf_dir):
+    """Train/val/test of all transactions; features use statistics fitted on train only."""
+    return fitted_frames(spark, sf_dir)[1:]
+
+
 @register("L01")
 def q_l01(spark, sf_dir):
     """Logistic regression (balanced weights, C=1, unscaled): coefficients per feature."""
@@ -63,14 +77,10 @@ def q_l03(spark, sf_dir):
 
 def train_job(spark, sf_dir, kind: str = "logistic_regression"):
     """Split -> fit stats -> features -> fit -> val metrics -> tuned threshold -> save + metadata."""
-    train, val, _ = frames(spark, sf_dir)
-    train = train.persist()  # fitted and counted from one computation of the split
-    try:
-        began = time.perf_counter()
-        model = ml.fit(train, kind, seed=SEED)
-        seconds, train_rows = time.perf_counter() - began, train.count()
-    finally:
-        train.unpersist()
+    stats, train, val, _ = fitted_frames(spark, sf_dir)
+    began = time.perf_counter()
+    model = ml.fit(train, kind, seed=SEED)
+    seconds, train_rows = time.perf_counter() - began, train.count()
     metrics = ml.evaluate(ml.score(model, val))
     # one entry per model feature: schema-sized
     weights = [F.struct(F.lit(n).alias("feature"), F.lit(float(v)).alias("importance"))
@@ -83,6 +93,8 @@ def train_job(spark, sf_dir, kind: str = "logistic_regression"):
                           F.lit(0.95).alias("target_precision"), F.array(*[F.lit(c) for c in fe.FEATURE_COLUMNS]).alias("features"),
                           F.array(*weights).alias("importances"), F.lit(seconds).alias("training_seconds"))
     meta.write.parquet(_meta_path(path))
+    stats.write.parquet(_stats_path(path))
+    save_model_run(spark, sf_dir, kind, path)
     return spark.read.schema(meta.schema).parquet(_meta_path(path))
 
 
@@ -91,6 +103,11 @@ def _meta_path(model_path: str) -> str:
     return f"{model_path}.meta"
 
 
+def _stats_path(model_path: str) -> str:
+    """The one-row statistics that a model's features were made with."""
+    return f"{model_path}.stats"
+
+
 @register("L04")
 def q_l04(spark, sf_dir):
     """Train job: one metadata row (metrics, tuned threshold, saved model path)."""
@@ -112,16 +129,13 @@ def q_l05(spark, sf_dir):
     return rows.withColumns({"best_by_roc_auc": best("roc_auc"), "best_by_average_precision": best("average_precision")})
 
 
-# Where this application last saved a model for a dataset; threshold and all else
-# are read from the metadata table saved beside it.
-_ARTIFACTS: dict[tuple[str, str], str] = {}
+def saved_path(spark, sf_dir, kind: str = "logistic_regression") -> str:
+    """The newest saved model of the dataset, by the registry's table; trained first if there is none."""
+    return newest_model(spark, sf_dir, kind) or train_job(spark, sf_dir, kind).first()["model_path"]
 
 
 def _saved_model(spark, sf_dir):
-    k = (spark.sparkContext.applicationId, sf_dir)
-    if k not in _ARTIFACTS:
-        _ARTIFACTS[k] = train_job(spark, sf_dir).first()["model_path"]
-    return load_saved(spark, _ARTIFACTS[k])
+    return load_saved(spark, saved_path(spark, sf_dir))
 
 
 def load_saved(spark, path: str):
@@ -239,3 +253,19 @@ def q_s11(spark, sf_dir):
     _, val, _ = frames(spark, sf_dir)
     model, thr = _saved_model(spark, sf_dir)
     return ml.score(model, val, thr).select("transaction_id", "fraud_probability", "fraud_label")
+
+
+@register("T01M")
+def q_t01m(spark, sf_dir):
+    """Streaming scoring with the trained model: the registry's newest pipeline, its own statistics
+    and threshold; requests that fail validation go to a quarantine table with their reasons."""
+    path = saved_path(spark, sf_dir)
+    model, threshold = load_saved(spark, path)
+    stats = spark.read.schema(", ".join(f"{c} double" for c in fe.STAT_COLUMNS)).parquet(_stats_path(path))
+    base = scratch_path(spark, f"t01m-{uuid.uuid4().hex[:12]}")
+    tx = split_tx(spark, sf_dir).where(F.col("split") == "test").drop("split")
+    rt.stage_files(tx, f"{base}/source", "created_at", chunks=3)
+    step = jobs.model_scoring_sink(model, stats, threshold, f"{base}/scored", f"{base}/quarantine")
+    stream = rt.read_stream(spark, f"{base}/source", tx.schema)
+    rt.run_available_now(stream.writeStream.foreachBatch(step), f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/scored").select("transaction_id", "fraud_probability", "fraud_label", "threshold_used")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskweave.functions import features as fe
 from riskweave.operators import featurestore as fs
 from riskweave.plans._sqlhelp import r9
 from riskweave.plans.registry import register
+from riskweave.session import scratch_path, shuffle_partitions
 from riskweave.sources.tables import prediction_logs, with_ctes
 
 RAW = ["amount", "hour", "device_score", "country_risk"]
@@ -82,12 +85,39 @@ def _delete_keys(spark, sf_dir):
                        F.lit("v2").alias("version")).distinct()
 
 
-@register("K04", with_ctes("""SELECT dk.entity_id, dk.feature_name, dk.version, live.entity_id IS NOT NULL AS existed
+@register("K04", with_ctes("""SELECT dk.entity_id, dk.feature_name, dk.version, live.entity_id IS NOT NULL AS existed, false AS live_after
     FROM dk LEFT JOIN live USING (entity_id, feature_name, version)""", "logs",
                            extra=[_STORE_SQL, _latest_sql(AT), _DEL_KEYS_SQL]))
 def q_k04(spark, sf_dir):
-    """Delete the keys of every highest-risk user: did a live value exist?"""
-    return fs.delete_existing(raw_store(spark, sf_dir), _delete_keys(spark, sf_dir), _at(AT))
+    """Delete the keys of every highest-risk user: did a live value exist, and does the store still answer them?"""
+    path = scratch_path(spark, f"k04-{uuid.uuid4().hex[:12]}")
+    raw_store(spark, sf_dir).select(*fs.STORE_COLUMNS).write.parquet(path)
+    store = spark.read.parquet(path)
+    keys = _delete_keys(spark, sf_dir)
+    told = scratch_path(spark, f"k04-told-{uuid.uuid4().hex[:12]}")
+    fs.delete_existing(store, keys, _at(AT)).write.parquet(told)  # before the tombstones are there
+    fs.tombstones(keys, _at(AT)).select(*fs.STORE_COLUMNS).write.mode("append").parquet(path)
+    after = fs.delete_existing(spark.read.parquet(path), keys, _at(AT)).withColumnRenamed("existed", "live_after")
+    return spark.read.parquet(told).join(after, ["entity_id", "feature_name", "version"])
+
+
+_AFTER_DELETE_SQL = f"""gone AS (SELECT DISTINCT 'user' || CAST(user_id AS VARCHAR) AS entity_id FROM logs WHERE country_risk = 5)"""
+
+
+@register("K02C", with_ctes("""SELECT entity_id, feature_name, round(CAST(value_json AS DOUBLE), 9) AS value
+    FROM lt WHERE version = 'v2' AND expires_at > TIMESTAMP '2024-01-20 12:00:00'
+      AND NOT (entity_id IN (SELECT entity_id FROM gone) AND written_at <= TIMESTAMP '2024-01-20 06:00:00')""",
+                            "logs", extra=[_STORE_SQL, _latest_sql(AT), _AFTER_DELETE_SQL]))
+def q_k02c(spark, sf_dir):
+    """Latest live values from the compacted store: a snapshot of 19 January, and the tail since with deletes of the 20th."""
+    tag, at = uuid.uuid4().hex[:12], _at("2024-01-19 12:00:00")
+    store = raw_store(spark, sf_dir).select(*fs.STORE_COLUMNS)
+    snapshot = fs.write_snapshot(store, at, f"rw_store_{tag}", scratch_path(spark, f"k02c-{tag}"), shuffle_partitions(spark))
+    tail = scratch_path(spark, f"k02c-tail-{tag}")
+    store.where(F.col("written_at") > at).write.parquet(tail)
+    fs.tombstones(_delete_keys(spark, sf_dir), _at("2024-01-20 06:00:00")).select(*fs.STORE_COLUMNS).write.mode("append").parquet(tail)
+    live = fs.get_live_compacted(snapshot, spark.read.parquet(tail), _at(AT), "v2")
+    return live.select("entity_id", "feature_name", r9(F.col("value_json").cast("double"), "value"))
 
 
 @register("A17", with_ctes("SELECT version, count(*) AS live_keys FROM live GROUP BY version", "logs",

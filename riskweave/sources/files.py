@@ -1,15 +1,13 @@
-"""File sources and sinks.
+"""File sources and sinks (S01-S03, S09, S10, S12, S13); appends with unique keys are in ``unique.py``.
 
-All writes are distributed DataFrame writes; nothing is paged through the
-driver. Appends that must keep ids unique anti-join against the existing
-table instead of relying on a database constraint.
+All writes are distributed DataFrame writes; nothing is paged through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -33,55 +31,44 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
             .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
 
 
-def _sorted_part_files(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    names = [s.getPath().toString() for s in fs.listStatus(p)]
-    return sorted(n for n in names if n.rsplit("/", 1)[-1].startswith("part-"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, line): the data lines of header CSV files numbered from 0 in order of file name and place.
+
+    A file's lines are placed by the split that reads them and their order in
+    it: ``monotonically_increasing_id`` numbers the rows of a scan by partition,
+    splits of one file are read in order of their offset, and no shuffle lies
+    between scan and number. Counts per (file, partition), a row per split, are
+    summed up to give each split its first number. The first line of every
+    file is its header; a data line equal to it stays.
+    """
+    part = F.shiftright("_id", 33)
+    scan = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_offset"),
+        F.monotonically_increasing_id().alias("_id")).withColumn("_part", part)
+    counts = scan.groupBy("_file", "_offset").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    by_file = Window.partitionBy("_file").orderBy("_offset")
+    before = Window.orderBy("_file", "_offset").rowsBetween(Window.unboundedPreceding, -1)  # a row per split, not per line
+    starts = counts.withColumn("_head", F.when(F.row_number().over(by_file) == 1, 1).otherwise(0)).withColumn(
+        "_start", F.coalesce(F.sum(F.col("_n") - F.col("_head")).over(before), F.lit(0)) - F.col("_head"))
+    lines = scan.join(starts.select("_file", "_offset", "_first", "_start", "_head"), ["_file", "_offset"])
+    at = F.col("_id") - F.col("_first")
+    return lines.where((F.col("_head") == 0) | (at > 0)).select((F.col("_start") + at).alias("row_id"), F.col("value").alias("line"))
 
 
 def pair_by_position(spark: SparkSession, x_path: str, y_path: str, x_schema: StructType,
                      y_schema: StructType) -> DataFrame:
-    """Join two header CSV file sets row by row (fixture ingest only).
+    """Join two header CSV file sets row by row.
 
-    Files are taken in name order and lines numbered with ``zipWithIndex``;
-    the pair is an equi-join on that position. Internally every table keeps
-    a ``row_id`` instead, so this exists only to read such fixtures.
+    Files are taken in name order; the pair is an equi-join on the position.
+    Internally every table keeps a ``row_id`` instead, so this exists only to
+    read such files (one line per row: quoted line breaks aren't supported).
     """
     def numbered(path, schema):
-        files = _sorted_part_files(spark, path)
-        lines = spark.sparkContext.textFile(",".join(files))
-        header = lines.first()  # every part file starts with the same header line
-        body = lines.filter(lambda s: s != header)
-        idx = body.zipWithIndex().map(lambda t: (t[1], t[0]))
-        raw = spark.createDataFrame(idx, "row_id long, line string")
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-        parsed = raw.select("row_id", F.from_csv("line", ddl).alias("r"))
-        return parsed.select("row_id", "r.*")
+        return numbered_lines(spark, path).select("row_id", F.from_csv("line", ddl).alias("r")).select("row_id", "r.*")
     return numbered(x_path, x_schema).join(numbered(y_path, y_schema), "row_id")
 
 
-def append_unique(spark: SparkSession, table_path: str, batch: DataFrame, key: str, order: str) -> dict:
-    """Append rows whose ``key`` is new; of in-batch duplicates the first by ``order`` stays.
-
-    Ties go to the least row. Returns the counts of appended and rejected rows.
-    """
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table_path)
-    exists = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    rest = [c for c in batch.columns if c != key]
-    row = F.struct(order, *[c for c in rest if c != order])  # the order column leads, so the least struct is the first row
-    dedup = batch.groupBy(key).agg(F.min(row).alias("_r")).select(key, "_r.*").select(*batch.columns)
-    new = dedup.join(spark.read.parquet(table_path).select(key), key, "left_anti") if exists else dedup
-    # materialise the new rows before appending: the anti-join reads the target table
-    staged = new.checkpoint(eager=True)
-    appended = staged.count()
-    staged.write.mode("append").parquet(table_path)
-    return {"appended": appended, "rejected": batch.count() - appended}
-
-
 def write_json(df: DataFrame, path: str) -> None:
     """JSON report rows (one object per line)."""
     df.write.mode("overwrite").options(**TS_OPTS).json(path)

@@ -34,6 +34,19 @@ def score_stream(stream: DataFrame, stats: DataFrame) -> DataFrame:
     return eng.withColumn("predicted_label", (F.col("risk_score") >= 0.5).cast("int"))
 
 
+def model_scoring_sink(model, stats: DataFrame, threshold: float, out_path: str, quarantine_path: str):
+    """T01 with a trained pipeline: valid requests are scored with the model's own statistics and threshold,
+    the others kept with their reasons. A batch writes below its id, so it may run again."""
+    from riskweave.operators import models as ml
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        checked = va.validate_strict(batch.withColumn("transaction_count_last_hour", F.lit(0))).drop("transaction_count_last_hour")
+        checked.where(~F.col("is_valid")).drop("is_valid").write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+        valid = checked.where(F.col("is_valid")).drop("reject_reasons", "is_valid")
+        ml.score(model, fe.engineer(valid, stats), threshold).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+    return step
+
+
 def audit_records(stream: DataFrame) -> DataFrame:
     """Audit rows per request: prediction, or error for 5xx responses."""
     return stream.select(

@@ -10,6 +10,7 @@ from riskweave.operators import drift as dr
 from riskweave.operators import windows as wn
 from riskweave.plans.window_plans import ALERT_RULES
 from riskweave.sources import files as fl
+from riskweave.sources import unique as un
 
 
 def test_missing_column_is_drift(spark):
@@ -60,9 +61,76 @@ def test_append_keeps_the_first_and_counts_rejects(spark, tmp_path):
     def batch(*rows):
         return spark.createDataFrame(list(rows), "id long, at long, v string")
     path = f"{tmp_path}/t"
-    assert fl.append_unique(spark, path, batch((1, 5, "late"), (1, 2, "first"), (2, 1, "x")), "id", "at") == {"appended": 2, "rejected": 1}
-    assert fl.append_unique(spark, path, batch((1, 0, "again"), (3, 1, "y")), "id", "at") == {"appended": 1, "rejected": 1}
-    assert {r["id"]: r["v"] for r in spark.read.parquet(path).collect()} == {1: "first", 2: "x", 3: "y"}
+    told = un.append_unique(spark, path, batch((1, 5, "late"), (1, 2, "first"), (2, 1, "x"), (None, 1, "no key")), "id", "at")
+    assert told == {"appended": 2, "rejected": 1, "buckets_read": 0}
+    told = un.append_unique(spark, path, batch((1, 0, "again"), (3, 1, "y")), "id", "at")
+    assert (told["appended"], told["rejected"], told["buckets_read"]) == (1, 1, 1)
+    assert {r["id"]: r["v"] for r in un.read_unique(spark, path, batch((1, 1, "")).schema).collect()} == {1: "first", 2: "x", 3: "y"}
+
+
+def _opened(spark, tmp_path, job):
+    """Input files that the job's plans name, by listening to nothing but the files' access: unreadable files would fail it."""
+    import os
+    hidden = [os.path.join(d, f) for d, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet") and "/data/" in d]
+    for f in hidden:
+        os.rename(f, f + ".away")
+    try:
+        return job()
+    finally:
+        for f in hidden:
+            os.rename(f + ".away", f)
+
+
+def test_unique_append_opens_no_old_data_file(spark, tmp_path):
+    from riskweave.sources import unique as un
+    path = f"{tmp_path}/t"
+    frame = lambda lo, hi, v: spark.range(lo, hi).select("id", F.lit(0).alias("at"), F.lit(v).alias("v"))
+    assert un.append_unique(spark, path, frame(0, 5000, "a"), "id", "at")["appended"] == 5000
+    told = _opened(spark, path, lambda: un.append_unique(spark, path, frame(5000, 5040, "b"), "id", "at"))
+    assert told["appended"] == 40 and told["buckets_read"] <= 3  # new keys: at most the filters' false alarms
+    told = _opened(spark, path, lambda: un.append_unique(spark, path, frame(4990, 5050, "c"), "id", "at"))
+    assert (told["appended"], told["rejected"]) == (10, 50)
+    kept = un.read_unique(spark, path, frame(0, 1, "").schema).groupBy("v").count().collect()
+    assert {r["v"]: r["count"] for r in kept} == {"a": 5000, "b": 40, "c": 10}
+
+
+def test_failed_unique_append_leaves_nothing_and_runs_again(spark, tmp_path, monkeypatch):
+    from riskweave.sources import unique as un
+    path = f"{tmp_path}/t"
+    frame = spark.range(20).select("id", F.lit(0).alias("at"))
+    un.append_unique(spark, path, frame, "id", "at")
+    more = spark.range(10, 40).select("id", F.lit(0).alias("at"))
+
+    def broken(*a, **k):
+        raise OSError("disk")
+    with monkeypatch.context() as m:
+        m.setattr(un, "key_filters", broken)
+        with pytest.raises(OSError):
+            un.append_unique(spark, path, more, "id", "at")
+    assert un.read_unique(spark, path, frame.schema).count() == 20
+    assert un.append_unique(spark, path, more, "id", "at")["appended"] == 20
+    assert un.read_unique(spark, path, frame.schema).count() == 40
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    import os
+    os.makedirs(f"{tmp_path}/x")
+    want = []
+    for i in range(3):
+        lines = [f"{i * 1000 + j},v" for j in range(400 + i)] + (["a,b"] if i == 1 else [])  # a data line like the header
+        want += lines
+        with open(f"{tmp_path}/x/part-0000{i}.csv", "w") as f:
+            f.write("a,b\n" + "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            numbered = fl.numbered_lines(spark, f"{tmp_path}/x")
+            assert "Python" not in numbered._jdf.queryExecution().executedPlan().toString()
+            got = numbered.orderBy("row_id").collect()
+            assert [r["row_id"] for r in got] == list(range(len(want))) and [r["line"] for r in got] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_recall_at_an_unreachable_precision_is_null(spark):
