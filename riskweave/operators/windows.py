@@ -130,24 +130,54 @@ def error_rate_series(df: DataFrame, ts: str, status: str, minutes: int = 5, lim
                     (F.col("errors") / F.col("requests") > F.lit(limit)).alias("breach"))
 
 
-def persistent_alerts(series: DataFrame, ts: str, cond: str, step_minutes: int, for_minutes: int) -> DataFrame:
-    """Fire only when ``cond`` held for the whole ``for`` duration.
-
-    Gaps-and-islands over a dense step spine: a missing step breaks an
-    island. The series has one row per step of the time span.
+def persistent_alerts(series: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pending, firing and resolved alerts of every rule over its own series.
+
+    ``series`` has (rule, at, breach), a row per rule and evaluation step;
+    ``rules`` (rule, step_minutes, for_minutes, severity). Breaches at consecutive
+    steps are one alert (a missing step ends it): pending from its first step,
+    fired at the first step that lies ``for_minutes`` beyond it, resolved at the
+    step after its last one, unless that is the rule's newest. Alerts that never
+    fire stay pending. A series has one row per step of the time span, not per event.
     """
-    span = series.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    spine = span.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {step_minutes} MINUTES"))).alias(ts))
-    s = spine.join(series.select(ts, cond), ts, "left").withColumn(cond, F.coalesce(F.col(cond), F.lit(False)))
-    w = Window.orderBy(ts)
-    s = s.withColumn("_brk", F.when(F.col(cond), 0).otherwise(1))
-    s = s.withColumn("_island", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wi = Window.partitionBy("_island").orderBy(ts)
-    s = s.withColumn("held_minutes", F.when(F.col(cond), F.count_if(F.col(cond)).over(
-        wi.rowsBetween(Window.unboundedPreceding, 0)) * step_minutes))
-    # an alert of "for: d" fires once the condition held d beyond its first step
-    return s.where(F.col(cond) & (F.col("held_minutes") - step_minutes >= F.lit(for_minutes))) \
-        .select(ts, "held_minutes")
+    newest = series.groupBy("rule").agg(F.max("at").alias("_newest"))
+    t = F.unix_seconds(F.col("at").cast("timestamp")) / 60
+    steps = series.where(F.col("breach")).join(F.broadcast(rules), "rule")  # rules: a handful
+    island = t - F.row_number().over(Window.partitionBy("rule").orderBy("at")) * F.col("step_minutes")
+    runs = steps.withColumn("_run", island).groupBy("rule", "severity", "step_minutes", "for_minutes", "_run").agg(
+        F.min("at").alias("started_at"), F.max("at").alias("last_at"), F.count("*").alias("steps"))
+    held = (F.col("steps") - 1) * F.col("step_minutes")
+    wait = F.ceil(F.col("for_minutes") / F.col("step_minutes")) * F.col("step_minutes")
+
+    def later(c: str, minutes: Column) -> Column:
+        return F.col(c) + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
+    fired, over = held >= F.col("for_minutes"), F.col("last_at") < F.col("_newest")
+    return runs.join(F.broadcast(newest), "rule").select(  # newest: a row per rule
+        "rule", "severity", "started_at", held.cast("long").alias("held_minutes"),
+        F.when(~fired, "pending").when(over, "resolved").otherwise("firing").alias("state"),
+        F.when(fired, later("started_at", wait)).alias("fired_at"), F.when(fired & over, later("last_at", F.col("step_minutes"))).alias("resolved_at"))
+
+
+# Rules that must hold for a time: (rule, step of its series and duration in minutes, severity).
+HELD_RULES = [("HighErrorRate", 5, 2, "critical"), ("HighLatency", 5, 5, "warning"), ("VeryHighLatency", 5, 3, "critical"),
+              ("ModelAccuracyDrop", 5, 60, "critical"), ("UnusualFraudRate", 60, 30, "warning")]
+
+
+def held_rule_series(logs: DataFrame, ts: str = "created_at") -> DataFrame:
+    """(rule, at, breach) of ``HELD_RULES``: 5-minute error share, histogram latency quantiles and accuracy, hourly deviation."""
+    from riskweave.operators import reports as rp
+    w = F.window(ts, "5 minutes")["start"].cast("timestamp_ntz").alias("at")
+    base = logs.select(w, "status_code", (F.col("processing_time_ms") / 1000).alias("_s"),
+                       F.when(F.col("fraud_label") == F.col("is_fraud"), 1.0).otherwise(0.0).alias("_right"))
+    rates = base.groupBy("at").agg((F.count_if(F.col("status_code") >= 500) / F.count("*") > 0.01).alias("HighErrorRate"),
+                                   (F.avg("_right") < 0.8).alias("ModelAccuracyDrop"))
+    latency = rp.histogram_quantiles(rp.latency_histogram(base, "_s", by=["at"]), [0.95, 0.99], by=["at"]).select(
+        F.when(F.col("quantile") == 0.95, "HighLatency").otherwise("VeryHighLatency").alias("rule"), "at",
+        (F.col("value") > F.when(F.col("quantile") == 0.95, 0.5).otherwise(1.0)).alias("breach"))
+    unusual = hourly_deviation(logs, ts, "fraud_label").select(
+        F.lit("UnusualFraudRate").alias("rule"), F.col("hour_start").alias("at"), F.col("deviation_alert").alias("breach"))
+    return rates.unpivot(["at"], ["HighErrorRate", "ModelAccuracyDrop"], "rule", "breach").select("rule", "at", "breach").unionByName(
+        latency).unionByName(unusual)
 
 
 def canary_decision(logs: DataFrame, variant: str, new: str, ts: str, row_id: str, start: Column,

@@ -193,18 +193,18 @@ def q_v06(spark, sf_dir):
     return transactions(spark, sf_dir).select("transaction_id", "is_fraud")
 
 
-@register("F15", with_ctes("""SELECT transaction_id, 0.0::DOUBLE AS amount_zscore,
-    CASE WHEN amount > 500 THEN 1 ELSE 0 END AS high_amount,
-    CASE WHEN amount > 2000 THEN 1 ELSE 0 END AS very_high_amount,
-    round((CASE WHEN amount > 500 THEN 1 ELSE 0 END) * 0.3::DOUBLE
-      + (CASE WHEN device_score < 0.3 THEN 1 ELSE 0 END) * 0.3::DOUBLE
-      + (CASE WHEN country_risk >= 4 THEN 1 ELSE 0 END) * 0.2::DOUBLE
-      + (CASE WHEN hour BETWEEN 0 AND 5 THEN 1 ELSE 0 END) * 0.2::DOUBLE, 9) AS risk_score
-    FROM req""", extra=[REQ_CTE]))
+_F15_SQL = FEAT_CTE.replace("amount_p75", "500").replace("amount_p95", "2000").replace(
+    "(amount - amount_mean) / amount_std", "0.0::DOUBLE").replace("ln(1 + amount)", "CASE WHEN amount > -1 THEN ln(1 + amount) END").replace("tx.*", "req.*").replace("FROM tx, st", "FROM req").replace("feat AS", "fixed AS")
+_F15_COLS = [c for c in fe.FEATURE_COLUMNS if c not in fe.RAW_COLUMNS]
+_F15_FLOATS = ("amount_log", "risk_score", "hour_sin", "hour_cos", "amount_device_interaction", "amount_country_interaction")
+
+
+@register("F15", with_ctes("SELECT transaction_id, amount, hour, device_score, country_risk, " + ", ".join(
+    f"round({c}, 9) AS {c}" if c in _F15_FLOATS else c for c in _F15_COLS) + " FROM fixed", extra=[REQ_CTE, _F15_SQL]))
 def q_f15(spark, sf_dir):
-    """Fixed-threshold (per-request) feature variant over request records."""
+    """Fixed-threshold (per-request) feature variant over request records: all columns (no logarithm of amounts up to -1)."""
     eng = fe.engineer_fixed(requests(spark, sf_dir))
-    return eng.select("transaction_id", "amount_zscore", "high_amount", "very_high_amount", r9("risk_score"))
+    return eng.select("transaction_id", *fe.RAW_COLUMNS, *[r9(c) if c in _F15_FLOATS else c for c in _F15_COLS])
 
 
 @register("F16", with_ctes("""SELECT transaction_id, user_id, COALESCE(amount, 0.0) AS amount,

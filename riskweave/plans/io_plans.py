@@ -44,12 +44,14 @@ def q_s01(spark, sf_dir):
     return back.where(F.col(fl.CORRUPT).isNull()).drop(fl.CORRUPT)
 
 
-@register("S02", with_ctes("SELECT split, count(*) AS n_rows FROM sp GROUP BY split", "tx", extra=[_RANK_CTE]))
+@register("S02", with_ctes("SELECT transaction_id, user_id, merchant_id, amount, hour, device_score, country_risk, is_fraud, created_at, split FROM sp",
+                           "tx", extra=[_RANK_CTE]))
 def q_s02(spark, sf_dir):
-    """CSV sink of the three splits (one folder per split), counted after reading back."""
+    """CSV sink of the three splits (one folder per split): every row and column as read back."""
     path = _scratch(spark, "s02")
-    fl.write_csv(split_tx(spark, sf_dir), path, partition_by=["split"])
-    return spark.read.option("header", True).csv(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    fl.write_csv(split_tx(spark, sf_dir).select(*TX_SCHEMA.names, "split"), path, partition_by=["split"])
+    back = fl.read_csv(spark, path, TX_SCHEMA)  # the folder's name gives the split
+    return back.where(F.col(fl.CORRUPT).isNull()).drop(fl.CORRUPT)
 
 
 @register("S03", with_ctes("""SELECT row_number() OVER (ORDER BY transaction_id) - 1 AS row_id, transaction_id, amount,
@@ -73,11 +75,20 @@ def q_s04(spark, sf_dir):
     return gen.synthetic_transactions(ids, "event_id", seed=42)
 
 
-@register("S05", """SELECT l_orderkey * 10 + l_linenumber AS row_id, l_extendedprice AS amount,
+def _drawn_sql(stream: int) -> str:
+    key = f"md5((l_orderkey * 10 + l_linenumber)::VARCHAR || '/42/{stream}')"
+    return f"('0x' || substr({key}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@register("S05", f"""SELECT l_orderkey * 10 + l_linenumber AS row_id, l_partkey * 60.0::DOUBLE + l_linenumber AS time_elapsed,
+    l_discount AS feature_1, l_tax AS feature_2, l_extendedprice AS amount, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_fraud,
     CAST(floor((l_partkey * 60.0 + l_linenumber) / 3600) % 24 AS INTEGER) AS hour,
-    CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_fraud FROM lineitem""")
+    round(0.5::DOUBLE + 0.5::DOUBLE * {_drawn_sql(20)}, 9) AS device_score,
+    CASE WHEN {_drawn_sql(21)} < 0.4::DOUBLE THEN 1 WHEN {_drawn_sql(21)} < 0.4::DOUBLE + 0.3::DOUBLE THEN 2
+      WHEN {_drawn_sql(21)} < 0.4::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE THEN 3
+      WHEN {_drawn_sql(21)} < 0.4::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE + 0.08::DOUBLE THEN 4 ELSE 5 END AS country_risk FROM lineitem""")
 def q_s05(spark, sf_dir):
-    """External card-style data (built from lineitem) standardised to the transaction schema."""
+    """External card-style data (built from lineitem) standardised to the transaction schema, all columns."""
     li = read_table(spark, sf_dir, "lineitem")
     card = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
                      (F.col("l_partkey") * 60.0 + F.col("l_linenumber")).alias("Time"),
@@ -85,7 +96,7 @@ def q_s05(spark, sf_dir):
                      F.col("l_extendedprice").alias("Amount"),
                      F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("Class"))
     std = gen.standardize_card_data(card, "row_id")
-    return std.select("row_id", "amount", "hour", "is_fraud")
+    return std.withColumn("device_score", r9("device_score"))
 
 
 def _append_twice(spark, sf_dir, key: str, df_builder):

@@ -201,18 +201,24 @@ def q_k08(spark, sf_dir):
     return live.select("entity_id", "feature_name", r9(F.col("value_json").cast("double"), "value"))
 
 
-@register("K09", with_ctes(f"""SELECT entity_id, round(CAST(value_json AS DOUBLE), 9) AS value FROM (
-    SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY written_at DESC) AS rn FROM (
-      SELECT 'user' || CAST(user_id AS VARCHAR) || ':' || merchant_id AS entity_id, CAST(amount AS VARCHAR) AS value_json,
-             created_at AS written_at, created_at + INTERVAL 3600 SECOND AS expires_at FROM logs)
-    WHERE written_at <= TIMESTAMP '{AT}') WHERE rn = 1 AND expires_at > TIMESTAMP '{AT}'""", "logs"))
+_CACHED_SQL = " UNION ALL ".join(
+    f"""SELECT {e} AS entity_id, '{c}' AS feature_name, CAST({c} AS VARCHAR) AS value_json, created_at AS written_at FROM logs"""
+    for e in ("'user' || CAST(user_id AS VARCHAR) || ':' || merchant_id", "'user' || CAST(user_id AS VARCHAR)") for c in RAW)
+
+
+@register("K09", with_ctes(f"""SELECT entity_id, feature_name, round(CAST(value_json AS DOUBLE), 9) AS value FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity_id, feature_name ORDER BY written_at DESC, value_json DESC) AS rn
+    FROM ({_CACHED_SQL}) WHERE written_at <= TIMESTAMP '{AT}')
+    WHERE rn = 1 AND written_at + INTERVAL 3600 SECOND > TIMESTAMP '{AT}'""", "logs"))
 def q_k09(spark, sf_dir):
-    """User:merchant cached features with a 1 h TTL: live entries at a time."""
+    """Cached features by user and by user:merchant with a 1 h TTL: all live entries at a time."""
     logs = prediction_logs(spark, sf_dir)
-    ent = F.concat(_entity(), F.lit(":"), F.col("merchant_id"))
-    st = fs.put_wide(logs, ent, ["amount"], F.col("created_at"), ttl_seconds=3600)
+    st = None
+    for entity in (F.concat(_entity(), F.lit(":"), F.col("merchant_id")), _entity()):
+        rows = fs.put_wide(logs, entity, RAW, F.col("created_at"), ttl_seconds=3600)
+        st = rows if st is None else st.unionByName(rows)
     live = fs.get_live(st, _at(AT))
-    return live.select("entity_id", r9(F.col("value_json").cast("double"), "value"))
+    return live.select("entity_id", "feature_name", r9(F.col("value_json").cast("double"), "value"))
 
 
 _REQ_SQL = """rq AS (SELECT DISTINCT 'user' || CAST(user_id AS VARCHAR) AS entity_id, f.feature_name, 'v2' AS version

@@ -72,15 +72,46 @@ def q_t01(spark, sf_dir):
     return back.select("transaction_id", "high_amount", r9("risk_score"), "predicted_label")
 
 
-@register("T02", with_ctes("""SELECT CASE WHEN status_code >= 500 THEN 'error' ELSE 'prediction' END AS event_type,
-    'user' || CAST(user_id AS VARCHAR) AS user_id, prediction_id, '/v1/predict' AS endpoint, 'POST' AS method,
-    CASE WHEN status_code < 500 THEN amount END AS transaction_amount,
-    CASE WHEN status_code < 500 THEN fraud_probability END AS fraud_probability,
-    CASE WHEN status_code < 500 THEN fraud_label END AS fraud_label, processing_time_ms, status_code,
-    CASE WHEN status_code >= 500 THEN 'Internal server error' END AS error_message, created_at FROM logs""", "logs"))
+def _audited_requests(spark, sf_dir):
+    """Log rows with what the gateway adds: who asked, from where, admin calls and failed authentications."""
+    tid = F.col("transaction_id")
+    return prediction_logs(spark, sf_dir).withColumns({
+        "auth_method": F.when(F.col("user_id") % 2 == 0, "api_key").otherwise("jwt"),
+        "ip_address": F.concat_ws(".", F.lit("10"), (F.floor(F.col("user_id") / 65536) % 256).cast("string"),
+                                  (F.floor(F.col("user_id") / 256) % 256).cast("string"), (F.col("user_id") % 256).cast("string")),
+        "request_id": F.substring(F.md5("prediction_id"), 1, 16),
+        "admin_action": F.when(tid % 50 == 7, "reload_model").when(tid % 50 == 8, "promote_model"),
+        "auth_attempt": F.when(tid % 40 == 11, "api_key").when(tid % 40 == 12, "jwt")})
+
+
+_T02_CTE = """au AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'api_key' ELSE 'jwt' END AS auth_method,
+    '10.' || CAST(user_id // 65536 % 256 AS VARCHAR) || '.' || CAST(user_id // 256 % 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS ip_address,
+    substr(md5(prediction_id), 1, 16) AS request_id,
+    CASE WHEN transaction_id % 50 = 7 THEN 'reload_model' WHEN transaction_id % 50 = 8 THEN 'promote_model' END AS admin_action,
+    CASE WHEN transaction_id % 40 = 11 THEN 'api_key' WHEN transaction_id % 40 = 12 THEN 'jwt' END AS auth_attempt FROM logs),
+ev AS (SELECT *, CASE WHEN auth_attempt IS NOT NULL THEN 'auth_failure' WHEN admin_action IS NOT NULL THEN 'admin_action'
+    WHEN status_code >= 500 THEN 'error' ELSE 'prediction' END AS event_type FROM au)"""
+
+
+@register("T02", with_ctes("""SELECT event_type, CASE WHEN event_type = 'auth_failure' THEN 'anonymous' ELSE 'user' || CAST(user_id AS VARCHAR) END AS user_id,
+    CASE WHEN event_type = 'prediction' THEN auth_method END AS auth_method,
+    CASE WHEN event_type <> 'admin_action' THEN ip_address END AS ip_address,
+    CASE WHEN event_type IN ('prediction', 'error') THEN endpoint END AS endpoint,
+    CASE WHEN event_type IN ('prediction', 'error') THEN 'POST' END AS method,
+    CASE WHEN event_type IN ('prediction', 'error') THEN request_id END AS request_id,
+    CASE WHEN event_type = 'prediction' THEN prediction_id END AS prediction_id,
+    CASE WHEN event_type = 'prediction' THEN amount END AS transaction_amount,
+    CASE WHEN event_type = 'prediction' THEN fraud_probability END AS fraud_probability,
+    CASE WHEN event_type = 'prediction' THEN fraud_label END AS fraud_label,
+    CASE WHEN event_type = 'prediction' THEN processing_time_ms END AS processing_time_ms,
+    CASE WHEN event_type = 'prediction' THEN 200 WHEN event_type = 'error' THEN status_code END AS status_code,
+    CASE WHEN event_type = 'error' THEN 'Internal server error' END AS error_message,
+    CASE WHEN event_type = 'auth_failure' THEN '{"attempt_type":"' || auth_attempt || '","details":"' || endpoint || '"}'
+         WHEN event_type = 'admin_action' THEN '{"action":"' || admin_action || '","model_type":"' || model_type || '","model_version":"' || model_version || '"}'
+    END AS metadata, created_at FROM ev""", "logs", extra=[_T02_CTE]))
 def q_t02(spark, sf_dir):
-    """Micro-batch audit sink: audit records appended once per batch (batch id kept)."""
-    stream, sink, ck = _staged_stream(spark, prediction_logs(spark, sf_dir), "t02")
+    """Micro-batch audit sink: predictions, errors, admin actions and failed authentications, once per batch (batch id kept)."""
+    stream, sink, ck = _staged_stream(spark, _audited_requests(spark, sf_dir), "t02")
     out = jobs.audit_records(stream)
     rt.run_available_now(out.writeStream.foreachBatch(rt.append_batches(sink)), ck)
     return spark.read.parquet(sink).drop("batch_id")

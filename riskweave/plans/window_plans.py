@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.hashing import md5_unit_bucket_sql
 from riskweave.operators import curves as cv
 from riskweave.operators import routing as ro
+from riskweave.operators import reports as rp
 from riskweave.operators import windows as wn
 from riskweave.plans._sqlhelp import r9
 from riskweave.plans.registry import register
@@ -98,19 +99,41 @@ def q_w07(spark, sf_dir):
     return out.select("window_start", "requests", "errors", r9("error_rate"), "breach")
 
 
-@register("W08", with_ctes(f"""SELECT window_start, held_minutes FROM (
-    SELECT window_start, breach, CASE WHEN breach THEN 5 * count(*) FILTER (WHERE breach) OVER
-              (PARTITION BY island ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS held_minutes
-    FROM (SELECT window_start, breach, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER
-              (ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
-          FROM (SELECT sp.window_start, COALESCE(s.breach, false) AS breach FROM
-                (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 5 MINUTE)) AS window_start
-                 FROM ({_W07_SQL})) sp LEFT JOIN ({_W07_SQL}) s USING (window_start))))
-    WHERE breach AND held_minutes - 5 >= 2""", "logs"))
+_HELD_CTE = f"""w5 AS (SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS stepped, * FROM logs),
+hist5 AS (SELECT stepped, le, count(*) FILTER (WHERE processing_time_ms / 1000 <= le) AS cumulative_count
+  FROM w5, (SELECT unnest([{', '.join(repr(b) for b in rp.LATENCY_BUCKETS)}, 'inf'::DOUBLE]) AS le) GROUP BY stepped, le),
+hb5 AS (SELECT stepped, le, cumulative_count, COALESCE(lag(le) OVER w, 0.0) AS prev_le, COALESCE(lag(cumulative_count) OVER w, 0) AS prev_cnt,
+    max(cumulative_count) OVER (PARTITION BY stepped) AS total FROM hist5 WINDOW w AS (PARTITION BY stepped ORDER BY le)),
+q5 AS (SELECT stepped, q, lim, rule, CASE WHEN le = 'inf'::DOUBLE THEN {rp.LATENCY_BUCKETS[-1]!r} WHEN cumulative_count = prev_cnt THEN le
+         ELSE prev_le + (le - prev_le) * (q * total - prev_cnt) / (cumulative_count - prev_cnt) END AS value
+  FROM hb5, (VALUES (0.95::DOUBLE, 0.5, 'HighLatency'), (0.99::DOUBLE, 1.0, 'VeryHighLatency')) v(q, lim, rule)
+  WHERE cumulative_count >= q * total QUALIFY row_number() OVER (PARTITION BY stepped, rule ORDER BY le) = 1),
+h AS (SELECT date_trunc('hour', created_at) AS hour_start, avg(fraud_label) AS rate FROM logs GROUP BY 1),
+dev AS (SELECT hour_start, abs(rate - avg(rate) OVER (ORDER BY hour_start ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)) > 0.1 AS breach
+  FROM (SELECT unnest(generate_series((SELECT min(hour_start) FROM h), (SELECT max(hour_start) FROM h), INTERVAL 1 HOUR)) AS hour_start)
+    sp LEFT JOIN h USING (hour_start)),
+ser AS (
+  SELECT 'HighErrorRate' AS rule, stepped, count(*) FILTER (WHERE status_code >= 500) / count(*) > 0.01 AS breach FROM w5 GROUP BY stepped
+  UNION ALL SELECT 'ModelAccuracyDrop', stepped, avg(CASE WHEN fraud_label = is_fraud THEN 1.0::DOUBLE ELSE 0.0 END) < 0.8 FROM w5 GROUP BY stepped
+  UNION ALL SELECT rule, stepped, value > lim FROM q5
+  UNION ALL SELECT 'UnusualFraudRate', hour_start, breach FROM dev),
+held(rule, step, dur, severity) AS (VALUES {', '.join(map(repr, wn.HELD_RULES))}),
+runs AS (SELECT rule, step, dur, severity, min(stepped) AS started_at, max(stepped) AS last_at, (count(*) - 1) * step AS held_minutes FROM (
+    SELECT rule, stepped, step, dur, severity, epoch(stepped) / 60 - row_number() OVER (PARTITION BY rule ORDER BY stepped) * step AS run
+    FROM ser JOIN held USING (rule) WHERE breach) GROUP BY rule, step, dur, severity, run),
+ends AS (SELECT rule, max(stepped) AS newest FROM ser GROUP BY rule)"""
+
+
+@register("W08", with_ctes("""SELECT rule, severity, started_at, held_minutes::BIGINT AS held_minutes,
+    CASE WHEN held_minutes < dur THEN 'pending' WHEN last_at < newest THEN 'resolved' ELSE 'firing' END AS state,
+    CASE WHEN held_minutes >= dur THEN started_at + to_minutes((ceil(dur / step) * step)::INT) END AS fired_at,
+    CASE WHEN held_minutes >= dur AND last_at < newest THEN last_at + to_minutes(step) END AS resolved_at
+    FROM runs JOIN ends USING (rule)""", "logs", extra=[_HELD_CTE]))
 def q_w08(spark, sf_dir):
-    """Error-rate alert that fires only once the breach held for the rule duration (`for: 2m`)."""
-    series = wn.error_rate_series(prediction_logs(spark, sf_dir), "created_at", "status_code")
-    return wn.persistent_alerts(series, "window_start", "breach", 5, 2)
+    """Alerts that must hold for their rule's duration: pending, firing and resolved, for the error share,
+    both latency quantiles, accuracy and the unusual fraud rate."""
+    rules = spark.createDataFrame(wn.HELD_RULES, "rule string, step_minutes int, for_minutes int, severity string")
+    return wn.persistent_alerts(wn.held_rule_series(prediction_logs(spark, sf_dir)), rules)
 
 
 _W09_METRICS = """m AS (

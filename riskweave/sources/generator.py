@@ -24,6 +24,12 @@ def uniform(row_id: Column, seed: int, stream: int) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(TWO_53)
 
 
+def drawn(row_id: Column, seed: int, stream: int) -> Column:
+    """U[0,1) from the first 52 bits of md5(id/seed/stream): a draw that any SQL engine can repeat."""
+    key = F.md5(F.concat_ws("/", row_id.cast("string"), F.lit(str(seed)), F.lit(str(stream))))
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2 ** 52))
+
+
 def categorical(u: Column, levels: list[int], probs: list[float]) -> Column:
     cum = 0.0
     expr = None
@@ -61,6 +67,6 @@ def standardize_card_data(df: DataFrame, id_col: str, seed: int = 42) -> DataFra
     rid = F.col(id_col)
     return renamed.withColumns({
         "hour": (F.floor(F.col("time_elapsed") / 3600) % 24).cast("int"),
-        "device_score": 0.5 + 0.5 * uniform(rid, seed, 20),
-        "country_risk": categorical(uniform(rid, seed, 21), COUNTRY_LEVELS, COUNTRY_PROBS).cast("int"),
+        "device_score": 0.5 + 0.5 * drawn(rid, seed, 20),
+        "country_risk": categorical(drawn(rid, seed, 21), COUNTRY_LEVELS, COUNTRY_PROBS).cast("int"),
     })

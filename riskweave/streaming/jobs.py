@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import features as fe
@@ -47,18 +47,37 @@ def model_scoring_sink(model, stats: DataFrame, threshold: float, out_path: str,
     return step
 
 
+# Event types of the audit log.
+AUDIT_EVENTS = ("prediction", "error", "admin_action", "auth_failure")
+
+
 def audit_records(stream: DataFrame) -> DataFrame:
-    """Audit rows per request: prediction, or error for 5xx responses."""
-    return stream.select(
-        F.when(F.col("status_code") >= 500, F.lit("error")).otherwise(F.lit("prediction")).alias("event_type"),
-        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user_id"),
-        "prediction_id", F.lit("/v1/predict").alias("endpoint"), F.lit("POST").alias("method"),
-        F.when(F.col("status_code") < 500, F.col("amount")).alias("transaction_amount"),
-        F.when(F.col("status_code") < 500, F.col("fraud_probability")).alias("fraud_probability"),
-        F.when(F.col("status_code") < 500, F.col("fraud_label")).alias("fraud_label"),
-        F.col("processing_time_ms"), "status_code",
-        F.when(F.col("status_code") >= 500, F.lit("Internal server error")).alias("error_message"),
-        "created_at")
+    """An audit row per request, of one of ``AUDIT_EVENTS``.
+
+    ``stream`` has the log's columns and ``auth_method``, ``ip_address``, ``request_id``,
+    ``admin_action`` (null: no admin call) and ``auth_attempt`` (null: authenticated).
+    A failed authentication is told by an anonymous user and its attempt, an
+    admin call by its action and model, both as JSON ``metadata``; a 5xx answer is an error.
+    """
+    failed, admin = F.col("auth_attempt").isNotNull(), F.col("admin_action").isNotNull()
+    error = F.col("status_code") >= 500
+    kind = F.when(failed, "auth_failure").when(admin, "admin_action").when(error, "error").otherwise("prediction")
+
+    def of(kinds: str | tuple, value) -> Column:
+        return F.when(F.col("event_type").isin(*([kinds] if isinstance(kinds, str) else kinds)), value)
+    call = ("prediction", "error")
+    return stream.withColumn("event_type", kind).select(
+        "event_type", F.when(failed, "anonymous").otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("user_id"),
+        of("prediction", F.col("auth_method")).alias("auth_method"), of((*call, "auth_failure"), F.col("ip_address")).alias("ip_address"),
+        of(call, F.col("endpoint")).alias("endpoint"), of(call, F.lit("POST")).alias("method"), of(call, F.col("request_id")).alias("request_id"),
+        of("prediction", F.col("prediction_id")).alias("prediction_id"), of("prediction", F.col("amount")).alias("transaction_amount"),
+        of("prediction", F.col("fraud_probability")).alias("fraud_probability"), of("prediction", F.col("fraud_label")).alias("fraud_label"),
+        of("prediction", F.col("processing_time_ms")).alias("processing_time_ms"),
+        of("prediction", F.lit(200)).when(F.col("event_type") == "error", F.col("status_code")).alias("status_code"),
+        of("error", F.lit("Internal server error")).alias("error_message"),
+        of("auth_failure", F.to_json(F.struct(F.col("auth_attempt").alias("attempt_type"), F.col("endpoint").alias("details")))).when(
+            F.col("event_type") == "admin_action", F.to_json(F.struct(F.col("admin_action").alias("action"), "model_type", "model_version"))
+        ).alias("metadata"), "created_at")
 
 
 def live_counters(stream: DataFrame, watermark: str, window: str = "1 hour") -> DataFrame:

@@ -152,3 +152,18 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
                            conf=SimpleNamespace(get=lambda *a: None))
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(fake)
+
+
+def test_held_alerts_pend_fire_and_resolve(spark):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda k: start + dt.timedelta(minutes=5 * k)
+    breaches = {"a": {1, 2, 3, 6, 8, 9, 10, 11}, "b": {0, 1}}
+    missing = {("a", 10)}  # no evaluation at that step: the alert ends there
+    rows = [(r, at(k), k in b) for r, b in breaches.items() for k in range(12) if (r, k) not in missing]
+    series = spark.createDataFrame(rows, "rule string, at timestamp_ntz, breach boolean")
+    rules = spark.createDataFrame([("a", 5, 7, "w"), ("b", 5, 0, "c"), ("c", 5, 0, "i")], "rule string, step_minutes int, for_minutes int, severity string")
+    got = {(r.rule, r.started_at): (r.held_minutes, r.state, r.fired_at, r.resolved_at) for r in wn.persistent_alerts(series, rules).collect()}
+    assert got == {("a", at(1)): (10, "resolved", at(3), at(4)), ("a", at(6)): (0, "pending", None, None), ("a", at(8)): (5, "pending", None, None),
+                   ("a", at(11)): (0, "pending", None, None), ("b", at(0)): (5, "resolved", at(0), at(2))}
+    held = wn.persistent_alerts(series.where("at >= '2024-01-01 00:40:00'").withColumn("breach", F.lit(True)), rules).where("rule = 'b'").first()
+    assert (held.state, held.resolved_at) == ("firing", None)
