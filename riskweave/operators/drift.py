@@ -87,6 +87,7 @@ def _bin_of(value_col: str = "value", k: str = "_k"):
 
 def _bin_counts(long: DataFrame, edges: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """One pass: per (keys, feature) the total and the count of each bin."""
+    edges = edges.select("feature", "edges", "m")  # one row per feature with at most len(PSI_PROBS) values
     b = long.join(F.broadcast(edges), "feature").withColumn("_k", _edge_count()).withColumn("_bin", _bin_of())
     return b.groupBy(*keys, "feature").agg(
         F.count(F.lit(1)).alias(f"{prefix}_tot"),
@@ -106,15 +107,32 @@ def psi_numeric(ref_long: DataFrame, cur_long: DataFrame, group: Sequence[str] =
     group = list(group)
     if not group:
         return numeric_profile(ref_long, cur_long).select("feature", "psi")
-    # one row per feature with at most len(PSI_PROBS) values: bounded by the schema's width
+    reference = reference_bins(ref_long)
+    return psi_of_counts(_bin_counts(cur_long, reference, group, "c"), reference, group)
+
+
+def reference_bins(ref_long: DataFrame) -> DataFrame:
+    """What later windows are held against, one row per feature: edges, bin count m, total and bins of the reference."""
     edges = psi_edges(ref_long)
-    ref = _bin_counts(ref_long, edges, [], "r")       # one row per feature
-    cur = _bin_counts(cur_long, edges, group, "c")    # one row per (group, feature)
-    j = cur.join(F.broadcast(ref), "feature").join(F.broadcast(edges.select("feature", "m")), "feature")
+    return edges.join(_bin_counts(ref_long, edges, [], "r"), "feature")
+
+
+def psi_of_counts(counts: DataFrame, reference: DataFrame, group: Sequence[str]) -> DataFrame:
+    """PSI per (group, feature) from the current side's bins."""
+    j = counts.join(F.broadcast(reference.drop("edges")), "feature")  # bounded by the schema's width
     # a reference with a single edge has no bins: psi 0
     return j.select(*group, "feature", _psi_of_bins().alias("psi"))
 
 
+def live_bin_counts(stream: DataFrame, reference: DataFrame, cols: Sequence[str], watermark: str, window: str = "1 day") -> DataFrame:
+    """D08 on a stream with ``event_time``: bins per (window, feature) over the frozen reference's edges.
+
+    The state is one row of a dozen counts per window and feature; windows leave it as the watermark passes them.
+    """
+    long = to_long(stream.withWatermark("event_time", watermark), cols, keep=["event_time"])
+    return _bin_counts(long.withColumn("w", F.window("event_time", window)), reference, ["w"], "c")
+
+
 def _psi_of_bins():
     """PSI from the columns r_i, c_i, r_tot, c_tot and the number of bins m."""
     terms = []

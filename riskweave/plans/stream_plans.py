@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import features as fe
 from riskweave.functions.hashing import md5_unit_bucket_sql, weighted_variant_sql
+from riskweave.operators import drift as dr
 from riskweave.operators import reports as rp
 from riskweave.operators import routing as ro
 from riskweave.plans._sqlhelp import r9
+from riskweave.plans.drift_plans import _D08_CTES, D08_ALERT, D08_REF_END, TX_NUM
 from riskweave.plans.feature_plans import FEAT_CTE
 from riskweave.plans.registry import register
 from riskweave.plans.routing_plans import VARIANTS
@@ -279,3 +281,21 @@ def q_t09(spark, sf_dir):
     stream, sink, ck = _staged_stream(spark, logs, "t09", extra=redelivered)
     out = jobs.dedupe_ingest(stream, "prediction_id", WATERMARK).select("prediction_id", "created_at")
     return _append_run(spark, out, sink, ck)
+
+
+@register("D08L", with_ctes(f"""SELECT window_start, feature, round(psi, 9) AS psi, psi > {D08_ALERT} AS drift_detected
+    FROM psi""", "tx", extra=_D08_CTES))
+def q_d08l(spark, sf_dir):
+    """Live daily drift: per-window histograms over frozen first-week edges kept as stream state, PSI from their counts."""
+    tx = transactions(spark, sf_dir)
+    end = F.lit(D08_REF_END).cast("timestamp_ntz")
+    reference = dr.reference_bins(dr.to_long(tx.where(F.col("created_at") < end), TX_NUM))
+    frozen = scratch_path(spark, f"d08l-{uuid.uuid4().hex[:12]}")
+    reference.write.parquet(frozen)  # every micro-batch reads the saved rows, never the history
+    reference = spark.read.schema(reference.schema).parquet(frozen)
+    stream, sink, ck = _staged_stream(spark, tx.where(F.col("created_at") >= end), "d08l")
+    live = dr.live_bin_counts(stream, reference, TX_NUM, WATERMARK)
+    counts = _update_run(spark, live.withColumn("window_start", F.col("w.start").cast("timestamp_ntz")).drop("w"), sink, ck,
+                         ["window_start", "feature"])
+    psi = dr.psi_of_counts(counts, reference, ["window_start"])
+    return psi.select("window_start", "feature", r9("psi"), (F.col("psi") > F.lit(D08_ALERT)).alias("drift_detected"))
