@@ -7,9 +7,12 @@ vector with its own code's direction. Every row is indexed and the index is a
 table in the shared folder; only the centre is fitted, on the ``SAMPLE`` rows
 with the smallest id hashes.
 
-Search. The inner product of a query with a code estimates that with the
-vector, divided by the second scalar, within an error bound that holds with
-high probability (``EPSILON`` deviations). Per query and batch of codes, the
+Search. A query is turned, too, and its components are cut to ``PLANES`` bits.
+Its inner product with a code is then a weighted sum of popcounts of the code's
+64-bit words against the query's bit planes; codes are never unpacked. Divided
+by the second scalar it estimates the inner product with the vector, within an
+error bound that holds with high probability (``EPSILON`` deviations, and the
+most that the cut components can be off). Per query and batch of codes, the
 exact distances of the best estimates give a limit, and every vector whose
 lower bound is within it is reranked on its original components. A task keeps
 ``k`` rows per query; a window merges those of all tasks.
@@ -37,6 +40,7 @@ from riskweave.llm.scratch import materialize
 SAMPLE = 10_000
 QUERY_BLOCK = 512
 EPSILON = 2.5
+PLANES = 6
 FIRST_LOOK = 4  # estimates reranked at once, as a multiple of k
 
 
@@ -62,6 +66,34 @@ def _turned(vectors: np.ndarray, center: np.ndarray, rotation: np.ndarray) -> tu
     return (away / np.where(length > 0, length, 1.0)[:, None]) @ rotation, length
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of packed bytes as rows of 64-bit words, padded with zeros."""
+    spare = -bits.shape[1] % 8
+    padded = np.pad(bits, ((0, 0), (0, spare))) if spare else np.ascontiguousarray(bits)
+    return padded.view(np.uint64)
+
+
+class Planes:
+    """Turned queries (rows x components) as bit planes, for inner products with sign codes."""
+
+    def __init__(self, turned: np.ndarray):
+        levels = (1 << PLANES) - 1
+        self.dim = turned.shape[1]
+        self.low = turned.min(axis=1)
+        self.step = np.maximum(turned.max(axis=1) - self.low, 1e-30) / levels
+        cut = np.clip(np.rint((turned - self.low[:, None]) / self.step[:, None]), 0, levels).astype(np.uint8)
+        self.planes = [_words(np.packbits((cut >> p) & 1, axis=1)) for p in range(PLANES)]
+        self.total = self.low * self.dim + self.step * cut.sum(axis=1)
+        self.error = self.step / 2 * np.sqrt(self.dim)  # the most that cutting can move an inner product with a code's direction
+
+    def inner(self, j: int, words: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        """Inner products of query ``j`` with the directions of codes (``ones``: their popcounts)."""
+        weighted = np.zeros(len(words), np.int64)
+        for p, plane in enumerate(self.planes):
+            weighted += np.bitwise_count(words & plane[j]).sum(axis=1, dtype=np.int64) << p
+        return (2 * (self.low[j] * ones + self.step[j] * weighted) - self.total[j]) / np.sqrt(self.dim)
+
+
 class Index:
     """Codes of all usable rows: ``table`` (id, bits, length, agreement, vector), ``center``, ``rotation``."""
 
@@ -96,7 +128,7 @@ class Index:
         """Every task's best ``k`` rows for each query of a block."""
         dim, center, rotation = self.dim, self.center, self.rotation
         turned, away = _turned(queries, center, rotation)
-        turned = turned.astype(np.float32)
+        planes = Planes(turned)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
@@ -108,20 +140,21 @@ class Index:
                         continue
                     own = part.column(0).to_numpy()
                     packed = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(rows, -1)
-                    signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
+                    words = _words(packed)
+                    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
                     length, agreement = part.column(2).to_numpy(), part.column(3).to_numpy()
                     agreement = np.where(length > 0, agreement, 1.0)
                     vectors = _matrix(part.column(4), dim)
-                    inner = (turned @ signs.T) / np.sqrt(dim) / agreement
                     bound = EPSILON * np.sqrt(np.maximum(0.0, 1 - agreement ** 2)) / agreement / np.sqrt(max(dim - 1, 1))
                     squares = length ** 2
                     for j in range(len(ids)):
                         reach = 2 * length * away[j]
                         base = squares + away[j] ** 2
-                        low = base - reach * np.minimum(1.0, inner[j] + bound)
+                        inner = planes.inner(j, words, ones) / agreement
+                        low = base - reach * np.minimum(1.0, inner + bound + planes.error[j] / agreement)
                         limit = best[j][0][-1] if len(best[j][0]) >= k else np.inf
                         if limit == np.inf:  # exact distances of the best estimates give a first limit
-                            guess = base - reach * inner[j]
+                            guess = base - reach * inner
                             look = min(rows, FIRST_LOOK * k)
                             first = np.argpartition(guess, look - 1)[:look]
                             exact = np.sqrt(((vectors[first] - queries[j]) ** 2).sum(axis=1))[own[first] != ids[j]]

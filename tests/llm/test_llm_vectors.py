@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riskweave.llm import vectors
@@ -55,3 +56,22 @@ def test_queries_in_blocks(spark, monkeypatch):
     whole = search(spark, data, 5, 10)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
     assert search(spark, data, 5, 10) == whole and len(whole) == 60
+
+
+@pytest.mark.parametrize("dim", [1, 7, 64, 100])
+def test_popcounts_give_the_inner_product_with_the_signs(dim):
+    rng = np.random.default_rng(dim)
+    queries, signs = rng.standard_normal((9, dim)), rng.random((50, dim)) < 0.5
+    queries[0] = 0.25  # no spread to cut
+    planes = vectors.Planes(queries)
+    words = vectors._words(np.packbits(signs, axis=1))
+    ones = np.bitwise_count(words).sum(axis=1)
+    exact = queries @ (2.0 * signs - 1).T / np.sqrt(dim)
+    for j in range(len(queries)):
+        assert np.abs(planes.inner(j, words, ones) - exact[j]).max() <= planes.error[j] + 1e-9
+
+
+def test_length_of_most_rows_counts(spark):
+    """The index takes the length of most rows, wherever the smallest hashes lie."""
+    data = [(i, [float(i), 1.0], 1) for i in range(30)] + [(100 + i, [1.0, 2.0, float(i)], 1) for i in range(29)]
+    assert vectors.Index(spark.createDataFrame(data, "vec_id long, embedding array<float>, score int"), "vec_id", "embedding").dim == 2
