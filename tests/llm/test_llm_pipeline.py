@@ -20,7 +20,7 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -40,3 +40,23 @@ def test_stages_take_effect(spark, tmp_path):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter(r["doc_id"] for r in docs.collect())
     whole = corpus_pipeline.run(spark, SF)
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_odd_and_empty_documents(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated ids and rows and clashing names pass all stages; no documents give no rows."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    prose = "Some words make a sentence here, number {}. And one more line of plain words follows it."
+    rows = [(i, prose.format(i) * 3, "en", "a", 10, "x") for i in range(12)]
+    rows += [(1, "Another text under a known id. It has words of its own.", "en", "a", 1, "x"), (2, rows[2][1], "en", "a", 10, "x"),
+             (None, "A text without an id stands here. It is as good as others.", None, None, None, None), (50, None, "en", "b", None, "x"),
+             (51, "", "en", "b", 0, "x"), (52, "Long words go on. " * 30_000, "en", "b", 9, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mx_copies string"
+    for name, data in (("odd", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+        got = out.collect()
+        assert (len(got) > 0) == (name == "odd")
+        assert {r["doc_id"] for r in got} <= {d[0] for d in data}
