@@ -182,17 +182,16 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, cols: list[str]) -> DataFrame
     return joined.withColumns(scaled).drop(*scaler.columns)
 
 
+# Conditions (plain SQL) and rule texts in display order, and the fallback text.
+RULE_TEXTS = [("amount > 2000", "Large Transaction Amount"), ("device_score < 0.3", "Low Device Trust Score"),
+              ("country_risk >= 4", "High Risk Country"), ("hour < 6 OR hour > 22", "Unusual Transaction Hour")]
+NO_RULE_TEXT = "Complex pattern detected by model logic."
+
+
 def rule_reasons(df: DataFrame, label: str = "fraud_label") -> DataFrame:
     """ordered rule texts for flagged rows, joined by '; '."""
-    # Rule texts in display order, and the fallback text.
-    reasons = [
-        F.when(F.col("amount") > 2000, F.lit("Large Transaction Amount")),
-        F.when(F.col("device_score") < 0.3, F.lit("Low Device Trust Score")),
-        F.when(F.col("country_risk") >= 4, F.lit("High Risk Country")),
-        F.when((F.col("hour") < 6) | (F.col("hour") > 22), F.lit("Unusual Transaction Hour")),
-    ]
-    kept = F.concat_ws("; ", *reasons)  # NULL entries are skipped
-    text = F.when(kept == "", F.lit("Complex pattern detected by model logic.")).otherwise(kept)
+    kept = F.concat_ws("; ", *[F.when(F.expr(condition), F.lit(text)) for condition, text in RULE_TEXTS])  # NULL entries are skipped
+    text = F.when(kept == "", F.lit(NO_RULE_TEXT)).otherwise(kept)
     return df.withColumn("reasons", F.when(F.col(label) == 1, text))
 
 

@@ -308,19 +308,11 @@ def _split_history(spark, sf_dir):
 
 # ---------------------------------------------------------------- F21, F22
 
-@register("F21", with_ctes("""SELECT prediction_id, CASE WHEN fraud_label = 1 THEN
-    CASE WHEN concat_ws('; ',
-        CASE WHEN amount > 2000 THEN 'Large Transaction Amount' END,
-        CASE WHEN device_score < 0.3 THEN 'Low Device Trust Score' END,
-        CASE WHEN country_risk >= 4 THEN 'High Risk Country' END,
-        CASE WHEN hour < 6 OR hour > 22 THEN 'Unusual Transaction Hour' END) = ''
-      THEN 'Complex pattern detected by model logic.'
-      ELSE concat_ws('; ',
-        CASE WHEN amount > 2000 THEN 'Large Transaction Amount' END,
-        CASE WHEN device_score < 0.3 THEN 'Low Device Trust Score' END,
-        CASE WHEN country_risk >= 4 THEN 'High Risk Country' END,
-        CASE WHEN hour < 6 OR hour > 22 THEN 'Unusual Transaction Hour' END) END END AS reasons
-    FROM logs""", "logs"))
+_REASONS_SQL = "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in fe.RULE_TEXTS) + ")"
+
+
+@register("F21", with_ctes(f"""SELECT prediction_id, CASE WHEN fraud_label = 1 THEN
+    CASE WHEN {_REASONS_SQL} = '' THEN '{fe.NO_RULE_TEXT}' ELSE {_REASONS_SQL} END END AS reasons FROM logs""", "logs"))
 def q_f21(spark, sf_dir):
     """Rule reasons for every flagged prediction."""
     return fe.rule_reasons(prediction_logs(spark, sf_dir)).select("prediction_id", "reasons")
