@@ -37,12 +37,13 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.session import scratch_path
+from riskweave.session import scratch_path, shuffle_partitions
 
 MISSING = 0          # bin of null and NaN
 BINS = 256           # a bin is one byte
 UNIT = float(1 << 20)
 EDGE_ACCURACY = 10_000
+GROUPS_PER_TASK = 16  # (node, feature) pairs, of at most 256 sums from every task
 ROWS = "label double, weight double, margin double, bins binary"
 
 
@@ -171,35 +172,36 @@ def _histogram(rows: DataFrame, width: int, trees: list[Tree], tree: Tree, open_
     return rows.mapInArrow(run, "node int, feature int, bin int, g long, h long")
 
 
-def best_splits(histogram: DataFrame, params: BoostingParams) -> DataFrame:
-    """The best split of each (node, feature): gain (null if no split is allowed), cut, side of missing
+def best_splits(histogram: DataFrame, params: BoostingParams, groups: int) -> DataFrame:
+    """The best split of each of ``groups`` (node, feature) pairs: gain (null if no split is allowed), cut, side of missing
     values, both derivatives' sums of the left side and of the node. Cuts are bins that occur in the node;
-    ties go to the smaller cut, then to missing values on the right."""
-    # dealt by (node, feature) once: the sums, the running sums and the best need no other exchange
-    cells = histogram.repartition("node", "feature").groupBy("node", "feature", "bin").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"))
-    whole = Window.partitionBy("node", "feature")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known, missing = F.col("bin") != MISSING, F.col("bin") == MISSING
-    c = cells.select(
-        "node", "feature", "bin",
-        *[(F.coalesce(F.sum(F.when(known, F.col(k))).over(upto), F.lit(0)) / F.lit(UNIT)).alias(f"{k}l") for k in "gh"],
-        *[(F.coalesce(F.sum(F.when(missing, F.col(k))).over(whole), F.lit(0)) / F.lit(UNIT)).alias(f"{k}m") for k in "gh"],
-        *[(F.sum(k).over(whole) / F.lit(UNIT)).alias(f"{k}n") for k in "gh"])
-    lam, least = F.lit(params.reg_lambda), F.lit(params.min_child_weight)
-
-    def side(missing_left: bool):
-        g, h = (F.col("gl") + F.col("gm"), F.col("hl") + F.col("hm")) if missing_left else (F.col("gl"), F.col("hl"))
-        gr, hr = F.col("gn") - g, F.col("hn") - h
-        gain = g * g / (h + lam) + gr * gr / (hr + lam) - F.col("gn") * F.col("gn") / (F.col("hn") + lam)
-        return F.struct(F.when((F.col("bin") != MISSING) & (h >= least) & (hr >= least), gain).alias("gain"),
-                        (-F.col("bin")).alias("less"), F.lit(not missing_left).alias("right"), g.alias("g"), h.alias("h"))
+    ties go to the smaller cut, then to missing values on the right.
 
+    Written as one SQL text, because it is analysed once for every level of every tree."""
+    lam, least = float(params.reg_lambda), float(params.min_child_weight)
+
+    def side(missing_left: bool) -> str:
+        g, h = ("gl + gm", "hl + hm") if missing_left else ("gl", "hl")
+        gain = (f"pow({g}, 2) / ({h} + {lam}D) + pow(gn - ({g}), 2) / (hn - ({h}) + {lam}D) - pow(gn, 2) / (hn + {lam}D)")
+        return (f"named_struct('gain', if(bin <> {MISSING} AND {h} >= {least}D AND hn - ({h}) >= {least}D, {gain}, null), "
+                f"'less', -bin, 'right', {str(not missing_left).lower()}, 'g', {g}, 'h', {h})")
+
+    def sums(k: str) -> str:
+        return (f"coalesce(sum(if(bin <> {MISSING}, {k}, null)) OVER upto, 0) / {UNIT}D AS {k}l, "
+                f"coalesce(sum(if(bin = {MISSING}, {k}, null)) OVER whole, 0) / {UNIT}D AS {k}m, "
+                f"sum({k}) OVER whole / {UNIT}D AS {k}n")
+
+    tasks = max(1, min(shuffle_partitions(histogram.sparkSession), groups // GROUPS_PER_TASK))
+    # dealt by (node, feature) once: the sums, the running sums and the best need no other exchange;
     # structs compare field by field, nulls first
-    return c.groupBy("node", "feature").agg(F.max(F.greatest(side(False), side(True))).alias("b"),
-                                            F.max("gn").alias("g"), F.max("hn").alias("h")).select(
-        "node", "feature", "b.gain", (-F.col("b.less")).alias("cut"), (~F.col("b.right")).alias("missing_left"),
-        F.col("b.g").alias("left_g"), F.col("b.h").alias("left_h"), "g", "h")
+    return histogram.sparkSession.sql(f"""
+        SELECT node, feature, b.gain, -b.less AS cut, NOT b.right AS missing_left, b.g AS left_g, b.h AS left_h, g, h FROM (
+          SELECT node, feature, max(greatest({side(False)}, {side(True)})) AS b, max(gn) AS g, max(hn) AS h FROM (
+            SELECT node, feature, bin, {sums("g")}, {sums("h")} FROM (
+              SELECT node, feature, bin, sum(g) AS g, sum(h) AS h FROM {{cells}} GROUP BY node, feature, bin)
+            WINDOW whole AS (PARTITION BY node, feature),
+              upto AS (PARTITION BY node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+          GROUP BY node, feature)""", cells=histogram.repartition(tasks, "node", "feature"))
 
 
 def _grow(rows: DataFrame, width: int, trees: list[Tree], params: BoostingParams) -> Tree | None:
@@ -211,7 +213,7 @@ def _grow(rows: DataFrame, width: int, trees: list[Tree], params: BoostingParams
 
     for level in range(params.depth):
         # at most one row per open node and feature
-        found = best_splits(_histogram(rows, width, trees, tree, open_nodes), params).collect()
+        found = best_splits(_histogram(rows, width, trees, tree, open_nodes), params, len(open_nodes) * width).collect()
         if not found and level == 0:
             return None
         if level == 0:
@@ -225,9 +227,10 @@ def _grow(rows: DataFrame, width: int, trees: list[Tree], params: BoostingParams
             tree.feature[node], tree.cut[node], tree.gain[node] = s["feature"], s["cut"], s["gain"]
             tree.missing_left[node] = s["missing_left"]
             left, right = 2 * node + 1, 2 * node + 2
-            tree.value[left] = leaf(s["left_g"], s["left_h"])
-            tree.value[right] = leaf(s["g"] - s["left_g"], s["h"] - s["left_h"])
-            open_nodes += [left, right]
+            for child, g, h in ((left, s["left_g"], s["left_h"]), (right, s["g"] - s["left_g"], s["h"] - s["left_h"])):
+                tree.value[child] = leaf(g, h)
+                if h >= 2 * params.min_child_weight:  # else no two sides could both weigh enough
+                    open_nodes.append(child)
         if not open_nodes:
             break
     return tree
@@ -245,10 +248,15 @@ def _advanced(rows: DataFrame, width: int, trees: list[Tree]) -> DataFrame:
 
 
 class _Kept:
-    """The newest written state of the rows, cached while it is in use; an older one is removed."""
+    """The newest written state of the rows, cached while it is in use; an older one is removed.
+
+    The levels' jobs run in a session of their own: each exchanges a few rows per node and feature,
+    which adaptive execution has nothing to gain from."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.path, self.rows = spark, scratch_path(spark, f"boosting-{uuid.uuid4().hex[:12]}"), None, None
+        self.spark = spark.newSession()
+        self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+        self.base, self.path, self.rows = scratch_path(spark, f"boosting-{uuid.uuid4().hex[:12]}"), None, None
         self.version = 0
 
     def write(self, rows: DataFrame) -> DataFrame:

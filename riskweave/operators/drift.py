@@ -310,14 +310,14 @@ CRITICAL_TITLE = "High drift detected - model rollback recommended"
 HISTORY_LENGTH = 100
 
 
-def drift_alerts(report: DataFrame, rollback_threshold: float = ROLLBACK_THRESHOLD) -> DataFrame:
+def drift_alerts(report: DataFrame, rollback_threshold: float = ROLLBACK_THRESHOLD, by: Sequence[str] = ()) -> DataFrame:
     """A warning row when any feature drifted, plus a critical row when any
     score exceeds the rollback threshold; both with their features' scores.
 
-    One pass over the report: the two lists hold at most one entry per feature
+    With ``by``, a report per group (say a day) and alerts for each. One pass over the report: the two lists hold at most one entry per feature
     of the schema, and the alert rows are made from them."""
     entry = F.struct("feature", F.format_string("%s:%.9f", "feature", "drift_score").alias("score"))
-    agg = report.agg(
+    agg = report.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.when(F.col("drift_detected"), entry))).alias("drifted"),
         F.array_sort(F.collect_list(F.when(F.col("drift_score") > F.lit(rollback_threshold), entry))).alias("high"))
 
@@ -332,7 +332,7 @@ def drift_alerts(report: DataFrame, rollback_threshold: float = ROLLBACK_THRESHO
     rows = F.when(F.size("drifted") == 0, F.array().cast(
         "array<struct<severity:string,title:string,features:string,scores:string>>")).when(
         F.size("high") == 0, F.array(warn)).otherwise(F.array(warn, crit))
-    return agg.select(F.inline(rows))
+    return agg.select(*by, F.inline(rows))
 
 
 def alert_history(alerts: DataFrame, ts: str, keep: int = HISTORY_LENGTH) -> DataFrame:

@@ -237,6 +237,24 @@ def q_d08(spark, sf_dir):
     return d08_series(spark, sf_dir).select("window_start", "feature", r9("psi"), "drift_detected")
 
 
+_ALERT_SQL = """string_agg(feature, ',' ORDER BY feature) AS features,
+      string_agg(feature || ':' || format('{:.9f}', psi), ',' ORDER BY feature) AS scores"""
+
+
+@register("D06H", with_ctes(f"""SELECT * FROM (
+    SELECT window_start, 'warning' AS severity, '{dr.WARNING_TITLE[0]}' || count(*) || '{dr.WARNING_TITLE[1]}' AS title, {_ALERT_SQL}
+      FROM psi WHERE psi > {D08_ALERT} GROUP BY window_start
+    UNION ALL
+    SELECT window_start, 'critical', '{dr.CRITICAL_TITLE}', {_ALERT_SQL} FROM psi
+      WHERE psi > {dr.ROLLBACK_THRESHOLD} AND window_start IN (SELECT window_start FROM psi WHERE psi > {D08_ALERT})
+      GROUP BY window_start)
+    ORDER BY window_start DESC, severity LIMIT {dr.HISTORY_LENGTH}""", "tx", extra=_D08_CTES))
+def q_d06h(spark, sf_dir):
+    """Alert history: the newest 100 alerts of the daily drift checks."""
+    report = d08_series(spark, sf_dir).withColumnRenamed("psi", "drift_score")
+    return dr.alert_history(dr.drift_alerts(report, by=["window_start"]), "window_start")
+
+
 @register("A19", with_ctes(f"""SELECT CASE WHEN count(*) = 0 THEN 'no_data'
       WHEN count(*) FILTER (WHERE psi > {D08_ALERT}) > 0 THEN 'drift_detected' ELSE 'stable' END AS status,
     count(*) FILTER (WHERE psi > {D08_ALERT}) AS features_with_drift, count(*) AS total_features_checked,

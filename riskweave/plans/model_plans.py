@@ -161,6 +161,31 @@ def q_l07(spark, sf_dir):
     return ml.evaluate_test(scored).crossJoin(conf)
 
 
+def scored_test(spark, sf_dir):
+    """The test split scored by the newest saved model with its tuned threshold, written once for the tables made of it."""
+    _, _, test = frames(spark, sf_dir)
+    model, thr = _saved_model(spark, sf_dir)
+    return _kept(ml.score(model, test, thr).select("transaction_id", ml.LABEL, ml.PROB, "fraud_label"), "scored-test")
+
+
+@register("L07R")
+def q_l07r(spark, sf_dir):
+    """Evaluate job: classification report of the saved model on the test split at its tuned threshold."""
+    return rp.classification_report(rp.confusion_counts(scored_test(spark, sf_dir), ml.LABEL, "fraud_label"))
+
+
+@register("L07P")
+def q_l07p(spark, sf_dir):
+    """Evaluate job: precision-recall curve of the saved model on the test split."""
+    return cv.pr_curve(scored_test(spark, sf_dir), ml.PROB, ml.LABEL)
+
+
+@register("L07C")
+def q_l07c(spark, sf_dir):
+    """Evaluate job: ROC curve of the saved model on the test split."""
+    return cv.roc_curve(scored_test(spark, sf_dir), ml.PROB, ml.LABEL)
+
+
 # Illustrative linear model for the contribution report.
 COEFS = {"amount": 0.004, "hour": -0.02, "device_score": -2.0, "country_risk": 0.3}
 INTERCEPT = -1.5

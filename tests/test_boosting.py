@@ -99,7 +99,7 @@ def test_edges_are_near_their_ranks_and_bounded(spark):
 def test_one_exchange_and_no_rows_at_the_driver(table):
     edges = bo.bin_edges(table, FEATURES, 31)
     hist = bo._histogram(bo._binned(table, FEATURES, "y", "w", edges), 3, [], bo.Tree(4), [0])
-    best = bo.best_splits(hist, PARAMS)
+    best = bo.best_splits(hist, PARAMS, 3)
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1, plan
     assert best.count() == 3  # a row per open node and feature

@@ -8,7 +8,8 @@ from riskweave.operators import models as ml
 from riskweave.operators import split as sp
 from riskweave.sources import generator as gen
 from riskweave.sources.tables import read_table
-from conftest import SF_ORACLE
+from riskweave.plans import model_plans as mp
+from conftest import SF_ORACLE, SF_SMALL
 
 
 def test_generator_is_deterministic_and_in_range(spark):
@@ -33,3 +34,17 @@ def test_logistic_regression_beats_random(spark):
     scored = ml.score(model, fe.engineer(s.where(F.col("split") != "train"), stats))
     auc = cv.roc_auc(scored, "fraud_probability", "is_fraud").first()[0]
     assert auc > 0.6
+
+
+def test_evaluation_tables_agree_with_the_metrics(spark):
+    """L07's one row, its report and its curves are of the same scored test split."""
+    row = mp.q_l07(spark, SF_SMALL).first()
+    report = {r["label"]: r for r in mp.q_l07r(spark, SF_SMALL).collect()}
+    assert report["1"]["support"] == row["tp"] + row["fn"] and report["0"]["support"] == row["tn"] + row["fp"]
+    assert abs(report["accuracy"]["recall"] - (row["tp"] + row["tn"]) / report["accuracy"]["support"]) < 1e-12
+    roc = sorted((r["fpr"], r["tpr"]) for r in mp.q_l07c(spark, SF_SMALL).collect())
+    area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(roc, roc[1:]))
+    assert abs(area - row["roc_auc"]) < 1e-9
+    pr = sorted(mp.q_l07p(spark, SF_SMALL).collect(), key=lambda r: (r["recall"], r["threshold"] is not None, -(r["threshold"] or 0)))
+    step = sum((b["recall"] - a["recall"]) * b["precision"] for a, b in zip(pr, pr[1:]))
+    assert abs(step - row["average_precision"]) < 1e-9

@@ -35,6 +35,7 @@ CHECKS = {
     "M08": lambda rows: len(rows) == 5 and sorted(r["fold"] for r in rows) == list(range(5)) and _rates(rows, "roc_auc"),
     "M09": lambda rows: len(rows) == 19 and [r["importance"] for r in rows] == sorted((r["importance"] for r in rows), reverse=True),
     "L04": lambda rows: len(rows) == 1 and _rates(rows, "roc_auc", "average_precision", "recall") and rows[0]["train_rows"] > 0,
+    "L03": lambda rows: len({r["transaction_id"] for r in rows}) == len(rows) and all(0 < r["fraud_probability"] < 1 for r in rows),
     "L07": lambda rows: len(rows) == 1 and _rates(rows, "roc_auc", "average_precision"),
 }
 
