@@ -1,4 +1,4 @@
-"""Model jobs on MLlib.
+"""Model jobs on MLlib and ``operators.boosting``.
 
 Training data stays distributed: features are column expressions, the
 vector is assembled by ``VectorAssembler``, class weights come from a

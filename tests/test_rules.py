@@ -167,3 +167,14 @@ def test_held_alerts_pend_fire_and_resolve(spark):
                    ("a", at(11)): (0, "pending", None, None), ("b", at(0)): (5, "resolved", at(0), at(2))}
     held = wn.persistent_alerts(series.where("at >= '2024-01-01 00:40:00'").withColumn("breach", F.lit(True)), rules).where("rule = 'b'").first()
     assert (held.state, held.resolved_at) == ("firing", None)
+
+
+def test_drift_alerts_by_day_and_their_history(spark):
+    rows = [("d1", "a", 0.15, True), ("d1", "b", 0.05, False), ("d2", "a", 0.01, False), ("d2", "b", None, False),
+            ("d3", "b", 0.5, True), ("d3", "a", 0.12, True), ("d4", "a", 0.4, False)]  # d4: no feature drifted, no alert
+    report = spark.createDataFrame(rows, "day string, feature string, drift_score double, drift_detected boolean")
+    alerts = dr.drift_alerts(report, by=["day"])
+    got = [tuple(r) for r in dr.alert_history(alerts, "day").select("day", "severity", "features", "scores").collect()]
+    assert got == [("d3", "critical", "b", "b:0.500000000"), ("d3", "warning", "a,b", "a:0.120000000,b:0.500000000"),
+                   ("d1", "warning", "a", "a:0.150000000")]
+    assert len(dr.alert_history(alerts, "day", keep=2).collect()) == 2
