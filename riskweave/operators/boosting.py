@@ -1,7 +1,8 @@
 """Second-order gradient boosting of trees for a 0/1 label.
 
 Newton boosting with histogram split search. Every feature is cut into at most
-255 bins; a row is kept as one byte per feature, its label, weight and margin.
+255 bins; a row is kept as one byte per feature, its label, weight and margin, and
+tens of thousands of rows are one block of arrays, which tasks read without a copy per row.
 A level of a tree is one job: tasks sum first and second derivatives of the
 logistic loss by (node, feature, bin), the sums meet in one exchange, and running
 sums over the bins give every split's gain. Only the best split of each (node,
@@ -11,8 +12,9 @@ Derivatives are summed as whole numbers of 2^-20, so a tree doesn't depend on
 partitioning, row order or recomputed tasks. Sums stay in range up to a total
 weight of 8e12. Bin edges come from one sketch aggregate (rank error 1/10,000).
 
-Margins are written to the shared folder every few rounds, so a row never walks
-through more than those rounds' trees in a job, and a lost executor costs no more.
+Every round adds its tree to the margins in cached blocks, so a job walks through one
+tree only. Every few rounds the blocks are written to the shared folder, so a lost
+executor costs no more than those rounds' trees.
 
 Defined cases: null and NaN are missing values, and each split learns the side they
 take (right if equal). Rows with a null label or weight are left out of the fit. No
@@ -43,8 +45,11 @@ MISSING = 0          # bin of null and NaN
 BINS = 256           # a bin is one byte
 UNIT = float(1 << 20)
 EDGE_ACCURACY = 10_000
-GROUPS_PER_TASK = 16  # (node, feature) pairs, of at most 256 sums from every task
-ROWS = "label double, weight double, margin double, bins binary"
+GROUPS_PER_TASK = 32  # (node, feature) pairs, of at most 256 sums from every task
+BLOCK_ROWS = 1 << 16
+BLOCKS_PER_BATCH = 4  # blocks that a task holds at once
+EXACT = 1 << 33       # whole units of 2^-20 that doubles add without rounding
+BLOCKS = "label binary, weight binary, margin binary, bins binary"
 
 
 @dataclass(frozen=True)
@@ -74,14 +79,18 @@ class Tree:
         self.depth = depth
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The node each row of bins ends in."""
-        node = np.zeros(len(bins), np.int32)
-        rows = np.arange(len(bins))
-        for _ in range(self.depth):
-            feature = self.feature[node]
-            b = bins[rows, np.maximum(feature, 0)]
-            right = np.where(b == MISSING, ~self.missing_left[node], b > self.cut[node])
-            node = np.where(feature >= 0, 2 * node + 1 + right, node)
+        """The node each row of bins (features by rows) ends in.
+
+        A split compares its feature's bytes of all rows at once. Where missing values go right,
+        bytes are compared less one: the bin of missing values wraps to the largest."""
+        node = np.zeros(bins.shape[1], np.uint8 if self.depth < 8 else np.int32)
+        one = node.dtype.type(1)
+        for i in np.flatnonzero(self.feature >= 0):  # ascending: a parent comes before its children
+            b, cut = bins[self.feature[i]], int(self.cut[i])
+            right = b > np.uint8(cut) if self.missing_left[i] else (b - np.uint8(1)) > np.uint8(cut - 1)
+            here = node == i
+            node += here * node.dtype.type(i + 1)
+            node += (here & right) * one
         return node
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
@@ -89,10 +98,10 @@ class Tree:
 
 
 def bin_codes(columns: Sequence[np.ndarray], edges: Sequence[np.ndarray]) -> np.ndarray:
-    """One byte per value: 0 if missing, else 1 + the number of the feature's edges below it."""
-    codes = np.empty((len(columns[0]), len(columns)), np.uint8)
+    """One byte per value, features by rows: 0 if missing, else 1 + the number of the feature's edges below it."""
+    codes = np.empty((len(columns), len(columns[0])), np.uint8)
     for f, x in enumerate(columns):
-        codes[:, f] = np.where(np.isnan(x), MISSING, 1 + np.searchsorted(edges[f], x, "left"))
+        codes[f] = np.where(np.isnan(x), MISSING, 1 + np.searchsorted(edges[f], x, "left"))
     return codes
 
 
@@ -111,29 +120,41 @@ def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int = BoostingPa
 
 
 def _binned(df: DataFrame, features: Sequence[str], label: str, weight: str, edges: list[np.ndarray]) -> DataFrame:
-    """Rows of the fit in the schema ``ROWS``, margin 0."""
+    """Rows of the fit in the schema ``BLOCKS``, margin 0."""
+    def block(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        return _packed(columns[0], columns[1], np.zeros(len(columns[0])), bin_codes(columns[2:], edges))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            columns = [np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns]
-            codes = bin_codes(columns[2:], edges)
-            packed = pa.FixedSizeBinaryArray.from_buffers(
-                pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), pa.array(columns[1]), pa.array(np.zeros(len(codes))), packed],
-                names=["label", "weight", "margin", "bins"])
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                if held + part.num_rows > BLOCK_ROWS:
+                    yield block(parts)
+                    parts, held = [], 0
+                parts.append([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in part.columns])
+                held += part.num_rows
+        if held:
+            yield block(parts)
 
     fit = df.where(F.col(label).isNotNull() & F.col(weight).isNotNull())
     doubles = fit.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([label, weight, *features])])
-    return doubles.mapInArrow(run, ROWS)
+    return doubles.mapInArrow(run, BLOCKS)
+
+
+def _packed(label: np.ndarray, weight: np.ndarray, margin: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
+    """One block in the schema ``BLOCKS``."""
+    return pa.RecordBatch.from_arrays([pa.array([memoryview(np.ascontiguousarray(a)).cast("B")], pa.binary()) for a in (label, weight, margin, bins)],
+                                      names=["label", "weight", "margin", "bins"])
 
 
-def _unpack(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(label, weight, margin, bins) of a batch of ``ROWS``."""
-    label, weight, margin = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-    packed = batch.column(3).cast(pa.large_binary())
-    at = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1]
-    bins = np.frombuffer(packed.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(len(packed), width)
-    return label, weight, margin, bins
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(label, weight, margin, bins by features and rows) of every block of ``BLOCKS``."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            label, weight, margin, bins = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns, (float, float, float, np.uint8)))
+            yield label, weight, margin, bins.reshape(width, len(label))
 
 
 def derivatives(label: np.ndarray, weight: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +163,46 @@ def derivatives(label: np.ndarray, weight: np.ndarray, margin: np.ndarray) -> tu
     return np.rint(weight * (p - label) * UNIT), np.rint(weight * p * (1.0 - p) * UNIT)
 
 
+@dataclass
+class _Bundle:
+    """Features whose bins together number 256 at most, as one code per row: one count serves them all."""
+
+    features: list[list[int]]  # a list holds features with the same byte in every row
+    sizes: list[int]
+    codes: np.ndarray
+
+    def parts(self, sums: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(feature, sums by node and its bins) from the sums by node and code."""
+        total = int(np.prod(self.sizes))
+        cube = sums[:, :total].reshape(len(sums), *self.sizes[::-1])
+        for i, same in enumerate(self.features):
+            axis = len(self.sizes) - i
+            alone = cube.sum(axis=tuple(a for a in range(1, cube.ndim) if a != axis))
+            for f in same:
+                yield f, alone
+
+
+def _bundles(bins: np.ndarray) -> list[_Bundle]:
+    """The features of some rows in as few bundles as first fit finds, widest first."""
+    same: dict[bytes, list[int]] = {}
+    for f in range(len(bins)):
+        same.setdefault(bins[f].tobytes(), []).append(f)
+    sized = sorted(((int(bins[fs[0]].max(initial=0)) + 1, fs) for fs in same.values()), key=lambda x: -x[0])
+    found: list[_Bundle] = []
+    for size, fs in sized:
+        room = next((b for b in found if int(np.prod(b.sizes)) * size <= BINS), None)
+        if room is None:
+            found.append(_Bundle([fs], [size], bins[fs[0]]))
+        else:
+            room.codes = room.codes + bins[fs[0]] * np.uint8(np.prod(room.sizes))
+            room.features.append(fs)
+            room.sizes.append(size)
+    return found
+
+
 def _histogram(rows: DataFrame, width: int, trees: list[Tree], tree: Tree, open_nodes: list[int]) -> DataFrame:
-    """Per task the sums of both derivatives by (node, feature, bin), over rows that lie in an open node."""
+    """Per task the sums of both derivatives by (node, feature, bin), over rows that lie in an open node of ``tree``;
+    ``trees`` are those not yet in the margins."""
     slot_of = np.full(len(tree.feature), -1, np.int64)
     slot_of[open_nodes] = np.arange(len(open_nodes))
     nodes = np.array(open_nodes, np.int32)
@@ -151,18 +210,24 @@ def _histogram(rows: DataFrame, width: int, trees: list[Tree], tree: Tree, open_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, width, *shape), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            label, weight, margin, bins = _unpack(batch, width)
-            pair = derivatives(label, weight, margin + sum(t.margins(bins) for t in trees))
+        for label, weight, margin, bins in _blocks(batches, width):
+            for t in trees:
+                margin = margin + t.margins(bins)
+            pair = derivatives(label, weight, margin)
             slot = slot_of[tree.leaves(bins)]
-            lies = slot >= 0
-            cell = slot[lies] * BINS
-            for f in range(width):
-                at = cell + bins[lies, f]
-                for k in (0, 1):
-                    sums[k, f] += np.bincount(at, pair[k][lies], shape[0] * BINS).astype(np.int64).reshape(shape)
+            lies = np.flatnonzero(slot >= 0)
+            if len(lies) < len(slot):
+                slot, bins, pair = slot.take(lies), bins.take(lies, axis=1), [d.take(lies) for d in pair]
+            cell = slot * BINS
+            step = max(1, int(min(BLOCK_ROWS, EXACT // max(1.0, np.abs(weight).max(initial=1.0)))))
+            for at in range(0, len(cell), step):
+                some = slice(at, at + step)
+                for group in _bundles(bins[:, some]):
+                    where = cell[some] + group.codes
+                    for k in (0, 1):
+                        found = np.bincount(where, pair[k][some], shape[0] * BINS).astype(np.int64).reshape(shape)
+                        for f, at_bins in group.parts(found):
+                            sums[k, f, :, :at_bins.shape[1]] += at_bins
         feature, slot, b = np.nonzero((sums[0] != 0) | (sums[1] != 0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(nodes[slot]), pa.array(feature.astype(np.int32)), pa.array(b.astype(np.int32)),
@@ -204,7 +269,7 @@ def best_splits(histogram: DataFrame, params: BoostingParams, groups: int) -> Da
           GROUP BY node, feature)""", cells=histogram.repartition(tasks, "node", "feature"))
 
 
-def _grow(rows: DataFrame, width: int, trees: list[Tree], params: BoostingParams) -> Tree | None:
+def _grow(rows: DataFrame, width: int, params: BoostingParams) -> Tree | None:
     """The next tree, a job per level; None if there are no rows."""
     tree, open_nodes = Tree(params.depth), [0]
 
@@ -213,7 +278,7 @@ def _grow(rows: DataFrame, width: int, trees: list[Tree], params: BoostingParams
 
     for level in range(params.depth):
         # at most one row per open node and feature
-        found = best_splits(_histogram(rows, width, trees, tree, open_nodes), params, len(open_nodes) * width).collect()
+        found = best_splits(_histogram(rows, width, [], tree, open_nodes), params, len(open_nodes) * width).collect()
         if not found and level == 0:
             return None
         if level == 0:
@@ -236,19 +301,17 @@ def _grow(rows: DataFrame, width: int, trees: list[Tree], params: BoostingParams
     return tree
 
 
-def _advanced(rows: DataFrame, width: int, trees: list[Tree]) -> DataFrame:
-    """The rows with the trees' values added to their margins."""
+def _advanced(rows: DataFrame, width: int, tree: Tree) -> DataFrame:
+    """The rows with the tree's values added to their margins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, _, margin, bins = _unpack(batch, width)
-                yield batch.set_column(2, "margin", pa.array(margin + sum(t.margins(bins) for t in trees)))
+        for label, weight, margin, bins in _blocks(batches, width):
+            yield _packed(label, weight, margin + tree.margins(bins), bins)
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.mapInArrow(run, BLOCKS)
 
 
 class _Kept:
-    """The newest written state of the rows, cached while it is in use; an older one is removed.
+    """The newest state of the rows, cached while it is in use; the states before are removed.
 
     The levels' jobs run in a session of their own: each exchanges a few rows per node and feature,
     which adaptive execution has nothing to gain from."""
@@ -256,20 +319,31 @@ class _Kept:
     def __init__(self, spark: SparkSession):
         self.spark = spark.newSession()
         self.spark.conf.set("spark.sql.adaptive.enabled", "false")
-        self.base, self.path, self.rows = scratch_path(spark, f"boosting-{uuid.uuid4().hex[:12]}"), None, None
-        self.version = 0
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCKS_PER_BATCH))
+        self.base, self.path = scratch_path(spark, f"boosting-{uuid.uuid4().hex[:12]}"), None
+        self.version, self.cached = 0, []
 
     def write(self, rows: DataFrame) -> DataFrame:
         path, self.version = f"{self.base}/{self.version}", self.version + 1
         rows.write.parquet(path)
         self.release()
         self.path = path
-        self.rows = self.spark.read.schema(ROWS).parquet(path).persist()
-        return self.rows
+        return self.cache(self.spark.read.schema(BLOCKS).parquet(path))
+
+    def cache(self, rows: DataFrame) -> DataFrame:
+        self.cached.append(rows.persist())
+        return rows
+
+    def forget(self) -> None:
+        """Drop all cached states but the newest, which a job has read by now."""
+        while len(self.cached) > 1:
+            self.cached.pop(0).unpersist()
 
     def release(self) -> None:
+        for rows in self.cached:
+            rows.unpersist()
+        self.cached = []
         if self.path is not None:
-            self.rows.unpersist()
             at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
             self.path = None
@@ -286,16 +360,15 @@ def grow_trees(df: DataFrame, features: Sequence[str], label: str, weight: str,
     try:
         rows = kept.write(_binned(df, features, label, weight, edges))
         done: list[Tree] = []
-        recent: list[Tree] = []  # not yet in the margins of the rows
         for _ in range(params.rounds):
-            tree = _grow(rows, len(features), recent, params)
+            tree = _grow(rows, len(features), params)
             if tree is None:
                 break
+            kept.forget()
             done.append(tree)
-            recent.append(tree)
-            if len(recent) == params.keep_every and len(done) < params.rounds:
-                rows = kept.write(_advanced(rows, len(features), recent))
-                recent = []
+            if len(done) < params.rounds:
+                rows = _advanced(rows, len(features), tree)
+                rows = kept.write(rows) if len(done) % params.keep_every == 0 else kept.cache(rows)
         return done, edges
     finally:
         kept.release()
@@ -342,7 +415,7 @@ class BoostedTreesModel(Transformer, DefaultParamsReadable, DefaultParamsWritabl
         @F.pandas_udf("double")
         def positive(*columns: pd.Series) -> pd.Series:
             bins = bin_codes([c.to_numpy(float) for c in columns], edges)
-            return pd.Series(1.0 / (1.0 + np.exp(-sum((t.margins(bins) for t in trees), np.zeros(len(bins))))))
+            return pd.Series(1.0 / (1.0 + np.exp(-sum((t.margins(bins) for t in trees), np.zeros(bins.shape[1])))))
 
         p = positive(*[F.col(f"`{c}`").cast("double") for c in self.getOrDefault(self.inputCols)])
         return dataset.withColumn("_positive", p).withColumn(

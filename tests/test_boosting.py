@@ -124,3 +124,35 @@ def test_saved_in_a_pipeline_and_odd_input(spark, table, tmp_path):
     mixed = bo.fit_boosted(table.unionByName(nulls), FEATURES, "y", "w", bo.BoostingParams(rounds=2, depth=2, max_bins=31))
     alone = bo.fit_boosted(table, FEATURES, "y", "w", bo.BoostingParams(rounds=2, depth=2, max_bins=31))
     assert [as_splits(t) for t in mixed.stored()[0]] == [as_splits(t) for t in alone.stored()[0]]
+
+
+def test_bundles_give_each_features_own_sums():
+    rng = np.random.default_rng(3)
+    sizes = [256, 3, 2, 3, 5, 100, 1, 2, 16]
+    bins = np.stack([rng.integers(0, k, 5000).astype(np.uint8) for k in sizes] + [np.zeros(5000, np.uint8)] * 2)
+    bins[0, :2] = 0, 255
+    bins = np.vstack([bins, bins[5:6]])  # the same bytes as feature 5
+    slot, w = rng.integers(0, 4, 5000), rng.integers(-1 << 20, 1 << 20, 5000).astype(float)
+    bundles, seen = bo._bundles(bins), []
+    assert len(bundles) < len(sizes) // 2 + 1
+    for b in bundles:
+        sums = np.bincount(slot * 256 + b.codes, w, 4 * 256).astype(np.int64).reshape(4, 256)
+        for f, part in b.parts(sums):
+            want = np.bincount(slot * 256 + bins[f], w, 4 * 256).astype(np.int64).reshape(4, 256)
+            assert np.array_equal(part, want[:, :part.shape[1]]) and not want[:, part.shape[1]:].any()
+            seen.append(f)
+    assert sorted(seen) == list(range(len(bins)))
+
+
+def test_rows_are_kept_in_blocks_and_a_job_walks_one_tree(table, monkeypatch):
+    edges = bo.bin_edges(table, FEATURES, 31)
+    blocks = bo._binned(table.coalesce(1), FEATURES, "y", "w", edges)
+    assert blocks.count() == 1  # 2,000 rows
+    first = blocks.first()
+    assert len(first.label) == 2000 * 8 and len(first.bins) == 2000 * 3
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 300)
+    assert bo._binned(table.coalesce(1), FEATURES, "y", "w", edges).count() >= 7
+    walked, plain = [], bo._histogram
+    monkeypatch.setattr(bo, "_histogram", lambda rows, width, trees, *rest: walked.append(len(trees)) or plain(rows, width, trees, *rest))
+    bo.grow_trees(table, FEATURES, "y", "w", bo.BoostingParams(rounds=4, depth=2, max_bins=31))
+    assert walked and max(walked) == 0
