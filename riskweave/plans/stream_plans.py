@@ -19,7 +19,7 @@ from riskweave.plans.feature_plans import FEAT_CTE
 from riskweave.plans.registry import register
 from riskweave.plans.routing_plans import VARIANTS
 from riskweave.plans.window_plans import _W10_CTE
-from riskweave.session import scratch_path
+from riskweave.session import kept, scratch_path
 from riskweave.sources.tables import prediction_logs, transactions, with_ctes
 from riskweave.streaming import jobs
 from riskweave.streaming import runtime as rt
@@ -214,13 +214,14 @@ replay AS (
 def q_t06(spark, sf_dir):
     """Live score reuse on the full canonical key: a request within the tiered time to live of a
     stored score is a hit, unless its key was dropped or all were cleared in between; files out of time order."""
-    events = _reuse_requests(spark, sf_dir)
+    events = kept(_reuse_requests(spark, sf_dir), "t06-requests")
     src, sink, ck = _dirs(spark, "t06")
     late = (F.col("kind") == "score") & (F.pmod(F.xxhash64("prediction_id"), F.lit(5)) == 0)
-    rt.stage_files(events.where(~late), src, "created_at", chunks=3)
-    events.where(late).coalesce(1).write.mode("append").parquet(src)
+    files = rt.files_per_chunk(spark)
+    rt.stage_files(events.where(~late), src, "created_at", chunks=3, files=files)
+    events.where(late).repartition(files).write.mode("append").parquet(src)
     step = jobs.score_reuse_sink(sink, sink + "-state", late_seconds=400 * 86_400)
-    rt.run_available_now(rt.read_stream(spark, src, events.schema).writeStream.foreachBatch(step), ck)
+    rt.run_available_now(rt.read_stream(spark, src, events.schema, files).writeStream.foreachBatch(step), ck)
     step(None, 1 << 40, spark)  # the log has ended: decide what still waits
     return spark.read.parquet(sink).select("prediction_id", "cache_hit", "ttl_seconds")
 

@@ -121,6 +121,15 @@ REUSE_OUT = "cache_key string, kind int, prediction_id string, cache_hit boolean
 _STORED, _DROP, _ASK = 0, 1, 2  # a carried entry, an invalidation of the key, a request; in this order at equal times
 
 
+def _with_epochs(batches: Iterator[pa.RecordBatch], clears: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
+    """Sets the epoch of requests and drops: ``base`` and the clearings up to their time. Carried entries keep theirs."""
+    at = [c.split()[0] for c in REUSE_EVENT.split(", ")].index("epoch")
+    for batch in batches:
+        own = np.nan_to_num(batch.column("epoch").to_numpy(zero_copy_only=False).astype(float))
+        now = base + np.searchsorted(clears, batch.column("t").to_numpy(), "right")
+        yield batch.set_column(at, "epoch", pa.array(np.where(batch.column("kind").to_numpy() == _STORED, own, now).astype(np.int64)))
+
+
 def _reuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replay rows that arrive in order of key, time and kind; a key's entry is all that is held between batches.
 
@@ -133,15 +142,16 @@ def _reuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        keys = batch.column("cache_key").to_pylist()
+        keys = batch.column("cache_key")
+        codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
         t, kind, own = (batch.column(c).to_numpy() for c in ("t", "kind", "epoch"))
         p, ends = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fraud_probability", "expires"))
         ttl = _ttl_us(np.nan_to_num(p, nan=0.5))
         hit, stored = np.zeros(len(t), bool), np.zeros(len(t), np.int64)
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
         for a, b in zip(cuts, cuts[1:]):
-            if keys[a] != key:
-                key, expires, epoch = keys[a], None, None
+            if keys[a].as_py() != key:
+                key, expires, epoch = keys[a].as_py(), None, None
             stops = a + np.flatnonzero(kind[a:b] != _ASK)
             i = a
             while i < b:
@@ -208,31 +218,29 @@ def score_reuse_sink(out_path: str, state_path: str, late_seconds: int = 10 * 86
         due = F.lit(True) if horizon is None else F.col("_t") < horizon
         rows.where(~due).write.mode("overwrite").parquet(f"{state_path}/waiting/_batch={batch_id}")
         ready = rows.where(due)
-        clears = ready.where(F.col("kind") == "invalidate_all").agg(F.sort_array(F.collect_set("_t")).alias("_clears"))
+        clears = np.array(ready.where(F.col("kind") == "invalidate_all").agg(F.sort_array(F.collect_set("_t"))).first()[0], np.int64)  # few
         entry = f"{state_path}/entries/_batch={last}"
         base, entries = 0, None
         if last is not None and path_exists(spark, entry):
             entries = spark.read.schema(REUSE_EVENT).parquet(entry)
             base = spark.read.schema("epoch long").parquet(f"{state_path}/epoch/_batch={last}").first()[0]
-        epoch = F.size(F.filter("_clears", lambda c: c <= F.col("t"))) + F.lit(base)
         kind = F.when(F.col("kind") == "invalidate", _DROP).otherwise(_ASK)
         events = ready.where(F.col("kind") != "invalidate_all").select(
-            "cache_key", F.col("_t").alias("t"), kind.alias("kind"), "prediction_id", "fraud_probability").join(
-            F.broadcast(clears)).withColumn("epoch", epoch.cast("long")).withColumn(
-            "expires", F.lit(None).cast("long")).drop("_clears")  # clears: one row
+            "cache_key", F.col("_t").alias("t"), kind.alias("kind"), "prediction_id", "fraud_probability",
+            F.lit(None).cast("long").alias("epoch"), F.lit(None).cast("long").alias("expires"))
         if entries is not None:
             events = events.unionByName(entries)
         order = ["cache_key", F.col("kind") != _STORED, "t", "kind", "prediction_id"]
         decided = events.repartition("cache_key").sortWithinPartitions(*order).select(
-            *[c.split()[0] for c in REUSE_EVENT.split(", ")]).mapInArrow(_reuse, REUSE_OUT)
+            *[c.split()[0] for c in REUSE_EVENT.split(", ")]).mapInArrow(
+            lambda batches: _reuse(_with_epochs(batches, clears, base)), REUSE_OUT)
         log = f"{state_path}/decided/_batch={batch_id}"
         decided.write.mode("overwrite").parquet(log)
         decided = spark.read.schema(REUSE_OUT).parquet(log)
         decided.where(F.col("kind") == _ASK).select("prediction_id", "cache_hit", "ttl_seconds").write.mode("overwrite").parquet(
             f"{out_path}/batch_id={batch_id}")
         _write_entries(spark, decided, entries, f"{state_path}", batch_id, horizon)
-        cleared = base + ready.where(F.col("kind") == "invalidate_all").select("_t").distinct().count()
-        spark.createDataFrame([(cleared,)], "epoch long").coalesce(1).write.mode("overwrite").parquet(f"{state_path}/epoch/_batch={batch_id}")
+        spark.createDataFrame([(base + len(clears),)], "epoch long").coalesce(1).write.mode("overwrite").parquet(f"{state_path}/epoch/_batch={batch_id}")
         state.commit(spark, batch_id, newest)
         rows.unpersist()
         # the batch before may still run again: what came before that is not read any more

@@ -1,7 +1,8 @@
 """Running Structured Streaming jobs to completion and reading their sinks.
 
 * ``stage_files`` writes a table as time-ordered appends so a file source
-  replays it as several micro-batches (oldest first).
+  replays it as several micro-batches (oldest first), each of one file or
+  of as many as tasks write at once (``files_per_chunk``).
 * ``run_available_now`` drains every available file and stops; the
   checkpoint lives under the shared checkpoint folder, so a restarted job
   resumes from its last committed batch.
@@ -23,8 +24,13 @@ from pyspark.sql.streaming import DataStreamWriter
 from riskweave.operators.windows import micros
 
 
-def stage_files(df: DataFrame, path: str, ts: str, chunks: int = 3) -> None:
-    """Write ``df`` as files in order of ``ts``: one write, one file per chunk of time.
+def files_per_chunk(spark: SparkSession, chunks: int = 3) -> int:
+    """As many files in a chunk as keep all cores at work while the chunks are written."""
+    return max(1, -(-spark.sparkContext.defaultParallelism // chunks))
+
+
+def stage_files(df: DataFrame, path: str, ts: str, chunks: int = 3, files: int = 1) -> None:
+    """Write ``df`` as files in order of ``ts``: one write, ``files`` files per chunk of time.
 
     The file source takes files by age, so the files get ascending times.
     """
@@ -32,12 +38,12 @@ def stage_files(df: DataFrame, path: str, ts: str, chunks: int = 3) -> None:
     folder = sc._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
 
-    def files() -> dict:
+    def listed() -> dict:
         found = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
         return {p.getName(): p for p in found if p.getName().startswith("part-")}
-    before = files()
-    df.repartitionByRange(chunks, micros(ts)).write.mode("append").parquet(path)
-    made = [p for name, p in sorted(files().items()) if name not in before]
+    before = listed()
+    df.repartitionByRange(chunks * files, micros(ts)).write.mode("append").parquet(path)
+    made = [p for name, p in sorted(listed().items()) if name not in before]
     newest = max((fs.getFileStatus(p).getModificationTime() for p in made), default=0)
     for age, p in enumerate(reversed(made)):
         fs.setTimes(p, newest - 1000 * age, -1)
