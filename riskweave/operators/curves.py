@@ -43,14 +43,22 @@ def auc_of_table(t: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Step-wise average precision, sum over thresholds of dRecall * precision."""
-    t = score_table(df, score, label, by)
+    return precision_of_table(score_table(df, score, label, by), by)
+
+
+def precision_of_table(t: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Average precision from a ``score_table``."""
     term = F.try_divide(F.col("pos"), F.col("total_pos")) * (F.col("cum_pos") / F.col("cum_n"))
     return t.groupBy(*by).agg(F.sum(term).alias("average_precision"))
 
 
 def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """Precision and recall per threshold plus the (precision 1, recall 0) end point."""
-    t = score_table(df, score, label)
+    return pr_of_table(score_table(df, score, label))
+
+
+def pr_of_table(t: DataFrame) -> DataFrame:
+    """Precision-recall curve from a ``score_table``."""
     recall = F.when(F.col("total_pos") == 0, F.lit(1.0)).otherwise(F.col("cum_pos") / F.col("total_pos"))
     pts = t.select(F.col("threshold").cast("double"), (F.col("cum_pos") / F.col("cum_n")).alias("precision"),
                    recall.alias("recall"))
@@ -83,7 +91,11 @@ def tune_threshold(df: DataFrame, score: str, label: str, target_precision: floa
     """Among thresholds with precision >= target, the highest recall
     (lowest threshold on ties). Without any, threshold = fallback and the
     metrics are those of the lowest curve threshold >= fallback."""
-    curve = pr_curve(df, score, label)
+    return tuned_on_curve(pr_curve(df, score, label), target_precision, fallback)
+
+
+def tuned_on_curve(curve: DataFrame, target_precision: float, fallback: float = 0.5) -> DataFrame:
+    """``tune_threshold`` from a precision-recall curve."""
     best = _best_at_precision(curve, target_precision)
     at_fb = curve.where(F.col("threshold") >= F.lit(fallback)).agg(
         F.min_by(F.struct("precision", "recall"), F.col("threshold")).alias("fb"))
@@ -98,7 +110,12 @@ def tune_threshold(df: DataFrame, score: str, label: str, target_precision: floa
 
 def recall_at_precision(df: DataFrame, score: str, label: str, target_precision: float) -> DataFrame:
     """Threshold and recall at the target precision; NULL when unreachable."""
-    best = _best_at_precision(pr_curve(df, score, label), target_precision)
+    return recall_on_curve(pr_curve(df, score, label), target_precision)
+
+
+def recall_on_curve(curve: DataFrame, target_precision: float) -> DataFrame:
+    """``recall_at_precision`` from a precision-recall curve."""
+    best = _best_at_precision(curve, target_precision)
     return best.select(F.col("b.threshold").alias("threshold_at_target"),
                        F.col("b.recall").alias("recall_at_target"))
 

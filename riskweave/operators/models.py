@@ -86,22 +86,24 @@ def score(model: PipelineModel, df: DataFrame, threshold: float | Column | None
 
 def evaluate(scored: DataFrame, target_precision: float = 0.95) -> DataFrame:
     """L04 metrics on validation rows: ROC-AUC, average precision, tuned threshold (one row)."""
-    return _metrics(scored, lambda s: cv.tune_threshold(s, PROB, LABEL, target_precision))
+    return _metrics(scored, lambda t: cv.tuned_on_curve(cv.pr_of_table(t), target_precision))
 
 
 def evaluate_test(scored: DataFrame, target_precision: float = 0.95) -> DataFrame:
     """L07 metrics on test rows: ROC-AUC, average precision, and threshold and recall at the
     target precision, null where no threshold reaches it (nothing is tuned on test rows)."""
-    return _metrics(scored, lambda s: cv.recall_at_precision(s, PROB, LABEL, target_precision))
+    return _metrics(scored, lambda t: cv.recall_on_curve(cv.pr_of_table(t), target_precision))
 
 
 def _metrics(scored: DataFrame, at_threshold) -> DataFrame:
-    """One row of metrics. The scored frame feeds three plans, so it is cached while they run and released after."""
+    """One row of metrics. The scored frame's one score table feeds all of them, so both are cached while they run and released after."""
     scored = scored.select(PROB, LABEL).persist()
+    table = cv.score_table(scored, PROB, LABEL).persist()
     try:
-        out = cv.roc_auc(scored, PROB, LABEL).crossJoin(cv.average_precision(scored, PROB, LABEL)).crossJoin(at_threshold(scored))
+        out = cv.auc_of_table(table).crossJoin(cv.precision_of_table(table)).crossJoin(at_threshold(table))
         return scored.sparkSession.createDataFrame(out.collect(), out.schema)  # one row
     finally:
+        table.unpersist()
         scored.unpersist()
 
 

@@ -19,7 +19,7 @@ from riskweave.plans._sqlhelp import r9
 from riskweave.plans.registry import register
 from riskweave.plans.split_plans import split_tx
 from riskweave.plans.window_plans import runs_table
-from riskweave.session import scratch_path
+from riskweave.session import kept, scratch_path
 from riskweave.sources.tables import MODEL_TYPES, prediction_logs, with_ctes
 from riskweave.streaming import jobs
 from riskweave.streaming import runtime as rt
@@ -27,17 +27,15 @@ from riskweave.streaming import runtime as rt
 SEED = 42
 
 
-def _kept(df, name: str):
-    """``df`` written to the shared folder and read back."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def kept_split(spark, sf_dir):
+    """The transactions with their split, worked out once and written."""
+    return kept(split_tx(spark, sf_dir), "split")
 
 
-def fitted_frames(spark, sf_dir):
-    """(stats, train, val, test): the split and the statistics, fitted on train only, are worked out once and written."""
-    sp = _kept(split_tx(spark, sf_dir), "split")
-    stats = _kept(fe.fit_feature_stats(sp.where(F.col("split") == "train")), "stats")
+def fitted_frames(spark, sf_dir, sp=None):
+    """(stats, train, val, test): the split (given, or made) and the statistics, fitted on train only, are worked out once and written."""
+    sp = kept_split(spark, sf_dir) if sp is None else sp
+    stats = kept(fe.fit_feature_stats(sp.where(F.col("split") == "train")), "stats")
     eng = fe.engineer(sp, stats)
     return (stats, eng.where(F.col("split") == "train"), eng.where(F.col("split") == "val"),
             eng.where(F.col("split") == "test"))
@@ -75,9 +73,11 @@ def q_l03(spark, sf_dir):
     return ml.score(model, val).select("transaction_id", "fraud_probability")
 
 
-def train_job(spark, sf_dir, kind: str = "logistic_regression"):
-    """Split -> fit stats -> features -> fit -> val metrics -> tuned threshold -> save + metadata."""
-    stats, train, val, _ = fitted_frames(spark, sf_dir)
+def train_job(spark, sf_dir, kind: str = "logistic_regression", fitted=None):
+    """Split -> fit stats -> features -> fit -> val metrics -> tuned threshold -> save + metadata.
+
+    ``fitted``: the ``fitted_frames`` of the dataset, where the caller has them."""
+    stats, train, val, _ = fitted or fitted_frames(spark, sf_dir)
     began = time.perf_counter()
     model = ml.fit(train, kind, seed=SEED)
     seconds, train_rows = time.perf_counter() - began, train.count()
@@ -117,10 +117,11 @@ def q_l04(spark, sf_dir):
 @register("L05")
 def q_l05(spark, sf_dir):
     """Train every model family and compare, the best by each metric marked; a failing fit is recorded, not fatal."""
-    rows = None
+    rows, fitted = None, None
     for kind in MODEL_TYPES:
         try:
-            m = train_job(spark, sf_dir, kind).withColumn("error", F.lit(None).cast("string"))
+            fitted = fitted or fitted_frames(spark, sf_dir)  # of all families
+            m = train_job(spark, sf_dir, kind, fitted).withColumn("error", F.lit(None).cast("string"))
         except Exception as e:  # recorded as a failed run
             m = spark.createDataFrame([(kind, str(e))], "model_type string, error string")
         rows = m if rows is None else rows.unionByName(m, allowMissingColumns=True)
@@ -129,13 +130,13 @@ def q_l05(spark, sf_dir):
     return rows.withColumns({"best_by_roc_auc": best("roc_auc"), "best_by_average_precision": best("average_precision")})
 
 
-def saved_path(spark, sf_dir, kind: str = "logistic_regression") -> str:
+def saved_path(spark, sf_dir, kind: str = "logistic_regression", fitted=None) -> str:
     """The newest saved model of the dataset, by the registry's table; trained first if there is none."""
-    return newest_model(spark, sf_dir, kind) or train_job(spark, sf_dir, kind).first()["model_path"]
+    return newest_model(spark, sf_dir, kind) or train_job(spark, sf_dir, kind, fitted).first()["model_path"]
 
 
-def _saved_model(spark, sf_dir):
-    return load_saved(spark, saved_path(spark, sf_dir))
+def _saved_model(spark, sf_dir, fitted=None):
+    return load_saved(spark, saved_path(spark, sf_dir, fitted=fitted))
 
 
 def load_saved(spark, path: str):
@@ -146,26 +147,26 @@ def load_saved(spark, path: str):
 @register("L06")
 def q_l06(spark, sf_dir):
     """Batch scoring of the test split with the saved model and its tuned threshold."""
-    _, _, test = frames(spark, sf_dir)
-    model, thr = _saved_model(spark, sf_dir)
-    return ml.score(model, test, thr).select("transaction_id", "fraud_probability", "fraud_label", "threshold_used")
+    fitted = fitted_frames(spark, sf_dir)
+    model, thr = _saved_model(spark, sf_dir, fitted)
+    return ml.score(model, fitted[-1], thr).select("transaction_id", "fraud_probability", "fraud_label", "threshold_used")
 
 
 @register("L07")
 def q_l07(spark, sf_dir):
     """Evaluate job on the test split: metrics, tuned-threshold confusion counts."""
-    _, _, test = frames(spark, sf_dir)
-    model, thr = _saved_model(spark, sf_dir)
-    scored = ml.score(model, test, thr)
+    fitted = fitted_frames(spark, sf_dir)
+    model, thr = _saved_model(spark, sf_dir, fitted)
+    scored = ml.score(model, fitted[-1], thr)
     conf = rp.confusion_counts(scored, "is_fraud", "fraud_label")
     return ml.evaluate_test(scored).crossJoin(conf)
 
 
 def scored_test(spark, sf_dir):
     """The test split scored by the newest saved model with its tuned threshold, written once for the tables made of it."""
-    _, _, test = frames(spark, sf_dir)
-    model, thr = _saved_model(spark, sf_dir)
-    return _kept(ml.score(model, test, thr).select("transaction_id", ml.LABEL, ml.PROB, "fraud_label"), "scored-test")
+    fitted = fitted_frames(spark, sf_dir)
+    model, thr = _saved_model(spark, sf_dir, fitted)
+    return kept(ml.score(model, fitted[-1], thr).select("transaction_id", ml.LABEL, ml.PROB, "fraud_label"), "scored-test")
 
 
 @register("L07R")
@@ -275,22 +276,24 @@ def q_l09(spark, sf_dir):
 @register("S11")
 def q_s11(spark, sf_dir):
     """Model artifact save and load: the reloaded pipeline scores the validation split."""
-    _, val, _ = frames(spark, sf_dir)
-    model, thr = _saved_model(spark, sf_dir)
-    return ml.score(model, val, thr).select("transaction_id", "fraud_probability", "fraud_label")
+    fitted = fitted_frames(spark, sf_dir)
+    model, thr = _saved_model(spark, sf_dir, fitted)
+    return ml.score(model, fitted[2], thr).select("transaction_id", "fraud_probability", "fraud_label")
 
 
 @register("T01M")
 def q_t01m(spark, sf_dir):
     """Streaming scoring with the trained model: the registry's newest pipeline, its own statistics
     and threshold; requests that fail validation go to a quarantine table with their reasons."""
-    path = saved_path(spark, sf_dir)
+    sp = kept_split(spark, sf_dir)
+    path = newest_model(spark, sf_dir, "logistic_regression") or saved_path(spark, sf_dir, fitted=fitted_frames(spark, sf_dir, sp))
     model, threshold = load_saved(spark, path)
     stats = spark.read.schema(", ".join(f"{c} double" for c in fe.STAT_COLUMNS)).parquet(_stats_path(path))
     base = scratch_path(spark, f"t01m-{uuid.uuid4().hex[:12]}")
-    tx = split_tx(spark, sf_dir).where(F.col("split") == "test").drop("split")
-    rt.stage_files(tx, f"{base}/source", "created_at", chunks=3)
+    tx = sp.where(F.col("split") == "test").drop("split")
+    files = rt.files_per_chunk(spark)
+    rt.stage_files(tx, f"{base}/source", "created_at", chunks=3, files=files)
     step = jobs.model_scoring_sink(model, stats, threshold, f"{base}/scored", f"{base}/quarantine")
-    stream = rt.read_stream(spark, f"{base}/source", tx.schema)
+    stream = rt.read_stream(spark, f"{base}/source", tx.schema, files)
     rt.run_available_now(stream.writeStream.foreachBatch(step), f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/scored").select("transaction_id", "fraud_probability", "fraud_label", "threshold_used")
