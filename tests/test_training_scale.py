@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from riskweave.operators import curves as cv
@@ -56,6 +57,19 @@ def test_metrics_come_from_one_score_table(spark, monkeypatch):
     assert all(a == b or abs(a - b) < 1e-12 for a, b in zip(got, want))
 
 
+def test_forest_keeps_the_node_of_each_row_and_grows_the_same_trees(spark):
+    rows = spark.range(3000).select(
+        *[(F.col("id") * k % 1009 / 1009).alias(c) for k, c in ((7919, "a"), (104729, "b"), (31, "c"))], F.col("id")).select(
+        array_to_vector(F.array("a", "b", "c")).alias("features"), F.lit(1.0).alias(ml.WEIGHT),
+        (F.col("a") + F.col("b") * F.col("c") + (F.col("id") % 3) / 9 > 1).cast("int").alias(ml.LABEL)).persist()
+    forest = ml.estimator("random_forest")
+    assert forest.getCacheNodeIds() and forest.getCheckpointInterval() == -1
+    few = {forest.numTrees: 8}
+    trees = [f.fit(rows, few).toDebugString.split("\n", 1)[1] for f in (forest, forest.copy({forest.cacheNodeIds: False}))]
+    assert trees[0] == trees[1] and "Predict: 1.0" in trees[0] and "Predict: 0.0" in trees[0]
+    rows.unpersist()
+
+
 def test_a_chunk_of_time_is_written_as_several_files_in_order(spark, tmp_path):
     df = spark.range(1000).select("id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("at"))
     rt.stage_files(df, f"{tmp_path}/src", "at", chunks=2, files=3)
