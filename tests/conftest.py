@@ -16,6 +16,7 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from riskweave.session import build_session
     s = build_session("local[4]", shuffle_partitions=8, app_name="riskweave-tests",
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="rw-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="rw-test-ckpt-"),
+                             "spark.sql.maxMetadataStringLength": "1000"})  # plans name files by their whole path
     yield s
     s.stop()
